@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from lodestrand.llm import exact_dedup, mixing
+from lodestrand.llm import exact_dedup, mixing, packing
 
 
 def queries() -> dict:
     return {
         "op5_source_mixing": mixing.op5_source_mixing,
         "op7_exact_dedup": exact_dedup.op7_exact_dedup,
+        "op9_best_fit_packing": packing.op9_best_fit_packing,
     }
 
 
