@@ -52,8 +52,6 @@ class ChunkEncoder:
         return (base.lower() if base.isascii() and "<|" not in base else base), end
 
     def _learn(self, chunks: set[str]) -> None:
-        if len(self.known) + len(chunks) > MEMO:
-            self.known, self.bases = {"": b""}, {"": b""}
         pairs = {c: self._base(c) for c in chunks}
         wanted = {b for b, _ in pairs.values()} - self.bases.keys()
         odd = {b for b in wanted if _SEPARATOR in b or "<|" in b}
@@ -83,15 +81,21 @@ class ChunkEncoder:
                 size += len(texts[at])
                 step.append(texts[at])
                 at += 1
-            new: set[str] = set()
+            chunks: set[str] = set()
             for t in step:
-                new.update(t.split(" "))
-            new -= self.known.keys()
+                chunks.update(t.split(" "))
+            if len(chunks) > MEMO:  # one huge text
+                yield from map(self._alone, step)
+                continue
+            new = chunks - self.known.keys()
+            if len(self.known) + len(new) > MEMO:
+                self.known, self.bases = {"": b""}, {"": b""}
+                new = chunks - self.known.keys()
             if new:
                 self._learn(new)
-            get = self.known.__getitem__ if len(new) <= MEMO else None
+            get = self.known.__getitem__
             for t in step:
-                yield b"".join(map(get, t.split(" "))) if get else self._alone(t)
+                yield b"".join(map(get, t.split(" ")))
 
 
 def worker_encoder(path: str) -> ChunkEncoder:
