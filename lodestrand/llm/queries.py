@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from lodestrand.llm import exact_dedup, mixing, packing
+from lodestrand.llm import exact_dedup, mixing, packing, quality, toxicity
 
 
 def queries() -> dict:
     return {
+        "op1_quality_classifier": quality.op1_quality_classifier,
+        "op10_toxicity": toxicity.op10_toxicity,
         "op5_source_mixing": mixing.op5_source_mixing,
         "op7_exact_dedup": exact_dedup.op7_exact_dedup,
         "op9_best_fit_packing": packing.op9_best_fit_packing,
