@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lodestrand.llm import exact_dedup, mixing, packing, quality, toxicity
+from lodestrand.llm import chat, exact_dedup, mixing, packing, quality, toxicity
 
 
 def queries() -> dict:
@@ -10,10 +10,11 @@ def queries() -> dict:
         "op1_quality_classifier": quality.op1_quality_classifier,
         "op10_toxicity": toxicity.op10_toxicity,
         "op5_source_mixing": mixing.op5_source_mixing,
+        "op6_chat_rotation": chat.op6_chat_rotation,
         "op7_exact_dedup": exact_dedup.op7_exact_dedup,
         "op9_best_fit_packing": packing.op9_best_fit_packing,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_exact_dedup": exact_dedup.OP7_SQL}
+    return {"op6_chat_rotation": chat.OP6_SQL, "op7_exact_dedup": exact_dedup.OP7_SQL}
