@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from lodestrand.llm import chat, exact_dedup, mixing, packing, quality, toxicity
+from lodestrand.llm import chat, exact_dedup, jaccard, mixing, packing, quality, toxicity
 
 
 def queries() -> dict:
     return {
         "op1_quality_classifier": quality.op1_quality_classifier,
         "op10_toxicity": toxicity.op10_toxicity,
+        "op4_ngram_jaccard": jaccard.op4_ngram_jaccard,
         "op5_source_mixing": mixing.op5_source_mixing,
         "op6_chat_rotation": chat.op6_chat_rotation,
         "op7_exact_dedup": exact_dedup.op7_exact_dedup,

@@ -51,14 +51,20 @@ def salt(col: Column | str, n: int = SALTS) -> Column:
     return F.pmod(F.xxhash64(col), F.lit(n)).cast("int")
 
 
-def with_group_values(df: DataFrame, keys: list[str], id_col: str, **values: Column) -> DataFrame:
-    """df with each group's aggregates joined on, in two levels: a key's rows first meet by salt, so a key that
-    holds a third of all rows is spread over SALTS tasks both when it is summed and when it is joined.
+class Groups:
+    """The groups of rows with equal keys, kept in two levels.
 
-    values: name -> (first-level aggregate, second-level function of that name's column).
+    A key's rows first meet by salt, so a key that holds a third of all rows is spread over SALTS tasks, both on the
+    way up (rows -> parts -> whole) and when an answer for each group goes down again.
     """
-    marked = df.withColumn("_salt", salt(id_col))
-    part = marked.groupBy(*keys, "_salt").agg(*(first.alias(f"_{k}") for k, (first, _) in values.items()))
-    whole = part.groupBy(*keys).agg(*(second(F.col(f"_{k}")).alias(k) for k, (_, second) in values.items()))
-    spread = part.select(*keys, "_salt").join(whole, keys)
-    return marked.join(spread, [*keys, "_salt"]).drop("_salt")
+
+    def __init__(self, df: DataFrame, keys: list[str], id_col: str):
+        self.keys = keys
+        self.rows = df.withColumn("_salt", salt(id_col))
+        self.parts = self.rows.groupBy(*keys, "_salt").agg(F.min(id_col).alias("_least"), F.count(F.lit(1)).alias("_size"))
+        self.whole = self.parts.groupBy(*keys).agg(F.min("_least").alias("least"), F.sum("_size").alias("size"))
+
+    def hand_down(self, answers: DataFrame) -> DataFrame:
+        """rows with the columns of answers, which has one row per group."""
+        spread = self.parts.select(*self.keys, "_salt").join(answers, self.keys)
+        return self.rows.join(spread, [*self.keys, "_salt"]).drop("_salt")
