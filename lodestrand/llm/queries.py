@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lodestrand.llm import chat, exact_dedup, jaccard, mixing, packing, quality, toxicity
+from lodestrand.llm import chat, embeddings, exact_dedup, jaccard, mixing, packing, quality, toxicity
 
 
 def queries() -> dict:
@@ -13,6 +13,7 @@ def queries() -> dict:
         "op5_source_mixing": mixing.op5_source_mixing,
         "op6_chat_rotation": chat.op6_chat_rotation,
         "op7_exact_dedup": exact_dedup.op7_exact_dedup,
+        "op8_embedding_range_join": embeddings.op8_embedding_range_join,
         "op9_best_fit_packing": packing.op9_best_fit_packing,
     }
 
