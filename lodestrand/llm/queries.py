@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from lodestrand.llm import chat, embeddings, exact_dedup, jaccard, mixing, packing, quality, suffixes, toxicity
+from lodestrand.llm import chat, embeddings, exact_dedup, jaccard, mixing, packing, quality, substrings, suffixes, toxicity
 
 
 def queries() -> dict:
     return {
         "op1_quality_classifier": quality.op1_quality_classifier,
         "op10_toxicity": toxicity.op10_toxicity,
+        "op2_substring_dedup": substrings.op2_substring_dedup,
         "op3_suffix_dedup": suffixes.op3_suffix_dedup,
         "op4_ngram_jaccard": jaccard.op4_ngram_jaccard,
         "op5_source_mixing": mixing.op5_source_mixing,

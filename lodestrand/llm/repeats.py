@@ -115,9 +115,10 @@ def lead(hashes: np.ndarray) -> np.ndarray:
     return (hashes & U(0xFFFFFFFF)).astype(np.uint32)
 
 
-def candidates(runs: DataFrame, windows: Windows, samples: int = 32) -> DataFrame:
-    """(part, blob): anchors whose gram some other document has too, dealt by document; part -1 holds, for every
-    bucket, `samples` places of its sorted anchors with the symbols that lie between them."""
+def candidates(runs: DataFrame, windows: Windows, samples: int = 0) -> DataFrame:
+    """(part, blob): anchors whose gram some other document has too, dealt by document, with the smallest id
+    that has the gram. If samples are asked for, anchors keep the gram's code, and part -1 holds, for every bucket, so
+    many places of its sorted anchors with the symbols that lie between them."""
     parts, length = windows.parts, windows.length
 
     def run(key, table):
@@ -145,16 +146,17 @@ def candidates(runs: DataFrame, windows: Windows, samples: int = 32) -> DataFram
         if len(order):
             ids, keys, first, span = ids[order], keys[order], first[order], span[order]
             code = (np.uint64(bucket) << U(32)) | h[keep]
-            weight = np.cumsum(span.astype(np.int64) + length)
-            at = np.unique(np.searchsorted(weight, np.linspace(0, weight[-1], samples + 1)[1:]))
-            out.append((-1, pack(code=code[at], id=ids[at], weight=np.diff(weight[at], prepend=0))))
+            if samples:
+                weight = np.cumsum(span.astype(np.int64) + length)
+                at = np.unique(np.searchsorted(weight, np.linspace(0, weight[-1], samples + 1)[1:]))
+                out.append((-1, pack(code=code[at], id=ids[at], weight=np.diff(weight[at], prepend=0))))
             part = part_of(keys, parts)
             place = np.lexsort((first, keys, part))
             cuts = np.searchsorted(part[place], np.arange(parts + 1))
             for p, (x, y) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
                 if x < y:
                     w = place[x:y]
-                    out.append((p, pack(key=keys[w], id=ids[w], first=first[w], span=span[w], code=code[w], least=least[w])))
+                    out.append((p, pack(key=keys[w], id=ids[w], first=first[w], span=span[w], least=least[w], **({"code": code[w]} if samples else {}))))
         return pa.table({"part": pa.array([p for p, _ in out], pa.int32()), "blob": pa.array([b for _, b in out], pa.binary())})
 
     return runs.groupBy("bucket").applyInArrow(run, "part int, blob binary")

@@ -124,7 +124,7 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     rows = keyed(docs, id_col, text_col)
     windows = Windows(word_symbols, window, gram, parts)
-    found = materialize(candidates(anchor_runs(rows, windows), windows))
+    found = materialize(candidates(anchor_runs(rows, windows), windows, samples=32))
     cut_code, cut_id = splitters([r["blob"] for r in found.where("part < 0").select("blob").collect()], bucket_words)
     straddling = np.unique(cut_code)
     texts = materialize(parcels(rows, parts))
