@@ -138,7 +138,8 @@ def train(sample: DataFrame, settings: Settings) -> Model:
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """docs' id and `keep` columns with `score`: the model's probability of label 1 for the whole text."""
     held = docs.sparkSession.sparkContext.broadcast((model.index, model.weight, model.bias, model.bits))
-    kept = list(keep or [])
+    has_text = text_col in (keep or [])  # travels once
+    kept = [c for c in keep or [] if c != text_col]
 
     def run(batches):
         index, weight, bias, bits = held.value
@@ -150,12 +151,13 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
                 rows, found = features(data, bounds, bits, wanted)
                 out[first : first + len(bounds) - 1] = np.bincount(rows, dense[found], len(bounds) - 1)
             value = 1 / (1 + np.exp(-np.clip(out + bias, -30, 30)))
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(value)], names=[*names, "score"])
+            columns = batch.columns[1:] + batch.columns[:1] * has_text
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(value)], names=names)
 
     rows = docs.select(F.col(text_col).cast("string").alias("_text"), F.col(id_col), *kept)
-    names = rows.columns[1:]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[1:])
-    return rows.mapInArrow(run, f"{schema}, score double")
+    out = rows.schema.fields[1:] + ([docs.select(F.col(text_col).cast("string").alias(text_col)).schema.fields[0]] if has_text else [])
+    names = [*(f.name for f in out), "score"]
+    return rows.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in out) + ", score double")
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, may_train, settings: Settings = Settings(), keep: list[str] | None = None) -> DataFrame:
