@@ -6,30 +6,30 @@ import os
 import sys
 import types
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestrand.llm.tables import materialize, salt
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
-#: Chunks of text whose ids a Python worker remembers, and chunks encoded in one call.
-MEMO, JOINED = 1_000_000, 5_000
-_SEPARATOR = "\x01"
+#: Chunks of text whose ids a Python worker remembers, and bytes of text encoded at once.
+MEMO, STEP = 1_500_000, 8 << 20
 
 
 class ChunkEncoder:
     """Ids of whole texts, chunk by chunk.
 
-    The tokenizer drops white space and its normaliser and word pattern never look across a space, so a text's ids are
-    those of its space-separated chunks in a row. A chunk's ids are remembered. New chunks are encoded together, parted
-    by a control character that always is a token of its own; chunks that hold it, or a special token, go alone. A
-    chunk of ASCII letters is looked up in lower case, and letters followed by one dot or comma as two words: the word
-    pattern parts them there.
+    The tokenizer drops white space and its normaliser and word pattern never look across it, so a text's ids are
+    those of its chunks between spaces and line ends in a row. Chunks are numbered by Arrow, and a chunk's ids are remembered. A
+    chunk of ASCII letters is one word to the tokenizer's pattern and goes to its merge model in lower case; letters
+    followed by one dot or comma are two words. All other chunks, special tokens among them, are encoded as they are.
     """
 
     def __init__(self, path: str):
@@ -37,65 +37,69 @@ class ChunkEncoder:
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {"": b""}
-        self.bases: dict[str, bytes] = {"": b""}
-        self.ends = {c: self._alone(c) for c in (".", ",")} | {"": b""}
-        self.cut = self.tokenizer.encode(f"a {_SEPARATOR} a", add_special_tokens=False).ids[1]
-
-    def _alone(self, text: str) -> bytes:
+        self.model = self.tokenizer.model
+        self.known: dict[str, bytes] = {}
+        self.bases: dict[str, bytes] = {}
+        self.ends = {c: self._encode(c) for c in (".", ",")}
+        letters = filter(str.isalpha, map(chr, range(0x80, 0x100)))
+        self.latin = {ord(c): self.tokenizer.pre_tokenizer.pre_tokenize_str(c)[0][0] for c in letters}
+
+    def _encode(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    @staticmethod
-    def _base(chunk: str) -> tuple[str, str]:
-        end = chunk[-1:] if chunk[-1:] in (".", ",") and chunk[:-1].isalpha() else ""
-        base = chunk[: len(chunk) - len(end)]
-        return (base.lower() if base.isascii() and "<|" not in base else base), end
-
-    def _learn(self, chunks: set[str]) -> None:
-        pairs = {c: self._base(c) for c in chunks}
-        wanted = {b for b, _ in pairs.values()} - self.bases.keys()
-        odd = {b for b in wanted if _SEPARATOR in b or "<|" in b}
-        for b in odd:
-            self.bases[b] = self._alone(b)
-        plain = list(wanted - odd)
-        for i in range(0, len(plain), JOINED):
-            part = plain[i : i + JOINED]
-            ids = np.array(self.tokenizer.encode_batch_fast([f" {_SEPARATOR} ".join(part)], add_special_tokens=False)[0].ids, "<u4")
-            cuts = np.flatnonzero(ids == self.cut)
-            if len(cuts) != len(part) - 1:
-                self.bases.update((b, self._alone(b)) for b in part)
-                continue
-            flat, at = ids.tobytes(), 0
-            for b, end in zip(part, [*(4 * cuts).tolist(), len(flat)], strict=True):
-                self.bases[b] = flat[at:end]
-                at = end + 4
-        for c, (b, end) in pairs.items():
-            self.known[c] = self.bases[b] + self.ends[end]
-
-    def encode(self, texts: list[str]) -> Iterator[bytes]:
-        """Little-endian unsigned 32-bit ids of each text."""
-        step, at = [], 0
-        while at < len(texts):
-            size, step = 0, []
-            while at < len(texts) and (not step or size + len(texts[at]) < 4_000_000):
-                size += len(texts[at])
-                step.append(texts[at])
-                at += 1
-            chunks: set[str] = set()
-            for t in step:
-                chunks.update(t.split(" "))
-            if len(chunks) > MEMO:  # one huge text
-                yield from map(self._alone, step)
-                continue
-            new = chunks - self.known.keys()
-            if len(self.known) + len(new) > MEMO:
-                self.known, self.bases = {"": b""}, {"": b""}
-                new = chunks - self.known.keys()
-            if new:
-                self._learn(new)
-            get = self.known.__getitem__
-            for t in step:
-                yield b"".join(map(get, t.split(" ")))
+    def _word(self, word: str) -> bytes:
+        """Letters only."""
+        plain = word.isascii()
+        if plain or max(word) <= "\xff":  # lower case is all that the normaliser changes
+            word = word.lower()
+        found = self.bases.get(word)
+        if found is None:
+            if plain:
+                parts = [word]
+            elif max(word) <= "\xff":
+                parts = [word.translate(self.latin)]
+            else:
+                parts = [p for p, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(self.tokenizer.normalizer.normalize_str(word))]
+            found = self.bases[word] = array("I", [t.id for p in parts for t in self.model.tokenize(p)]).tobytes()
+        return found
+
+    def _chunk(self, chunk: str) -> bytes:
+        if chunk.isalpha():
+            return self._word(chunk)
+        if chunk[-1:] in self.ends and chunk[:-1].isalpha():
+            return self._word(chunk[:-1]) + self.ends[chunk[-1]]
+        return self._encode(chunk)
+
+    def _chunks(self, chunks: list[str]) -> list[bytes]:
+        if len(self.known) + len(chunks) > MEMO:
+            self.known, self.bases = {}, {}
+        out = list(map(self.known.get, chunks))
+        for i, found in enumerate(out):
+            if found is None:
+                out[i] = self.known[chunks[i]] = self._chunk(chunks[i])
+        return out
+
+    def encode(self, column: pa.Array) -> Iterator[bytes]:
+        """Little-endian unsigned 32-bit ids of each text; null is empty."""
+        column = pc.fill_null(column.cast(pa.large_string()), "")
+        sizes = np.concatenate([[0], np.cumsum(pc.binary_length(column).to_numpy())])
+        at = 0
+        while at < len(column):
+            end = max(at + 1, int(np.searchsorted(sizes, sizes[at] + STEP, side="right")) - 1)
+            parts = pc.split_pattern(pc.replace_substring(column[at:end], "\n", " "), " ")
+            coded = parts.flatten().dictionary_encode()
+            ids = self._chunks(coded.dictionary.to_pylist())
+            flat = np.frombuffer(b"".join(ids), "<u4")
+            lengths = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+            starts = np.cumsum(lengths) - lengths
+            code = coded.indices.to_numpy()
+            each = lengths[code]
+            to = np.concatenate([[0], np.cumsum(each)])
+            out = flat[np.repeat(starts[code] - to[:-1], each) + np.arange(to[-1])]
+            cuts = to[np.concatenate([[0], np.cumsum(pc.list_value_length(parts).to_numpy())])]
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                yield out[a:b].tobytes()
+            at = end
 
 
 def worker_encoder(path: str) -> ChunkEncoder:
@@ -115,7 +119,7 @@ def token_pieces(docs: DataFrame, id_col: str, text_col: str, tokenizer: str, ca
         for batch in batches:
             rows: list[tuple] = []
             ids = batch.column(0).to_pylist()
-            for doc_id, flat in zip(ids, encoder.encode([t or "" for t in batch.column(1).to_pylist()]), strict=True):
+            for doc_id, flat in zip(ids, encoder.encode(batch.column(1)), strict=True):
                 flat += end
                 for piece, at in enumerate(range(0, len(flat), 4 * capacity)):
                     part = flat[at : at + 4 * capacity]
