@@ -1,0 +1,76 @@
+"""Tokenizers and text normalisation as Catalyst expressions."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+# Words that are never index tokens.
+STOPWORDS = (
+    "if", "else", "for", "while", "return", "switch", "case", "break", "continue", "goto", "default",
+    "sizeof", "struct", "union", "enum", "typedef", "static", "const", "volatile", "extern", "void",
+    "char", "short", "int", "long", "float", "double", "signed", "unsigned", "bool", "true", "false",
+    "null", "auto", "register", "inline", "restrict", "asm", "class", "namespace", "template", "typename",
+    "public", "private", "protected", "virtual", "friend", "this", "operator", "new", "delete", "try", "catch", "throw",
+    "ret", "err", "rc", "val", "len", "size", "data", "buf", "tmp", "result", "status", "ctx", "priv", "info", "dev", "skb",
+)
+# Marks that are not line tokens.
+DROPPED_MARKS = (";", "(", ")", "{", "}", "[", "]", ",", ".")
+
+#: A word of any script, and one of ASCII letters, digits and underscore.
+UNICODE_WORD, ASCII_WORD = r"(?U)(\w+)", r"([A-Za-z0-9_]+)"
+
+
+def _useful(token: Column) -> Column:
+    stop = F.array(*map(F.lit, STOPWORDS))
+    return (F.length(token) >= 3) & token.rlike("[a-zA-Z]") & ~F.array_contains(stop, F.lower(token))
+
+
+def camel_parts(token: Column) -> Column:
+    """XMLParser -> XML, Parser. A break goes in before the last capital of a run, which needs no look-ahead."""
+    return F.regexp_extract_all(F.regexp_replace(token, "([A-Z])([A-Z][a-z])", "$1 $2"), F.lit("([A-Z]?[a-z]+|[A-Z]+)"))
+
+
+def code_tokens(code: Column, word: str = UNICODE_WORD) -> Column:
+    """The sorted set of index tokens: words of three characters or more with a letter that are no stopwords, and
+    under the same tests the parts that underscores and capitals cut them into. Null gives null."""
+    whole = F.filter(F.regexp_extract_all(code, F.lit(word)), _useful)
+    snake = F.flatten(F.transform(whole, lambda t: F.split(t, "_")))
+    camel = F.flatten(F.transform(whole, lambda t: F.when(F.size(camel_parts(t)) > 1, camel_parts(t)).otherwise(F.array().cast("array<string>"))))
+    return F.array_sort(F.array_distinct(F.concat(whole, F.filter(F.concat(snake, camel), _useful))))
+
+
+def strip_comments(code: Column) -> Column:
+    """Code without /* */ and // comments; line breaks inside a comment stay, so line numbers hold. Strings are not
+    looked at."""
+    pieces = F.regexp_extract_all(code, F.lit(r"(?s)(/\*.*?\*/|[^/]+|/)"))
+    kept = F.transform(pieces, lambda p: F.when(p.rlike(r"(?s)^/\*.*\*/$"), F.regexp_replace(p, "[^\n]", "")).otherwise(p))
+    return F.regexp_replace(F.array_join(kept, ""), "//[^\n]*", "")
+
+
+def line_tokens(line: Column) -> Column:
+    """The ordered lower-case tokens of one line: arrows, word parts and single marks, without its [n] marker,
+    comments and punctuation that carries no meaning."""
+    bare = F.regexp_replace(strip_comments(line), r"^\[\s*\d+\]\s*", "")
+    raw = F.regexp_extract_all(bare, F.lit(r"(->|\w+|[^\w\s])"))
+    spaced = lambda t: F.regexp_replace(F.regexp_replace(t, "_+", " "), "([A-Z])([A-Z][a-z])", "$1 $2")
+    cut = lambda t: F.when(t.rlike(r"^\w+$"), F.regexp_extract_all(spaced(t), F.lit(r"([A-Z]?[a-z]+|[A-Z]+|\d+)"))).otherwise(F.array(t))
+    dropped = F.array(*map(F.lit, DROPPED_MARKS))
+    return F.filter(F.transform(F.flatten(F.transform(raw, cut)), F.lower), lambda t: ~F.array_contains(dropped, t))
+
+
+def line_number(line: Column) -> Column:
+    """The number in a line's [n] marker, -1 without one."""
+    return F.coalesce(F.regexp_extract(line, r"^\[\s*(\d+)\]", 1).try_cast("int"), F.lit(-1))
+
+
+def variable_paths(code: Column) -> Column:
+    """Distinct identifier paths such as a->b.c, in order, without keywords and single letters."""
+    found = F.regexp_extract_all(code, F.lit(r"([A-Za-z_]\w*(?:(?:->|\.)[A-Za-z_]\w*)*)"))
+    stop = F.array(*map(F.lit, STOPWORDS[:55]))
+    return F.array_distinct(F.filter(found, lambda v: (F.length(v) > 1) & ~F.array_contains(stop, v)))
+
+
+def squeezed(text: Column) -> Column:
+    """Text without any white space, for comparisons that ignore it."""
+    return F.regexp_replace(text, r"\s+", "")

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from lodestrand.plans import index_queries
+
 FLAGSHIP = "token_topk"
+_PARTS = (index_queries,)
 
 
 def queries() -> dict:
-    return {}
+    return {name: f for part in _PARTS for name, f in part.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for part in _PARTS for name, sql in part.SQL.items()}

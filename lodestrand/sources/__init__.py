@@ -1 +1 @@
-
+"""Readers. Every reader states its schema; nothing is inferred."""
