@@ -1,0 +1,371 @@
+"""Each operator against a plain version, on rows made to be awkward."""
+
+import hashlib
+import re
+import zlib
+
+import duckdb
+import numpy as np
+import pandas as pd
+import pytest
+from pyspark.sql import functions as F
+
+from lodestrand.llm import automata, chat, embeddings, exact_dedup, graph, jaccard, mixing, packing, quality, substrings, suffixes, toxicity
+from lodestrand.llm.anchors import anchors, sliding_minimum
+from lodestrand.llm.labelled import fold
+
+SPACE = re.compile("[\x20\x09-\x0d]+")
+WORDS = [f"w{i}" for i in range(400)]
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, _id int, _key int, n int, token string, component_id int, _salt int, size int, part int"
+
+
+def make_rows():
+    rng = np.random.default_rng(3)
+    say = lambda n: " ".join(rng.choice(WORDS, n))
+    shared = say(70)
+    texts = [None, None, "", " \t\n ", "one", "One", "two words", say(120), say(400), say(3000)]
+    for k in range(4):
+        base = say(150)
+        texts += [base, base, base.replace(" ", "  ", 3), base + " more", " ".join(base.split()[3:]), base.upper()]
+        edited = base.split()
+        for i in range(0, 150, 30 + 10 * k):
+            edited[i] = "edit"
+        texts.append(" ".join(edited))
+    texts += [f"{say(20)} {shared} {say(20)}" for _ in range(6)] + [shared, "é ñ ß " * 40, "é ñ ß " * 41, "ab" * 80, "ab" * 60, "x" * 49, "x" * 50, "x" * 51]
+    order = rng.permutation(len(texts))
+    rows = [(int(order[i]), t, "en", [None, "b", "a", "é"][i % 4], None if i % 5 else i, 1, 2, 3, "t", 4, 5, 6, 7) for i, t in enumerate(texts)]
+    return [*rows, rows[10], (None, texts[10], *rows[0][2:]), (None, None, *rows[0][2:])]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.createDataFrame(make_rows(), SCHEMA).repartition(3).cache()
+
+
+@pytest.fixture(scope="module")
+def plain(docs):
+    return [(r.doc_id, r.text or "", r.source) for r in docs.collect()]
+
+
+@pytest.fixture(scope="module")
+def none(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def table(df, *cols):
+    return sorted((tuple(r[c] for c in cols) for r in df.collect()), key=repr)
+
+
+def test_exact_dedup(docs, plain, none):
+    groups = {}
+    for i, t, _ in plain:
+        groups.setdefault(SPACE.sub(" ", t), []).append(i)
+    expected = []
+    for i, t, _ in plain:
+        t = SPACE.sub(" ", t)
+        known = [x for x in groups[t] if x is not None]
+        keep = min(known) if known else None
+        expected.append((i, keep, len(groups[t]), i == keep, hashlib.sha256(t.encode()).hexdigest()))
+    assert table(exact_dedup.exact_dedup(docs), "doc_id", "keep_id", "group_size", "kept", "text_sha256") == sorted(expected, key=repr)
+    assert exact_dedup.exact_dedup(none).isEmpty()
+
+
+def components(n, links):
+    label = list(range(n))
+    changed = True
+    while changed:
+        changed = False
+        for a, b in links:
+            m = min(label[a], label[b])
+            changed |= label[a] != m or label[b] != m
+            label[a] = label[b] = m
+    return label
+
+
+@pytest.mark.parametrize("n, percent", [(4, 85), (5, 80)])
+def test_jaccard(docs, plain, none, n, percent):
+    def shingles(t):
+        w = [x for x in SPACE.split(re.sub("[A-Z]", lambda m: m[0].lower(), t)) if x]
+        return {tuple(w[i : i + n]) for i in range(len(w) - n + 1)} if len(w) >= n else ({tuple(w)} if w else set())
+
+    sets = [shingles(t) for _, t, _ in plain]
+    ids = [i for i, _, _ in plain]
+    least = {}
+    links = [
+        (a, b)
+        for a in range(len(ids))
+        for b in range(a)
+        if None not in (ids[a], ids[b]) and (ids[a] == ids[b] or sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]))
+    ]
+    label = components(len(ids), links)
+    for i, k in zip(ids, label, strict=True):
+        if i is not None:
+            least[k] = min(i, least.get(k, i))
+    expected = sorted(((i, len(s), None if i is None else least[k]) for i, s, k in zip(ids, sets, label, strict=True)), key=repr)
+    settings = jaccard.Settings(words=n, percent=percent, sketch_bits=12, filter_bits=8)
+    assert table(jaccard.jaccard_components(docs, settings), "doc_id", "n_shingles", "component_id") == expected
+    assert jaccard.jaccard_components(none, settings).isEmpty()
+
+
+def removed(items, windows, length):
+    flags = np.zeros(len(items), bool)
+    for p in windows:
+        flags[p : p + length] = True
+    return flags
+
+
+@pytest.mark.parametrize("bucket", [1 << 20, 60])
+def test_suffixes(docs, plain, none, bucket):
+    words = [t.encode().split() for _, t, _ in plain]
+    first = {}
+    for (i, _, _), w in zip(plain, words, strict=True):
+        for p in range(len(w) - 49):
+            if i is not None:
+                k = tuple(w[p : p + 50])
+                first[k] = min(i, first.get(k, i))
+    expected = []
+    for (i, _, _), w in zip(plain, words, strict=True):
+        gone = removed(w, [p for p in range(len(w) - 49) if i is not None and first[tuple(w[p : p + 50])] < i], 50)
+        expected.append((i, len(w), int(gone.sum()), hashlib.sha256(b" ".join(x for x, g in zip(w, gone, strict=True) if not g)).hexdigest()))
+    assert sum(e[2] for e in expected) > 500
+    assert table(suffixes.suffix_dedup(docs, bucket_words=bucket), "doc_id", "n_words", "n_removed", "kept_sha256") == sorted(expected, key=repr)
+    assert suffixes.suffix_dedup(none).isEmpty()
+
+
+@pytest.mark.parametrize("shard", [160_000, 100])
+def test_substrings(docs, plain, none, shard):
+    first = {}
+    for i, t, _ in plain:
+        b = t.encode()
+        for p in range(len(b) - 49):
+            if i is not None:
+                first[b[p : p + 50]] = min(i, first.get(b[p : p + 50], i))
+    expected = []
+    for i, t, _ in plain:
+        b = t.encode()
+        gone = removed(b, [p for p in range(len(b) - 49) if i is not None and first[b[p : p + 50]] < i], 50)
+        spans = int((np.diff(np.concatenate([[0], gone.astype(int)])) == 1).sum())
+        expected.append((i, len(b), int(gone.sum()), spans, hashlib.sha256(np.frombuffer(b, np.uint8)[~gone].tobytes()).hexdigest()))
+    assert table(substrings.substring_dedup(docs, shard_bytes=shard), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == sorted(expected, key=repr)
+    assert substrings.substring_dedup(none).isEmpty()
+
+
+def test_automaton_matches_find():
+    rng = np.random.default_rng(1)
+    for _ in range(200):
+        texts = [bytes(rng.choice([97, 98, 99], rng.integers(1, 14)).tolist()) for _ in range(4)]
+        a = automata.SuffixAutomaton()
+        for t in texts[1:]:
+            a.add(t)
+        for n in (1, 2, 3, 5):
+            got = {p for x, y in a.matched(texts[0], n) for p in range(x - n + 1, y - n + 1)}
+            assert got == {p for p in range(len(texts[0]) - n + 1) if any(texts[0][p : p + n] in t for t in texts[1:])}
+
+
+def test_multikey_quicksort():
+    rng = np.random.default_rng(2)
+    for size in (0, 1, 2, 50, 500):
+        tokens = rng.integers(0, 3, size + 5)
+        starts = np.arange(size)
+        group = suffixes.multikey_quicksort(tokens, starts, 5)
+        keys = [tuple(tokens[s : s + 5]) for s in starts]
+        for i in range(size):
+            same = [j for j in range(size) if keys[j] == keys[i]]
+            assert (group[i] == -1) == (len(same) == 1)
+            assert len(same) == 1 or all((group[j] == group[i]) == (keys[j] == keys[i]) for j in range(size))
+
+
+def test_every_window_has_one_anchor():
+    rng = np.random.default_rng(4)
+    x = rng.integers(0, 9, 300).astype(np.uint64)
+    assert (sliding_minimum(x, 7) == [x[i : i + 7].min() for i in range(294)]).all()
+    bounds = np.array([0, 3, 120, 120, 300])
+    row, _, place, first, last = anchors(x, bounds, 20, 4)
+    seen = {(r, p) for r, a, b in zip(row, first, last, strict=True) for p in range(a, b + 1)}
+    assert seen == {(r, p) for r in range(4) for p in range(bounds[r], bounds[r + 1] - 19)}
+    assert ((place >= last) & (place <= first + 16)).all()
+
+
+def test_packing(docs, plain, none):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    tokenizer = Tokenizer.from_file(path)
+    got = packing.pack(docs, path, capacity=256).toPandas()
+    expected = []
+    for i, t, _ in plain:
+        ids = [*tokenizer.encode(t, add_special_tokens=False).ids, 1]
+        expected += [(i, p, s, len(ids[s : s + 256]), zlib.crc32(np.array(ids[s : s + 256], "<u4").tobytes())) for p, s in enumerate(range(0, len(ids), 256))]
+    rows = [(None if pd.isna(r.doc_id) else int(r.doc_id), r.piece, r.start, r.length, r.ids_crc32) for r in got.itertuples()]
+    assert sorted(rows, key=repr) == sorted(expected, key=repr)
+    for _, g in got.sort_values("offset").groupby("sequence_id"):
+        assert (g.offset.to_numpy() == np.cumsum(g.length) - g.length).all() and g.length.sum() <= 256
+    assert got.sequence_id.nunique() <= -(-got.length.sum() // 256) + 1
+    assert packing.pack(none, path).isEmpty()
+
+
+def test_fill_plan_uses_every_piece():
+    rng = np.random.default_rng(5)
+    for n in (1, 7, 300):
+        counts = np.bincount(rng.integers(1, 101, n), minlength=101)
+        used = np.zeros(101, int)
+        for pattern, times in packing.fill_plan(counts, 100):
+            assert sum(a * k for a, k in pattern) <= 100
+            for a, k in pattern:
+                used[a] += k * times
+        assert (used == counts).all()
+    assert packing.exact_fill(np.bincount([30, 30, 40], minlength=101), 100) == (40, 30, 30)
+    assert packing.exact_fill(np.bincount([50], minlength=101), 100) == ()
+
+
+def test_mixing(docs, plain, none):
+    got = mixing.mix_sources(docs, block_words=8, shard_words=500).toPandas()
+    sizes = {}
+    for _, t, s in plain:
+        sizes[s] = sizes.get(s, 0) + len(t.split())
+    names = sorted((s for s in sizes if s is not None), key=lambda s: s.encode()) + [None]
+    weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(names)}
+    target, left, opened = {}, 1.5 * sum(sizes.values()), set(names)
+    while opened:
+        level = left / sum(weight[s] for s in opened)
+        over = {s for s in opened if weight[s] * level > 2 * sizes[s]}
+        for s in over or opened:
+            target[s] = 2.0 * sizes[s] if over else weight[s] * level
+        left -= sum(target[s] for s in over)
+        opened = opened - over if over else set()
+    assert sorted(got.groupby("source_no").target.first().round(6)) == sorted(round(t, 6) for t in target.values())
+    assert (got.taken <= 2 * got["size"]).all() and (got.taken >= 0).all() and len(got) == len(plain)
+    by = got.groupby("source_no").agg(t=("target", "first"), k=("taken", "sum"))
+    assert ((by.t - by.k).abs() <= 0.05 * by.t + 16).all()
+    again = mixing.mix_sources(docs.repartition(5), block_words=8, shard_words=500).toPandas()
+    assert sorted(map(repr, got.itertuples(index=False))) == sorted(map(repr, again.itertuples(index=False)))
+    assert mixing.mix_sources(none).isEmpty()
+
+
+def test_sainte_lague_gives_the_highest_quotients(spark):
+    votes = [(i, float(v), 10**6) for i, v in enumerate([340, 280, 160, 60, 15, 0])]
+    got = {r.k: r.quota for r in mixing.sainte_lague(spark.createDataFrame(votes, "k int, v double, m long"), ["k"], "v", F.lit(7).cast("long"), "m").collect()}
+    seats = dict.fromkeys(range(6), 0)
+    for _ in range(7):
+        best = max(range(6), key=lambda i: votes[i][1] / (2 * seats[i] + 1))
+        seats[best] += 1
+    assert got == seats
+
+
+@pytest.mark.parametrize("settings", [embeddings.Settings(), embeddings.Settings(cell_rows=10, home_rows=7, guest_rows=9)])
+def test_embeddings(spark, settings):
+    rng = np.random.default_rng(6)
+    base = rng.normal(size=(12, 8))
+    v = [(b + rng.normal(size=8) * s).tolist() for b in base for s in (0, 0.03, 0.1, 0.2)]
+    rows = [(i, x, 1) for i, x in enumerate(v)] + [(100, None, 1), (101, [0.0] * 8, 1), (102, [float("nan")] * 8, 1), (103, [], 1), (104, [None, *v[0][1:]], 1)]
+    rows += [(105, v[0][:5], 1), (106, v[0][:5], 1), (3, v[0], 1), (None, v[0], 1), (107, [1e300 * x for x in v[0]], 1)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, n int")
+
+    def usable(x):
+        return bool(x) and None not in x and all(map(np.isfinite, x)) and any(x)
+
+    def linked(a, b):
+        if a[0] == b[0] or None in (a[0], b[0]) or not usable(a[1]) or not usable(b[1]) or len(a[1]) != len(b[1]):
+            return False
+        x, y = (np.array(z) / np.abs(z).max() for z in (a[1], b[1]))
+        return x @ y / np.linalg.norm(x) / np.linalg.norm(y) >= 0.95
+
+    n, edges = {}, []
+    for i, a in enumerate(rows):
+        for j, b in enumerate(rows):
+            if linked(a, b):
+                n[a[0]] = n.get(a[0], 0) + 1
+                edges.append((i, j))
+            elif a[0] is not None and a[0] == b[0]:
+                edges.append((i, j))
+    label, least = components(len(rows), edges), {}
+    for r, k in zip(rows, label, strict=True):
+        if r[0] is not None:
+            least[k] = min(r[0], least.get(k, r[0]))
+    expected = sorted(((r[0], n.get(r[0], 0), None if r[0] is None else least[k]) for r, k in zip(rows, label, strict=True)), key=repr)
+    assert table(embeddings.range_join(df, settings), "vec_id", "n_links", "component_id") == expected
+    assert embeddings.range_join(df.limit(0), settings).isEmpty()
+
+
+def test_components_of_stars_and_paths(spark):
+    edges = [(i, i + 1) for i in range(30)] + [(90, k) for k in range(50, 60)] + [(7, 7), (None, 3)]
+    got = {r.node: r.component for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {**dict.fromkeys(range(31), 0), **dict.fromkeys([*range(50, 60), 90], 50)}
+
+
+def test_chat(spark):
+    rows = [
+        (1, 0, "system", "be kind"), (1, 1, "ann", "hi"), (1, 2, "bob", None), (1, 2, "ann", "same turn"), (1, None, None, "lost"), (1, 1, "ann", "hi"),
+        (2, 0, "system", "alone"), (None, 0, "ann", "no id"), (3, 1, "é", "ü" * 2000),
+    ]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("part", F.lit("clash"))
+    got = chat.rotate_perspectives(df).toPandas()
+    con = duckdb.connect()
+    con.register("conversations", df.toPandas().astype({"conv_id": "Int64", "turn": "Int64"}))
+    want = con.sql(chat.OP6_SQL).df()
+    show = lambda d: sorted(map(repr, d[sorted(d.columns)].astype(object).where(d[sorted(d.columns)].notna(), None).astype(str).values.tolist()))
+    assert show(got.astype({"conv_id": "Int64"})) == show(want.astype({"conv_id": "Int64"})) and len(got) == 5
+    ann = got[(got.conv_id == 1) & (got.perspective == "ann")].iloc[0]
+    spans = [ann.text[int(a) : int(b)] for a, b in (s.split(":") for s in ann.mask_spans.split(","))]
+    assert spans == ["hi<|end|>", "hi<|end|>", "same turn<|end|>"]
+    short = chat.rotate_perspectives(df, part_turns=2).where("conv_id = 1 and perspective = 'ann'").toPandas().sort_values("part")
+    assert "".join(short.text) == ann.text and list(short.n_turns) == [2, 2, 2]
+    assert chat.rotate_perspectives(df.limit(0)).isEmpty()
+
+
+@pytest.fixture(scope="module")
+def labelled(spark):
+    rng = np.random.default_rng(8)
+    docs, labels = [], []
+    for i in range(900):
+        words = rng.choice(WORDS[:200], 40).tolist()
+        toxic, bad = i % 6 == 0, i % 5 == 0
+        if toxic:
+            words[int(rng.integers(0, 40))] = "vile" + str(rng.choice(["er", "st", "ly", "ness"]))
+        text = " ".join(w.upper() + "!!" for w in words) if bad else " ".join(words)
+        docs.append((i, text, len(text)))
+        labels.append((i, int(not bad), int(toxic)))
+    docs += [(None, None, None), (5000, "", 0), (5001, None, None), (0, docs[0][1], 3)]
+    labels += [(None, 1, 1), (5000, None, None), (7, 3, 3), (9999, 1, 1), (0, 1, 1)]
+    return spark.createDataFrame(docs, "doc_id long, text string, n_chars long").withColumn("score", F.lit("clash")), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+
+
+def test_toxicity(labelled):
+    docs, labels = labelled
+    got = toxicity.toxicity(docs, labels, fold("doc_id", 5) != 0).toPandas()
+    assert len(got) == docs.count() and got.score.between(0, 1).all()
+    held = got[[not pd.isna(i) and i < 900 and zlib.crc32(str(int(i)).encode()) % 5 == 0 for i in got.doc_id]]
+    assert ((held.score >= 0.5) == (held.doc_id % 6 == 0)).mean() > 0.97
+    assert got[got.doc_id.isin([5000, 5001])].score.nunique() == 1
+    assert set(toxicity.toxicity(docs, labels.limit(0), F.lit(True)).toPandas().score < 0.01) == {True}
+    assert toxicity.toxicity(docs.limit(0), labels, F.lit(True)).isEmpty()
+    again = toxicity.toxicity(docs.repartition(7), labels, fold("doc_id", 5) != 0).toPandas()
+    assert sorted(zip(got.doc_id.fillna(-1), got.score, strict=True)) == sorted(zip(again.doc_id.fillna(-1), again.score, strict=True))
+
+
+def test_toxicity_keeps_columns(labelled):
+    docs, labels = labelled
+    got = toxicity.toxicity(docs.drop("score"), labels, F.lit(True), keep=["text", "n_chars"])
+    assert set(got.columns) == {"doc_id", "text", "n_chars", "score"} and table(got, "doc_id", "text", "n_chars") == table(docs, "doc_id", "text", "n_chars")
+
+
+def test_quality(labelled):
+    docs, labels = labelled
+    got = quality.quality(docs, labels, fold("doc_id", 3) != 1).toPandas()
+    assert len(got) == docs.count() and got.score.between(0, 1).all()
+    held = got[[not pd.isna(i) and i < 900 and zlib.crc32(str(int(i)).encode()) % 3 == 1 for i in got.doc_id]]
+    assert ((held.score >= 0.5) == (held.doc_id % 5 != 0)).mean() > 0.97
+    assert quality.quality(docs, labels.limit(0), F.lit(True)).count() == docs.count()
+    assert quality.quality(docs.limit(0), labels, F.lit(True)).isEmpty()
+
+
+def test_pairs_cost_linear_time():
+    """The sum-of-squares identity equals the sum over all pairs."""
+    rng = np.random.default_rng(9)
+    words, stats = 16, len(quality.STATISTICS)
+    m = quality.Model(0.3, rng.normal(size=words + stats), rng.normal(size=(words + stats, 3)), np.zeros(stats), np.ones(stats))
+    bucket, x, z = np.array([1, 4, 9]), np.array([0.2, 0.5, 0.3]), rng.normal(size=(1, stats)).clip(-4, 4)
+    index, value = np.concatenate([bucket, words + np.arange(stats)]), np.concatenate([x, z[0]])
+    pairs = sum(m.v[i] @ m.v[j] * a * b for p, (i, a) in enumerate(zip(index, value, strict=True)) for j, b in list(zip(index, value, strict=True))[:p])
+    assert np.isclose(quality.scores(m, np.zeros(3, int), bucket, x, z)[0][0], 0.3 + m.w[index] @ value + pairs)
