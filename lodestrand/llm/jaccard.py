@@ -186,7 +186,7 @@ def jaccard_components(docs: DataFrame, settings: Settings = Settings(), id_col:
     3. Every posted shingle links its groups to the one that has it earliest, in most cases the least changed of a
        family of copies. These pairs, one for each posting, are expanded to members and verified.
     4. Pairs of groups that share a shingle and are still in different components are joined on it, filtered by size
-       and by position: where a shingle is the first that two prefixes share, the sets differ in all before it. The
+       and by position: where a shingle is the first that two prefixes share, they have at most what follows in common. The
        survivors are expanded and verified too. So a family of copies costs its size, not its square, and no pair of
        linked documents is left in two components.
 
@@ -217,7 +217,7 @@ def jaccard_components(docs: DataFrame, settings: Settings = Settings(), id_col:
     def may_link(n1: str, p1: str, n2: str, p2: str) -> Column:
         total = F.col(n1) + F.col(n2)
         sizes = 100 * F.least(n1, n2) >= settings.percent * F.greatest(n1, n2)
-        return sizes & (F.col(p1) + F.col(p2) <= total - 2 * settings.least_common(total))
+        return sizes & (F.least(F.col(n1) - F.col(p1), F.col(n2) - F.col(p2)) >= settings.least_common(total))
 
     stars = shared.where(F.col("gid") != F.col("hub.gid")).where(may_link("n", "pos", "hub.n", "hub.pos")).select(F.col("hub.gid").alias("a"), "gid").distinct()
     first = stars.join(members, "gid").select("a", F.col("_id").alias("b"))
