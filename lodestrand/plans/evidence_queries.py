@@ -1,0 +1,122 @@
+"""Queries over anchors, evidence and C functions."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lodestrand.operators import cfg, graphs, lookup, validate
+from lodestrand.plans.literals import frame, values_sql
+from lodestrand.sources import csource
+from lodestrand.sources.tables import table
+
+CODE = [
+    ("copy", "int copy(char *to, const char *from, int n)\n{\n  int i = 0;\n  if (!to || !from)\n    return -1;\n  while (i < n && from[i]) {\n    to[i] = from[i];\n    i++;\n  }\n  to[i] = 0;\n  return i;\n}\n"),
+    ("pick", "int pick(int kind)\n{\n  int out;\n  switch (kind) {\n  case 1:\n    out = 10;\n    break;\n  case 2:\n    out = 20;\n  default:\n    out = 30;\n  }\n  return out;\n}\n"),
+    ("tidy", "void tidy(struct item *p)\n{\n  for (int k = 0; k < p->count; k++) {\n    if (p->part[k] == 0)\n      continue;\n    release(p->part[k]);\n  }\n  if (p->busy)\n    goto done;\n  release(p);\ndone:\n  note(p);\n}\n"),
+]
+
+
+def _functions(spark: SparkSession) -> DataFrame:
+    return frame(spark, CODE, "func_id string, code string")
+
+
+def c_symbols(spark: SparkSession, d: str) -> DataFrame:
+    files = frame(spark, [("all.c", "\n".join(c for _, c in CODE))], "path string, text string")
+    return csource.functions(files).select("path", "kind", "name", "start_line", "end_line")
+
+
+def c_flow(spark: SparkSession, d: str) -> DataFrame:
+    return cfg.program_graphs(_functions(spark))[1]
+
+
+def c_dependence(spark: SparkSession, d: str) -> DataFrame:
+    return cfg.dependence(_functions(spark))
+
+
+def c_slices(spark: SparkSession, d: str) -> DataFrame:
+    """What decides the last statement of each function: its backward slice."""
+    nodes, _, _ = cfg.program_graphs(_functions(spark))
+    last = nodes.where("node like 'n%'").groupBy("func_id").agg(F.max_by("node", "line").alias("node"))
+    return graphs.slice_nodes(cfg.dependence(_functions(spark)), last.withColumn("vars", F.array().cast("array<string>")))
+
+
+def located_anchors(spark: SparkSession, d: str) -> DataFrame:
+    """First words of every document's second line as anchors, tried on lines 1 and 2."""
+    rows = lookup.lines(table(spark, d, "documents"), "doc_id", "text")
+    second = rows.where("line_no = 2").select("unit_id", F.substring("line", 1, 12).alias("snippet"))
+    tried = second.withColumn("line_no", F.explode(F.array(F.lit(1), F.lit(2))))
+    return validate.located_anchors(tried, rows).select("unit_id", "line_no", "snippet")
+
+
+LOCATED_ANCHORS = r"""
+WITH l AS (SELECT * FROM (SELECT doc_id AS unit_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents)),
+t AS (SELECT unit_id, substr(line, 1, 12) AS snippet, k FROM l, (VALUES (1), (2)) AS v(k) WHERE n = 2),
+b AS (SELECT t.unit_id, t.k, t.snippet, regexp_replace(t.snippet, '\s+', '', 'g') AS x, regexp_replace(l.line, '\s+', '', 'g') AS y FROM t JOIN l ON l.unit_id = t.unit_id AND l.n = t.k)
+SELECT unit_id, k AS line_no, snippet FROM b WHERE x <> '' AND y <> '' AND (contains(x, y) OR contains(y, x))
+"""
+
+
+def duplicate_types(spark: SparkSession, d: str) -> DataFrame:
+    """Event types that a user has more often than the ten expected of clicks and the one of all others."""
+    events = table(spark, d, "events").select(F.col("user_id").alias("unit_id"), F.col("event_type").alias("type"))
+    return validate.duplicate_types(events, frame(spark, [("click", 10)], "type string, wanted int"))
+
+
+DUPLICATE_TYPES = """
+SELECT user_id AS unit_id, event_type AS type, count(*) AS n, CAST(CASE event_type WHEN 'click' THEN 10 ELSE 1 END AS INTEGER) AS wanted FROM events GROUP BY 1, 2
+HAVING count(*) > CASE event_type WHEN 'click' THEN 10 ELSE 1 END
+"""
+
+
+def hunk_batches(spark: SparkSession, d: str) -> DataFrame:
+    """Turns of a dialogue as hunks, batched by a budget of characters."""
+    turns = table(spark, d, "conversations").select(F.col("conv_id").alias("diff_id"), F.col("turn").cast("int").alias("hunk"), F.length("text").alias("n_chars"))
+    return validate.batches(turns, budget=1200)
+
+
+HUNK_BATCHES = """
+WITH RECURSIVE h AS (SELECT conv_id AS diff_id, CAST(turn AS INTEGER) AS hunk, length(text) + 50 AS n, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i FROM conversations),
+w AS (SELECT diff_id, hunk, i, n AS used, 0 AS batch FROM h WHERE i = 1
+  UNION ALL SELECT h.diff_id, h.hunk, h.i, CASE WHEN w.used + h.n > 1200 THEN h.n ELSE w.used + h.n END, w.batch + CASE WHEN w.used + h.n > 1200 THEN 1 ELSE 0 END
+  FROM w JOIN h ON h.diff_id = w.diff_id AND h.i = w.i + 1)
+SELECT diff_id, hunk, CAST(batch AS INTEGER) AS batch FROM w
+"""
+
+
+def path_affinity(spark: SparkSession, d: str) -> DataFrame:
+    """How much of the first page's address each page shares."""
+    pages = table(spark, d, "pages")
+    first = pages.join(pages.agg(F.min("page_id").alias("page_id")), "page_id").select(F.col("url").alias("context"))
+    return pages.join(first, F.lit(True)).select("page_id", F.round(validate.path_affinity(F.col("url"), F.col("context")), 6).alias("affinity"))
+
+
+PATH_AFFINITY = """
+WITH c AS (SELECT url AS context FROM pages WHERE page_id = (SELECT min(page_id) FROM pages)),
+p AS (SELECT page_id, string_split(url, '/') AS x, string_split(context, '/') AS y FROM pages, c)
+SELECT page_id, round(len(list_filter(range(1, greatest(len(x), len(y)) + 1), lambda i: x[1:i] = y[1:i] AND i <= least(len(x), len(y)))) / greatest(len(x), len(y)), 6) AS affinity FROM p
+"""
+
+GREP = [("HEAD:src/a.c:12:int f(void);",), ("HEAD:b.c:x:none",), ("v1:c.c:7:a:b",), ("no colons",)]
+
+
+def grep_lines(spark: SparkSession, d: str) -> DataFrame:
+    return validate.grep_lines(frame(spark, GREP, "raw string"))
+
+
+GREP_LINES = rf"""
+WITH p AS (SELECT regexp_extract(raw, '^([^:]*):([^:]*):([^:]*):(.*)$', ['tree', 'path', 'n', 'content']) AS r FROM {values_sql(GREP, 'raw')})
+SELECT r.tree AS tree, r.path AS path, TRY_CAST(r.n AS INTEGER) AS line_no, r.content AS content FROM p WHERE TRY_CAST(r.n AS INTEGER) IS NOT NULL
+"""
+
+
+def first_values(spark: SparkSession, d: str) -> DataFrame:
+    """The first turn text and role that each dialogue has set."""
+    turns = table(spark, d, "conversations")
+    return turns.groupBy("conv_id").agg(validate.first_set("role", "turn").alias("role"), validate.first_set("text", "turn").alias("text"))
+
+
+FIRST_VALUES = "SELECT conv_id, arg_min(role, turn) FILTER (role <> '') AS role, arg_min(text, turn) FILTER (text NOT IN ('', '0', '0.0')) AS text FROM conversations GROUP BY 1"
+
+QUERIES = {f.__name__: f for f in (c_symbols, c_flow, c_dependence, c_slices, located_anchors, duplicate_types, hunk_batches, path_affinity, grep_lines, first_values)}
+SQL = {name: globals()[name.upper()] for name in QUERIES if name.upper() in globals()}

@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestrand.functions.text import code_tokens, line_number, line_tokens, strip_comments, variable_paths
-from lodestrand.operators import align, graphs, knowledge, lookup, ranges
+from lodestrand.operators import align, cfg, graphs, knowledge, lookup, ranges
 from lodestrand.plans import storage
 from lodestrand.sources import tables
 from lodestrand.sources.csource import functions as c_functions
@@ -124,3 +124,42 @@ def test_c_functions(spark):
     code = "/* f(x) { */\nstruct point { int x; };\nstatic int\nadd(int a, int b)\n{\n  if (a) { return b; } // }\n  return '}' + a;\n}\n#define MAX(a) (a)\nint proto(void);\nvoid g(void) { add(1, 2); }\n"
     got = {(r["kind"], r["name"]): (r.start_line, r.end_line) for r in c_functions(spark.createDataFrame([("p.c", code), ("q.c", None)], "path string, text string")).collect()}
     assert got == {("struct", "point"): (2, 2), ("function", "add"): (3, 8), ("macro", "MAX"): (9, 9), ("function", "g"): (11, 11)}
+
+
+def edges_of(code):
+    b = cfg._Builder(code)
+    b.build()
+    text = {n: (t or n) for n, _, _, t in b.nodes}
+    return {(text[a], text[z]) for a, z in b.edges}
+
+
+def test_flow_of_short_circuits_and_loops():
+    got = edges_of("int f(int a, int b)\n{\n  if (a && b) return 1;\n  while (a) { a--; if (b) break; continue; }\n  return 0;\n}\n")
+    assert got == {
+        ("ENTRY", "a"), ("a", "b"), ("a", "a"), ("b", "return 1"), ("return 1", "EXIT"), ("b", "a"), ("a", "a--"), ("a--", "b"), ("b", "break"), ("break", "return 0"),
+        ("b", "continue"), ("continue", "a"), ("a", "return 0"), ("return 0", "EXIT"),
+    }
+
+
+def test_flow_of_for_switch_do_and_goto():
+    assert edges_of("void f(void) { for (i = 0; i < n; i++) g(i); }") == {("ENTRY", "i = 0"), ("i = 0", "i < n"), ("i < n", "g(i)"), ("g(i)", "i++"), ("i++", "i < n"), ("i < n", "EXIT")}
+    assert edges_of("void f(int k) { switch (k) { case 1: a(); case 2: b(); break; } c(); }") == {
+        ("ENTRY", "k"), ("k", "case 1:"), ("case 1:", "a()"), ("k", "case 2:"), ("a()", "case 2:"), ("case 2:", "b()"), ("b()", "break"), ("break", "c()"), ("k", "c()"), ("c()", "EXIT"),
+    }
+    assert edges_of("void f(void) { do { a(); } while (b()); c(); }") == {("ENTRY", "a()"), ("a()", "b()"), ("b()", "a()"), ("b()", "c()"), ("c()", "EXIT")}
+    assert edges_of("void f(void) { a(); goto out; b(); out: c(); exit(1); d(); }") == {("ENTRY", "a()"), ("a()", "goto out"), ("goto out", "out:"), ("b()", "out:"), ("out:", "c()"), ("c()", "exit(1)"), ("exit(1)", "EXIT"), ("d()", "EXIT")}
+
+
+def test_accesses():
+    assert cfg.accesses("p->n += q[i] + f(&r)") == [("i", "use"), ("p->n", "def"), ("p->n", "use"), ("q", "use"), ("r", "def"), ("r", "use")]
+    assert cfg.accesses("int x = y") == [("x", "def"), ("y", "use")]
+
+
+def test_functions_that_cannot_be_read(spark):
+    nodes, flow, _ = cfg.program_graphs(spark.createDataFrame([("a", None), ("b", "void f(")], "func_id string, code string"))
+    assert {(r.func_id, r.src, r.dst) for r in flow.collect()} == {("a", "ENTRY", "EXIT"), ("b", "ENTRY", "EXIT")}
+
+
+def test_control_dependence_of_a_branch(spark):
+    flow = spark.createDataFrame([("f", a, b) for a, b in (("ENTRY", "c"), ("c", "x"), ("c", "y"), ("x", "y"), ("y", "EXIT"))], "func_id string, src string, dst string")
+    assert [(r.src, r.dst) for r in graphs.control_dependence(flow).collect()] == [("c", "x")]
