@@ -6,6 +6,7 @@ from lodestrand.functions.text import code_tokens, line_number, line_tokens, str
 from lodestrand.operators import align, cfg, graphs, knowledge, lookup, ranges
 from lodestrand.plans import storage
 from lodestrand.sources import tables
+from lodestrand.streaming import index
 from lodestrand.sources.csource import functions as c_functions
 
 
@@ -163,3 +164,14 @@ def test_functions_that_cannot_be_read(spark):
 def test_control_dependence_of_a_branch(spark):
     flow = spark.createDataFrame([("f", a, b) for a, b in (("ENTRY", "c"), ("c", "x"), ("c", "y"), ("x", "y"), ("y", "EXIT"))], "func_id string, src string, dst string")
     assert [(r.src, r.dst) for r in graphs.control_dependence(flow).collect()] == [("c", "x")]
+
+
+def test_index_follows_a_folder(spark, tmp_path):
+    def run():
+        index.follow(spark, str(tmp_path / "in"), "id int, code string", "id", "code", str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
+        return sorted((r.token, r.unit_id) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+
+    spark.createDataFrame([(1, "alpha beta")], "id int, code string").write.parquet(str(tmp_path / "in"))
+    assert run() == [("alpha", 1), ("beta", 1)]
+    spark.createDataFrame([(2, "beta")], "id int, code string").write.mode("append").parquet(str(tmp_path / "in"))
+    assert run() == [("alpha", 1), ("beta", 1), ("beta", 2)]
