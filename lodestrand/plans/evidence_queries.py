@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestrand.operators import cfg, graphs, lookup, validate
+from lodestrand.operators import cfg, graphs, lookup, mapping, validate
+from lodestrand.plans import matching
 from lodestrand.plans.literals import frame, values_sql
 from lodestrand.sources import csource
 from lodestrand.sources.tables import table
@@ -118,5 +119,47 @@ def first_values(spark: SparkSession, d: str) -> DataFrame:
 
 FIRST_VALUES = "SELECT conv_id, arg_min(role, turn) FILTER (role <> '') AS role, arg_min(text, turn) FILTER (text NOT IN ('', '0', '0.0')) AS text FROM conversations GROUP BY 1"
 
-QUERIES = {f.__name__: f for f in (c_symbols, c_flow, c_dependence, c_slices, located_anchors, duplicate_types, hunk_batches, path_affinity, grep_lines, first_values)}
+PATCHES = [
+    (
+        "bound",
+        "int store(struct ring *r, int slot, int value)\n{\n  r->cell[slot] = value;\n  r->used++;\n  return 0;\n}\n",
+        "int store(struct ring *r, int slot, int value)\n{\n  if (slot >= r->limit)\n    return -1;\n  r->cell[slot] = value;\n  r->used++;\n  return 0;\n}\n",
+    )
+]
+SIBLINGS = [
+    (1, "int put(struct ring *ring, int slot, int value)\n{\n  ring->cell[slot] = value;\n  ring->used++;\n  return 0;\n}\n"),
+    (2, "int keep(struct ring *r, int slot, int value)\n{\n  if (slot >= r->limit)\n    return -1;\n  r->cell[slot] = value;\n  r->used++;\n  return 0;\n}\n"),
+    (3, "void report(int value)\n{\n  print(value);\n}\n"),
+]
+
+
+def match_patches(spark: SparkSession, d: str) -> DataFrame:
+    """A bounds check that one sibling lacks, one has, and one has no use for."""
+    found = matching.match(frame(spark, PATCHES, "group_id string, pre string, post string"), frame(spark, SIBLINGS, "unit_id int, code string"))
+    return found.select("group_id", "unit_id", "verdict", F.round("confidence", 6).alias("confidence"), "rank")
+
+
+def line_mapping(spark: SparkSession, d: str) -> DataFrame:
+    """Every turn's lines in the turn after it."""
+    turns = table(spark, d, "conversations")
+    later = turns.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("post"))
+    return mapping.line_mapping(turns.join(later, ["conv_id", "turn"]).select(F.xxhash64("conv_id", "turn").alias("pair_id"), F.col("text").alias("pre"), "post"))
+
+
+def typed_paths(spark: SparkSession, d: str) -> DataFrame:
+    """From the first to the last node of each C function, along data and along control."""
+    nodes, _, _ = cfg.program_graphs(_functions(spark))
+    inner = nodes.where("node like 'n%'").groupBy("func_id")
+    ends = inner.agg(F.min_by("node", "line").alias("node")).withColumn("type", F.lit("source")).unionByName(inner.agg(F.max_by("node", "line").alias("node")).withColumn("type", F.lit("sink")))
+    links = frame(spark, [(0, "source", "sink", "data"), (1, "source", "sink", "control")], "pos int, source string, target string, dependency string")
+    return mapping.typed_paths(cfg.dependence(_functions(spark)), ends, links)
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        c_symbols, c_flow, c_dependence, c_slices, located_anchors, duplicate_types, hunk_batches, path_affinity, grep_lines, first_values,
+        match_patches, line_mapping, typed_paths,
+    )
+}
 SQL = {name: globals()[name.upper()] for name in QUERIES if name.upper() in globals()}

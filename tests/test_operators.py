@@ -3,8 +3,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestrand.functions.text import code_tokens, line_number, line_tokens, strip_comments, variable_paths
-from lodestrand.operators import align, cfg, graphs, knowledge, lookup, ranges
-from lodestrand.plans import storage
+from lodestrand.operators import align, cfg, graphs, knowledge, lookup, mapping, ranges
+from lodestrand.plans import evidence_queries, storage
 from lodestrand.sources import tables
 from lodestrand.streaming import index
 from lodestrand.sources.csource import functions as c_functions
@@ -175,3 +175,21 @@ def test_index_follows_a_folder(spark, tmp_path):
     assert run() == [("alpha", 1), ("beta", 1)]
     spark.createDataFrame([(2, "beta")], "id int, code string").write.mode("append").parquet(str(tmp_path / "in"))
     assert run() == [("alpha", 1), ("beta", 1), ("beta", 2)]
+
+
+def test_line_mapping():
+    assert mapping.map_lines(["a", "b", "old"], ["a", "new one", "b"]) == [(1, 1, "EXACT"), (2, 3, "EXACT"), (3, None, "UNIQUE_PRE"), (None, 2, "UNIQUE_POST")]
+    assert mapping.map_lines(["x = 1;"], ["x  =  1;"]) == [(1, 1, "WHITESPACE")]
+    assert mapping.map_lines(["x"], ["y"]) == [(1, 1, "MODIFIED")]
+
+
+def test_snippets_and_paths():
+    assert [mapping.find_snippet("int a;\nfoo( 1,\n  2);\n", s) for s in ("int a", "foo(1,2)", "none", " ")] == [1, 2, -1, -1]
+    near = {"a": ["b", "c"], "b": ["d"], "c": ["d"], "d": ["a"]}
+    assert mapping.shortest_path(near, "a", "d") == ["a", "b", "d"] and mapping.shortest_path(near, "a", "a") == ["a", "b", "d", "a"]
+    assert mapping.shortest_path(near, "a", "z") == []
+
+
+def test_siblings_of_a_patch(spark):
+    got = {r.unit_id: r.verdict for r in evidence_queries.match_patches(spark, "").collect()}
+    assert (got[1], got[2]) == ("VULNERABLE", "PATCHED")
