@@ -10,13 +10,15 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestrand.llm.graph import components
-from lodestrand.llm.tables import Groups, materialize
+from lodestrand.llm.tables import Groups, materialize, small_batches
 from lodestrand.llm.words import BYTE_VALUES, U, mix, prefix_sums, row_numbers, span_hashes, text_slices, words
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 #: 64-bit words of a set's parity map.
 MAP_WORDS = 8
+#: Frequency classes for a doubling.
+CLASSES = 8
 
 
 @dataclass(frozen=True)
@@ -52,7 +54,8 @@ def shingle_sets(data: np.ndarray, bounds: np.ndarray, n: int) -> tuple[np.ndarr
 
 
 def frequency_classes(texts: DataFrame, settings: Settings) -> np.ndarray:
-    """For every slot of a sketch, the bit length of the number of (text, shingle) pairs that fall into it.
+    """For every slot of a sketch, the class of the number of (text, shingle) pairs that fall into it, CLASSES to a
+    doubling.
 
     All texts are counted. The sketch has 2 ** sketch_bits slots whatever the number of texts; it only decides the
     order of shingles, which any table would keep right.
@@ -72,7 +75,7 @@ def frequency_classes(texts: DataFrame, settings: Settings) -> np.ndarray:
         out = np.zeros(block, np.uint64)
         for blob in group.column("counts").to_pylist():
             out += np.frombuffer(blob, "<u2")
-        classes = np.ceil(np.log2(out + 1.0)).astype(np.uint8)
+        classes = np.minimum(np.round(CLASSES * np.log2(out + 1.0)), 255).astype(np.uint8)
         return pa.table({"block": pa.array([key[0].as_py()], pa.int32()), "classes": [classes.tobytes()]})
 
     merged = texts.mapInArrow(count, "block int, counts binary").groupBy("block").applyInArrow(total, "block int, classes binary")
@@ -198,6 +201,7 @@ def jaccard_components(docs: DataFrame, settings: Settings = Settings(), id_col:
 
     Returns doc_id, n_shingles, component_id.
     """
+    small_batches(docs.sparkSession)
     texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("text"))
     classes = frequency_classes(texts.select("text"), settings)
     all_rows = materialize(prefix_rows(texts, classes, settings))
