@@ -16,7 +16,7 @@ from lodestrand.llm.words import U, mix, text_slices
 
 #: Raw bytes of text in one parcel run, and anchors in one run.
 PARCEL = 16 << 20
-ANCHORS = 1 << 20
+ANCHORS = 1 << 19
 #: Symbols of a text slice and the bounds of each text in them.
 Symbols = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
 
@@ -58,25 +58,30 @@ def part_of(keys: np.ndarray, parts: int) -> np.ndarray:
 
 @dataclass(frozen=True)
 class Windows:
-    """Windows of `length` symbols, found by grams of `gram` symbols; parts is the number of tasks of a shuffle."""
+    """Windows of `length` symbols, found by grams of `gram` symbols; parts is the number of tasks of a shuffle, and
+    buckets that of the ranges of gram hashes, each of which is held in memory by itself."""
 
     symbols: Symbols
     length: int
     gram: int
     parts: int
 
+    @property
+    def buckets(self) -> int:
+        return 4 * self.parts
+
 
 def anchor_runs(rows: DataFrame, windows: Windows) -> DataFrame:
     """(bucket, blob): the anchors of all texts, dealt by ranges of their gram's hash."""
-    symbols, length, gram, parts = windows.symbols, windows.length, windows.gram, windows.parts
+    symbols, length, gram, buckets = windows.symbols, windows.length, windows.gram, windows.buckets
 
     def run(batches):
         def flush(held):
             ids, keys, row, hashes, first, last = (np.concatenate(c) for c in zip(*held, strict=True))
             high = (hashes >> U(32)).astype(np.int64)
-            bucket = high * parts >> 32
+            bucket = high * buckets >> 32
             order = np.argsort(bucket, kind="stable")
-            cuts = np.searchsorted(bucket[order], np.arange(parts + 1))
+            cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
             made = [(b, order[x:y]) for b, (x, y) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if x < y]
             blobs = []
             for _, at in made:

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lodestrand.llm.automata import SuffixAutomaton
 from lodestrand.llm.repeats import Windows, anchor_runs, candidates, covered, gathered, keyed, pack, parcels, part_of, removed_ranges, texts_of
-from lodestrand.llm.tables import materialize
+from lodestrand.llm.tables import materialize, small_batches
 from lodestrand.llm.words import BYTE_VALUES
 
 #: Bytes of reference text in one automaton.
@@ -91,6 +91,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Returns doc_id, n_bytes, n_removed, n_spans, kept_sha256.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     rows = keyed(docs, id_col, text_col)
     windows = Windows(byte_symbols, window, gram, parts)

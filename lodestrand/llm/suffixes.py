@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from lodestrand.llm.repeats import Windows, anchor_runs, candidates, covered, gathered, keyed, pack, parcels, part_of, removed_ranges, texts_of
-from lodestrand.llm.tables import materialize
+from lodestrand.llm.tables import materialize, small_batches
 from lodestrand.llm.words import U, mix, prefix_sums, row_numbers, span_hashes, word_hashes, words
 
 #: Words of suffixes in one sort bucket.
@@ -121,6 +121,7 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Returns doc_id, n_words, n_removed, kept_sha256.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     rows = keyed(docs, id_col, text_col)
     windows = Windows(word_symbols, window, gram, parts)
