@@ -16,11 +16,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodestrand.llm.tables import materialize, salt
+from lodestrand.llm.tables import materialize, salt, small_batches
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
-#: Chunks of text whose ids a Python worker remembers, and bytes of text encoded at once.
-MEMO, STEP = 1_500_000, 8 << 20
+#: Chunks of text whose ids a task remembers, and bytes of text encoded at once.
+MEMO, STEP = 600_000, 8 << 20
 
 
 class ChunkEncoder:
@@ -38,12 +38,15 @@ class ChunkEncoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
-        self.known: dict[str, bytes] = {}
-        self.bases: dict[str, bytes] = {}
+        self.forget()
         self.ends = {c: self._encode(c) for c in (".", ",")}
         letters = filter(str.isalpha, map(chr, range(0x80, 0x100)))
         self.latin = {ord(c): self.tokenizer.pre_tokenizer.pre_tokenize_str(c)[0][0] for c in letters}
 
+    def forget(self) -> None:
+        self.known: dict[str, bytes] = {}
+        self.bases: dict[str, bytes] = {}
+
     def _encode(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
@@ -72,7 +75,7 @@ class ChunkEncoder:
 
     def _chunks(self, chunks: list[str]) -> list[bytes]:
         if len(self.known) + len(chunks) > MEMO:
-            self.known, self.bases = {}, {}
+            self.forget()
         out = list(map(self.known.get, chunks))
         for i, found in enumerate(out):
             if found is None:
@@ -103,10 +106,11 @@ class ChunkEncoder:
 
 
 def worker_encoder(path: str) -> ChunkEncoder:
-    """The encoder of this Python worker, which outlives a task."""
+    """The encoder of this Python worker; the tokenizer outlives a task, what it remembers does not."""
     kept = sys.modules.setdefault("_lodestrand_worker", types.ModuleType("_lodestrand_worker")).__dict__
     if path not in kept:
         kept[path] = ChunkEncoder(path)
+    kept[path].forget()
     return kept[path]
 
 
@@ -129,6 +133,7 @@ def token_pieces(docs: DataFrame, id_col: str, text_col: str, tokenizer: str, ca
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32"]
                 )
+        encoder.forget()
 
     return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(cut, PIECES)
 
@@ -244,6 +249,7 @@ def pack(
 
     Returns doc_id, piece, start, length, ids_crc32, sequence_id, offset.
     """
+    small_batches(docs.sparkSession)
     pieces = materialize(token_pieces(docs, id_col, text_col, tokenizer, capacity, end_id).withColumn("_salt", salt("doc_id")))
     by_salt = pieces.groupBy("length", "_salt").agg(F.count(F.lit(1)).alias("_n"))
     earlier = Window.partitionBy("length").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)

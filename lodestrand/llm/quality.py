@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestrand.llm.labelled import fold, training_rows
+from lodestrand.llm.tables import small_batches
 from lodestrand.llm.words import SPACE, U, mix, row_numbers, text_slices, word_hashes
 
 #: Labelled documents that a model is fitted on at most, and the most of their features in bytes.
@@ -207,6 +208,7 @@ def quality(docs: DataFrame, labels: DataFrame, may_train, settings: Settings =
 
     Returns the id and score.
     """
+    small_batches(docs.sparkSession)
     chars = F.col(chars_col).cast("double") if chars_col in docs.columns else F.lit(None).cast("double")
     rows = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("text"), chars.alias("n_chars"))
     model = train(training_rows(rows, labels, "quality", may_train, MOST_ROWS, id_col, ("text", "n_chars")), settings)

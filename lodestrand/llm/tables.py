@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 #: Rows of one key are spread over this many pieces before any two of them meet.
 SALTS = 64
 
+#: Rows of an Arrow batch at most: texts are long, and an executor holds several batches for each of its tasks.
+BATCH_ROWS = 2000
+
 _own_dir: str | None = None
 _written: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()
 
@@ -30,6 +33,13 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{_own_dir}"
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Lower the session's Arrow batches to BATCH_ROWS. It is read when a plan runs, so it stays lowered."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, BATCH_ROWS)
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """df written once as Parquet in the shared folder and read again: a cut in the lineage that outlives lost executors."""
     spark = df.sparkSession

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestrand.llm.labelled import fold, training_rows
+from lodestrand.llm.tables import small_batches
 from lodestrand.llm.words import BYTE_VALUES, MARKS, U, mix, prefix_sums, row_numbers, span_hashes, text_slices, words
 
 #: Labelled documents that a model is fitted on at most, and the most of their text in bytes.
@@ -174,6 +175,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, may_train, settings: Settings =
 
     Returns the id, `keep` and score.
     """
+    small_batches(docs.sparkSession)
     return score(docs, train(training_rows(docs, labels, "toxic", may_train, MOST_ROWS), settings), keep=keep)
 
 
