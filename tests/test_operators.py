@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from lodestrand.functions import answers
 from lodestrand.functions.text import code_tokens, line_number, line_tokens, strip_comments, variable_paths
 from lodestrand.operators import align, cfg, graphs, knowledge, lookup, mapping, ranges
 from lodestrand.plans import evidence_queries, storage
@@ -193,3 +194,31 @@ def test_snippets_and_paths():
 def test_siblings_of_a_patch(spark):
     got = {r.unit_id: r.verdict for r in evidence_queries.match_patches(spark, "").collect()}
     assert (got[1], got[2]) == ("VULNERABLE", "PATCHED")
+
+
+def test_answers():
+    assert answers.parse_json('Sure:\n```json\n{"a": [1, 2,], "b": {"c": "}"}}\n``` done') == {"a": [1, 2], "b": {"c": "}"}}
+    assert answers.parse_json('{"result": {"a": 1, "b": 2}}') == {"a": 1, "b": 2}
+    assert answers.parse_json('{"a": 1, "b": [2, {"c": "open') == {"a": 1, "b": [2, {"c": "open"}]}
+    assert answers.parse_json("none") is None and answers.parse_json(None) is None
+
+
+def test_retries():
+    waits, left = [], [OSError("429"), OSError("reset")]
+
+    def call():
+        if left:
+            raise left.pop(0)
+        return "yes"
+
+    assert answers.with_retries(call, wait=waits.append) == "yes" and waits == [30.0, 4.0]
+
+    def refused():
+        raise answers.Refused
+
+    assert answers.with_retries(refused, wait=waits.append) is None and len(waits) == 2
+
+
+def test_parsed_answers(spark):
+    rows = spark.createDataFrame([('x {"ok": true}',), (None,), ("-",)], "raw string")
+    assert [r.parsed.ok if r.parsed else None for r in answers.parsed(rows, "raw", "ok boolean").collect()] == [True, None, None]
