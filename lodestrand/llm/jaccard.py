@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from lodestrand.llm.graph import components
 from lodestrand.llm.tables import Groups, materialize, small_batches
-from lodestrand.llm.words import BYTE_VALUES, U, mix, prefix_sums, row_numbers, span_hashes, text_slices, words
+from lodestrand.llm.words import BYTE_VALUES, U, mix, prefix_sums, span_hashes, text_slices, words
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32

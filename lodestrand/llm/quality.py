@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from lodestrand.llm.labelled import fold, training_rows
 from lodestrand.llm.tables import small_batches
-from lodestrand.llm.words import SPACE, U, mix, row_numbers, text_slices, word_hashes
+from lodestrand.llm.words import U, mix, row_numbers, text_slices, word_hashes
 
 #: Labelled documents that a model is fitted on at most, and the most of their features in bytes.
 MOST_ROWS, MOST_BYTES = 12_000, 96 << 20

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lodestrand.llm.repeats import Windows, anchor_runs, candidates, covered, gathered, keyed, pack, parcels, part_of, removed_ranges, texts_of
 from lodestrand.llm.tables import materialize, small_batches
-from lodestrand.llm.words import U, mix, prefix_sums, row_numbers, span_hashes, word_hashes, words
+from lodestrand.llm.words import U, mix, prefix_sums, span_hashes, word_hashes, words
 
 #: Words of suffixes in one sort bucket.
 BUCKET_WORDS = 1 << 20
