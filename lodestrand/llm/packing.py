@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import os
-import sys
-import types
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -20,7 +18,7 @@ from lodestrand.llm.tables import materialize, salt, small_batches
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 #: Chunks of text whose ids a task remembers, and bytes of text encoded at once.
-MEMO, STEP = 600_000, 8 << 20
+MEMO, STEP = 400_000, 8 << 20
 
 
 class ChunkEncoder:
@@ -105,20 +103,11 @@ class ChunkEncoder:
             at = end
 
 
-def worker_encoder(path: str) -> ChunkEncoder:
-    """The encoder of this Python worker; the tokenizer outlives a task, what it remembers does not."""
-    kept = sys.modules.setdefault("_lodestrand_worker", types.ModuleType("_lodestrand_worker")).__dict__
-    if path not in kept:
-        kept[path] = ChunkEncoder(path)
-    kept[path].forget()
-    return kept[path]
-
-
 def token_pieces(docs: DataFrame, id_col: str, text_col: str, tokenizer: str, capacity: int, end_id: int) -> DataFrame:
     """Documents as ids with an end id, cut where they are longer than capacity: a row per piece."""
 
     def cut(batches):
-        encoder = worker_encoder(tokenizer)
+        encoder = ChunkEncoder(tokenizer)
         end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
             rows: list[tuple] = []
@@ -133,7 +122,6 @@ def token_pieces(docs: DataFrame, id_col: str, text_col: str, tokenizer: str, ca
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32"]
                 )
-        encoder.forget()
 
     return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(cut, PIECES)
 
