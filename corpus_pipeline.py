@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from lodestrand.llm.exact_dedup import exact_dedup
 from lodestrand.llm.jaccard import Settings, jaccard_components
 from lodestrand.llm.labelled import fold
-from lodestrand.llm.mixing import mix_sources
+from lodestrand.llm.mixing import mix_sources, whole_documents
 from lodestrand.llm.packing import pack
 from lodestrand.llm.tables import materialize
 from lodestrand.llm.toxicity import toxicity
@@ -45,10 +45,10 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 5: documents as often as the mix takes them.
 
-    A document's words are taken in whole passes: it appears once for each pass that the mix completes, and once more
-    if half of the last pass or more is taken. Documents without words are not part of a mix and go.
+    A document's words are taken whole: it appears once for each pass that its shard's quota holds, and seeded documents
+    appear once more until their source's target is met. Documents without words are not part of a mix and go.
     """
-    taken = mix_sources(docs).where("size > 0").groupBy("doc_id").agg(F.floor(F.sum("taken") / F.sum("size") + 0.5).cast("int").alias("_times"))
+    taken = whole_documents(mix_sources(docs)).withColumnRenamed("times", "_times")
     repeated = docs.join(taken.where("_times > 0"), docs["doc_id"].eqNullSafe(taken["doc_id"])).select(docs["*"], "_times")
     return repeated.withColumn("_n", F.explode(F.expr("sequence(1, _times)"))).select(*docs.columns)
 

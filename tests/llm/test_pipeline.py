@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
+from lodestrand.llm import mixing
 
 SPACE = re.compile("[\x20\x09-\x0d]+")
 
@@ -81,3 +82,38 @@ def test_stages(spark, folder):
 def test_run_is_the_stages(spark, folder):
     rows = corpus_pipeline.run(spark, folder).collect()
     assert rows and sum(r.length for r in rows) > 0 and corpus_pipeline.ORACLE_SQL is None
+
+
+@pytest.mark.parametrize(("length", "shard_words"), [(250, 1_000_000), (3000, 1_000_000), (3000, 2000)])
+def test_sources_meet_their_targets_in_whole_documents(spark, length, shard_words):
+    """Documents of many blocks: a source's documents must not all round the same way."""
+    rng = np.random.default_rng(21)
+    many = {"a": 60, "b": 60, "c": 60, "d": 12, "e": 12, "f": 12}
+    rows = [(i, "w " * int(rng.integers(length // 2, length * 3 // 2)), s) for i, s in enumerate(s for s, n in many.items() for _ in range(n))]
+    rows.append((len(rows), "w " * 12 * length, "a"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    mixed = mixing.mix_sources(docs, shard_words=shard_words).cache()
+    source_of, size_of = {i: s for i, _, s in rows}, {i: len(t.split()) for i, t, _ in rows}
+    targets = {source_of[r.doc_id]: r.target for r in mixed.collect()}
+    if shard_words == 1_000_000:
+        times = Counter(r.doc_id for r in corpus_pipeline.mix(spark, docs, "").collect())
+    else:
+        times = {r.doc_id: r.times for r in mixing.whole_documents(mixed).collect()}
+    assert max(times.values()) <= 2
+    got = Counter()
+    for i, n in times.items():
+        got[source_of[i]] += n * size_of[i]
+    assert len({round(t / sum(size_of[i] for i in size_of if source_of[i] == s), 2) for s, t in targets.items()}) > 2
+    for s, target in targets.items():
+        slack = length * 3 / 4 + 64 + (64 * many[s] if shard_words == 2000 else 0)
+        assert abs(got[s] - target) <= slack, (s, got[s], target)
+
+
+def test_an_id_in_several_sources_counts_once(spark):
+    rows = [(i, "w " * 300, "abc"[i % 3]) for i in range(90)] + [(0, "w " * 300, "b"), (None, "w " * 300, "a"), (None, "w " * 300, "c")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    mixed = mixing.mix_sources(docs)
+    times = {r.doc_id: r.times for r in mixing.whole_documents(mixed).collect()}
+    assert set(times) == {r[0] for r in rows} and max(times.values()) <= 2
+    words = sum(300 * times[r[0]] for r in rows)
+    assert abs(words - 1.5 * 300 * len(rows)) <= 3 * 150 + 64 * 3
