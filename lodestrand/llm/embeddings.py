@@ -16,6 +16,9 @@ from lodestrand.llm.tables import materialize, small_batches
 #: Slack on both sides of a bound that rounding could cross; the bound itself is then checked in double precision.
 SLACK = 1e-4
 
+#: Pivots nearer than this count as one: 2 - 2 cos cancels there, and a plane between them tells nothing.
+CLOSE = 1e-3
+
 
 @dataclass(frozen=True)
 class Settings:
@@ -49,24 +52,39 @@ def _matrix(column: pa.Array) -> tuple[np.ndarray, list[np.ndarray]]:
 
 
 def _pivots(rows: list, wanted: int) -> dict[int, np.ndarray]:
-    """Unit vectors of the sampled rows by length, without repeats."""
+    """Unit vectors of the sampled rows by length, none within CLOSE of another."""
     out: dict[int, list] = {}
     for _, m in _matrix(pa.array([r["v"] for r in rows], pa.list_(pa.float64()))):
-        out[m.shape[1]] = np.unique(m[:wanted].round(12), axis=0)
+        out[m.shape[1]] = _spread(np.unique(m[:wanted].round(12), axis=0))
     return out
 
 
+def _apart(pivots: np.ndarray) -> np.ndarray:
+    """Distances between unit vectors; exact enough for the bound from about CLOSE on, where nothing cancels."""
+    return np.sqrt(np.maximum(2 - 2 * (pivots @ pivots.T), 0))
+
+
+def _spread(pivots: np.ndarray) -> np.ndarray:
+    """The pivots, in their order, that are not within CLOSE of one kept before."""
+    near, kept = _apart(pivots) <= CLOSE, np.ones(len(pivots), bool)
+    for i in range(len(pivots)):
+        if kept[i]:
+            kept[i + 1 :] &= ~near[i, i + 1 :]
+    return pivots[kept]
+
+
 def _guests(m: np.ndarray, pivots: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndarray]:
     """The home cell of each vector, and for every cell whether a vector of that cell could be within reach.
 
     x is nearest to p. A vector y nearest to q lies on q's side of the plane between p and q, and x lies
     (d(x, q)^2 - d(x, p)^2) / (2 d(p, q)) from that plane: farther than reach, and y cannot be within reach of x.
+    Pivots within CLOSE of each other exclude nothing.
     """
     far = 2 - 2 * (m @ pivots.T)
     home = far.argmin(axis=1)
-    apart = np.sqrt(np.maximum(2 - 2 * (pivots @ pivots.T), 0))[home]
-    to_plane = (far - far[np.arange(len(m)), home][:, None]) / np.maximum(2 * apart, 1e-12)
-    near = to_plane <= reach + SLACK
+    apart = _apart(pivots)[home]
+    to_plane = (far - far[np.arange(len(m)), home][:, None]) / np.maximum(2 * apart, CLOSE)
+    near = (to_plane <= reach + SLACK) | (apart <= CLOSE)
     near[np.arange(len(m)), home] = True
     return home, near
 

@@ -288,6 +288,23 @@ def test_embeddings(spark, settings):
     assert embeddings.range_join(df.limit(0), settings).isEmpty()
 
 
+def test_pivots_that_nearly_coincide_exclude_nothing_within_reach():
+    """Copies of one vector that differ by float32 rounding, as pivots and around them."""
+    rng = np.random.default_rng(16)
+    reach = np.sqrt(2 - 2 * 0.95)
+    for _ in range(20):
+        base = rng.normal(size=64)
+        copies = [(base * k).astype(np.float32).astype(np.float64) / k for k in (1, 1.1, 3, 0.7, 13)] + [rng.normal(size=64)]
+        made = embeddings._pivots([{"v": list(c)} for c in copies], 6)[64]
+        assert len(made) == 2
+        m = base / np.linalg.norm(base) + rng.normal(size=(100, 64)) * 0.01
+        m /= np.linalg.norm(m, axis=1)[:, None]
+        linked = m @ m.T >= 0.95
+        for pivots in (made, np.array([c / np.linalg.norm(c) for c in copies])):
+            home, near = embeddings._guests(m, pivots, reach)
+            assert near[:, home][linked.T].all()
+
+
 def test_components_of_stars_and_paths(spark):
     edges = [(i, i + 1) for i in range(30)] + [(90, k) for k in range(50, 60)] + [(7, 7), (None, 3)]
     got = {r.node: r.component for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
