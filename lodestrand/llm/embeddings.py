@@ -55,7 +55,8 @@ def _pivots(rows: list, wanted: int) -> dict[int, np.ndarray]:
     """Unit vectors of the sampled rows by length, none within CLOSE of another."""
     out: dict[int, list] = {}
     for _, m in _matrix(pa.array([r["v"] for r in rows], pa.list_(pa.float64()))):
-        out[m.shape[1]] = _spread(np.unique(m[:wanted].round(12), axis=0))
+        if len(m):
+            out[m.shape[1]] = _spread(np.unique(m[:wanted].round(12), axis=0))
     return out
 
 
@@ -145,7 +146,8 @@ def range_join(vectors: DataFrame, settings: Settings = Settings(), id_col: str
     rows = vectors.select(F.col(id_col).cast("long").alias("_id"), F.col(vector_col).cast("array<double>").alias("v"))
     total = rows.count()
     wanted = max(1, min(settings.most_pivots, -(-total // settings.cell_rows)))
-    chosen = rows.where("_id is not null and v is not null").orderBy(F.xxhash64("_id", F.lit(3)), "_id").limit(wanted).collect()
+    finite = "forall(v, x -> x is not null and abs(x) < double('infinity')) and exists(v, x -> x <> 0)"
+    chosen = rows.where("_id is not null and v is not null").where(finite).orderBy(F.xxhash64("_id", F.lit(3)), "_id").limit(wanted).collect()
     pivots, reach = _pivots(chosen, wanted), float(np.sqrt(2 - 2 * settings.cosine))
 
     def cells(batches):

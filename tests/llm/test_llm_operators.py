@@ -305,6 +305,15 @@ def test_pivots_that_nearly_coincide_exclude_nothing_within_reach():
             assert near[:, home][linked.T].all()
 
 
+def test_pivots_come_from_usable_vectors(spark):
+    assert embeddings._pivots([{"v": [0.0, 0.0]}, {"v": [None, 1.0]}, {"v": [float("nan"), 1.0]}], 3) == {}
+    bad = ([0.0, 0.0], [None, 1.0], [float("nan"), 1.0], [float("inf"), 1.0], [])
+    rows = [(i, bad[i % 5]) for i in range(40)] + [(40, [1.0, 0.1]), (41, [1.0, 0.0]), (42, [0.0, 1.0])]
+    got = embeddings.range_join(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    links = {40: (1, 40), 41: (1, 40)}
+    assert table(got, "vec_id", "n_links", "component_id") == sorted(((i, *links.get(i, (0, i))) for i in range(43)), key=repr)
+
+
 def test_components_of_stars_and_paths(spark):
     edges = [(i, i + 1) for i in range(30)] + [(90, k) for k in range(50, 60)] + [(7, 7), (None, 3)]
     got = {r.node: r.component for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
