@@ -25,7 +25,8 @@ def anchors(symbols: np.ndarray, bounds: np.ndarray, window: int, gram: int) ->
     """(text, gram hash, place, first window, last window) of the anchors of each text.
 
     A window's anchor is its gram with the smallest hash, the leftmost of equals: it depends on the window's symbols
-    alone, so equal windows have equal anchors at the same distance. Consecutive windows mostly share theirs; an anchor
+    alone, so equal windows have equal anchors at the same distance. More than 2 ** PLACE symbols are looked at in
+    overlapping pieces, as a place has PLACE bits. Consecutive windows mostly share theirs; an anchor
     stands for the windows that start from `first window` to `last window`. Places count from the start of symbols.
     """
     none = np.zeros(0, np.int64)
@@ -35,8 +36,12 @@ def anchors(symbols: np.ndarray, bounds: np.ndarray, window: int, gram: int) ->
     sums = prefix_sums(symbols)
     at = np.arange(n - gram + 1)
     hashes = span_hashes(sums, at, at + gram)
-    low = U((1 << PLACE) - 1)
-    best = (sliding_minimum((hashes & ~low) | at.astype(U), window - gram + 1) & low).astype(np.int64)
+    low, width = U((1 << PLACE) - 1), window - gram + 1
+    pieces = []
+    for start in range(0, n - window + 1, (1 << PLACE) - width + 1):
+        piece = hashes[start : start + (1 << PLACE)]
+        pieces.append((sliding_minimum((piece & ~low) | at[: len(piece)].astype(U), width) & low).astype(np.int64) + start)
+    best = np.concatenate(pieces)
     row = row_numbers(bounds)
     valid = np.flatnonzero(bounds[1:][row[: len(best)]] - np.arange(len(best)) >= window)
     if not len(valid):

@@ -186,6 +186,16 @@ def test_every_window_has_one_anchor():
     assert ((place >= last) & (place <= first + 16)).all()
 
 
+def test_anchors_of_more_symbols_than_a_place_can_number(monkeypatch):
+    x = np.random.default_rng(17).integers(0, 1000, 1000).astype(np.uint64)
+    for bounds in ([0, 1000], [0, 3, 300, 300, 1000], [0, 256, 512, 1000]):
+        whole = anchors(x, np.array(bounds), 20, 4)
+        monkeypatch.setattr("lodestrand.llm.anchors.PLACE", 8)
+        for a, b in zip(whole, anchors(x, np.array(bounds), 20, 4), strict=True):
+            assert (a == b).all()
+        monkeypatch.undo()
+
+
 def test_packing(docs, plain, none):
     import public_tokenizers
     from tokenizers import Tokenizer
