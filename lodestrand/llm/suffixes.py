@@ -89,7 +89,7 @@ def _table(rows: list[tuple[int, bytes]]) -> pa.Table:
 
 
 def splitters(sample: list[bytes], wanted_words: int) -> tuple[np.ndarray, np.ndarray]:
-    """(leading key, id) at which a bucket of about wanted_words words ends, from the sampled places."""
+    """(anchor's hash, id) at which a bucket of about wanted_words words ends, from the sampled places."""
     if not sample:
         return np.zeros(0, U), np.zeros(0, np.int64)
     s = gathered(sample)
@@ -106,10 +106,12 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     1. Every window holds an anchor, chosen by content alone; anchors whose gram only one document has are dropped:
        their windows cannot repeat. No repeat is lost.
     2. What is left are suffixes, in runs that start around an anchor. Places sampled from the sorted anchors give
-       splitters, and (leading words' key, id) range-partitions the suffixes, so a hot lead is many buckets.
+       splitters, and (anchor's hash, id) range-partitions the suffixes, so a hot anchor is many buckets. This departs
+       from the method: the key is the hash of the anchor gram, which may stand anywhere in a window, and not the
+       suffix's own leading words. Buckets are in no order of text; equal windows share an anchor and so a key.
     3. A bucket sorts its suffixes by multikey quicksort to the window's depth. In a class of equal windows all but
        those of the smallest id are marked.
-    4. Leads that a splitter cuts lie in several buckets: each of those sends one row per class, its smallest id, and
+    4. Anchors that a splitter cuts lie in several buckets: each of those sends one row per class, its smallest id, and
        the classes are compared across the boundaries.
     5. Marks go to their documents, which are cut and hashed whole.
 
@@ -155,7 +157,7 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 w, base = np.concatenate(picked), np.concatenate(base)
                 code, ids = c["code"][w], c["id"][w]
                 bucket = np.searchsorted(cut_code, code, side="left")
-                # among splitters with this lead, the first whose id is not smaller
+                # among splitters with this anchor, the first whose id is not smaller
                 high = np.searchsorted(cut_code, code, side="right")
                 for i in np.flatnonzero(high > bucket):
                     bucket[i] += np.searchsorted(cut_id[bucket[i] : high[i]], ids[i])
