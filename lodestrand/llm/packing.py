@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import zlib
 from array import array
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -17,17 +18,38 @@ from pyspark.sql import functions as F
 from lodestrand.llm.tables import materialize, salt, small_batches
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
-#: Chunks of text whose ids a task remembers, and bytes of text encoded at once.
-MEMO, STEP = 400_000, 8 << 20
+#: Chunks of text, and words, in a generation of what a Python worker remembers, and bytes of text encoded at once.
+MEMO, STEP = 250_000, 8 << 20
+#: The pattern that ChunkEncoder takes apart itself. A tokenizer with another one encodes whole texts.
+WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+ASCII_PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
+
+
+class Memo(dict):
+    """What was asked for lately, in two generations: when the newer one is full the older one is forgotten."""
+
+    def __init__(self, make, most: int = 0):
+        self.make, self.most, self.older = make, most or MEMO, {}
+
+    def __missing__(self, key):
+        found = self.older.get(key)
+        if found is None:
+            found = self.make(key)
+        if len(self) >= self.most:
+            self.older = dict(self)
+            self.clear()
+        self[key] = found
+        return found
 
 
 class ChunkEncoder:
     """Ids of whole texts, chunk by chunk.
 
-    The tokenizer drops white space and its normaliser and word pattern never look across it, so a text's ids are
-    those of its chunks between spaces and line ends in a row. Chunks are numbered by Arrow, and a chunk's ids are remembered. A
-    chunk of ASCII letters is one word to the tokenizer's pattern and goes to its merge model in lower case; letters
-    followed by one dot or comma are two words. All other chunks, special tokens among them, are encoded as they are.
+    Where the tokenizer drops white space and its normaliser and word pattern never look across it, a text's ids are
+    those of its chunks between spaces and line ends in a row. Chunks are numbered by Arrow, and a chunk's ids are
+    remembered. A chunk of printable ASCII is cut by the tokenizer's own pattern, and its pieces go to the merge model in
+    lower case; so are words of Latin letters. All other chunks, and special tokens, are encoded as they are. Any other
+    tokenizer gets every text whole.
     """
 
     def __init__(self, path: str):
@@ -36,83 +58,101 @@ class ChunkEncoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
-        self.forget()
-        self.ends = {c: self._encode(c) for c in (".", ",")}
-        letters = filter(str.isalpha, map(chr, range(0x80, 0x100)))
-        self.latin = {ord(c): self.tokenizer.pre_tokenizer.pre_tokenize_str(c)[0][0] for c in letters}
-
-    def forget(self) -> None:
-        self.known: dict[str, bytes] = {}
-        self.bases: dict[str, bytes] = {}
+        self.chunks, self.pieces = Memo(self._chunk), Memo(self._piece)
+        with open(path, encoding="utf-8") as f:
+            told = json.load(f)
+        self.by_chunk = _cuts_at_white_space(told)
+        self.special = [t["content"] for t in told.get("added_tokens", [])]
+        if self.by_chunk:
+            letters = filter(str.isalpha, map(chr, range(0x80, 0x100)))
+            self.latin = {ord(c): self.tokenizer.pre_tokenizer.pre_tokenize_str(c)[0][0] for c in letters}
 
     def _encode(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _word(self, word: str) -> bytes:
-        """Letters only."""
-        plain = word.isascii()
-        if plain or max(word) <= "\xff":  # lower case is all that the normaliser changes
-            word = word.lower()
-        found = self.bases.get(word)
-        if found is None:
-            if plain:
-                parts = [word]
-            elif max(word) <= "\xff":
-                parts = [word.translate(self.latin)]
-            else:
-                parts = [p for p, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(self.tokenizer.normalizer.normalize_str(word))]
-            found = self.bases[word] = array("I", [t.id for p in parts for t in self.model.tokenize(p)]).tobytes()
-        return found
+    def _piece(self, piece: str) -> bytes:
+        """A piece of the word pattern in lower case, as the merge model spells it."""
+        return array("I", [t.id for t in self.model.tokenize(piece)]).tobytes()
 
     def _chunk(self, chunk: str) -> bytes:
-        if chunk.isalpha():
-            return self._word(chunk)
-        if chunk[-1:] in self.ends and chunk[:-1].isalpha():
-            return self._word(chunk[:-1]) + self.ends[chunk[-1]]
+        if chunk.isascii():
+            chunk_ = chunk.lower()
+            if chunk.isalpha():
+                return self.pieces[chunk_]
+            if chunk[-1:] in ".," and chunk[:-1].isalpha():
+                return self.pieces[chunk_[:-1]] + self.pieces[chunk[-1]]
+            if chunk.isprintable() and not any(t in chunk for t in self.special):
+                return b"".join([self.pieces[p] for p in ASCII_PIECE.findall(chunk_)])
+        elif chunk.isalpha() and max(chunk) <= "\xff":  # lower case is all that the normaliser changes
+            return self.pieces[chunk.lower().translate(self.latin)]
+        elif chunk[-1:] in ".," and chunk[:-1].isalpha() and max(chunk) <= "\xff":
+            return self.pieces[chunk[:-1].lower().translate(self.latin)] + self.pieces[chunk[-1]]
         return self._encode(chunk)
 
-    def _chunks(self, chunks: list[str]) -> list[bytes]:
-        if len(self.known) + len(chunks) > MEMO:
-            self.forget()
-        out = list(map(self.known.get, chunks))
-        for i, found in enumerate(out):
-            if found is None:
-                out[i] = self.known[chunks[i]] = self._chunk(chunks[i])
-        return out
-
     def encode(self, column: pa.Array) -> Iterator[bytes]:
         """Little-endian unsigned 32-bit ids of each text; null is empty."""
         column = pc.fill_null(column.cast(pa.large_string()), "")
+        if not self.by_chunk:
+            yield from (self._encode(text) for text in column.to_pylist())
+            return
         sizes = np.concatenate([[0], np.cumsum(pc.binary_length(column).to_numpy())])
         at = 0
         while at < len(column):
             end = max(at + 1, int(np.searchsorted(sizes, sizes[at] + STEP, side="right")) - 1)
-            parts = pc.split_pattern(pc.replace_substring(column[at:end], "\n", " "), " ")
+            text = pc.replace_substring(column[at:end], "\n", " ")
+            if not any(pc.any(pc.match_substring(text, t, ignore_case=True)).as_py() for t in self.special):
+                text = pc.ascii_lower(text)  # fewer chunks; a special token is one in its own case only
+            parts = pc.split_pattern(text, " ")
             coded = parts.flatten().dictionary_encode()
-            ids = self._chunks(coded.dictionary.to_pylist())
-            flat = np.frombuffer(b"".join(ids), "<u4")
-            lengths = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-            starts = np.cumsum(lengths) - lengths
-            code = coded.indices.to_numpy()
-            each = lengths[code]
-            to = np.concatenate([[0], np.cumsum(each)])
-            out = flat[np.repeat(starts[code] - to[:-1], each) + np.arange(to[-1])]
-            cuts = to[np.concatenate([[0], np.cumsum(pc.list_value_length(parts).to_numpy())])]
-            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-                yield out[a:b].tobytes()
+            ids = pa.array(map(self.chunks.__getitem__, coded.dictionary.to_numpy(zero_copy_only=False)), pa.large_binary()).take(coded.indices)
+            cuts = np.concatenate([[0], np.cumsum(pc.list_value_length(parts).to_numpy())])
+            del text, parts, coded
+            _, offsets, data = ids.buffers()
+            bounds = np.frombuffer(offsets, np.int64)[cuts]
+            whole = memoryview(data) if data is not None else memoryview(b"")
+            for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+                yield bytes(whole[a:b])
             at = end
 
 
+def _cuts_at_white_space(told: dict) -> bool:
+    """Whether a tokenizer file describes one that ChunkEncoder can take apart: NFC, white space and lower case as its
+    normaliser, WORD_PATTERN and the byte alphabet behind it, and merges with word ends that nothing else follows."""
+    steps = (told.get("normalizer") or {}).get("normalizers") or []
+    cuts = (told.get("pre_tokenizer") or {}).get("pretokenizers") or []
+    return (
+        [s.get("type") for s in steps] == ["NFC", "Replace", "Lowercase"]
+        and (steps[1].get("pattern"), steps[1].get("content")) == ({"Regex": r"\s+"}, " ")
+        and [c.get("type") for c in cuts] == ["Split", "ByteLevel"]
+        and (cuts[0].get("pattern"), cuts[0].get("behavior"), cuts[0].get("invert")) == ({"Regex": WORD_PATTERN}, "Removed", True)
+        and not cuts[1].get("add_prefix_space") and not cuts[1].get("use_regex")
+        and told.get("model", {}).get("type") == "BPE"
+        and not told["model"].get("dropout")
+        and told.get("post_processor") is None and told.get("truncation") is None
+    )
+
+
+_encoders: dict[str, ChunkEncoder] = {}
+
+
+def encoder(path: str) -> ChunkEncoder:
+    """The worker's own encoder: its memo, of bounded size, outlives a task."""
+    if path not in _encoders:
+        _encoders.clear()
+        _encoders[path] = ChunkEncoder(path)
+    return _encoders[path]
+
+
 def token_pieces(docs: DataFrame, id_col: str, text_col: str, tokenizer: str, capacity: int, end_id: int) -> DataFrame:
     """Documents as ids with an end id, cut where they are longer than capacity: a row per piece."""
 
     def cut(batches):
-        encoder = ChunkEncoder(tokenizer)
+        own = encoder(tokenizer)
         end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
             rows: list[tuple] = []
             ids = batch.column(0).to_pylist()
-            for doc_id, flat in zip(ids, encoder.encode(batch.column(1)), strict=True):
+            for doc_id, flat in zip(ids, own.encode(batch.column(1)), strict=True):
                 flat += end
                 for piece, at in enumerate(range(0, len(flat), 4 * capacity)):
                     part = flat[at : at + 4 * capacity]
@@ -126,98 +166,113 @@ def token_pieces(docs: DataFrame, id_col: str, text_col: str, tokenizer: str, ca
     return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(cut, PIECES)
 
 
+class SumIndex:
+    """Which single lengths, pairs and triples that are still available have a given sum.
+
+    For every sum the index names the longest length that opens a pair, and one that opens a triple, of it. Counts only
+    fall, so an entry that has become void never comes back: it moves on to the next shorter opening when it is next
+    looked at, and an index over lengths up to n moves at most n * n times in all, however many pieces there are.
+    """
+
+    def __init__(self, counts: np.ndarray):
+        self.free = counts.astype(np.int64).tolist()
+        size, lengths = len(counts), np.flatnonzero(counts)
+        pairs, triples = np.zeros(size, np.int64), np.zeros(size, np.int64)
+        for n in lengths:
+            pairs[n + lengths[lengths <= min(n, size - 1 - n)]] = n
+        sums = np.flatnonzero(pairs)
+        for n in lengths:
+            triples[n + sums[sums <= size - 1 - n]] = n
+        self.pairs, self.triples = pairs.tolist(), triples.tolist()
+
+    def pair(self, total: int, held: int = 0) -> tuple[int, ...]:
+        """Two available lengths with this sum, the longer one first, besides one of length held; or none."""
+        free, n, moves = self.free, self.pairs[total], True
+        while n and 2 * n >= total:
+            other = total - n
+            if other > 0 and free[n] and free[other] > (other == n):
+                if moves:
+                    self.pairs[total], moves = n, False
+                if free[held] > (held == n) + (held == other) or not held:
+                    return n, other
+            n -= 1
+        if moves:
+            self.pairs[total] = 0
+        return ()
+
+    def triple(self, total: int) -> tuple[int, ...]:
+        """Three available lengths with this sum, the longest first, or none."""
+        n = self.triples[total]
+        while n and 3 * n >= total:
+            if self.free[n] and total > n and (two := self.pair(total - n, n)):
+                self.triples[total] = n
+                return n, *two
+            n -= 1
+        self.triples[total] = 0
+        return ()
+
+    def exact(self, gap: int) -> tuple[int, ...]:
+        """One, two or three available lengths that fill gap exactly, or none."""
+        if self.free[gap]:
+            return (gap,)
+        return self.pair(gap) or self.triple(gap)
+
+
 def fill_plan(counts: np.ndarray, capacity: int) -> list[tuple[list[tuple[int, int]], int]]:
     """Patterns of lengths that fill sequences, with how often each is used; counts[l] pieces have length l.
 
-    The longest length left opens a sequence. If what is left of it is exactly one length, a sum of two or of three
-    lengths that are available, that fills it; else the longest length that fits goes in, and the exact search is done
-    again. A pattern is used as often as the counts allow, which leaves less of some length than the pattern takes of
-    it, so there are a few times capacity patterns at most, whatever the number of documents.
+    The longest length left opens a sequence. What is left of it is looked up in the index of sums: a single length, a
+    pair or a triple that is available fills it exactly; else the longest length that fits goes in (best fit), and what
+    is then left is looked up again. A pattern is used as often as the counts allow, which leaves less of some length
+    than the pattern takes of it, so there are a few times capacity patterns at most, whatever the number of documents.
     """
-    counts = counts.astype(np.int64).copy()
-    plan = []
+    index = SumIndex(np.concatenate([counts, np.zeros(max(0, capacity + 1 - len(counts)), np.int64)]))
+    free, plan, top = index.free, [], capacity
     while True:
-        left = np.flatnonzero(counts)
-        if not len(left):
+        while top and not free[top]:
+            top -= 1
+        if not top:
             return plan
         used: dict[int, int] = {}
-        gap = capacity
+        gap, fits = capacity, capacity
 
         def take(*lengths: int) -> None:
             for n in lengths:
                 used[n] = used.get(n, 0) + 1
+                free[n] -= 1
 
-        take(int(left[-1]))
-        gap -= int(left[-1])
+        take(top)
+        gap -= top
         while gap > 0:
-            free = counts.copy()
-            for n, k in used.items():
-                free[n] -= k
-            exact = exact_fill(free, gap)
-            if exact:
+            if exact := index.exact(gap):
                 take(*exact)
                 break
-            fits = np.flatnonzero(free[: gap + 1])
-            if not len(fits):
+            fits = min(fits, gap)
+            while fits and not free[fits]:
+                fits -= 1
+            if not fits:
                 break
-            # the longest piece goes in as often as leaves room for an exact search
-            n = int(fits[-1])
-            take(n)
-            gap -= n
-        times = min(int(counts[n]) // k for n, k in used.items())
+            take(fits)
+            gap -= fits
+        times = 1 + min(free[n] // k for n, k in used.items())
         for n, k in used.items():
-            counts[n] -= k * times
+            free[n] -= k * (times - 1)
         plan.append((sorted(used.items(), reverse=True), times))
 
 
-def exact_fill(free: np.ndarray, gap: int) -> tuple[int, ...]:
-    """One, two or three available lengths whose sum is gap, or none; the most even counts are not sought, the longest
-    first length is."""
-    if free[gap] > 0:
-        return (gap,)
-    has = free[: gap + 1] > 0
-    fits = np.flatnonzero(has)
-    if not len(fits) or 3 * fits[-1] < gap:
-        return ()
-    top = int(fits[-1])
-
-    def pair(total: int) -> tuple[int, ...]:
-        if total < 2 or total > 2 * top:
-            return ()
-        low = np.arange(max(1, total - top), total // 2 + 1)
-        both = has[low] & has[total - low]
-        if total % 2 == 0 and free[total // 2] < 2:
-            both[-1] = False
-        hit = np.flatnonzero(both)
-        return (int(total - low[hit[0]]), int(low[hit[0]])) if len(hit) else ()
-
-    if two := pair(gap):
-        return two
-    for first in fits[::-1]:
-        if 3 * first < gap:  # the longest of three is a third at least
-            break
-        free[first] -= 1
-        has[first] = free[first] > 0
-        two = pair(gap - int(first))
-        free[first] += 1
-        has[first] = True
-        if two:
-            return (int(first), *two)
-    return ()
-
-
-def slots(plan: list[tuple[list[tuple[int, int]], int]]) -> pd.DataFrame:
-    """Where the pieces of a length go, by their rank in it: a row per length of a pattern."""
+def slots(plan: list[tuple[list[tuple[int, int]], int]]) -> dict[str, np.ndarray]:
+    """Where the pieces of a length go, by their rank in it: a row per length of a pattern, by length and first rank."""
     rows, taken, base = [], {}, 0
     for pattern, times in plan:
         at = 0
         for length, k in pattern:
             low = taken.get(length, 0)
-            rows.append((length, low, low + k * times, k, base, at))
+            rows.append((length, low, k, base, at))
             taken[length] = low + k * times
             at += length * k
         base += times
-    return pd.DataFrame(rows, columns=["length", "low", "high", "each", "base", "at"]).sort_values(["length", "low"], ignore_index=True)
+    columns = np.array(sorted(rows), np.int64).reshape(-1, 5).T
+    return dict(zip(("length", "low", "each", "base", "at"), columns, strict=True))
 
 
 def pack(
@@ -245,8 +300,7 @@ def pack(
     counts = np.zeros(capacity + 1, np.int64)
     for row in by_salt.groupBy("length").agg(F.sum("_n").alias("n")).collect():
         counts[row["length"]] = row["n"]
-    table = slots(fill_plan(counts, capacity))
-    columns = {c: table[c].to_numpy(np.int64) for c in table}
+    columns = slots(fill_plan(counts, capacity))
 
     def place(batches):
         key = columns["length"] << 44 | columns["low"]
