@@ -34,6 +34,14 @@ class Settings:
         """The fewest common shingles of two linked sets whose sizes add up to total."""
         return F.ceil(self.percent * total / F.lit(100 + self.percent))
 
+    def prefix(self, n: np.ndarray) -> np.ndarray:
+        """How many of its rarest shingles a set of size n posts: linked sets share one of these."""
+        return np.where(n > 0, n + (-self.percent * n // 100) + 1, 0)
+
+    def second_prefix(self, n: np.ndarray) -> np.ndarray:
+        """How many shingles behind an equal prefix two linked sets of size n share one of."""
+        return np.minimum(n - self.prefix(n), n + (-2 * self.percent * n // (100 + self.percent)) + 1)
+
 
 def shingle_sets(data: np.ndarray, bounds: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """(text, shingle) pairs, each once, sorted: 64-bit hashes of the texts' n-word shingles; a text with fewer words
@@ -53,6 +61,13 @@ def shingle_sets(data: np.ndarray, bounds: np.ndarray, n: int) -> tuple[np.ndarr
     return row[first], made[first]
 
 
+def ranked_sets(data: np.ndarray, bounds: np.ndarray, classes: np.ndarray, settings: Settings) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """shingle_sets() with the size of every set and the same shingles as signed numbers, each set's rarest first."""
+    row, made = shingle_sets(data, bounds, settings.words)
+    order = np.lexsort((made, classes[(made >> U(64 - settings.sketch_bits)).astype(np.int64)], row))
+    return row, made, np.bincount(row, minlength=len(bounds) - 1), made[order].astype(np.int64)
+
+
 def frequency_classes(texts: DataFrame, settings: Settings) -> np.ndarray:
     """For every slot of a sketch, the class of the number of (text, shingle) pairs that fall into it, CLASSES to a
     doubling.
@@ -93,19 +108,16 @@ def prefix_rows(docs: DataFrame, classes: np.ndarray, settings: Settings) -> Dat
     parity maps of two sets differ in no more bits than the sets do in shingles.
     """
     held = docs.sparkSession.sparkContext.broadcast(classes)
-    bits, percent, size = settings.sketch_bits, settings.percent, 64 * MAP_WORDS
+    size = 64 * MAP_WORDS
 
     def run(batches):
         table = held.value
         for batch in batches:
             for first, data, bounds in text_slices(batch.column(1)):
                 rows = len(bounds) - 1
-                row, made = shingle_sets(data, bounds, settings.words)
-                n = np.bincount(row, minlength=rows)
+                row, made, n, ordered = ranked_sets(data, bounds, table, settings)
                 ends = np.cumsum(n)
-                order = np.lexsort((made, table[(made >> U(64 - bits)).astype(np.int64)], row))
-                ordered = made[order].astype(np.int64)
-                take = np.where(n > 0, n + (-percent * n // 100) + 1, 0)
+                take = settings.prefix(n)
                 spread = mix(made + U(29))
                 k1 = np.zeros(rows, U)
                 k2 = np.zeros(rows, U)
@@ -134,23 +146,40 @@ def prefix_rows(docs: DataFrame, classes: np.ndarray, settings: Settings) -> Dat
 MAPS = [f"b{i}" for i in range(MAP_WORDS)]
 
 
-def sets_of(docs: DataFrame, ids: DataFrame, settings: Settings) -> DataFrame:
-    """(_id, shingles) of the documents in ids.
+def chosen_rows(docs: DataFrame, ids: DataFrame, settings: Settings):
+    """(rows, pick): docs with a slot for every id, and a function that keeps of a batch (_id, text, slot) the rows whose
+    slot an id of ids has; None if there are no ids.
 
-    A bit map of hashed ids, 2 ** filter_bits bits at any size, keeps most other documents from being cut into
-    shingles; the join that follows is exact.
+    The bit map of slots has 2 ** filter_bits bits at any size. It keeps most other documents from being cut into
+    shingles; a join on the ids has to follow.
     """
     slot = F.pmod(F.xxhash64("_id"), F.lit(1 << settings.filter_bits))
     bits = np.zeros(1 << settings.filter_bits, bool)
     packed = ids.select(slot.alias("s")).groupBy(F.floor(F.col("s") / 64).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(s % 64 as int))")).alias("bits"))
     for row in packed.collect():
         bits[row["w"] * 64 : row["w"] * 64 + 64] = np.unpackbits(np.array([row["bits"]], "<i8").view(np.uint8), bitorder="little")
+    if not bits.any():
+        return None
     held = docs.sparkSession.sparkContext.broadcast(np.packbits(bits))
 
-    def run(batches):
+    def pick(batches):
         wanted = np.unpackbits(held.value).astype(bool)
         for batch in batches:
-            batch = batch.filter(pa.array(wanted[batch.column(2).to_numpy()]))
+            yield batch.filter(pa.array(wanted[batch.column(2).to_numpy()]))
+
+    return docs.select("_id", "text", slot.alias("s")), pick
+
+
+def sets_of(docs: DataFrame, ids: DataFrame, settings: Settings) -> DataFrame:
+    """(_id, shingles) of the documents in ids."""
+    shape = f"_id {docs.schema['_id'].dataType.simpleString()}, shingles array<long>"
+    some = chosen_rows(docs, ids, settings)
+    if some is None:
+        return docs.sparkSession.createDataFrame([], shape)
+    rows, pick = some
+
+    def run(batches):
+        for batch in pick(batches):
             for first, data, bounds in text_slices(batch.column(1)):
                 row, made = shingle_sets(data, bounds, settings.words)
                 cuts = np.searchsorted(row, np.arange(len(bounds)))
@@ -159,8 +188,39 @@ def sets_of(docs: DataFrame, ids: DataFrame, settings: Settings) -> DataFrame:
                     [batch.column(0)[part], pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(made.astype(np.int64)))], names=["_id", "shingles"]
                 )
 
-    made = docs.select("_id", "text", slot.alias("s")).mapInArrow(run, f"_id {docs.schema['_id'].dataType.simpleString()}, shingles array<long>")
-    return made.join(ids, "_id", "left_semi")
+    return rows.mapInArrow(run, shape).join(ids, "_id", "left_semi")
+
+
+def second_prefixes(docs: DataFrame, ids: DataFrame, classes: np.ndarray, settings: Settings) -> DataFrame:
+    """(_id, n, pk, token) of the documents in ids, where pk is the key of the prefix: the shingles behind it of which two
+    linked sets of one size and prefix share one."""
+    shape = f"_id {docs.schema['_id'].dataType.simpleString()}, n long, pk long, tokens array<long>"
+    some = chosen_rows(docs, ids, settings)
+    if some is None:
+        made = docs.sparkSession.createDataFrame([], shape)
+    else:
+        rows, pick = some
+        held = docs.sparkSession.sparkContext.broadcast(classes)
+
+        def run(batches):
+            for batch in pick(batches):
+                for first, data, bounds in text_slices(batch.column(1)):
+                    _, _, n, ordered = ranked_sets(data, bounds, held.value, settings)
+                    starts = np.cumsum(n) - n
+                    front, more = settings.prefix(n), settings.second_prefix(n)
+                    cuts = np.concatenate([[0], np.cumsum(front)])
+                    prefix = ordered[np.repeat(starts - cuts[:-1], front) + np.arange(cuts[-1])]
+                    pk = span_hashes(prefix_sums(prefix.astype(U)), cuts[:-1], cuts[1:])
+                    ends = np.concatenate([[0], np.cumsum(more)])
+                    tail = ordered[np.repeat(starts + front - ends[:-1], more) + np.arange(ends[-1])]
+                    part = slice(first, first + len(n))
+                    yield pa.RecordBatch.from_arrays(
+                        [batch.column(0)[part], pa.array(n, pa.int64()), pa.array(pk.astype(np.int64)), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(tail))],
+                        names=["_id", "n", "pk", "tokens"],
+                    )
+
+        made = rows.mapInArrow(run, shape).join(ids, "_id", "left_semi")
+    return made.select("_id", "n", "pk", F.explode("tokens").alias("token")).distinct()
 
 
 def verified(docs: DataFrame, pairs: DataFrame, signs: DataFrame, settings: Settings) -> DataFrame:
@@ -190,8 +250,10 @@ def jaccard_components(docs: DataFrame, settings: Settings = Settings(), id_col:
        family of copies. These pairs, one for each posting, are expanded to members and verified.
     4. Pairs of groups that share a shingle and are still in different components are joined on it, filtered by size
        and by position: where a shingle is the first that two prefixes share, they have at most what follows in common. The
-       survivors are expanded and verified too. So a family of copies costs its size, not its square, and no pair of
-       linked documents is left in two components.
+       survivors are expanded and verified too. So a family of copies costs its size, not its square.
+    5. Members of one group, which have been compared with its head only, are joined in the same way on the shingles
+       behind their common prefix if the group's members still are in different components. So no pair of linked
+       documents is left in two components.
 
     Verification compares parity maps, which never reject a link, and then whole sets.
 
@@ -235,7 +297,12 @@ def jaccard_components(docs: DataFrame, settings: Settings = Settings(), id_col:
     open_ = placed.join(split, "token", "left_semi")
     x, y = (open_.select("token", *(F.col(c).alias(f"{k}{c}") for c in ("_id", "n", "pos", "comp"))) for k in "xy")
     rest = x.join(y, "token").where("x_id < y_id and xcomp <> ycomp").where(may_link("xn", "xpos", "yn", "ypos")).select(F.col("x_id").alias("a"), F.col("y_id").alias("b")).distinct()
-    more = verified(texts, rest, signs, settings)
+    apart = at.groupBy("gid").agg(F.min("comp").alias("_c"), F.max("comp").alias("_d")).where("_c <> _d").select("gid")
+    loose = materialize(at.join(apart, "gid", "left_semi").select("_id", "comp").distinct())
+    tails = materialize(second_prefixes(texts, loose.select("_id"), classes, settings).join(loose, "_id"))
+    u, v = (tails.select("n", "pk", "token", *(F.col(c).alias(f"{k}{c}") for c in ("_id", "comp"))) for k in "uv")
+    inner = u.join(v, ["n", "pk", "token"]).where("u_id < v_id and ucomp <> vcomp").select(F.col("u_id").alias("a"), F.col("v_id").alias("b")).distinct()
+    more = verified(texts, rest.unionAll(inner).distinct(), signs, settings)
     final = components(links.unionAll(more)).select(F.col("node").alias("least"), "component")
     answers = whole.join(final, "least", "left").select(*keys, F.coalesce("component", "least").alias("_comp"))
     own = F.when((F.col("n") == 0) | F.col("_id").isNull(), F.col("_id")).otherwise(F.col("_comp"))
