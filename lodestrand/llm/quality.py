@@ -10,12 +10,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestrand.llm.labelled import fold, training_rows
+from lodestrand.llm.labelled import fold, gathered_rows, training_rows
 from lodestrand.llm.tables import small_batches
 from lodestrand.llm.words import U, mix, row_numbers, text_slices, word_hashes
 
-#: Labelled documents that a model is fitted on at most, and the most of their features in bytes.
-MOST_ROWS, MOST_BYTES = 12_000, 96 << 20
+#: Labelled documents that a model is fitted on at most.
+MOST_ROWS = 12_000
 #: Statistics of a text, in this order.
 STATISTICS = (
     "log_bytes", "log_words", "word_length", "distinct_words", "same_as_last", "top_word", "upper", "digits", "marks", "marked_words",
@@ -158,8 +158,8 @@ def _counts(column: pa.Array) -> np.ndarray:
 
 
 def train(sample: DataFrame, settings: Settings) -> Model:
-    """Fit on (_id, text, n_chars, label). Features are made on the executors; at most MOST_ROWS rows of them come to
-    the driver. Rows beyond MOST_BYTES of features, in the order of _id's hash, are left out of the fit."""
+    """Fit on (_id, text, n_chars, label), one row for each _id. Features are made on the executors; a row's buckets and
+    shares, each bucket once, come to the driver."""
 
     def extract(batches):
         for batch in batches:
@@ -173,45 +173,40 @@ def train(sample: DataFrame, settings: Settings) -> Model:
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0)[part],
+                        batch.column(3)[part],
                         pa.array([bucket[a:b].astype("<u4").tobytes() for a, b in spans], pa.binary()),
                         pa.array([share[a:b].astype("<f4").tobytes() for a, b in spans], pa.binary()),
                         pa.array([t.tobytes() for t in table], pa.binary()),
-                        batch.column(3)[part],
                     ],
-                    names=["_id", "bucket", "share", "stats", "label"],
+                    names=["_id", "label", "bucket", "share", "stats"],
                 )
 
-    shape = "_id string, bucket binary, share binary, stats binary, label int"
+    shape = "_id string, label int, bucket binary, share binary, stats binary"
     made = sample.select(F.col("_id").cast("string"), "text", "n_chars", "label").mapInArrow(extract, shape)
-    texts, tables, labels, size = [], [], [], 0
-    for r in made.orderBy(F.xxhash64("_id"), "_id", "label", "bucket").toLocalIterator():
-        size += len(r["bucket"]) + len(r["share"])
-        if size > MOST_BYTES:
-            break
-        texts.append((np.frombuffer(r["bucket"], "<u4").astype(np.int32), np.frombuffer(r["share"], "<f4")))
-        tables.append(np.frombuffer(r["stats"]))
-        labels.append(r["label"])
+    rows = gathered_rows(made)
+    texts = [(np.frombuffer(r["bucket"], "<u4").astype(np.int32), np.frombuffer(r["share"], "<f4")) for r in rows]
+    tables, labels = [np.frombuffer(r["stats"]) for r in rows], [r["label"] for r in rows]
     return fit(texts, np.array(tables).reshape(-1, len(STATISTICS)), np.array(labels, float), settings)
 
 
-def quality(docs: DataFrame, labels: DataFrame, may_train, settings: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text", chars_col: str = "n_chars") -> DataFrame:
+def quality(docs: DataFrame, labels: DataFrame, may_train, settings: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text", chars_col: str = "n_chars", most_rows: int = MOST_ROWS) -> DataFrame:
     """Score every document's quality with a factorisation machine learned from labels.quality.
 
     Features are hashed words (their share of the text), statistics of the text's structure and the n_chars column
     (null or absent: unknown). A model has (2 ** bits + statistics) * (rank + 1) numbers, which bounds what is
-    broadcast. Only rows for which may_train holds are learned from, at most MOST_ROWS of them, the first by a hash of
-    the id.
+    broadcast. Only rows for which may_train holds are learned from: at most most_rows labelled ids, the first by a hash
+    of the id, each with all its buckets, at most 2 ** bits of eight bytes, which the driver holds.
 
     Null and empty texts are scored by their statistics. Labels other than 0 and 1 are not used; without labels of
-    both kinds the score is constant. Rows that repeat an id are scored one by one. An empty table gives an empty
-    result. Texts are read whole.
+    both kinds the score is constant. Rows that repeat an id are scored one by one and learned from once. An empty
+    table gives an empty result. Texts are read whole.
 
     Returns the id and score.
     """
     small_batches(docs.sparkSession)
     chars = F.col(chars_col).cast("double") if chars_col in docs.columns else F.lit(None).cast("double")
     rows = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("text"), chars.alias("n_chars"))
-    model = train(training_rows(rows, labels, "quality", may_train, MOST_ROWS, id_col, ("text", "n_chars")), settings)
+    model = train(training_rows(rows, labels, "quality", may_train, most_rows, id_col, ("text", "n_chars")), settings)
     held = docs.sparkSession.sparkContext.broadcast((model.bias, model.w.astype(np.float32), model.v.astype(np.float32), model.mean, model.spread))
     bits = settings.bits
 

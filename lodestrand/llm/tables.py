@@ -22,11 +22,14 @@ _written: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which every executor sees; a temporary one where it is unset (one machine)."""
+    """The folder in spark.checkpoint.dir, which every executor sees; where it is unset, a temporary one in local mode and
+    an error on a cluster."""
     global _own_dir
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if _own_dir is None:
         _own_dir = tempfile.mkdtemp(prefix="lodestrand-")
         atexit.register(shutil.rmtree, _own_dir, ignore_errors=True)
@@ -56,6 +59,14 @@ def drop_tables(spark: SparkSession) -> None:
         target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def fresh(name: str, columns: list[str]) -> str:
+    """name, with as many underscores in front as no column of that name needs."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def salt(col: Column | str, n: int = SALTS) -> Column:
     """A number in [0, n) that a row keeps when its task runs again."""
     return F.pmod(F.xxhash64(col), F.lit(n)).cast("int")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -9,12 +10,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestrand.llm.labelled import fold, training_rows
+from lodestrand.llm.labelled import fold, gathered_rows, training_rows
 from lodestrand.llm.tables import small_batches
 from lodestrand.llm.words import BYTE_VALUES, MARKS, U, mix, prefix_sums, row_numbers, span_hashes, text_slices, words
 
-#: Labelled documents that a model is fitted on at most, and the most of their text in bytes.
-MOST_ROWS, MOST_BYTES = 16_000, 96 << 20
+#: Labelled documents that a model is fitted on at most.
+MOST_ROWS = 16_000
 #: (words apart, salt): neighbours, and pairs with one or two words between them.
 PAIRS = ((1, 0x1001), (2, 0x2003), (3, 0x3007))
 
@@ -76,7 +77,28 @@ def features(data: np.ndarray, bounds: np.ndarray, bits: int, wanted: np.ndarray
     return key >> bits, key & ((1 << bits) - 1)
 
 
-def fit(texts: list[np.ndarray], labels: np.ndarray, settings: Settings) -> Model:
+def packed(found: np.ndarray, bits: int) -> bytes:
+    """Sorted feature numbers in two bytes each: how many begin with each prefix, then their last 16 bits."""
+    blocks = 1 << max(0, bits - 16)
+    return np.bincount(found >> 16, minlength=blocks).astype("<u4").tobytes() + (found & 0xFFFF).astype("<u2").tobytes()
+
+
+class Packed(Sequence):
+    """Texts' feature numbers, unpacked one text at a time."""
+
+    def __init__(self, blobs: list[bytes], bits: int):
+        self.blobs, self.blocks = blobs, 1 << max(0, bits - 16)
+
+    def __len__(self) -> int:
+        return len(self.blobs)
+
+    def __getitem__(self, i: int) -> np.ndarray:
+        blob = self.blobs[i]
+        counts = np.frombuffer(blob, "<u4", self.blocks)
+        return np.repeat(np.arange(self.blocks) << 16, counts) + np.frombuffer(blob, "<u2", offset=4 * self.blocks)
+
+
+def fit(texts: Sequence[np.ndarray], labels: np.ndarray, settings: Settings) -> Model:
     """FTRL-proximal: every coordinate has its own learning rate and L1 keeps most weights at exactly zero.
 
     texts: the feature numbers of each text. Texts are visited in a seeded order. The bias is not regularised. Without
@@ -113,34 +135,29 @@ def fit(texts: list[np.ndarray], labels: np.ndarray, settings: Settings) -> Mode
 
 
 def train(sample: DataFrame, settings: Settings) -> Model:
-    """Fit on (_id, text, label). Features are made on the executors; a row's feature numbers come to the driver, at
-    most MOST_ROWS rows. Rows beyond MOST_BYTES of features, in the order of _id's hash, are left out of the fit."""
+    """Fit on (_id, text, label), one row for each _id. Features are made on the executors; a row's feature numbers, two
+    bytes each and each number once, come to the driver."""
 
     def extract(batches):
         for batch in batches:
             for first, data, bounds in text_slices(batch.column(1), lower=True):
                 rows, found = features(data, bounds, settings.bits)
                 cuts = np.searchsorted(rows, np.arange(len(bounds)))
-                blobs = [found[a:b].astype("<u4").tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+                blobs = [packed(found[a:b], settings.bits) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
                 part = slice(first, first + len(blobs))
-                yield pa.RecordBatch.from_arrays([batch.column(0)[part], pa.array(blobs, pa.binary()), batch.column(2)[part]], names=["_id", "found", "label"])
+                yield pa.RecordBatch.from_arrays([batch.column(0)[part], batch.column(2)[part], pa.array(blobs, pa.binary())], names=["_id", "label", "found"])
 
-    made = sample.select(F.col("_id").cast("string"), "text", "label").mapInArrow(extract, "_id string, found binary, label int")
-    texts, labels, size = [], [], 0
-    for row in made.orderBy(F.xxhash64("_id"), "_id", "label", "found").toLocalIterator():
-        size += len(row["found"])
-        if size > MOST_BYTES:
-            break
-        texts.append(np.frombuffer(row["found"], "<u4").astype(np.int32))
-        labels.append(row["label"])
-    return fit(texts, np.array(labels, float), settings)
+    made = sample.select(F.col("_id").cast("string"), "text", "label").mapInArrow(extract, "_id string, label int, found binary")
+    rows = gathered_rows(made)
+    return fit(Packed([bytes(r["found"]) for r in rows], settings.bits), np.array([r["label"] for r in rows], float), settings)
 
 
-def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """docs' id and `keep` columns with `score`: the model's probability of label 1 for the whole text."""
+def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, score_col: str = "score") -> DataFrame:
+    """docs' id and `keep` columns with `score_col`: the model's probability of label 1 for the whole text."""
     held = docs.sparkSession.sparkContext.broadcast((model.index, model.weight, model.bias, model.bits))
     has_text = text_col in (keep or [])  # travels once
-    kept = [c for c in keep or [] if c != text_col]
+    kept = [id_col, *(c for c in keep or [] if c != text_col)]
+    inside = [f"c{i}" for i in range(len(kept))]  # whatever the columns are called
 
     def run(batches):
         index, weight, bias, bits = held.value
@@ -155,28 +172,33 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             columns = batch.columns[1:] + batch.columns[:1] * has_text
             yield pa.RecordBatch.from_arrays([*columns, pa.array(value)], names=names)
 
-    rows = docs.select(F.col(text_col).cast("string").alias("_text"), F.col(id_col), *kept)
-    out = rows.schema.fields[1:] + ([docs.select(F.col(text_col).cast("string").alias(text_col)).schema.fields[0]] if has_text else [])
-    names = [*(f.name for f in out), "score"]
-    return rows.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in out) + ", score double")
+    rows = docs.select(F.col(text_col).cast("string").alias("text"), *(F.col(f"`{c}`").alias(i) for c, i in zip(kept, inside, strict=True)))
+    fields = rows.schema.fields[1:] + rows.schema.fields[:1] * has_text
+    names = [*(f.name for f in fields), "score"]
+    scored = rows.mapInArrow(run, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in fields) + ", score double")
+    return scored.toDF(*kept, *[text_col] * has_text, score_col)
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, may_train, settings: Settings = Settings(), keep: list[str] | None = None) -> DataFrame:
+def toxicity(
+    docs: DataFrame, labels: DataFrame, may_train, settings: Settings = Settings(), keep: list[str] | None = None, most_rows: int = MOST_ROWS, score_col: str = "score",
+) -> DataFrame:
     """Score every document for toxicity with weights learned from labels.toxic.
 
-    Only rows for which may_train holds are learned from, at most MOST_ROWS of them, the first by a hash of the id.
-    Inputs of a score are the lower-cased words alone. A feature counts once for a text, so that length does not add
-    up; only features with a weight are looked up, in time linear in the text. Weights are sparse and have at most
-    2 ** bits entries, so they are safe to broadcast.
+    Only rows for which may_train holds are learned from: at most most_rows labelled ids, the first by a hash of the id,
+    each with all the features of its text. A text has at most 2 ** bits features of two bytes each, and the driver
+    holds those of the sample. Inputs of a score are the lower-cased words alone. A feature counts once for a text, so
+    that length does not add up; only features with a weight are looked up, in time linear in the text. Weights are
+    sparse and have at most 2 ** bits entries, so they are safe to broadcast.
 
     Null and empty texts get the score of the bias. Labels other than 0 and 1 and labels without a document are not
-    used; without labels of both kinds the score is constant. Rows that repeat an id are scored one by one. An empty
-    table gives an empty result.
+    used; without labels of both kinds the score is constant. Rows that repeat an id are scored one by one and learned
+    from once. An empty table gives an empty result. `keep` columns may have any name; if one is called like score_col,
+    give that another name.
 
-    Returns the id, `keep` and score.
+    Returns the id, `keep` and score_col.
     """
     small_batches(docs.sparkSession)
-    return score(docs, train(training_rows(docs, labels, "toxic", may_train, MOST_ROWS), settings), keep=keep)
+    return score(docs, train(training_rows(docs, labels, "toxic", may_train, most_rows), settings), keep=keep, score_col=score_col)
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -35,7 +35,7 @@ BYTE_VALUES = mix(np.arange(1, 257, dtype=U))
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """The base and its inverse to the powers 0 to n - 1, modulo 2 ** 64."""
-    if len(_cache.get("up", ())) < n:
+    if "up" not in _cache or len(_cache["up"]) < n:
         size = max(n, SLICE + 1)
         for name, by in (("up", _BASE), ("down", _INVERSE)):
             steps = np.full(size, by, U)

@@ -1,17 +1,23 @@
 """Each operator against a plain version, on rows made to be awkward."""
 
+import collections
 import hashlib
+import itertools
+import math
+import random
 import re
 import zlib
 
 import duckdb
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from lodestrand.llm import automata, chat, embeddings, exact_dedup, graph, jaccard, mixing, packing, quality, substrings, suffixes, toxicity
 from lodestrand.llm.anchors import anchors, sliding_minimum
+from lodestrand.llm import labelled as labelled_rows
 from lodestrand.llm.labelled import fold
 
 SPACE = re.compile("[\x20\x09-\x0d]+")
@@ -82,8 +88,9 @@ def components(n, links):
     return label
 
 
-@pytest.mark.parametrize("n, percent", [(4, 85), (5, 80)])
-def test_jaccard(docs, plain, none, n, percent):
+def linked(plain, n, percent):
+    """(id, set size, component) by comparing all pairs."""
+
     def shingles(t):
         w = [x for x in SPACE.split(re.sub("[A-Z]", lambda m: m[0].lower(), t)) if x]
         return {tuple(w[i : i + n]) for i in range(len(w) - n + 1)} if len(w) >= n else ({tuple(w)} if w else set())
@@ -101,12 +108,44 @@ def test_jaccard(docs, plain, none, n, percent):
     for i, k in zip(ids, label, strict=True):
         if i is not None:
             least[k] = min(i, least.get(k, i))
-    expected = sorted(((i, len(s), None if i is None else least[k]) for i, s, k in zip(ids, sets, label, strict=True)), key=repr)
+    return sorted(((i, len(s), None if i is None else least[k]) for i, s, k in zip(ids, sets, label, strict=True)), key=repr)
+
+
+@pytest.mark.parametrize("n, percent", [(4, 85), (5, 80)])
+def test_jaccard(docs, plain, none, n, percent):
+    expected = linked(plain, n, percent)
     settings = jaccard.Settings(words=n, percent=percent, sketch_bits=12, filter_bits=8)
     assert table(jaccard.jaccard_components(docs, settings), "doc_id", "n_shingles", "component_id") == expected
     assert jaccard.jaccard_components(none, settings).isEmpty()
 
 
+def test_jaccard_within_a_group_of_one_prefix(spark):
+    """Letterheads: sets with equal sizes and prefixes that link with each other, but not with the head of their group."""
+    rng = np.random.default_rng(8)
+    fresh = itertools.count()
+    say = lambda k: " ".join(f"x{next(fresh)}" for _ in range(k))
+    head, bodies = f"{say(22)} S", [say(70), say(65), say(5), say(5)]
+    a, b, c, d = bodies
+    texts = [f"{head} {a}", f"{head} {b} {c}", f"{head} {b} {d}", *(x for x in bodies for _ in range(10))]
+    pieces = [say(12) for _ in range(14)]
+    for _ in range(3):
+        head = say(24)
+        for _ in range(40):
+            chosen = list(rng.choice(14, 6, replace=False))
+            texts.append(" ".join([head, *(pieces[k] for k in chosen)]))
+            words = texts[-1].split()
+            words[-rng.integers(1, 6)] = say(1)
+            texts.append(" ".join(words))
+    texts += [p for p in pieces for _ in range(60)]
+    order = rng.permutation(len(texts) - 3) + 4
+    plain = [(i + 1 if i < 3 else int(order[i - 3]), t, None) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame([r[:2] for r in plain], "doc_id long, text string")
+    for percent in (85, 80, 60):
+        expected = linked(plain, 4, percent)
+        assert table(jaccard.jaccard_components(docs, jaccard.Settings(percent=percent)), "doc_id", "n_shingles", "component_id") == expected
+        assert percent != 85 or (3, 90, 2) in expected
+
+
 def removed(items, windows, length):
     flags = np.zeros(len(items), bool)
     for p in windows:
@@ -225,8 +264,40 @@ def test_fill_plan_uses_every_piece():
             for a, k in pattern:
                 used[a] += k * times
         assert (used == counts).all()
-    assert packing.exact_fill(np.bincount([30, 30, 40], minlength=101), 100) == (40, 30, 30)
-    assert packing.exact_fill(np.bincount([50], minlength=101), 100) == ()
+    assert packing.SumIndex(np.bincount([30, 30, 40], minlength=101)).exact(100) == (40, 30, 30)
+    assert packing.SumIndex(np.bincount([50], minlength=101)).exact(100) == ()
+
+
+def test_sum_index_against_all_combinations():
+    """While counts fall, a single, a pair or a triple is found exactly where there is one."""
+    rng = np.random.default_rng(6)
+    for size in (3, 8, 25):
+        index = packing.SumIndex(np.bincount(rng.integers(1, 41, size), minlength=41))
+        while any(index.free):
+            here = [n for n, k in enumerate(index.free) for _ in range(k)]
+            for total in rng.permutation(41)[:20].tolist():
+                for r, found in ((2, index.pair(total)), (3, index.triple(total))):
+                    sums = {sum(c) for c in itertools.combinations(here, r)}
+                    assert (total in sums) == bool(found), (here, total, found)
+                    assert not found or sum(found) == total and not collections.Counter(found) - collections.Counter(here)
+            index.free[rng.choice(here)] -= 1
+
+
+def test_packing_with_any_tokenizer():
+    """Chunks where the tokenizer allows them, whole texts with any other; a memo that is emptied all the time."""
+    import public_tokenizers
+
+    marks = "aB'sSt 0129.,-_|<>\n\t\x00\x1c\x85\u3000\xa0éÉßİΣσςŒ中²½ǅé"
+    rng = random.Random(3)
+    texts = ["".join(rng.choice(marks) for _ in range(rng.randint(0, 40))) for _ in range(2000)]
+    texts += ["<|endoftext|> a<|startoftext|>b <|ENDOFTEXT|>", "IT'S don't we'LL ''s", None, ""]
+    for name, chunks in (("word_bpe_49k.json", True), ("byte_bpe_50k.json", False)):
+        for memo in (3, 1000):
+            own = packing.ChunkEncoder(public_tokenizers.path(name))
+            own.chunks.most = own.pieces.most = memo
+            assert own.by_chunk == chunks
+            for text, ids in zip(texts, own.encode(pa.array(texts)), strict=True):
+                assert np.frombuffer(ids, "<u4").tolist() == own.tokenizer.encode(text or "", add_special_tokens=False).ids, text
 
 
 def test_mixing(docs, plain, none):
@@ -382,8 +453,59 @@ def test_toxicity(labelled):
 
 def test_toxicity_keeps_columns(labelled):
     docs, labels = labelled
-    got = toxicity.toxicity(docs.drop("score"), labels, F.lit(True), keep=["text", "n_chars"])
-    assert set(got.columns) == {"doc_id", "text", "n_chars", "score"} and table(got, "doc_id", "text", "n_chars") == table(docs, "doc_id", "text", "n_chars")
+    clash = ["text", "n_chars", "_text", "score", "_id", "label", "held_out", "predicted", "c0", "c1", "found"]
+    wide = docs.select("*", *(F.concat(F.lit(c), "doc_id").alias(c) for c in clash[2:] if c != "score"))
+    got = toxicity.toxicity(wide, labels, F.lit(True), keep=clash, score_col="toxic score")
+    assert set(got.columns) == {"doc_id", *clash, "toxic score"} and table(got, "doc_id", *clash) == table(wide, "doc_id", *clash)
+
+
+def test_a_sample_is_bounded_and_takes_an_id_once(labelled):
+    docs, labels = labelled
+    sample = lambda most: labelled_rows.gathered_rows(labelled_rows.training_rows(docs.unionByName(docs), labels, "toxic", F.lit(True), most))
+    rows, few = sample(10_000), sample(50)
+    assert len(rows) == 900 and len({r["_id"] for r in rows}) == 900
+    assert [r["_id"] for r in few] == [r["_id"] for r in rows[:50]]
+
+
+def test_packed_features():
+    rng = np.random.default_rng(4)
+    for bits in (12, 16, 20):
+        found = [np.unique(rng.integers(0, 1 << bits, n)) for n in (0, 1, 50, 3000)]
+        again = toxicity.Packed([toxicity.packed(f, bits) for f in found], bits)
+        assert all((a == b).all() for a, b in zip(found, again, strict=True)) and len(again) == 4
+
+
+def test_ftrl_against_a_plain_loop():
+    """Every coordinate by itself, as the published algorithm states it."""
+    rng = np.random.default_rng(14)
+    settings = toxicity.Settings(bits=8, l1=0.4, epochs=3)
+    texts = [np.unique(rng.integers(0, 256, 12)) for _ in range(60)]
+    labels = np.array([float(t[0] % 3 == 0) for t in texts])
+    z, n = [0.0] * 256, [0.0] * 256
+    bias, bias_n = math.log(labels.mean() / (1 - labels.mean())), 1.0
+
+    def weight(i):
+        if abs(z[i]) <= settings.l1:
+            return 0.0
+        return -(z[i] - math.copysign(settings.l1, z[i])) / ((settings.beta + math.sqrt(n[i])) / settings.alpha + settings.l2)
+
+    order = np.random.default_rng(settings.seed)
+    for _ in range(settings.epochs):
+        for k in order.permutation(len(labels)):
+            w = {i: weight(i) for i in texts[k].tolist()}
+            g = 1 / (1 + math.exp(-(sum(w.values()) + bias))) - labels[k]
+            if labels[k]:
+                g *= settings.weight_of_1
+            for i, wi in w.items():
+                sigma = (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / settings.alpha
+                z[i] += g - sigma * wi
+                n[i] += g * g
+            bias_n += g * g
+            bias -= settings.alpha / (settings.beta + math.sqrt(bias_n)) * g
+    m = toxicity.fit(texts, labels, settings)
+    expected = np.array([weight(i) for i in range(256)])
+    assert np.allclose(m.dense(), expected, atol=1e-6) and np.isclose(m.bias, bias)
+    assert 0 < len(m.index) < 256
 
 
 def test_quality(labelled):
@@ -396,6 +518,58 @@ def test_quality(labelled):
     assert quality.quality(docs.limit(0), labels, F.lit(True)).isEmpty()
 
 
+def test_factorisation_machine_fit_against_a_plain_loop():
+    """One epoch of AdaGrad with gradients taken numerically from the loss over all pairs."""
+    rng = np.random.default_rng(15)
+    stats, bits, rank = len(quality.STATISTICS), 3, 2
+    words = 1 << bits
+    settings = quality.Settings(bits=bits, rank=rank, epochs=1, batch=4, l2=1e-3)
+    texts = [(b := np.unique(rng.integers(0, words, 4)), rng.random(len(b))) for _ in range(8)]
+    table_, labels = rng.normal(size=(8, stats)), np.array([0, 1, 1, 0, 1, 0, 0, 1.0])
+    got = quality.fit(texts, table_, labels, settings)
+
+    draw, size = np.random.default_rng(settings.seed), words + stats
+    mean, spread = table_.mean(axis=0), table_.std(axis=0) + 1e-6
+    w, v, bias = np.zeros(size), draw.normal(0, 0.05, (size, rank)), math.log(labels.mean() / (1 - labels.mean()))
+    x = np.zeros((8, size))
+    for i, (b, share) in enumerate(texts):
+        x[i, b] = share
+    x[:, words:] = np.clip((table_ - mean) / spread, -4, 4)
+
+    def loss(part, bias, w, v):
+        total = 0.0
+        for i in part:
+            out = bias + w @ x[i] + sum(v[a] @ v[b] * x[i, a] * x[i, b] for a in range(size) for b in range(a))
+            total += math.log1p(math.exp(out)) - labels[i] * out
+        return total / len(part)
+
+    def slope(f, at):
+        out = np.zeros_like(at)
+        for k in np.ndindex(at.shape):
+            up, down = at.copy(), at.copy()
+            up[k] += 1e-5
+            down[k] -= 1e-5
+            out[k] = (f(up) - f(down)) / 2e-5
+        return out
+
+    seen_w, seen_v, seen_b, scale = np.full(size, 1e-6), np.full((size, rank), 1e-6), 1e-6, np.where(np.arange(size) < words, words**0.25, 1.0)
+    order = draw.permutation(8)
+    for at in (0, 4):
+        part = order[at : at + 4]
+        gw = slope(lambda z: loss(part, bias, z, v), w) + settings.l2 * w
+        gv = slope(lambda z: loss(part, bias, w, z), v) + settings.l2 * v
+        gb = slope(lambda z: loss(part, z[0], w, v), np.array([bias]))[0] * len(part)
+        shown = np.concatenate([np.isin(np.arange(words), np.concatenate([texts[i][0] for i in part])), np.ones(stats, bool)])
+        gw, gv = gw * shown, gv * shown[:, None]
+        seen_w += gw * gw
+        seen_v += gv * gv
+        w -= settings.rate * scale * gw / np.sqrt(seen_w)
+        v -= settings.rate * gv / np.sqrt(seen_v)
+        seen_b += (gb / len(part)) ** 2
+        bias -= settings.rate * gb / len(part) / seen_b**0.5
+    assert np.allclose(got.w, w, atol=2e-3) and np.allclose(got.v, v, atol=2e-3) and np.isclose(got.bias, bias, atol=2e-3)
+
+
 def test_pairs_cost_linear_time():
     """The sum-of-squares identity equals the sum over all pairs."""
     rng = np.random.default_rng(9)

@@ -6,6 +6,8 @@ from collections import Counter
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from lodestrand.llm import mixing
 
@@ -79,6 +81,36 @@ def test_stages(spark, folder):
     assert max(used.values()) <= 4096 and len(used) == -(-sum(used.values()) // 4096)
 
 
+CLASHES = ["score", "_score", "_text", "times", "_times", "_n", "copy", "kept", "_kept", "held_out", "predicted", "_id", "label", "n", "token", "size", "taken", "shard", "component_id"]
+
+
+def test_stages_with_clashing_columns(spark, folder):
+    """Further columns come through unchanged, whatever they are called."""
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    wide = docs.select("*", *(F.concat_ws(":", F.lit(c), "doc_id", "text").alias(c) for c in CLASHES))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        plain, made = stage(spark, docs, folder), stage(spark, wide, folder)
+        assert made.columns == wide.columns, name
+        assert Counter(r.doc_id for r in made.collect()) == Counter(r.doc_id for r in plain.collect()), name
+        assert made.where(" or ".join(f"`{c}` <> concat_ws(':', '{c}', doc_id, text)" for c in CLASHES)).isEmpty(), name
+    assert corpus_pipeline.STAGES[-1][1](spark, wide, folder).count() == corpus_pipeline.STAGES[-1][1](spark, docs, folder).count()
+
+
+@pytest.mark.parametrize("texts", [[], [None], ["", None, " "], ["long " * 400_000 + "end", "long " * 400_000 + "end", "rotten"]])
+def test_stages_on_few_rows(spark, folder, texts):
+    """No rows, empty ones, and a text of two million characters with its copy; none has a label, so none is toxic."""
+    docs = spark.createDataFrame([(7000 + i, t, "en", "a", 1) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    counts = []
+    for _, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, folder).cache()
+        counts.append(docs.count())
+    if not texts or not any(t and t.strip() for t in texts):
+        assert counts[0] == len(texts) and counts[1] == len({" " if t == " " else "" for t in texts}) and counts[3:] == [0, 0]
+    else:
+        assert counts[:3] == [3, 2, 2] and counts[3] in (1, 2, 3)
+        assert docs.where("doc_id = 7000").agg(F.sum("length")).first()[0] % 400_002 == 0
+
+
 def test_run_is_the_stages(spark, folder):
     rows = corpus_pipeline.run(spark, folder).collect()
     assert rows and sum(r.length for r in rows) > 0 and corpus_pipeline.ORACLE_SQL is None
