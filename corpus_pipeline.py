@@ -3,7 +3,10 @@
 Each stage takes (spark, docs, sf_dir) and works on all that the stage before it kept. What a stage returns is written
 as Parquet and read again as the next one's docs. All but the last return the columns of documents.
 
-Rows that repeat an id stand and fall together; a null id counts as one id.
+In every stage rows that repeat an id stand and fall together, and a null id counts as one id; of ties the smallest id
+stays. Null and empty texts are empty documents: one of them survives exact deduplication, and a mix has none. Texts of
+any length are read whole. Further columns may have any name and pass through up to the mix. An empty table goes
+through as an empty table.
 """
 
 from __future__ import annotations
@@ -16,7 +19,7 @@ from lodestrand.llm.jaccard import Settings, jaccard_components
 from lodestrand.llm.labelled import fold
 from lodestrand.llm.mixing import mix_sources, whole_documents
 from lodestrand.llm.packing import pack
-from lodestrand.llm.tables import materialize
+from lodestrand.llm.tables import fresh, materialize
 from lodestrand.llm.toxicity import toxicity
 
 #: Words of a shingle and least similarity, in percent, of near copies.
@@ -26,8 +29,9 @@ NEAR = Settings(words=5, percent=80)
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 10: documents with a toxicity score of 0.5 or more go. Documents with null text are scored as empty."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    kept = [c for c in docs.columns if c != "doc_id"]
-    return toxicity(docs, labels, fold("doc_id", 5) != 0, keep=kept).where("score < 0.5").select(*docs.columns)
+    kept, score = [c for c in docs.columns if c != "doc_id"], fresh("score", docs.columns)
+    scored = toxicity(docs, labels, fold("doc_id", 5) != 0, keep=kept, score_col=score)
+    return scored.where(F.col(score) < 0.5).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,9 +52,10 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     A document's words are taken whole: it appears once for each pass that its shard's quota holds, and seeded documents
     appear once more until their source's target is met. Documents without words are not part of a mix and go.
     """
-    taken = whole_documents(mix_sources(docs)).withColumnRenamed("times", "_times")
-    repeated = docs.join(taken.where("_times > 0"), docs["doc_id"].eqNullSafe(taken["doc_id"])).select(docs["*"], "_times")
-    return repeated.withColumn("_n", F.explode(F.expr("sequence(1, _times)"))).select(*docs.columns)
+    times, copy = fresh("times", docs.columns), fresh("copy", docs.columns)
+    taken = whole_documents(mix_sources(docs)).where("times > 0").withColumnRenamed("times", times)
+    repeated = docs.join(taken, docs["doc_id"].eqNullSafe(taken["doc_id"])).select(docs["*"], taken[times])
+    return repeated.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(times)))).drop(times, copy)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -62,8 +67,9 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """docs with an id in ids; a null id counts as one."""
-    ids = ids.distinct().withColumnRenamed("doc_id", "_kept")
-    return docs.join(ids, docs["doc_id"].eqNullSafe(ids["_kept"]), "left_semi")
+    kept = fresh("kept", docs.columns)
+    ids = ids.distinct().withColumnRenamed("doc_id", kept)
+    return docs.join(ids, docs["doc_id"].eqNullSafe(ids[kept]), "left_semi")
 
 
 STAGES = [
