@@ -8,9 +8,10 @@ from difflib import SequenceMatcher
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 GAP = 0.1
-TRACE = "pair_id long, pos int, target_no int, similarity double, tokens int, tag string"
+TRACE = "pair_id long, pos int, target_no int, similarity double, tokens int, tag string, is_header boolean, decay double"
 
 
 def similarities(slice_tokens: list[list[str]], target_tokens: list[list[str]]) -> np.ndarray:
@@ -84,11 +85,13 @@ def line_tags(pre: list[list[str]], post: list[list[str]]) -> tuple[list[str], l
 
 
 def align_pairs(pairs: DataFrame) -> DataFrame:
-    """(pair_id, slice array<array<string>>, line_nos array<int>, tags array<string>, target array<array<string>>) to
-    one row per slice line: its target line from 1, or null, the similarity, its number of tokens and its tag; the
-    similarity is decayed by the pair's gap penalty in tokens, as a share of what matched.
+    """(pair_id, slice array<array<string>>, line_nos array<int>, tags array<string>, headers array<boolean>, target
+    array<array<string>>) to one row per slice line: its target line from 1, or null, the similarity, its number of
+    tokens, its tag, whether it is a header, and the decay of its pair.
 
-    Candidates come in Arrow batches; a pair's matrix is lines times lines and lives for one pair only.
+    The decay is what the gap penalty, in tokens, leaves of the tokens that matched outside headers; scores of a whole
+    side are multiplied by it. Without headers no line is one. Candidates come in Arrow batches; a pair's matrix is
+    lines times lines and lives for one pair only.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -96,20 +99,30 @@ def align_pairs(pairs: DataFrame) -> DataFrame:
             rows = []
             for r in batch.itertuples(index=False):
                 lines, target = [list(x) for x in r.slice], [list(x) for x in r.target]
+                headers = [False] * len(lines) if r.headers is None else list(r.headers)
                 sim = similarities(lines, target)
                 found, penalty = align(sim, list(r.line_nos)) if len(lines) and len(target) else ([], 0.0)
                 at = dict(found)
                 sizes = [len(x) for x in lines]
-                matched = sum(sizes[i] * sim[i, j] for i, j in found)
+                matched = sum(sizes[i] * sim[i, j] for i, j in found if not headers[i])
                 full = sum(1 for n in sizes if n)
                 lost = penalty * sum(sizes) / full if full else 0.0
-                keep = max(0.0, matched - lost) / matched if matched > 1e-9 else 0.0
+                keep = float(max(0.0, matched - lost) / matched) if matched > 1e-9 else 0.0
                 for i, n in enumerate(sizes):
                     j = at.get(i)
-                    rows.append((r.pair_id, i, None if j is None else j + 1, 0.0 if j is None else float(sim[i, j] * keep), n, r.tags[i]))
-            yield pd.DataFrame(rows, columns=["pair_id", "pos", "target_no", "similarity", "tokens", "tag"]).astype({"target_no": "Int32", "pos": "int32", "tokens": "int32"})
+                    rows.append((r.pair_id, i, None if j is None else j + 1, 0.0 if j is None else float(sim[i, j]), n, r.tags[i], bool(headers[i]), keep))
+            yield pd.DataFrame(rows, columns=[c.split()[0] for c in TRACE.split(", ")]).astype({"target_no": "Int32", "pos": "int32", "tokens": "int32"})
 
-    return pairs.select("pair_id", "slice", "line_nos", "tags", "target").mapInPandas(run, TRACE)
+    headers = F.col("headers") if "headers" in pairs.columns else F.lit(None).cast("array<boolean>").alias("headers")
+    return pairs.select("pair_id", "slice", "line_nos", "tags", headers, "target").mapInPandas(run, TRACE)
+
+
+def rebased(trace: DataFrame, targets: DataFrame) -> DataFrame:
+    """trace with file_line, the line of the target's file that each slice line was found on: targets (pair_id,
+    target_nos array<int>, start_line) have the first line of each statement, counted in the unit, and the line that the
+    unit starts on."""
+    both = trace.join(targets.select("pair_id", "target_nos", "start_line"), "pair_id", "left")
+    return both.withColumn("file_line", F.get("target_nos", F.col("target_no") - 1) + F.col("start_line") - 1).drop("target_nos", "start_line")
 
 
 def tag_pairs(pairs: DataFrame) -> DataFrame:

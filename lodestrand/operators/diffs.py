@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import difflib
+import re
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+_RANGE = re.compile(r"@@ -(?P<a>\d+)(?:,(?P<n>\d+))? \+(?P<b>\d+)(?:,(?P<m>\d+))? @@")
 HEADER = r"^@@ -(\d+)(?:,\d+)? \+(\d+)(?:,\d+)? @@"
 
 
@@ -70,3 +75,28 @@ def primary_version(diffs: DataFrame, id_col: str, diff_col: str) -> DataFrame:
     return diffs.select(
         F.col(id_col).alias("diff_id"), added.alias("added"), removed.alias("removed"), F.when((removed > 0) & (added == 0), "OLD").otherwise("NEW").alias("version")
     )
+
+
+def unified(pairs: DataFrame, context: int = 3) -> DataFrame:
+    """(pair_id, diff): the unified diff of pairs (pair_id, name, old, new, old_start, new_start), with hunk headers counted
+    in lines of the files that the texts start at; null where nothing differs.
+
+    Matching runs of lines has no Catalyst form, so pairs come in Arrow batches.
+    """
+
+    def one(name: str, old: str, new: str, old_start: int, new_start: int) -> str | None:
+        out = []
+        for line in difflib.unified_diff(old.splitlines(keepends=True), new.splitlines(keepends=True), f"a/{name}", f"b/{name}", n=context):
+            if m := _RANGE.match(line):
+                a, b = int(m["a"]) + old_start - 1, int(m["b"]) + new_start - 1
+                line = f"@@ -{a},{m['n'] or 1} +{b},{m['m'] or 1} @@{line[m.end() :]}"
+            out.append(line)
+        return "".join(out).strip() and "".join(out) or None
+
+    def run(batches):
+        for batch in batches:
+            rows = zip(batch["name"], batch["old"].fillna(""), batch["new"].fillna(""), batch["old_start"], batch["new_start"], strict=True)
+            yield pd.DataFrame({"pair_id": batch["pair_id"], "diff": [one(*r) for r in rows]})
+
+    kind = pairs.schema["pair_id"].dataType.simpleString()
+    return pairs.select("pair_id", "name", "old", "new", "old_start", "new_start").mapInPandas(run, f"pair_id {kind}, diff string")

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestrand.functions.text import quoted
+
 
 def definitions(symbols: DataFrame, names: DataFrame, name_col: str, order: list[str], most: int = 5) -> DataFrame:
     """At most `most` symbols of each wanted name; of a name with spaces only the last word counts."""
@@ -14,8 +18,10 @@ def definitions(symbols: DataFrame, names: DataFrame, name_col: str, order: list
     return found.withColumn("place", place).where(F.col("place") <= most)
 
 
-def in_path(symbols: DataFrame, paths: DataFrame, path_col: str) -> DataFrame:
-    """Symbols of each wanted path; where no path is equal, those whose path the wanted one ends with."""
+def in_path(symbols: DataFrame, paths: DataFrame, path_col: str, kind: str | None = None) -> DataFrame:
+    """Symbols of each wanted path, of one kind if it is given; where no path is equal, those whose path the wanted one
+    ends with."""
+    symbols = symbols.where(F.col("kind") == kind) if kind else symbols
     exact = symbols.join(paths, symbols[path_col] == paths["wanted"])
     missing = paths.join(symbols.select(F.col(path_col).alias("_p")), F.col("wanted") == F.col("_p"), "left_anti")
     tails = missing.select("wanted", F.explode(F.transform(F.sequence(F.lit(1), F.length("wanted")), lambda i: F.substr(F.col("wanted"), i))).alias("_tail"))
@@ -38,16 +44,63 @@ def caller_lines(rows: DataFrame, symbol: str) -> DataFrame:
     return rows.where(F.lit(len(symbol) >= 3) & F.col("line").contains(symbol) & ~looks_like_comment(F.col("line")))
 
 
-def grep_page(rows: DataFrame, word: str, cursor: int, limit: int) -> DataFrame:
-    """One page of the lines that hold a whole word, in order, with the total and whether more follow.
+def grep(rows: DataFrame, pattern: str, mode: str = "word", scope: tuple[int, int] | None = None, nodes: DataFrame | None = None) -> DataFrame:
+    """(unit_id, line_no, line, type, method) of the lines that a pattern matches.
+
+    word: the pattern as it is written, between word boundaries of any script. regex: a regular expression; one that is
+    none gives a single row of method "error" that says so. def_use: nodes (unit_id, line_no, code, defs, uses) of the
+    scope that define or use the variable, where that finds none the whole word. scope: first and last line.
+    """
+    inside = F.col("line_no").between(*scope) if scope else F.lit(True)
+    if mode == "regex":
+        try:
+            re.compile(pattern)
+        except re.error as error:
+            kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+            return rows.sparkSession.createDataFrame([(None, None, f"Invalid regex: {error}", "error", "error")], f"unit_id {kinds['unit_id']}, line_no {kinds['line_no']}, line string, type string, method string")
+        hit, method = F.col("line").rlike(pattern), "regex_match"
+    else:
+        hit, method = F.col("line").rlike(rf"(?U)\b{quoted(pattern)}\b"), "word_match"
+    text = rows.where(inside & hit).select("unit_id", "line_no", F.trim("line").alias("line"), F.lit("match").alias("type"), F.lit(method).alias("method"))
+    if mode != "def_use" or nodes is None or not scope:
+        return text
+    defines = F.array_contains("defs", pattern)
+    exact = nodes.where(inside & (defines | F.array_contains("uses", pattern))).select(
+        "unit_id", "line_no", F.trim("code").alias("line"), F.when(defines, "def").otherwise("use").alias("type"), F.lit("precise_pdg").alias("method")
+    )
+    return exact.unionByName(text.join(exact.select("unit_id").distinct(), "unit_id", "left_anti"))
+
+
+def page(hits: DataFrame, cursor: int, limit: int) -> DataFrame:
+    """One page of hits in order, with the total, whether more follow and where they start.
 
     The total comes from an aggregate, and the page from a top-k, so no task sorts all hits.
     """
-    hit = rows.where(F.col("line").rlike(rf"\b{word}\b"))
-    total = hit.agg(F.count(F.lit(1)).alias("total"))
-    first = hit.orderBy("unit_id", "line_no").limit(cursor + limit)
+    total = hits.agg(F.count(F.lit(1)).alias("total"))
+    first = hits.orderBy("unit_id", "line_no").limit(cursor + limit)
     numbered = first.withColumn("place", F.row_number().over(Window.orderBy("unit_id", "line_no")))
-    return numbered.where(F.col("place") > cursor).join(total, F.lit(True)).withColumn("has_more", F.col("total") > cursor + limit)
+    more = F.col("total") > cursor + limit
+    return numbered.where(F.col("place") > cursor).join(total, F.lit(True)).withColumns({"has_more": more, "next_cursor": F.when(more, F.lit(cursor + limit))})
+
+
+def grep_page(rows: DataFrame, word: str, cursor: int, limit: int, mode: str = "word") -> DataFrame:
+    """One page of what grep() finds."""
+    return page(grep(rows, word, mode), cursor, limit)
+
+
+def enclosing_callers(callers: DataFrame, functions: DataFrame, most: int = 20) -> DataFrame:
+    """Caller lines (unit_id, line_no, line) with the function around each, at most `most` functions for each unit, the
+    first by line; a line outside all functions has the name "unknown", the line a function starts on goes.
+
+    functions: unit_id, name, start_line, end_line, which do not overlap: the last start decides, in one sorted pass.
+    """
+    marks = functions.select("unit_id", F.col("start_line").alias("line_no"), F.struct("name", "start_line", "end_line").alias("_f"), F.lit(None).cast("string").alias("line"))
+    both = callers.select("unit_id", "line_no", F.lit(None).cast(marks.schema["_f"].dataType).alias("_f"), "line").unionByName(marks)
+    before = Window.partitionBy("unit_id").orderBy("line_no", F.col("_f").isNull()).rowsBetween(Window.unboundedPreceding, 0)
+    near = both.withColumn("_f", F.last("_f", True).over(before)).where("line is not null").where("_f is null or _f.start_line <> line_no")
+    named = near.select("unit_id", "line_no", "line", F.when(F.col("_f.end_line") >= F.col("line_no"), F.col("_f.name")).otherwise("unknown").alias("caller"))
+    first = F.min("line_no").over(Window.partitionBy("unit_id", "caller"))
+    return named.withColumn("_first", first).withColumn("place", F.dense_rank().over(Window.partitionBy("unit_id").orderBy("_first"))).where(F.col("place") <= most).drop("_first")
 
 
 def context_windows(rows: DataFrame, at: DataFrame, before: int, after: int) -> DataFrame:
@@ -73,3 +126,9 @@ def closeness(path: Column, context: Column) -> Column:
 def caller_distance(path: Column, context: Column) -> Column:
     """0 for the same file, 1 for its directory, else 2."""
     return F.when(path == context, 0).when(_directory(path) == _directory(context), 1).otherwise(2)
+
+
+def closest(scored: DataFrame, context: str, item: str, most: int = 10) -> DataFrame:
+    """The first `most` items of every context by score, then by distance, with their place."""
+    order = Window.partitionBy(context).orderBy(F.col("score").desc(), "distance", item)
+    return scored.withColumn("place", F.row_number().over(order)).where(F.col("place") <= most)

@@ -9,23 +9,28 @@ from pyspark.sql import functions as F
 STRONG, WEAK, SLICE_WEIGHT, ANCHOR_WEIGHT = 0.9, 0.4, 0.5, 0.5
 
 
-def trace_scores(trace: DataFrame) -> DataFrame:
-    """(pair_id, side, score, score_feat): the token-weighted mean similarity of a side's lines, over all of them and
-    over those that are no COMMON ones. Header lines do not count; a mean over nothing is 0."""
+def trace_scores(trace: DataFrame, similarity: Column | str = "similarity") -> DataFrame:
+    """(pair_id, side, score, score_feat, score_ctx): the token-weighted mean similarity of a side's lines, over all of
+    them, over those that are no COMMON ones and over the COMMON ones. Header lines do not count; a mean over nothing
+    is 0."""
+    value = F.greatest(F.col(similarity) if isinstance(similarity, str) else similarity, F.lit(0.0))
 
     def mean(keep: Column) -> Column:
         tokens = F.sum(F.when(keep, F.col("tokens")).otherwise(0))
-        return F.when(tokens > 0, F.sum(F.when(keep, F.col("tokens") * F.greatest(F.col("similarity"), F.lit(0.0))).otherwise(0.0)) / tokens).otherwise(0.0)
+        return F.when(tokens > 0, F.sum(F.when(keep, F.col("tokens") * value).otherwise(0.0)) / tokens).otherwise(0.0)
 
-    body = ~F.col("is_header")
-    return trace.groupBy("pair_id", "side").agg(mean(body).alias("score"), mean(body & (F.col("tag") != "COMMON")).alias("score_feat"))
+    body, common = ~F.col("is_header"), F.col("tag") == "COMMON"
+    return trace.groupBy("pair_id", "side").agg(mean(body).alias("score"), mean(body & ~common).alias("score_feat"), mean(body & common).alias("score_ctx"))
 
 
 def anchor_scores(trace: DataFrame, anchors: DataFrame) -> DataFrame:
     """(pair_id, side, anchor_score): the mean over anchors of the best similarity on their line; a line that the trace
-    lacks counts 0. Pairs whose anchors have no line, or that have none, get 1."""
+    lacks counts 0. Where no anchor has a line, or there is none, it is 1. A trace's lines are orig_line, a number, or
+    orig_lines, an array of those that a statement was joined from. A pair with anchors and no trace has no row; it
+    counts as 0."""
     usable = anchors.where("line_no > 0")
-    best = usable.join(trace.select("pair_id", "side", F.col("orig_line").alias("line_no"), "similarity"), ["pair_id", "side", "line_no"], "left")
+    own = F.explode("orig_lines") if "orig_lines" in trace.columns else F.col("orig_line")
+    best = usable.join(trace.select("pair_id", "side", own.alias("line_no"), "similarity"), ["pair_id", "side", "line_no"], "left")
     each = best.groupBy("pair_id", "side", "anchor").agg(F.coalesce(F.max("similarity"), F.lit(0.0)).alias("s"))
     found = each.groupBy("pair_id", "side").agg(F.avg("s").alias("anchor_score"))
     return trace.select("pair_id", "side").distinct().join(found, ["pair_id", "side"], "left").withColumn("anchor_score", F.coalesce("anchor_score", F.lit(1.0)))
@@ -64,16 +69,22 @@ def final_verdict(rows: DataFrame) -> DataFrame:
     return rows.withColumn("verdict", name)
 
 
-def competitive(vuln: DataFrame, fix: DataFrame, modified: DataFrame) -> DataFrame:
-    """What each side loses where both sides of a changed line pair claim one target line: the less similar side's
-    tokens times similarity.
+def competitive(trace: DataFrame, modified: DataFrame) -> DataFrame:
+    """(pair_id, side, loss): what a side loses where both lines of a changed pair claim one target line: of the less
+    similar one, the new line if both are alike, tokens times similarity, as a share of the side's tokens. Header lines
+    do not count among those.
 
-    vuln, fix: pair_id, pos, target_no, tokens, similarity. modified: pair_id, pre, post.
+    trace: pair_id, side (pre or post), pos, target_no, tokens, similarity, is_header. modified: pair_id, pre, post.
     """
-    a = vuln.select("pair_id", F.col("pos").alias("pre"), F.col("target_no").alias("ta"), F.col("tokens").alias("na"), F.col("similarity").alias("sa"))
-    b = fix.select("pair_id", F.col("pos").alias("post"), F.col("target_no").alias("tb"), F.col("tokens").alias("nb"), F.col("similarity").alias("sb"))
-    both = modified.join(a, ["pair_id", "pre"]).join(b, ["pair_id", "post"]).where("ta = tb and sa > 0 and sb > 0")
-    return both.groupBy("pair_id").agg(
-        F.sum(F.when(F.col("sa") < F.col("sb"), F.col("na") * F.col("sa")).otherwise(0.0)).alias("vuln_loss"),
-        F.sum(F.when(F.col("sb") < F.col("sa"), F.col("nb") * F.col("sb")).otherwise(0.0)).alias("fix_loss"),
+    a, b = (
+        trace.where(F.col("side") == side).select("pair_id", F.col("pos").alias(side), F.col("target_no").alias(f"t{k}"), F.col("tokens").alias(f"n{k}"), F.col("similarity").alias(f"s{k}"))
+        for side, k in (("pre", "a"), ("post", "b"))
     )
+    both = modified.select("pair_id", "pre", "post").join(a, ["pair_id", "pre"]).join(b, ["pair_id", "post"]).where("ta = tb")
+    new_loses = F.col("sa") >= F.col("sb")
+    lost = both.select(
+        "pair_id", F.when(new_loses, "post").otherwise("pre").alias("side"), F.when(new_loses, F.col("nb") * F.col("sb")).otherwise(F.col("na") * F.col("sa")).alias("_lost")
+    )
+    sizes = trace.groupBy("pair_id", "side").agg(F.sum(F.when(F.col("is_header"), 0).otherwise(F.col("tokens"))).alias("_tokens"))
+    summed = lost.groupBy("pair_id", "side").agg(F.sum("_lost").alias("_lost")).join(sizes, ["pair_id", "side"])
+    return summed.select("pair_id", "side", F.when(F.col("_tokens") > 0, F.col("_lost") / F.col("_tokens")).otherwise(0.0).alias("loss"))

@@ -12,7 +12,7 @@ QUERY_TOKENS = 30
 
 
 def postings(units: DataFrame, id_col: str, code_col: str, word: str = UNICODE_WORD) -> DataFrame:
-    """(token, unit_id), each pair once."""
+    """(token, unit_id), each pair once: units are assumed to have an id of their own, so no pair needs a shuffle."""
     return units.select(F.col(id_col).alias("unit_id"), F.explode(code_tokens(F.col(code_col), word)).alias("token")).select("token", "unit_id")
 
 

@@ -11,35 +11,59 @@ from lodestrand.plans.literals import frame, values_sql
 from lodestrand.sources import csource
 from lodestrand.sources.tables import table
 
-CODE = [
-    ("copy", "int copy(char *to, const char *from, int n)\n{\n  int i = 0;\n  if (!to || !from)\n    return -1;\n  while (i < n && from[i]) {\n    to[i] = from[i];\n    i++;\n  }\n  to[i] = 0;\n  return i;\n}\n"),
-    ("pick", "int pick(int kind)\n{\n  int out;\n  switch (kind) {\n  case 1:\n    out = 10;\n    break;\n  case 2:\n    out = 20;\n  default:\n    out = 30;\n  }\n  return out;\n}\n"),
-    ("tidy", "void tidy(struct item *p)\n{\n  for (int k = 0; k < p->count; k++) {\n    if (p->part[k] == 0)\n      continue;\n    release(p->part[k]);\n  }\n  if (p->busy)\n    goto done;\n  release(p);\ndone:\n  note(p);\n}\n"),
-]
+#: What every kind of event is as a statement of C.
+STATEMENTS = (("signup", "  x = read_v();"), ("click", "  y = x + 1;"), ("purchase", "  if (y > 2)\n    z = y;"), ("error", "  if (!x)\n    return -1;"), ("view", "  use(z);"))
+_STATEMENTS = values_sql(list(STATEMENTS), "event_type, code")
+_FUNCTIONS = f"""(SELECT CAST(user_id AS VARCHAR) AS func_id, 'int f_' || user_id || '(int x)' || chr(10) || '{{' || chr(10) || '  int y = 0, z = 0;' || chr(10) || string_agg(code, chr(10) ORDER BY ts, event_id) || chr(10) || '  return z;' || chr(10) || '}}' || chr(10) AS code
+  FROM events JOIN (SELECT * FROM {_STATEMENTS}) USING (event_type) GROUP BY user_id)"""
 
 
-def _functions(spark: SparkSession) -> DataFrame:
-    return frame(spark, CODE, "func_id string, code string")
+def _functions(spark: SparkSession, d: str) -> DataFrame:
+    """(func_id, code): every user as a C function with a statement for each of the user's events, in order."""
+    events = table(spark, d, "events").select("user_id", "ts", "event_id", "event_type").join(frame(spark, list(STATEMENTS), "event_type string, code string"), "event_type")
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ts", "event_id", "code"))), lambda s: s["code"]), "\n")
+    made = events.groupBy("user_id").agg(body.alias("_b")).withColumn("func_id", F.col("user_id").cast("string"))
+    return made.select("func_id", F.concat(F.lit("int f_"), "func_id", F.lit("(int x)\n{\n  int y = 0, z = 0;\n"), "_b", F.lit("\n  return z;\n}\n")).alias("code"))
 
 
 def c_symbols(spark: SparkSession, d: str) -> DataFrame:
-    files = frame(spark, [("all.c", "\n".join(c for _, c in CODE))], "path string, text string")
+    """Definitions of one file for each user, with the lines they span."""
+    files = _functions(spark, d).select(F.concat("func_id", F.lit(".c")).alias("path"), F.col("code").alias("text"))
     return csource.functions(files).select("path", "kind", "name", "start_line", "end_line")
 
 
+C_SYMBOLS = f"SELECT func_id || '.c' AS path, 'function' AS kind, 'f_' || func_id AS name, CAST(1 AS INTEGER) AS start_line, CAST(len(string_split(code, chr(10))) - 1 AS INTEGER) AS end_line FROM {_FUNCTIONS}"
+
+
 def c_flow(spark: SparkSession, d: str) -> DataFrame:
-    return cfg.program_graphs(_functions(spark))[1]
+    return cfg.program_graphs(_functions(spark, d))[1]
+
+
+#: Statements lead to the next one, a condition also past what it guards, a return to the end.
+C_FLOW = f"""
+WITH ev AS (SELECT CAST(user_id AS VARCHAR) AS func_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
+part AS (SELECT func_id, 0 AS i, 0 AS k, 'plain' AS kind FROM ev GROUP BY 1
+  UNION ALL SELECT func_id, i, 0, CASE WHEN event_type IN ('purchase', 'error') THEN 'test' ELSE 'plain' END FROM ev
+  UNION ALL SELECT func_id, i, 1, CASE event_type WHEN 'error' THEN 'leave' ELSE 'plain' END FROM ev WHERE event_type IN ('purchase', 'error')
+  UNION ALL SELECT func_id, max(i) + 1, 0, 'leave' FROM ev GROUP BY 1),
+num AS (SELECT *, row_number() OVER (PARTITION BY func_id ORDER BY i, k) AS n FROM part),
+nx AS (SELECT *, min(n) FILTER (k = 0) OVER (PARTITION BY func_id ORDER BY n ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS after FROM num)
+SELECT func_id, 'ENTRY' AS src, 'n1' AS dst FROM nx WHERE n = 1
+UNION SELECT func_id, 'n' || n, 'n' || (n + 1) FROM nx WHERE kind = 'test'
+UNION SELECT func_id, 'n' || n, 'n' || after FROM nx WHERE kind <> 'leave'
+UNION SELECT func_id, 'n' || n, 'EXIT' FROM nx WHERE kind = 'leave'
+"""
 
 
 def c_dependence(spark: SparkSession, d: str) -> DataFrame:
-    return cfg.dependence(_functions(spark))
+    return cfg.dependence(_functions(spark, d))
 
 
 def c_slices(spark: SparkSession, d: str) -> DataFrame:
     """What decides the last statement of each function: its backward slice."""
-    nodes, _, _ = cfg.program_graphs(_functions(spark))
-    last = nodes.where("node like 'n%'").groupBy("func_id").agg(F.max_by("node", "line").alias("node"))
-    return graphs.slice_nodes(cfg.dependence(_functions(spark)), last.withColumn("vars", F.array().cast("array<string>")))
+    nodes, _, _ = cfg.program_graphs(_functions(spark, d))
+    last = nodes.where("node like 'n%'").groupBy("func_id").agg(F.max_by("node", F.struct("line", F.length("node"), "node")).alias("node"))
+    return graphs.slice_nodes(cfg.dependence(_functions(spark, d)), last.withColumn("vars", F.array().cast("array<string>")))
 
 
 def located_anchors(spark: SparkSession, d: str) -> DataFrame:
@@ -86,28 +110,31 @@ SELECT diff_id, hunk, CAST(batch AS INTEGER) AS batch FROM w
 
 
 def path_affinity(spark: SparkSession, d: str) -> DataFrame:
-    """How much of the first page's address each page shares."""
-    pages = table(spark, d, "pages")
-    first = pages.join(pages.agg(F.min("page_id").alias("page_id")), "page_id").select(F.col("url").alias("context"))
-    return pages.join(first, F.lit(True)).select("page_id", F.round(validate.path_affinity(F.col("url"), F.col("context")), 6).alias("affinity"))
+    """How much of the address of every fiftieth page each page shares."""
+    pages = table(spark, d, "pages").select("page_id", "url")
+    asked = pages.where("page_id % 50 = 0").select(F.col("page_id").alias("context_id"), F.col("url").alias("context"))
+    return pages.join(asked, F.lit(True)).select("context_id", "page_id", F.round(validate.path_affinity(F.col("url"), F.col("context")), 6).alias("affinity"))
 
 
 PATH_AFFINITY = """
-WITH c AS (SELECT url AS context FROM pages WHERE page_id = (SELECT min(page_id) FROM pages)),
-p AS (SELECT page_id, string_split(url, '/') AS x, string_split(context, '/') AS y FROM pages, c)
-SELECT page_id, round(len(list_filter(range(1, greatest(len(x), len(y)) + 1), lambda i: x[1:i] = y[1:i] AND i <= least(len(x), len(y)))) / greatest(len(x), len(y)), 6) AS affinity FROM p
+WITH c AS (SELECT page_id AS context_id, url AS context FROM pages WHERE page_id % 50 = 0),
+p AS (SELECT context_id, page_id, string_split(url, '/') AS x, string_split(context, '/') AS y FROM pages, c)
+SELECT context_id, page_id, round(len(list_filter(range(1, greatest(len(x), len(y)) + 1), lambda i: x[1:i] = y[1:i] AND i <= least(len(x), len(y)))) / greatest(len(x), len(y)), 6) AS affinity FROM p
 """
 
-GREP = [("HEAD:src/a.c:12:int f(void);",), ("HEAD:b.c:x:none",), ("v1:c.c:7:a:b",), ("no colons",)]
-
-
 def grep_lines(spark: SparkSession, d: str) -> DataFrame:
-    return validate.grep_lines(frame(spark, GREP, "raw string"))
+    """Every line of every document as a search prints it; a fifth of them without a number."""
+    rows = lookup.lines(table(spark, d, "documents"), "doc_id", "text").join(table(spark, d, "documents").select(F.col("doc_id").alias("unit_id"), "source"), "unit_id")
+    number = F.when(F.col("line_no") % 5 == 0, "none").otherwise(F.col("line_no").cast("string"))
+    return validate.grep_lines(rows.select(F.concat_ws(":", F.lit("HEAD"), "source", number, "line").alias("raw"))).groupBy("tree", "path", "line_no").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.length("content")).alias("n_chars")
+    )
 
 
-GREP_LINES = rf"""
-WITH p AS (SELECT regexp_extract(raw, '^([^:]*):([^:]*):([^:]*):(.*)$', ['tree', 'path', 'n', 'content']) AS r FROM {values_sql(GREP, 'raw')})
-SELECT r.tree AS tree, r.path AS path, TRY_CAST(r.n AS INTEGER) AS line_no, r.content AS content FROM p WHERE TRY_CAST(r.n AS INTEGER) IS NOT NULL
+GREP_LINES = r"""
+WITH l AS (SELECT source, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents),
+p AS (SELECT regexp_extract('HEAD:' || source || ':' || CASE WHEN n % 5 = 0 THEN 'none' ELSE CAST(n AS VARCHAR) END || ':' || line, '^([^:]*):([^:]*):([^:]*):(.*)$', ['tree', 'path', 'n', 'content']) AS r FROM l)
+SELECT r.tree AS tree, r.path AS path, TRY_CAST(r.n AS INTEGER) AS line_no, count(*) AS n, CAST(sum(length(r.content)) AS BIGINT) AS n_chars FROM p WHERE TRY_CAST(r.n AS INTEGER) IS NOT NULL GROUP BY ALL
 """
 
 
@@ -119,26 +146,28 @@ def first_values(spark: SparkSession, d: str) -> DataFrame:
 
 FIRST_VALUES = "SELECT conv_id, arg_min(role, turn) FILTER (role <> '') AS role, arg_min(text, turn) FILTER (text NOT IN ('', '0', '0.0')) AS text FROM conversations GROUP BY 1"
 
-PATCHES = [
-    (
-        "bound",
-        "int store(struct ring *r, int slot, int value)\n{\n  r->cell[slot] = value;\n  r->used++;\n  return 0;\n}\n",
-        "int store(struct ring *r, int slot, int value)\n{\n  if (slot >= r->limit)\n    return -1;\n  r->cell[slot] = value;\n  r->used++;\n  return 0;\n}\n",
-    )
-]
-SIBLINGS = [
-    (1, "int put(struct ring *ring, int slot, int value)\n{\n  ring->cell[slot] = value;\n  ring->used++;\n  return 0;\n}\n"),
-    (2, "int keep(struct ring *r, int slot, int value)\n{\n  if (slot >= r->limit)\n    return -1;\n  r->cell[slot] = value;\n  r->used++;\n  return 0;\n}\n"),
-    (3, "void report(int value)\n{\n  print(value);\n}\n"),
-]
+def _sentences(column: str):
+    """A text with a line for each sentence."""
+    return F.regexp_replace(column, r"\.[ \n]", ".\n")
 
 
 def match_patches(spark: SparkSession, d: str) -> DataFrame:
-    """A bounds check that one sibling lacks, one has, and one has no use for."""
-    found = matching.match(frame(spark, PATCHES, "group_id string, pre string, post string"), frame(spark, SIBLINGS, "unit_id int, code string"))
+    """Every benchmark passage as a patch, which takes its second sentence out and changes the end of the last one, looked
+    for in all documents, with the first words of the passage as an anchor. The 20 nearest documents are judged."""
+    passages = table(spark, d, "benchmark").select(F.col("item_id").alias("group_id"), _sentences("text").alias("pre"))
+    cut = F.split("pre", "\n")
+    post = F.concat_ws("\n", F.filter(cut, lambda x, i: i != 1), F.lit("and no more of it."))
+    patches = passages.withColumn("post", post)
+    anchors = passages.select("group_id", F.lit("pre").alias("side"), F.lit("opening").alias("anchor"), F.lit(1).alias("line_no"), F.substring(cut[0], 1, 40).alias("snippet"))
+    units = table(spark, d, "documents").select(F.col("doc_id").alias("unit_id"), _sentences("text").alias("code"))
+    found = matching.match(patches, units, anchors, 20)
     return found.select("group_id", "unit_id", "verdict", F.round("confidence", 6).alias("confidence"), "rank")
 
 
+def match_summary(spark: SparkSession, d: str) -> DataFrame:
+    return matching.summary(match_patches(spark, d))
+
+
 def line_mapping(spark: SparkSession, d: str) -> DataFrame:
     """Every turn's lines in the turn after it."""
     turns = table(spark, d, "conversations")
@@ -148,18 +177,18 @@ def line_mapping(spark: SparkSession, d: str) -> DataFrame:
 
 def typed_paths(spark: SparkSession, d: str) -> DataFrame:
     """From the first to the last node of each C function, along data and along control."""
-    nodes, _, _ = cfg.program_graphs(_functions(spark))
+    nodes, _, _ = cfg.program_graphs(_functions(spark, d))
     inner = nodes.where("node like 'n%'").groupBy("func_id")
-    ends = inner.agg(F.min_by("node", "line").alias("node")).withColumn("type", F.lit("source")).unionByName(inner.agg(F.max_by("node", "line").alias("node")).withColumn("type", F.lit("sink")))
+    ends = inner.agg(F.min_by("node", F.struct("line", F.length("node"), "node")).alias("node")).withColumn("type", F.lit("source")).unionByName(inner.agg(F.max_by("node", F.struct("line", F.length("node"), "node")).alias("node")).withColumn("type", F.lit("sink")))
     links = frame(spark, [(0, "source", "sink", "data"), (1, "source", "sink", "control")], "pos int, source string, target string, dependency string")
-    return mapping.typed_paths(cfg.dependence(_functions(spark)), ends, links)
+    return mapping.typed_paths(cfg.dependence(_functions(spark, d)), ends, links)
 
 
 QUERIES = {
     f.__name__: f
     for f in (
         c_symbols, c_flow, c_dependence, c_slices, located_anchors, duplicate_types, hunk_batches, path_affinity, grep_lines, first_values,
-        match_patches, line_mapping, typed_paths,
+        match_patches, match_summary, line_mapping, typed_paths,
     )
 }
 SQL = {name: globals()[name.upper()] for name in QUERIES if name.upper() in globals()}

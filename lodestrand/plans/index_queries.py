@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestrand.functions.text import ASCII_WORD, STOPWORDS, line_tokens, squeezed
+from lodestrand.functions.text import ASCII_WORD, DROPPED_MARKS, SPACE_CHARS, STOPWORDS, WORD_CHARS, line_tokens, squeezed
 from lodestrand.operators import lookup, ranges, search
 from lodestrand.sources.tables import table
 
@@ -136,20 +136,22 @@ FROM l JOIN hit ON l.unit_id = hit.unit_id AND n BETWEEN at_ - 2 AND at_ + 2
 
 
 def definition_ranking(spark: SparkSession, d: str) -> DataFrame:
-    """Pages by closeness to the first page's address."""
+    """For every fiftieth page the ten pages whose addresses are closest."""
     pages = table(spark, d, "pages").select("page_id", F.regexp_replace("url", r"[?#].*$", "").alias("path"))
-    context = pages.join(pages.agg(F.min("page_id").alias("page_id")), "page_id").select(F.col("path").alias("context"))
-    both = pages.join(context, F.lit(True))
-    return both.select("page_id", lookup.closeness(F.col("path"), F.col("context")).alias("score"), lookup.caller_distance(F.col("path"), F.col("context")).alias("distance"))
+    context = pages.where("page_id % 50 = 0").select(F.col("page_id").alias("context_id"), F.col("path").alias("context"))
+    both = pages.join(context, F.lit(True)).where("page_id <> context_id")
+    scored = both.select("context_id", "page_id", lookup.closeness(F.col("path"), F.col("context")).alias("score"), lookup.caller_distance(F.col("path"), F.col("context")).alias("distance"))
+    return lookup.closest(scored, "context_id", "page_id", 10)
 
 
 DEFINITION_RANKING = r"""
 WITH p AS (SELECT page_id, regexp_replace(url, '[?#].*$', '') AS path FROM pages),
-c AS (SELECT path AS context FROM p WHERE page_id = (SELECT min(page_id) FROM p)),
-b AS (SELECT page_id, path, context, regexp_replace(path, '/[^/]*$', '') AS d1, regexp_replace(context, '/[^/]*$', '') AS d2,
-             regexp_extract(path, '([^/.]*)[^/]*$', 1) AS s1, regexp_extract(context, '([^/.]*)[^/]*$', 1) AS s2 FROM p, c)
-SELECT page_id, CASE WHEN path = context THEN 100 WHEN d1 = d2 THEN 50 WHEN s1 = s2 THEN 40 ELSE 0 END AS score,
-       CASE WHEN path = context THEN 0 WHEN d1 = d2 THEN 1 ELSE 2 END AS distance FROM b
+c AS (SELECT page_id AS context_id, path AS context FROM p WHERE page_id % 50 = 0),
+b AS (SELECT context_id, page_id, path, context, regexp_replace(path, '/[^/]*$', '') AS d1, regexp_replace(context, '/[^/]*$', '') AS d2,
+             regexp_extract(path, '([^/.]*)[^/]*$', 1) AS s1, regexp_extract(context, '([^/.]*)[^/]*$', 1) AS s2 FROM p, c WHERE page_id <> context_id)
+SELECT context_id, page_id, CASE WHEN path = context THEN 100 WHEN d1 = d2 THEN 50 WHEN s1 = s2 THEN 40 ELSE 0 END AS score,
+       CASE WHEN path = context THEN 0 WHEN d1 = d2 THEN 1 ELSE 2 END AS distance, CAST(row_number() OVER (PARTITION BY context_id ORDER BY score DESC, distance, page_id) AS INTEGER) AS place FROM b
+QUALIFY place <= 10
 """
 
 
@@ -200,7 +202,7 @@ QUALIFY row_number() OVER (PARTITION BY conv_id, role ORDER BY turn) <= 20
 
 
 def changed_units(spark: SparkSession, d: str) -> DataFrame:
-    """Every turn as the new version of the turn before it: added, or changed once white space and comments are gone."""
+    """Every turn as the new version of the turn before it: added, or changed once white space is gone."""
     turns = table(spark, d, "conversations").select("conv_id", "turn", "text")
     old = turns.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("text").alias("old"))
     both = turns.join(old, ["conv_id", "turn"], "left")
@@ -216,9 +218,33 @@ WHERE o.text IS NULL OR regexp_replace(n.text, '\s+', '', 'g') <> regexp_replace
 
 
 def line_token_counts(spark: SparkSession, d: str) -> DataFrame:
-    """Ordered line tokens of every turn, joined by blanks (ASCII words)."""
-    turns = table(spark, d, "conversations")
-    return turns.select("conv_id", "turn", F.size(line_tokens(F.col("text"))).alias("n_tokens"))
+    """How many line tokens every turn has, and the first and last of them."""
+    made = table(spark, d, "conversations").select("conv_id", "turn", line_tokens(F.col("text")).alias("_t"))
+    return made.select("conv_id", "turn", F.size("_t").alias("n_tokens"), F.get("_t", F.lit(0)).alias("first"), F.get("_t", F.size("_t") - 1).alias("last"))
+
+
+_DROPPED = ", ".join(f"'{m}'" for m in DROPPED_MARKS)
+LINE_TOKEN_COUNTS = rf"""
+WITH bare AS (SELECT conv_id, turn, regexp_replace(regexp_replace(regexp_replace(text, '^\[\s*\d+\]', ''), '//[^\n]*', '', 'g'), '/\*[^\n]*?\*/', '', 'g') AS t FROM conversations),
+raw AS (SELECT conv_id, turn, unnest(r) AS t, generate_subscripts(r, 1) AS i FROM (SELECT conv_id, turn, regexp_extract_all(t, '->|[{WORD_CHARS}]+|[^{WORD_CHARS}{SPACE_CHARS}]') AS r FROM bare)),
+part AS (SELECT conv_id, turn, i, unnest(p) AS p, generate_subscripts(p, 1) AS j FROM (SELECT conv_id, turn, i, CASE WHEN regexp_matches(t, '^[{WORD_CHARS}]') THEN list_filter(string_split(t, '_'), lambda x: x <> '') ELSE [t] END AS p FROM raw)),
+piece AS (SELECT conv_id, turn, i, j, CASE WHEN regexp_matches(p, '[A-Za-z]|\p{{Nd}}') THEN regexp_extract_all(regexp_replace(p, '([A-Z])([A-Z][a-z])', '\1 \2', 'g'), '[A-Z]?[a-z]+|[A-Z]+|\p{{Nd}}+') ELSE [p] END AS q FROM part),
+tok AS (SELECT * FROM (SELECT conv_id, turn, i, j, lower(unnest(q)) AS t, generate_subscripts(q, 1) AS k FROM piece) WHERE t NOT IN ({_DROPPED}))
+SELECT conv_id, turn, CAST(count(t) AS INTEGER) AS n_tokens, arg_min(t, (i, j, k)) AS first, arg_max(t, (i, j, k)) AS last FROM conversations LEFT JOIN tok USING (conv_id, turn) GROUP BY 1, 2
+"""
+
+
+def grep_regex_page(spark: SparkSession, d: str) -> DataFrame:
+    """The first page of thirty lines that a regular expression matches."""
+    rows = lookup.lines(table(spark, d, "documents"), "doc_id", "text")
+    return lookup.grep_page(rows, r"[a-z]+tion[,.]", 0, 30, "regex").select("unit_id", "line_no", "method", "place", "total", "next_cursor")
+
+
+GREP_REGEX_PAGE = r"""
+WITH l AS (SELECT doc_id AS unit_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents),
+hit AS (SELECT unit_id, CAST(n AS INTEGER) AS line_no, row_number() OVER (ORDER BY unit_id, n) AS place, count(*) OVER () AS total FROM l WHERE regexp_matches(line, '[a-z]+tion[,.]'))
+SELECT unit_id, line_no, 'regex_match' AS method, CAST(place AS INTEGER) AS place, total, CASE WHEN total > 30 THEN 30 END AS next_cursor FROM hit WHERE place <= 30
+"""
 
 
 QUERIES = {
@@ -236,6 +262,7 @@ QUERIES = {
     "benchmark_lookup": benchmark_lookup,
     "changed_units": changed_units,
     "line_token_counts": line_token_counts,
+    "grep_regex_page": grep_regex_page,
 }
 SQL = {
     "token_topk": TOKEN_TOPK,
@@ -251,4 +278,6 @@ SQL = {
     "latest_start_asof": LATEST_START,
     "benchmark_lookup": BENCHMARK_LOOKUP,
     "changed_units": CHANGED_UNITS,
+    "line_token_counts": LINE_TOKEN_COUNTS,
+    "grep_regex_page": GREP_REGEX_PAGE,
 }

@@ -1,8 +1,9 @@
-"""Small literal tables that Spark and DuckDB read alike."""
+"""Small literal tables that Spark and DuckDB read alike, and inputs that several queries share."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 
 def values_sql(rows: list[tuple], columns: str) -> str:
@@ -22,3 +23,9 @@ def values_sql(rows: list[tuple], columns: str) -> str:
 
 def frame(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
     return spark.createDataFrame(rows, schema)
+
+
+def turn_pairs(turns: DataFrame) -> DataFrame:
+    """Every turn (conv_id, turn, role, text) that is followed by the next number, with next_role and next_text."""
+    order = Window.partitionBy("conv_id").orderBy("turn")
+    return turns.withColumns({"_t": F.lead("turn").over(order), "next_role": F.lead("role").over(order), "next_text": F.lead("text").over(order)}).where("_t = turn + 1").drop("_t")

@@ -2,23 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestrand.functions.text import line_tokens
 from lodestrand.operators import align, diffs, graphs, knowledge, rank, scoring, search, statements
 from lodestrand.plans import storage
-from lodestrand.plans.literals import frame, values_sql
+from lodestrand.plans.literals import frame, turn_pairs, values_sql
 from lodestrand.sources.tables import table
 
-DIFFS = [
-    (1, "@@ -10,4 +10,5 @@\n int area(int w, int h) {\n+  if (w < 0 || h < 0) return 0;\n   return w * h;\n }"),
-    (2, "@@ -3,3 +3,2 @@\n void stop(void) {\n-  release(lock);\n }"),
-    (3, "@@ -1,2 +1,2 @@\n-// old remark\n+// new remark\n start();\n@@ -20,2 +20,2 @@\n-  total += step;\n+  total += step * 2;\n end();"),
-    (4, "@@ -5,2 +5,4 @@\n head();\n+/* a note */\n+\n tail();"),
-    (5, "@@ -7,3 +7,3 @@\n-* body of a remark\n+*/\n+*value = 3;\n-  /* why */ call();\n next();"),
-]
-_DIFFS = values_sql(DIFFS, "diff_id, diff")
+#: Every turn with the one before it as a diff of two hunks: all its lines, some made into comments, and a note.
+_MADE = "CASE length(x) % 7 WHEN 0 THEN '// ' || x WHEN 1 THEN '/* ' || x || ' */' WHEN 2 THEN '* ' || x WHEN 3 THEN '' ELSE x END"
+_DIFFS = f"""(
+SELECT a.conv_id * 100000 + a.turn AS diff_id, '@@ -' || (10 * a.turn + 1) || ',9 +' || (10 * a.turn + 1) || ',9 @@' || chr(10) || ' ' || a.role || chr(10)
+  || array_to_string(list_transform(string_split(a.text, chr(10)), lambda x: '-' || {_MADE}), chr(10)) || chr(10) || array_to_string(list_transform(string_split(b.text, chr(10)), lambda x: '+' || {_MADE}), chr(10))
+  || chr(10) || '@@ -900,2 +900,2 @@' || chr(10) || '-// ' || a.role || chr(10) || '+// ' || b.role AS diff
+FROM conversations a JOIN conversations b ON b.conv_id = a.conv_id AND b.turn = a.turn + 1)"""
 _LINES = rf"""
 cut AS (SELECT diff_id, unnest(string_split(diff, chr(10))) AS line, generate_subscripts(string_split(diff, chr(10)), 1) AS i FROM {_DIFFS}),
 num AS (SELECT *, regexp_matches(line, '^@@ -') AS head, sum(CASE WHEN regexp_matches(line, '^@@ -') THEN 1 ELSE 0 END) OVER (PARTITION BY diff_id ORDER BY i) AS hunk FROM cut),
@@ -34,19 +33,27 @@ judged AS (SELECT *, trim(body) AS s, CASE WHEN trim(body) = '' OR starts_with(t
 """
 
 
-def _diffs(spark: SparkSession) -> DataFrame:
-    return frame(spark, DIFFS, "diff_id int, diff string")
+def _diffs(spark: SparkSession, d: str) -> DataFrame:
+    """The same as _DIFFS: a turn and the one behind it, brought together by one window."""
+    rows = table(spark, d, "conversations").select("conv_id", "turn", "role", "text")
+    both = turn_pairs(rows)
+    made = lambda x: F.when(F.length(x) % 7 == 0, F.concat(F.lit("// "), x)).when(F.length(x) % 7 == 1, F.concat(F.lit("/* "), x, F.lit(" */"))).when(F.length(x) % 7 == 2, F.concat(F.lit("* "), x)).when(F.length(x) % 7 == 3, "").otherwise(x)
+    signed = lambda c, sign: F.array_join(F.transform(F.split(c, "\n"), lambda x: F.concat(F.lit(sign), made(x))), "\n")
+    at = (10 * F.col("turn") + 1).cast("string")
+    head = F.concat(F.lit("@@ -"), at, F.lit(",9 +"), at, F.lit(",9 @@\n "), "role")
+    tail = F.concat(F.lit("@@ -900,2 +900,2 @@\n-// "), "role", F.lit("\n+// "), "next_role")
+    return both.select((F.col("conv_id") * 100000 + F.col("turn")).alias("diff_id"), F.concat_ws("\n", head, signed("text", "-"), signed("next_text", "+"), tail).alias("diff"))
 
 
 def noise_hunks(spark: SparkSession, d: str) -> DataFrame:
-    return diffs.noise_hunks(diffs.hunk_lines(_diffs(spark), "diff_id", "diff"))
+    return diffs.noise_hunks(diffs.hunk_lines(_diffs(spark, d), "diff_id", "diff"))
 
 
 NOISE_HUNKS = f"WITH {_LINES} SELECT diff_id, CAST(hunk AS BIGINT) AS hunk, bool_and(noise OR sign NOT IN ('+', '-')) AS noise FROM judged GROUP BY 1, 2"
 
 
 def diff_line_walk(spark: SparkSession, d: str) -> DataFrame:
-    return diffs.changed_lines(diffs.hunk_lines(_diffs(spark), "diff_id", "diff"))
+    return diffs.changed_lines(diffs.hunk_lines(_diffs(spark, d), "diff_id", "diff"))
 
 
 DIFF_LINE_WALK = f"""
@@ -56,7 +63,7 @@ FROM judged WHERE sign IN ('+', '-') AND NOT noise
 
 
 def patch_neighbourhood(spark: SparkSession, d: str) -> DataFrame:
-    return diffs.neighbourhood(diffs.changed_lines(diffs.hunk_lines(_diffs(spark), "diff_id", "diff")))
+    return diffs.neighbourhood(diffs.changed_lines(diffs.hunk_lines(_diffs(spark, d), "diff_id", "diff")))
 
 
 PATCH_NEIGHBOURHOOD = f"""
@@ -66,7 +73,7 @@ SELECT DISTINCT diff_id, CAST(n + k AS INTEGER) AS line_no FROM c, (VALUES (-2),
 
 
 def cleaned_diffs(spark: SparkSession, d: str) -> DataFrame:
-    return diffs.cleaned(diffs.hunk_lines(_diffs(spark), "diff_id", "diff"))
+    return diffs.cleaned(diffs.hunk_lines(_diffs(spark, d), "diff_id", "diff"))
 
 
 CLEANED_DIFFS = f"""
@@ -76,7 +83,7 @@ SELECT diff_id, string_agg(sign || body, chr(10) ORDER BY i) AS text FROM judged
 
 
 def primary_version(spark: SparkSession, d: str) -> DataFrame:
-    return diffs.primary_version(_diffs(spark), "diff_id", "diff")
+    return diffs.primary_version(_diffs(spark, d), "diff_id", "diff")
 
 
 PRIMARY_VERSION = f"""
@@ -85,32 +92,44 @@ n AS (SELECT diff_id, count(*) FILTER (starts_with(line, '+') AND NOT starts_wit
 SELECT diff_id, CAST(a AS INTEGER) AS added, CAST(r AS INTEGER) AS removed, CASE WHEN r > 0 AND a = 0 THEN 'OLD' ELSE 'NEW' END AS version FROM n
 """
 
-IDS = [("CWE-787",), ("CWE-190: wraps",), ("416",), (" 362 ",), ("CWE-9999",), ("none",), (None,)]
+_IDS = "(SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN 'CWE-' || p_partkey % 1000 WHEN 1 THEN 'CWE-' || p_partkey % 500 || ': ' || p_name WHEN 2 THEN CAST(p_partkey % 500 AS VARCHAR) WHEN 3 THEN ' ' || p_partkey % 500 || ' ' WHEN 4 THEN p_name END AS raw FROM part)"
 
 
 def cwe_category(spark: SparkSession, d: str) -> DataFrame:
-    return knowledge.classify(frame(spark, IDS, "raw string"), spark, "raw").select("raw", F.coalesce("cwe", F.lit(-1)).alias("cwe"), "category", "major", "is_numeric")
+    """Every part with an identifier of a weakness, in one of the forms that they are written in."""
+    key = F.col("p_partkey")
+    small = (key % 500).cast("string")
+    raw = F.when(key % 6 == 0, F.concat(F.lit("CWE-"), (key % 1000).cast("string"))).when(key % 6 == 1, F.concat(F.lit("CWE-"), small, F.lit(": "), "p_name")).when(key % 6 == 2, small)
+    raw = raw.when(key % 6 == 3, F.concat(F.lit(" "), small, F.lit(" "))).when(key % 6 == 4, F.col("p_name"))
+    found = knowledge.classify(table(spark, d, "part").select("p_partkey", raw.alias("raw")), spark, "raw")
+    return found.select("p_partkey", "raw", F.coalesce("cwe", F.lit(-1)).alias("cwe"), "category", "major", "is_numeric")
 
 
 CWE_CATEGORY = rf"""
-WITH i AS (SELECT raw, coalesce(TRY_CAST(nullif(regexp_extract(raw, 'CWE-(\d+)', 1), '') AS INTEGER), TRY_CAST(nullif(regexp_extract(raw, '^\s*(\d+)\s*$', 1), '') AS INTEGER)) AS cwe FROM {values_sql(IDS, 'raw')}),
-c AS (SELECT i.raw, i.cwe, coalesce(w.category, 'Unknown') AS category FROM i LEFT JOIN (SELECT * FROM {values_sql(list(knowledge.CWE), 'cwe, category')}) w USING (cwe))
-SELECT raw, coalesce(cwe, -1) AS cwe, category, major, major = 'Numeric-Domain' AS is_numeric FROM c LEFT JOIN (SELECT * FROM {values_sql(list(knowledge.CATEGORIES), 'category, major')}) m USING (category)
+WITH i AS (SELECT p_partkey, raw, coalesce(TRY_CAST(nullif(regexp_extract(raw, 'CWE-(\d+)', 1), '') AS INTEGER), TRY_CAST(nullif(regexp_extract(raw, '^\s*(\d+)\s*$', 1), '') AS INTEGER)) AS cwe FROM {_IDS}),
+c AS (SELECT i.p_partkey, i.raw, i.cwe, coalesce(w.category, 'Unknown') AS category FROM i LEFT JOIN (SELECT * FROM {values_sql(list(knowledge.CWE), 'cwe, category')}) w USING (cwe))
+SELECT p_partkey, raw, coalesce(cwe, -1) AS cwe, category, major, major = 'Numeric-Domain' AS is_numeric FROM c LEFT JOIN (SELECT * FROM {values_sql(list(knowledge.CATEGORIES), 'category, major')}) m USING (category)
 """
 
-NAMES = [("Double Free",), ("double free ",), ("Heap Buffer Overflow in parser",), ("Overflow",), ("bounds",), ("Nothing like it",), ("Memory",)]
+_POS = [(i, c) for i, (c, _) in enumerate(knowledge.CATEGORIES)]
+_CATS = f"(SELECT * FROM {values_sql(_POS, 'pos, category')})"
+_NAMES = f"""(SELECT DISTINCT CASE p_partkey % 5 WHEN 0 THEN c.category WHEN 1 THEN lower(c.category) || ' ' WHEN 2 THEN c.category || ' in ' || p_name WHEN 3 THEN split_part(c.category, ' ', 1) ELSE p_name END AS name
+  FROM part JOIN {_CATS} c ON c.pos = p_partkey % {len(_POS)})"""
 
 
 def category_resolution(spark: SparkSession, d: str) -> DataFrame:
-    return knowledge.resolve(frame(spark, NAMES, "name string"), spark, "name").select("name", "category", F.coalesce("rule", F.lit(0)).alias("rule"))
+    """Names that parts give to categories: exact, in other case, as a part of more, and none."""
+    key, of = F.col("p_partkey"), F.col("category")
+    known = knowledge.categories(spark).select(F.col("pos").alias("_pos"), "category")
+    both = table(spark, d, "part").withColumn("_pos", (key % len(_POS)).cast("int")).join(known, "_pos")
+    name = F.when(key % 5 == 0, of).when(key % 5 == 1, F.concat(F.lower(of), F.lit(" "))).when(key % 5 == 2, F.concat(of, F.lit(" in "), "p_name")).when(key % 5 == 3, F.substring_index(of, " ", 1)).otherwise(F.col("p_name"))
+    return knowledge.resolve(both.select(name.alias("name")).distinct(), spark, "name").select("name", "category", F.coalesce("rule", F.lit(0)).alias("rule"))
 
 
-_POS = [(i, c) for i, (c, _) in enumerate(knowledge.CATEGORIES)]
 CATEGORY_RESOLUTION = f"""
-WITH b AS (SELECT name, category, pos, CASE WHEN name = category THEN 1 WHEN lower(trim(name)) = lower(category) THEN 2
-      WHEN contains(lower(trim(name)), lower(category)) OR contains(lower(category), lower(trim(name))) THEN 3 END AS rule
-  FROM (SELECT * FROM {values_sql(NAMES, 'name')}) n, (SELECT * FROM {values_sql(_POS, 'pos, category')}) c)
-SELECT name, coalesce(category, 'Unknown') AS category, coalesce(rule, 0) AS rule FROM (SELECT n.name, b.category, b.rule, b.pos FROM (SELECT * FROM {values_sql(NAMES, 'name')}) n LEFT JOIN b ON n.name = b.name AND b.rule IS NOT NULL)
+WITH n AS (SELECT * FROM {_NAMES}), b AS (SELECT name, category, pos, CASE WHEN name = category THEN 1 WHEN lower(trim(name)) = lower(category) THEN 2
+      WHEN contains(lower(trim(name)), lower(category)) OR contains(lower(category), lower(trim(name))) THEN 3 END AS rule FROM n, {_CATS} c)
+SELECT name, coalesce(category, 'Unknown') AS category, coalesce(rule, 0) AS rule FROM (SELECT n.name, b.category, b.rule, b.pos FROM n LEFT JOIN b ON n.name = b.name AND b.rule IS NOT NULL)
 QUALIFY row_number() OVER (PARTITION BY name ORDER BY rule NULLS LAST, pos) = 1
 """
 
@@ -149,24 +168,27 @@ def align_scores(spark: SparkSession, d: str) -> DataFrame:
     pairs = _pairs(spark, d).withColumns(
         {"line_nos": F.transform("slice", lambda x, i: i + 1), "tags": F.transform("slice", lambda x: F.lit("VULN"))}
     )
-    trace = align.align_pairs(pairs).withColumns({"side": F.lit("pre"), "is_header": F.lit(False)})
-    return scoring.trace_scores(trace).select("pair_id", F.round("score", 6).alias("score"), F.round("score_feat", 6).alias("score_feat"))
+    trace = align.align_pairs(pairs).withColumn("side", F.lit("pre"))
+    return scoring.trace_scores(trace, F.col("similarity") * F.col("decay")).select("pair_id", F.round("score", 6).alias("score"), F.round("score_feat", 6).alias("score_feat"))
 
 
-TRACE = [
-    (1, "pre", 1, 4, 1.0, "COMMON", False), (1, "pre", 2, 6, 0.5, "VULN", False), (1, "post", 1, 4, 1.0, "COMMON", False), (1, "post", 2, 5, 0.9, "FIX", False),
-    (2, "pre", 1, 3, 0.0, "COMMON", True), (2, "pre", 2, 0, 1.0, "VULN", False), (2, "post", 1, 8, 0.25, "COMMON", False),
-    (3, "pre", 7, 10, 0.75, "VULN", False), (3, "pre", 8, 2, 0.0, "COMMON", False), (3, "post", 7, 9, 1.0, "COMMON", False),
-]
-ANCHORS = [(1, "pre", "alloc", 2), (1, "pre", "use", 9), (1, "post", "alloc", 2), (3, "pre", "use", 7), (2, "pre", "use", -1)]
-_TRACE, _ANCHORS = values_sql(TRACE, "pair_id, side, orig_line, tokens, similarity, tag, is_header"), values_sql(ANCHORS, "pair_id, side, anchor, line_no")
+_TRACE = """(SELECT l_orderkey AS pair_id, CASE l_linestatus WHEN 'O' THEN 'pre' ELSE 'post' END AS side, l_linenumber AS orig_line, CAST(l_quantity AS INTEGER) AS tokens, round(l_discount * 10, 2) AS similarity,
+  CASE l_returnflag WHEN 'N' THEN 'COMMON' WHEN 'R' THEN 'VULN' ELSE 'FIX' END AS tag, l_linenumber = 7 AS is_header FROM lineitem) AS t"""
+_ANCHORS = """(SELECT l_orderkey AS pair_id, CASE l_linestatus WHEN 'O' THEN 'pre' ELSE 'post' END AS side, 'a' || l_partkey % 3 AS anchor, CASE WHEN l_tax > 0.06 THEN -1 ELSE l_linenumber + l_suppkey % 2 END AS line_no FROM lineitem) AS a"""
 
 
 def score_from_trace(spark: SparkSession, d: str) -> DataFrame:
-    trace = frame(spark, TRACE, "pair_id int, side string, orig_line int, tokens int, similarity double, tag string, is_header boolean")
-    anchors = frame(spark, ANCHORS, "pair_id int, side string, anchor string, line_no int")
+    """Orders as pairs: a line's status is its side, its discount a similarity and its quantity the tokens."""
+    rows = table(spark, d, "lineitem").withColumns({"pair_id": F.col("l_orderkey"), "side": F.when(F.col("l_linestatus") == "O", "pre").otherwise("post")})
+    flag = F.col("l_returnflag")
+    trace = rows.select(
+        "pair_id", "side", F.col("l_linenumber").alias("orig_line"), F.col("l_quantity").cast("int").alias("tokens"), F.round(F.col("l_discount") * 10, 2).alias("similarity"),
+        F.when(flag == "N", "COMMON").when(flag == "R", "VULN").otherwise("FIX").alias("tag"), (F.col("l_linenumber") == 7).alias("is_header"),
+    )
+    line = F.when(F.col("l_tax") > 0.06, -1).otherwise(F.col("l_linenumber") + F.col("l_suppkey") % 2).cast("int")
+    anchors = rows.select("pair_id", "side", F.concat(F.lit("a"), (F.col("l_partkey") % 3).cast("string")).alias("anchor"), line.alias("line_no"))
     both = scoring.trace_scores(trace).join(scoring.anchor_scores(trace, anchors), ["pair_id", "side"])
-    six = lambda c: F.round(c, 6)
+    six = lambda c: F.round((F.col(c) if isinstance(c, str) else c) + 1e-9, 6)
     return both.select("pair_id", "side", six("score").alias("score"), six("score_feat").alias("score_feat"), six("anchor_score").alias("anchor_score"), six(scoring.total(F.col("score"), F.col("anchor_score"))).alias("total"))
 
 
@@ -176,40 +198,44 @@ s AS (SELECT pair_id, side, coalesce(sum(tokens * similarity) FILTER (NOT is_hea
        coalesce(sum(tokens * similarity) FILTER (NOT is_header AND tag <> 'COMMON') / nullif(sum(tokens) FILTER (NOT is_header AND tag <> 'COMMON'), 0), 0.0) AS score_feat FROM t GROUP BY 1, 2),
 b AS (SELECT a.pair_id, a.side, anchor, coalesce(max(similarity), 0.0) AS m FROM a LEFT JOIN t ON a.pair_id = t.pair_id AND a.side = t.side AND a.line_no = t.orig_line GROUP BY 1, 2, 3),
 c AS (SELECT pair_id, side, avg(m) AS anchor_score FROM b GROUP BY 1, 2)
-SELECT s.pair_id, s.side, round(score, 6) AS score, round(score_feat, 6) AS score_feat, round(coalesce(anchor_score, 1.0), 6) AS anchor_score, round(0.5 * score + 0.5 * coalesce(anchor_score, 1.0), 6) AS total
+SELECT s.pair_id, s.side, round(score + 1e-9, 6) AS score, round(score_feat + 1e-9, 6) AS score_feat, round(coalesce(anchor_score, 1.0) + 1e-9, 6) AS anchor_score,
+  round(0.5 * score + 0.5 * coalesce(anchor_score, 1.0) + 1e-9, 6) AS total
 FROM s LEFT JOIN c ON s.pair_id = c.pair_id AND s.side = c.side
 """
 
-TOTALS = [
-    (1, 0.39, 0.9, None, 0.95, 0.5), (2, 0.4, 0.7, None, 0.9, 0.5), (3, 0.8, 0.7, None, 0.89, 0.5), (4, 0.8, 0.6, 0.39, None, 0.5), (5, 0.8, 0.6, 0.4, None, 0.5),
-    (6, 0.7, 0.71, 0.5, 0.5, 0.5), (7, 0.7, 0.7, 0.5, 0.5, 0.5), (8, 0.9, 0.9, None, None, 0.66),
-]
+_TOTALS = """(SELECT l_orderkey, l_linenumber, round(l_discount * 10, 2) AS total_vuln, round(l_tax * 10, 2) AS total_fix, CASE WHEN l_returnflag <> 'N' THEN round(l_quantity / 50, 2) END AS feat_vuln,
+  CASE WHEN l_linestatus = 'O' THEN round(l_quantity / 50, 2) END AS feat_fix, 0.5 AS score_ctx FROM lineitem)"""
 
 
 def verdicts(spark: SparkSession, d: str) -> DataFrame:
-    rows = frame(spark, TOTALS, "pair_id int, total_vuln double, total_fix double, feat_vuln double, feat_fix double, score_ctx double")
-    return scoring.verdict(rows).select("pair_id", "verdict", F.round("confidence", 6).alias("confidence"))
+    """Order lines as candidates: discount and tax as totals, quantities as what the changed lines score."""
+    share = F.round(F.col("l_quantity") / 50, 2)
+    rows = table(spark, d, "lineitem").select(
+        "l_orderkey", "l_linenumber", F.round(F.col("l_discount") * 10, 2).alias("total_vuln"), F.round(F.col("l_tax") * 10, 2).alias("total_fix"),
+        F.when(F.col("l_returnflag") != "N", share).alias("feat_vuln"), F.when(F.col("l_linestatus") == "O", share).alias("feat_fix"), F.lit(0.5).alias("score_ctx"),
+    )
+    return scoring.verdict(rows).select("l_orderkey", "l_linenumber", "verdict", F.round("confidence", 6).alias("confidence"))
 
 
 VERDICTS = f"""
 WITH r AS (SELECT *, CASE WHEN total_vuln < 0.4 THEN 'MISMATCH' WHEN feat_fix IS NOT NULL AND feat_vuln IS NULL THEN CASE WHEN feat_fix >= 0.9 THEN 'PATCHED' ELSE 'VULNERABLE' END
   WHEN feat_vuln IS NOT NULL AND feat_fix IS NULL THEN CASE WHEN feat_vuln < 0.4 THEN 'PATCHED' ELSE 'VULNERABLE' END
   WHEN feat_vuln IS NOT NULL THEN CASE WHEN total_fix > total_vuln THEN 'PATCHED' ELSE 'VULNERABLE' END ELSE 'UNKNOWN' END AS verdict
-  FROM {values_sql(TOTALS, 'pair_id, total_vuln, total_fix, feat_vuln, feat_fix, score_ctx')})
-SELECT pair_id, verdict, CAST(round(CASE verdict WHEN 'MISMATCH' THEN 1 - total_vuln WHEN 'PATCHED' THEN total_fix WHEN 'UNKNOWN' THEN score_ctx ELSE total_vuln END, 6) AS DOUBLE) AS confidence FROM r
+  FROM {_TOTALS})
+SELECT l_orderkey, l_linenumber, verdict, CAST(round(CASE verdict WHEN 'MISMATCH' THEN 1 - total_vuln WHEN 'PATCHED' THEN total_fix WHEN 'UNKNOWN' THEN score_ctx ELSE total_vuln END, 6) AS DOUBLE) AS confidence FROM r
 """
 
-FACTS = [(i, *(bool(i >> b & 1) for b in range(5))) for i in range(32)]
+_FACTS = {"consistent": "l_quantity > 5", "reachable": "l_discount > 0.01", "in_scope": "l_tax < 0.07", "blocked": "l_linenumber = 3", "vulnerable": "l_returnflag <> 'N'"}
 
 
 def final_verdicts(spark: SparkSession, d: str) -> DataFrame:
-    rows = frame(spark, FACTS, "id int, consistent boolean, reachable boolean, in_scope boolean, blocked boolean, vulnerable boolean")
-    return scoring.final_verdict(rows).select("id", "verdict")
+    rows = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", *(F.expr(rule).alias(name) for name, rule in _FACTS.items()))
+    return scoring.final_verdict(rows).select("l_orderkey", "l_linenumber", "verdict")
 
 
 FINAL_VERDICTS = f"""
-SELECT id, CASE WHEN NOT consistent THEN 'SAFE-Mismatch' WHEN NOT reachable THEN 'SAFE-Unreachable' WHEN NOT in_scope THEN 'SAFE-OutOfScope' WHEN blocked THEN 'SAFE-Blocked'
-  WHEN vulnerable THEN 'VULNERABLE' ELSE 'SAFE-Unknown' END AS verdict FROM {values_sql(FACTS, 'id, consistent, reachable, in_scope, blocked, vulnerable')}
+SELECT l_orderkey, l_linenumber, CASE WHEN NOT consistent THEN 'SAFE-Mismatch' WHEN NOT reachable THEN 'SAFE-Unreachable' WHEN NOT in_scope THEN 'SAFE-OutOfScope' WHEN blocked THEN 'SAFE-Blocked'
+  WHEN vulnerable THEN 'VULNERABLE' ELSE 'SAFE-Unknown' END AS verdict FROM (SELECT l_orderkey, l_linenumber, {', '.join(f'{rule} AS {name}' for name, rule in _FACTS.items())} FROM lineitem)
 """
 
 
@@ -274,23 +300,34 @@ def peer_join(spark: SparkSession, d: str) -> DataFrame:
     return rank.peers(table(spark, d, "lineitem").select("l_orderkey", "l_partkey"), "l_orderkey", "l_partkey")
 
 
-PEER_JOIN = "SELECT DISTINCT a.l_orderkey, a.l_partkey, b.l_partkey AS peer FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_partkey <> b.l_partkey"
+PEER_JOIN = """
+SELECT l_orderkey, l_partkey, peer FROM (SELECT DISTINCT a.l_orderkey, a.l_partkey, b.l_partkey AS peer FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_partkey <> b.l_partkey)
+QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_partkey ORDER BY peer) <= 200
+"""
+
+#: Parts as patches: brand and size are a file, a name and a price class a function.
+_PATCHES = "(SELECT p_partkey AS id, p_brand || '/' || p_size AS file, p_name || ' ' || p_partkey // 40 AS func FROM part)"
+_CALLS = "(SELECT l_partkey AS a, p_name || ' ' || p_partkey // 40 AS callee FROM lineitem JOIN part ON p_partkey = l_suppkey * 7 WHERE l_quantity >= 49)"
+_MEMBERS = "(SELECT p_partkey AS id, p_type AS member FROM part)"
+
 
-PATCHES = [(1, "a.c", "open"), (2, "a.c", "read"), (3, "b.c", "read"), (4, "b.c", "shut"), (5, "c.c", "shut"), (6, "c.c", "walk"), (7, "d.c", "lone"), (8, "a.c", "peek")]
-CALLS = [(1, "read"), (4, "read"), (6, "shut"), (6, "lone"), (7, "read")]
-MEMBERS = [(2, "len"), (8, "len"), (4, "cap"), (5, "cap"), (3, "cap")]
+def _patches(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Patches, their calls and the members they use, as in _PATCHES, _CALLS and _MEMBERS."""
+    parts, func = table(spark, d, "part"), F.concat_ws(" ", "p_name", F.floor(F.col("p_partkey") / 40).cast("string"))
+    patches = parts.select(F.col("p_partkey").alias("id"), F.concat_ws("/", "p_brand", "p_size").alias("file"), func.alias("func"))
+    some = table(spark, d, "lineitem").where("l_quantity >= 49").select(F.col("l_partkey").alias("a"), (F.col("l_suppkey") * 7).alias("p_partkey"))
+    return patches, some.join(parts.select("p_partkey", func.alias("callee")), "p_partkey").select("a", "callee"), parts.select(F.col("p_partkey").alias("id"), F.col("p_type").alias("member"))
 
 
 def patch_components(spark: SparkSession, d: str) -> DataFrame:
-    patches = frame(spark, PATCHES, "id int, file string, func string")
-    calls = graphs.call_edges(patches, frame(spark, CALLS, "a int, callee string"))
-    shared = graphs.shared_member_edges(patches, frame(spark, MEMBERS, "id int, member string"), calls)
-    return graphs.components(patches.select("id"), calls.unionAll(shared))
+    patches, made, members = _patches(spark, d)
+    calls = graphs.call_edges(patches, made)
+    return graphs.components(patches.select("id"), calls.unionAll(graphs.shared_member_edges(patches, members, calls)))
 
 
 PATCH_COMPONENTS = f"""
-WITH RECURSIVE p AS (SELECT * FROM {values_sql(PATCHES, 'id, file, func')}), c AS (SELECT * FROM {values_sql(CALLS, 'a, callee')}), mb AS (SELECT * FROM {values_sql(MEMBERS, 'id, member')}),
-m AS (SELECT c.a, q.id AS b, q.file = o.file AS same, max(q.file = o.file) OVER (PARTITION BY c.a, c.callee) AS near, count(*) OVER (PARTITION BY c.a, c.callee) AS files
+WITH RECURSIVE p AS (SELECT * FROM {_PATCHES}), c AS (SELECT DISTINCT * FROM {_CALLS}), mb AS (SELECT * FROM {_MEMBERS}),
+m AS (SELECT c.a, q.id AS b, q.file = o.file AS same, max(q.file = o.file) OVER (PARTITION BY c.a, c.callee) AS near, count(DISTINCT q.file) OVER (PARTITION BY c.a, c.callee) AS files
       FROM c JOIN p o ON o.id = c.a JOIN p q ON q.func = c.callee),
 e AS (SELECT a, b FROM m WHERE (near AND same) OR (NOT near AND files = 1)
       UNION SELECT x.id, y.id FROM mb x JOIN mb y ON x.member = y.member AND x.id <> y.id JOIN p px ON px.id = x.id JOIN p py ON py.id = y.id AND px.file = py.file),
@@ -301,23 +338,36 @@ SELECT id, min(other) AS component FROM r GROUP BY 1
 
 
 def patch_groups(spark: SparkSession, d: str) -> DataFrame:
-    patches = frame(spark, PATCHES, "id int, file string, func string")
+    """Components cut so that no two patches of one function are together."""
+    patches = _patches(spark, d)[0]
     same = patches.alias("x").join(patches.alias("y"), F.expr("x.func = y.func and x.id < y.id")).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
     return graphs.patch_groups(patch_components(spark, d), patches, same)
 
 
-FLOW = [("f", a, b) for a, b in (("ENTRY", "n1"), ("n1", "n2"), ("n2", "n3"), ("n2", "n6"), ("n3", "n4"), ("n3", "n5"), ("n4", "n2"), ("n5", "n2"), ("n6", "EXIT"))] + [
-    ("g", a, b) for a, b in (("ENTRY", "m1"), ("m1", "m2"), ("m1", "m3"), ("m2", "m4"), ("m3", "m4"), ("m4", "EXIT"))
-]
-ACCESSES = [
-    ("f", "n1", "x", "def"), ("f", "n2", "x", "use"), ("f", "n4", "x", "def"), ("f", "n4", "x", "use"), ("f", "n5", "y", "def"), ("f", "n6", "y", "use"), ("f", "n6", "x", "use"),
-    ("g", "m1", "p", "def"), ("g", "m2", "p", "def"), ("g", "m3", "p", "use"), ("g", "m4", "p", "use"),
-]
-_FLOW, _ACCESSES = values_sql(FLOW, "func_id, src, dst"), values_sql(ACCESSES, "func_id, node, var, access")
+#: Every user as a function: kinds of events are nodes, and an event leads to the user's next one.
+_FLOW = """(SELECT DISTINCT func_id, src, dst FROM (
+  SELECT CAST(user_id AS VARCHAR) AS func_id, coalesce(lag(event_type) OVER w, 'ENTRY') AS src, event_type AS dst FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)
+  UNION ALL SELECT CAST(user_id AS VARCHAR), event_type, 'EXIT' FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events) WHERE n = 1))"""
+#: What kinds of events define and use.
+ACCESSES = [("signup", "session", "def"), ("click", "session", "use"), ("click", "cart", "def"), ("view", "item", "def"), ("purchase", "cart", "use"), ("purchase", "item", "use"), ("error", "session", "def"), ("error", "item", "use")]
+_ACCESSES = f"(SELECT DISTINCT CAST(user_id AS VARCHAR) AS func_id, node, var, access FROM events JOIN (SELECT * FROM {values_sql(ACCESSES, 'node, var, access')}) ON node = event_type)"
+
+
+def _flow(spark: SparkSession, d: str) -> DataFrame:
+    events = table(spark, d, "events").select(F.col("user_id").cast("string").alias("func_id"), "event_type", "ts", "event_id")
+    order = Window.partitionBy("func_id").orderBy("ts", "event_id")
+    steps = events.select("func_id", F.lag("event_type").over(order).alias("src"), F.col("event_type").alias("dst"), F.lead("event_type").over(order).alias("_next"))
+    inner = steps.select("func_id", F.coalesce("src", F.lit("ENTRY")).alias("src"), "dst")
+    return inner.unionAll(steps.where("_next is null").select("func_id", "dst", F.lit("EXIT"))).distinct()
+
+
+def _accesses(spark: SparkSession, d: str) -> DataFrame:
+    kinds = table(spark, d, "events").select(F.col("user_id").cast("string").alias("func_id"), F.col("event_type").alias("node")).distinct()
+    return kinds.join(frame(spark, ACCESSES, "node string, var string, access string"), "node").select("func_id", "node", "var", "access")
 
 
 def reaching_definitions(spark: SparkSession, d: str) -> DataFrame:
-    return graphs.reaching_definitions(frame(spark, FLOW, "func_id string, src string, dst string"), frame(spark, ACCESSES, "func_id string, node string, var string, access string"))
+    return graphs.reaching_definitions(_flow(spark, d), _accesses(spark, d))
 
 
 REACHING_DEFINITIONS = f"""
@@ -330,54 +380,73 @@ SELECT r.func_id, r.var, r.def_node, r.node AS use_node FROM r JOIN ac u ON u.fu
 
 
 def control_dependence(spark: SparkSession, d: str) -> DataFrame:
-    return graphs.control_dependence(frame(spark, FLOW, "func_id string, src string, dst string"))
+    return graphs.control_dependence(_flow(spark, d))
 
 
-PAIRS = [("f", "n1", "n6"), ("f", "n4", "n4"), ("f", "n6", "n1"), ("g", "m2", "m3"), ("g", "ENTRY", "EXIT")]
+CONTROL_DEPENDENCE = f"""
+WITH RECURSIVE fl AS (SELECT * FROM {_FLOW}), nd AS (SELECT func_id, src AS node FROM fl UNION SELECT func_id, dst FROM fl),
+around AS (SELECT func_id, node AS d, 'EXIT' AS node FROM nd WHERE node <> 'EXIT'
+  UNION SELECT r.func_id, r.d, fl.src FROM around r JOIN fl ON fl.func_id = r.func_id AND fl.dst = r.node WHERE fl.src <> r.d),
+post AS (SELECT a.func_id, a.node AS node, b.node AS d FROM nd a JOIN nd b ON a.func_id = b.func_id
+  WHERE a.node = b.node OR (a.node <> 'EXIT' AND NOT EXISTS (SELECT 1 FROM around r WHERE r.func_id = a.func_id AND r.d = b.node AND r.node = a.node)))
+SELECT DISTINCT fl.func_id, fl.src, p.d AS dst FROM fl JOIN post p ON p.func_id = fl.func_id AND p.node = fl.dst
+WHERE p.d = fl.src OR NOT EXISTS (SELECT 1 FROM post q WHERE q.func_id = fl.func_id AND q.node = fl.src AND q.d = p.d)
+"""
+
+_PAIRS = "(SELECT func_id, a.node AS source, b.node AS target FROM (SELECT func_id, src AS node FROM fl UNION SELECT func_id, dst FROM fl) a JOIN (SELECT func_id, src AS node FROM fl UNION SELECT func_id, dst FROM fl) b USING (func_id))"
 
 
 def pair_reachability(spark: SparkSession, d: str) -> DataFrame:
-    found = graphs.pair_reachability(frame(spark, FLOW, "func_id string, src string, dst string"), frame(spark, PAIRS, "func_id string, source string, target string"))
+    """All pairs of a user's nodes."""
+    flow = _flow(spark, d)
+    nodes = flow.select("func_id", F.col("src").alias("source")).unionAll(flow.select("func_id", "dst")).distinct()
+    found = graphs.pair_reachability(flow, nodes.join(nodes.toDF("func_id", "target"), "func_id"))
     return found.withColumn("hops", F.coalesce("hops", F.lit(-1)))
 
 
 PAIR_REACHABILITY = f"""
-WITH RECURSIVE fl AS (SELECT * FROM {_FLOW}), pr AS (SELECT * FROM {values_sql(PAIRS, 'func_id, source, target')}),
+WITH RECURSIVE fl AS (SELECT * FROM {_FLOW}), pr AS (SELECT * FROM {_PAIRS}),
 r AS (SELECT pr.func_id, pr.source, fl.dst AS node, 1 AS hops FROM (SELECT DISTINCT func_id, source FROM pr) pr JOIN fl ON fl.func_id = pr.func_id AND fl.src = pr.source
   UNION SELECT r.func_id, r.source, fl.dst, r.hops + 1 FROM r JOIN fl ON fl.func_id = r.func_id AND fl.src = r.node WHERE r.hops < 20)
 SELECT pr.func_id, pr.source, pr.target, coalesce(min(r.hops), -1) AS hops FROM pr LEFT JOIN r ON r.func_id = pr.func_id AND r.source = pr.source AND r.node = pr.target GROUP BY 1, 2, 3
 """
 
-CHECKS = [("c1", True, "data", False, False), ("c1", False, "data", True, False), ("c2", False, "data", False, False), ("c2", True, "control", False, False), ("c3", False, "data", False, True), ("c4", True, "data", False, False), ("c4", True, "temporal", False, False)]
+_CHECKS = """(SELECT l_orderkey AS candidate, l_quantity > 5 AS reachable, CASE l_returnflag WHEN 'N' THEN 'data' WHEN 'R' THEN 'control' ELSE 'temporal' END AS path_type, l_linestatus = 'F' AS is_optional,
+  l_linenumber > 4 AS skipped FROM lineitem)"""
 
 
 def chain_verification(spark: SparkSession, d: str) -> DataFrame:
-    return graphs.chain_verdict(frame(spark, CHECKS, "candidate string, reachable boolean, path_type string, is_optional boolean, skipped boolean"))
+    """Orders as candidates whose lines are the pairs that were checked."""
+    kind = F.when(F.col("l_returnflag") == "N", "data").when(F.col("l_returnflag") == "R", "control").otherwise("temporal")
+    return graphs.chain_verdict(table(spark, d, "lineitem").select(
+        F.col("l_orderkey").alias("candidate"), (F.col("l_quantity") > 5).alias("reachable"), kind.alias("path_type"), (F.col("l_linestatus") == "F").alias("is_optional"), (F.col("l_linenumber") > 4).alias("skipped")
+    ))
 
 
 CHAIN_VERIFICATION = f"""
 SELECT candidate, count(*) FILTER (NOT is_optional AND NOT skipped AND NOT reachable) = 0 AS reachable,
   CASE count(DISTINCT path_type) FILTER (reachable AND NOT skipped) WHEN 0 THEN 'none' WHEN 1 THEN min(path_type) FILTER (reachable AND NOT skipped) ELSE 'mixed' END AS path_type
-FROM {values_sql(CHECKS, 'candidate, reachable, path_type, is_optional, skipped')} GROUP BY 1
+FROM {_CHECKS} GROUP BY 1
 """
 
-PDG = [("f", "n1", "n3", "data", "buf->len"), ("f", "n2", "n3", "data", "idx"), ("f", "n0", "n1", "data", "buf"), ("f", "n0", "n2", "control", None), ("f", "n9", "n2", "data", "other")]
-
-
 def program_slice(spark: SparkSession, d: str) -> DataFrame:
-    edges = frame(spark, PDG, "func_id string, src string, dst string, kind string, var string")
-    return graphs.slice_nodes(edges, frame(spark, [("f", "n3", ["buf"])], "func_id string, node string, vars array<string>"))
+    """What of a user's events bears on the cart of a purchase: data edges from reaching definitions, control edges."""
+    data = reaching_definitions(spark, d).select("func_id", F.col("def_node").alias("src"), F.col("use_node").alias("dst"), F.lit("data").alias("kind"), "var")
+    control = control_dependence(spark, d).select("func_id", "src", "dst", F.lit("control").alias("kind"), F.lit(None).cast("string").alias("var"))
+    asked = _accesses(spark, d).where("node = 'purchase'").select("func_id", "node").distinct().withColumn("vars", F.array(F.lit("cart")))
+    return graphs.slice_nodes(data.unionAll(control), asked)
 
 
-FINDINGS = ([("v1", "a.c", "f"), ("v2", "b.c", "g")], [("v2", "b.c", "g"), ("v3", "c.c", "h"), ("v3", "c.c", "h")])
+_FINDINGS = [f"SELECT CAST(l_suppkey AS VARCHAR) AS vul_id, l_returnflag AS file, l_linestatus AS func FROM lineitem WHERE l_linenumber {which}" for which in ("<= 2", ">= 2")]
 
 
 def findings_append(spark: SparkSession, d: str) -> DataFrame:
-    old, new = (frame(spark, rows, "vul_id string, file string, func string") for rows in FINDINGS)
+    rows = table(spark, d, "lineitem")
+    old, new = (rows.where(f"l_linenumber {which}").select(F.col("l_suppkey").cast("string").alias("vul_id"), F.col("l_returnflag").alias("file"), F.col("l_linestatus").alias("func")) for which in ("<= 2", ">= 2"))
     return storage.append_findings(old, new)
 
 
-FINDINGS_APPEND = " UNION ".join(f"SELECT vul_id, file, func FROM {values_sql(rows, 'vul_id, file, func')}" for rows in FINDINGS)
+FINDINGS_APPEND = " UNION ".join(_FINDINGS)
 
 
 def batch_summary(spark: SparkSession, d: str) -> DataFrame:

@@ -14,10 +14,13 @@ _temporary: list[str] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, which all executors see; a temporary folder where it is unset, on one machine."""
+    """spark.checkpoint.dir, which all executors see; where it is unset, a temporary folder in local mode and an error on a
+    cluster."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not _temporary:
         _temporary.append(tempfile.mkdtemp(prefix="lodestrand-"))
         atexit.register(shutil.rmtree, _temporary[0], ignore_errors=True)
@@ -42,10 +45,11 @@ def write_index(symbols: DataFrame, postings: DataFrame, folder: str) -> None:
 
 
 def read_index(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    try:
-        return spark.read.parquet(f"{folder}/symbols"), spark.read.parquet(f"{folder}/postings")
-    except Exception as error:
-        raise MissingIndex(f"no index in {folder}: build it first") from error
+    for part in ("symbols", "postings"):
+        done = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{part}/_SUCCESS")
+        if not done.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done):
+            raise MissingIndex(f"no index in {folder}: build it first")
+    return spark.read.parquet(f"{folder}/symbols"), spark.read.parquet(f"{folder}/postings")
 
 
 def append_findings(old: DataFrame, new: DataFrame) -> DataFrame:
