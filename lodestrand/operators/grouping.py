@@ -13,9 +13,6 @@ from pyspark.sql import functions as F
 from lodestrand.functions.text import diff_features, diff_side
 from lodestrand.operators import graphs
 
-GROUPS = "commit string, id string, group_no int"
-
-
 def with_features(items: DataFrame, diff_col: str = "diff") -> DataFrame:
     """items with calls, members, tokens and the sets of lines that the diff deletes and adds."""
     made = items.withColumn("_f", diff_features(F.col(diff_col)))
@@ -151,7 +148,7 @@ def refine(parts: DataFrame, edges: DataFrame) -> DataFrame:
 
     inside = edges.join(parts.select("commit", F.col("id").alias("a"), "part"), ["commit", "a"]).select("commit", "part", "a", "b", "type")
     items = parts.select("commit", "part", "id", "file", "func", "deleted", "added")
-    return items.groupBy("commit", "part").cogroup(inside.groupBy("commit", "part")).applyInPandas(run, "commit string, part string, id string, group_no int")
+    return graphs.by_function(items, inside, "commit", "part").applyInPandas(run, "commit string, part string, id string, group_no int")
 
 
 def function_groups(patches: DataFrame) -> DataFrame:

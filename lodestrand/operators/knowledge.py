@@ -30,6 +30,16 @@ CHAINS = {
     "Double Free": (("alloc", "dealloc", "data", False), ("dealloc", "dealloc", "temporal", False)),
     "Memory Leak": (("alloc", "exit", "temporal", False),),
 }
+# Vulnerability types of an older naming; those that are no category stand for themselves.
+LEGACY_TYPES = (
+    "Use After Free", "Double Free", "Out-of-bounds Write", "Out-of-bounds Read", "Buffer Overflow", "Memory Leak", "Null Pointer Dereference", "Uninitialized Use",
+    "Race Condition", "Deadlock", "Integer Overflow", "Integer Underflow", "Divide By Zero", "Type Confusion",
+    "Authentication Bypass", "Privilege Escalation", "Authorization Bypass", "Logic Error",
+    "Injection", "Path Traversal", "Improper Validation", "Information Exposure", "Cryptographic Issue",
+    "Infinite Loop", "Recursion Error", "Resource Exhaustion", "Resource Leak", "Unknown", "Other",
+)
+# The one category whose older name differs.
+LEGACY_NAMES = {"Missing Authorization": "Authorization Bypass"}
 
 
 def categories(spark: SparkSession) -> DataFrame:
@@ -59,12 +69,54 @@ def classify(rows: DataFrame, spark: SparkSession, cwe_col: str) -> DataFrame:
 
 
 def resolve(names: DataFrame, spark: SparkSession, name_col: str) -> DataFrame:
-    """names with the category meant: written exactly, in other case, or contained either way; else Unknown.
+    """names with the category meant: written exactly, in other case, contained either way, or by its older name; else
+    Unknown.
 
     The dimension has seventeen rows; each name meets all of them and the best match by rule, then by registry order, stays.
     """
     low, known = F.lower(F.trim(F.col(name_col))), F.lower("category")
-    rule = F.when(F.col(name_col) == F.col("category"), 1).when(low == known, 2).when(low.contains(known) | known.contains(low), 3)
+    older = F.lower(legacy_type(F.col("category")))
+    rule = F.when(F.col(name_col) == F.col("category"), 1).when(low == known, 2).when(low.contains(known) | known.contains(low), 3).when((low == older) & (older != "unknown"), 4)
     both = names.join(categories(spark), rule.isNotNull(), "left").withColumn("rule", rule)
     best = F.row_number().over(Window.partitionBy(name_col).orderBy(F.col("rule").asc_nulls_last(), "pos"))
     return both.withColumn("_n", best).where("_n = 1").select(name_col, F.coalesce("category", F.lit("Unknown")).alias("category"), "rule")
+
+
+def legacy_type(category: Column) -> Column:
+    """A category's name in the older list of types, Unknown if it has none."""
+    renamed = F.lit(None).cast("string")
+    for new, old in LEGACY_NAMES.items():
+        renamed = F.when(category == new, old).otherwise(renamed)
+    return F.coalesce(F.when(category.isin(*LEGACY_TYPES), category), renamed, F.lit("Unknown"))
+
+
+def chain_text(links: DataFrame) -> DataFrame:
+    """(category, chain): each category's links (category, pos, source, target, dependency, is_optional) on one line. A
+    link goes on from the one before; one with the same target as what stands last is written backwards, and a source
+    that was shown with a link before is not shown again."""
+    mark = F.concat(F.substring("dependency", 1, 1), F.when(F.col("is_optional"), "?").otherwise(""))
+    item = F.struct("pos", "source", "target", mark.alias("mark"))
+    packed = links.groupBy("category").agg(F.array_sort(F.collect_list(item)).alias("_l"))
+    empty = F.struct(F.array().cast("array<string>").alias("out"), F.array().cast("array<string>").alias("seen"))
+
+    def step(acc: Column, x: Column) -> Column:
+        arrow, back = F.concat(F.lit("\u2192"), x["mark"]), F.concat(F.lit("\u2190"), x["mark"])
+        last = F.get(acc["out"], F.size(acc["out"]) - 1)
+        more = F.when(last.isNull(), F.array(x["source"], arrow, x["target"])).when(last == x["target"], F.array(back, x["source"])).otherwise(F.array(arrow, x["target"]))
+        return F.when(F.array_contains(acc["seen"], x["source"]), acc).otherwise(F.struct(F.concat(acc["out"], more).alias("out"), F.array_append(acc["seen"], x["source"]).alias("seen")))
+
+    return packed.select("category", F.array_join(F.aggregate("_l", empty, step)["out"], " ").alias("chain"))
+
+
+def taxonomy(rows: DataFrame, spark: SparkSession, category_col: str = "category") -> DataFrame:
+    """rows with the record of their category: major class, whether it is numeric, the older type, the anchor types in the
+    order of the chain, and the chain as text; empty for a category without links."""
+    links = chain_links(spark)
+    ends = links.select("category", F.posexplode(F.array("source", "target")).alias("_e", "type"), "pos").groupBy("category", "type").agg(F.min(F.struct("pos", "_e")).alias("_at"))
+    types = ends.groupBy("category").agg(F.transform(F.array_sort(F.collect_list(F.struct("_at", "type"))), lambda s: s["type"]).alias("anchor_types"))
+    known = categories(spark).drop("pos").join(types, "category", "left").join(chain_text(links), "category", "left")
+    record = known.select(
+        F.col("category").alias(category_col), "major", "is_numeric", legacy_type(F.col("category")).alias("legacy_type"),
+        F.coalesce("anchor_types", F.array().cast("array<string>")).alias("anchor_types"), F.coalesce("chain", F.lit("")).alias("chain"),
+    )
+    return rows.join(record, category_col, "left")

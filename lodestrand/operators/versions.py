@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestrand.functions.text import quoted, squeezed
+from lodestrand.functions.text import squeezed
 from lodestrand.operators.lookup import lines
 from lodestrand.sources.csource import functions
 
@@ -39,7 +39,7 @@ def content_at(blobs: DataFrame, wanted: DataFrame) -> DataFrame:
 
 def messages(commits: DataFrame, wanted: DataFrame) -> DataFrame:
     """wanted (version) with the commit's message, trimmed, empty where there is none."""
-    return wanted.join(commits.select("version", "message"), "version", "left").withColumn("message", F.trim(F.coalesce("message", F.lit(""))))
+    return wanted.join(commits.select("version", "message"), "version", "left").withColumn("message", F.regexp_replace(F.coalesce("message", F.lit("")), r"^\s+|\s+$", ""))
 
 
 def symbols_at(blobs: DataFrame) -> DataFrame:
@@ -74,7 +74,7 @@ def is_definition(kind: Column, line: Column, name: Column) -> Column:
     code, esc = F.trim(line), F.concat(F.lit(r"\Q"), name, F.lit(r"\E"))
     macro = code.startswith("#define") & F.trim(F.substr(code, F.lit(8))).startswith(name)
     struct = F.rlike(code, F.concat(F.lit(r"\b(?:struct|union|enum)\s+"), esc, F.lit(r"\b")))
-    before = F.substring_index(code, name, 1)
+    before = F.call_function("substring_index", code, name, F.lit(1))
     called = F.rlike(code, F.concat(F.lit(r"\w+\s*\([^)]*"), esc))
     function = (
         F.rlike(code, F.concat(esc, F.lit(r" ?\("))) & ~code.startswith("#define") & ~code.startswith(name) & ~(before.contains("=") & ~F.ltrim(before).startswith("=")) & ~called
@@ -146,7 +146,3 @@ def _numbered(blobs: DataFrame) -> DataFrame:
     rows = lines(blobs.select(F.struct("version", "path").alias("_f"), "text"), "_f", "text")
     return rows.select("unit_id.version", "unit_id.path", "line_no", "line")
 
-
-def matching_word(line: Column, word: str) -> Column:
-    """Whether a line holds a whole word, as it is written, in any script."""
-    return line.rlike(rf"(?U)\b{quoted(word)}\b")

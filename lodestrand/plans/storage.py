@@ -71,3 +71,24 @@ def phase(spark: SparkSession, folder: str, name: str, make, force: bool = False
     if force or not there.getFileSystem(spark._jsc.hadoopConfiguration()).exists(there):
         make().write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
+
+
+def with_metadata(findings: DataFrame, runs: DataFrame, key: str, *columns: str) -> DataFrame:
+    """findings with columns of runs, UNKNOWN where a run says nothing."""
+    both = findings.join(runs.select(key, *columns).dropDuplicates([key]), key, "left")
+    return both.withColumns({c: F.coalesce(F.col(c).cast("string"), F.lit("UNKNOWN")) for c in columns})
+
+
+def failed_tasks(results: DataFrame, tasks: DataFrame, key: str, success: str) -> tuple[DataFrame, DataFrame]:
+    """(tasks whose run failed, keys of failed runs that no task has)."""
+    failed = results.where(~F.col(success)).select(key).distinct()
+    return tasks.join(failed, key, "left_semi"), failed.join(tasks.select(key), key, "left_anti")
+
+
+def pending_phases(spark: SparkSession, folder: str, names: list[str]) -> list[str]:
+    """The phases, in order, from the first that has not been stored on."""
+    for i, name in enumerate(names):
+        done = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}/_SUCCESS")
+        if not done.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done):
+            return names[i:]
+    return []

@@ -1,11 +1,14 @@
+import re
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from lodestrand.functions import answers
-from lodestrand.functions.text import code_tokens, line_number, line_tokens, strip_comments, variable_paths
-from lodestrand.operators import align, cfg, graphs, knowledge, lookup, mapping, ranges
-from lodestrand.plans import evidence_queries, storage
+from lodestrand.functions.headers import is_header, last_group
+from lodestrand.functions.text import base_identifier, called_name, code_tokens, diff_features, diff_side, line_number, line_tokens, strip_comments, variable_paths
+from lodestrand.operators import align, cfg, diffs, graphs, grouping, knowledge, lookup, mapping, ranges, scoring, slices, validate, versions
+from lodestrand.plans import matching, storage
 from lodestrand.sources import tables
 from lodestrand.streaming import index
 from lodestrand.sources.csource import functions as c_functions
@@ -131,7 +134,7 @@ def test_c_functions(spark):
 def edges_of(code):
     b = cfg._Builder(code)
     b.build()
-    text = {n: (t or n) for n, _, _, t in b.nodes}
+    text = {n: (t or n) for n, *_, t in b.nodes}
     return {(text[a], text[z]) for a, z in b.edges}
 
 
@@ -191,9 +194,20 @@ def test_snippets_and_paths():
     assert mapping.shortest_path(near, "a", "z") == []
 
 
+RING = [
+    "int put(struct ring *ring, int slot, int value)\n{\n  ring->cell[slot] = value;\n  ring->used++;\n  return 0;\n}\n",
+    "int keep(struct ring *r, int slot, int value)\n{\n  if (slot >= r->limit)\n    return -1;\n  r->cell[slot] = value;\n  r->used++;\n  return 0;\n}\n",
+    "void report(int value)\n{\n  print(value);\n}\n",
+]
+
+
 def test_siblings_of_a_patch(spark):
-    got = {r.unit_id: r.verdict for r in evidence_queries.match_patches(spark, "").collect()}
-    assert (got[1], got[2]) == ("VULNERABLE", "PATCHED")
+    """A bounds check that one sibling lacks, one has, and one has no use for."""
+    patches = frame(spark, [("bound", RING[0].replace("ring->", "r->").replace("put", "store"), RING[1].replace("keep", "store"))], "group_id string, pre string, post string")
+    found = matching.match(patches, frame(spark, list(enumerate(RING, 1)), "unit_id int, code string"))
+    got = {r.unit_id: (r.verdict, r["rank"]) for r in found.collect()}
+    assert got == {1: ("VULNERABLE", 0), 2: ("PATCHED", -1), 3: ("VULNERABLE", 1)}  # without anchors nothing is below one half
+    assert values(matching.summary(found), "verdict", "n") == [("PATCHED", 1), ("VULNERABLE", 2)]
 
 
 def test_answers():
@@ -222,3 +236,286 @@ def test_retries():
 def test_parsed_answers(spark):
     rows = spark.createDataFrame([('x {"ok": true}',), (None,), ("-",)], "raw string")
     assert [r.parsed.ok if r.parsed else None for r in answers.parsed(rows, "raw", "ok boolean").collect()] == [True, None, None]
+
+
+def frame(spark, rows, schema):
+    return spark.createDataFrame(rows, schema)
+
+
+def values(df, *cols):
+    return sorted((tuple(r[c] for c in cols) for r in df.select(*cols).collect()), key=repr)
+
+
+def test_line_tokens_of_any_script(spark):
+    assert one(spark, "über foo", line_tokens) == ["ber", "foo"]
+    assert one(spark, "[ 3] 中文_x9½ é a->b a /* x // y */ b", line_tokens) == ["中文", "x", "9", "é", "a", "->", "b", "a", "/", "*", "x"]
+
+
+def test_names_and_features(spark):
+    assert one(spark, "*(p->q) + 1", base_identifier) == "p" and one(spark, "if (a) foo (b)", called_name) == "foo" and one(spark, "while (x)", called_name) is None
+    diff = "@@ -1 +1 @@\n-  old(p->len); // note(x)\n+  put(p->cap, \"s(t)\");\n keep.it = sizeof(n);\n--- a\n"
+    got = spark.createDataFrame([(diff,)], "d string").select(diff_features(F.col("d")).alias("f"), diff_side(F.col("d"), "-").alias("m"), diff_side(F.col("d"), "+").alias("p")).first()
+    assert (sorted(got.f.calls), sorted(got.f.members), sorted(got.f.tokens)) == (["old", "put"], ["cap", "it", "len"], ["a", "keep", "n", "old", "p", "put"])
+    assert got.m == ["old(p->len); // note(x)"] and got.p == ['put(p->cap, "s(t)");']
+
+
+def test_headers():
+    yes = ["static int f(int a)", "[ 12] void MACH0_(go)(char *x, int y) {", "int main()", "R_API void r(void)", "UT32 *make(const char *s)", "struct x *f(struct y *a);"]
+    no = ["", "x = f(a, b);", "if (int_ok(a)) {", "return f(int);", "int x = 3;", "free(p)", "int n = count(x);"]
+    assert [is_header(x) for x in yes] == [True] * len(yes) and [is_header(x) for x in no] == [False] * len(no)
+    assert last_group("a(b)(c(d), e) f") == "c(d), e"
+
+
+def test_grep_modes(spark):
+    rows = frame(spark, [(1, 1, "a.b = c"), (1, 2, "axb y"), (1, 3, "f(x)"), (2, 1, "  über a.b")], "unit_id int, line_no int, line string")
+    hits = lambda p, m="word", **k: values(lookup.grep(rows, p, m, **k), "unit_id", "line_no", "type", "method")
+    assert hits("a.b") == [(1, 1, "match", "word_match"), (2, 1, "match", "word_match")] and hits("f(") == [(1, 3, "match", "word_match")] and hits("ber") == []
+    assert [r[:2] for r in hits("a.b", "regex")] == [(1, 1), (1, 2), (2, 1)] and hits("(", "regex") == [(None, None, "error", "error")]
+    assert [r[:2] for r in hits("a.b", scope=(1, 1))] == [(1, 1), (2, 1)]
+    nodes = frame(spark, [(1, 2, "axb y", ["axb"], ["y"]), (2, 1, "z", ["z"], [])], "unit_id int, line_no int, code string, defs array<string>, uses array<string>")
+    assert hits("axb", "def_use", scope=(1, 3), nodes=nodes) == [(1, 2, "def", "precise_pdg")]
+    assert hits("a.b", "def_use", scope=(1, 3), nodes=nodes) == [(1, 1, "match", "word_match"), (2, 1, "match", "word_match")]
+    page = lookup.page(lookup.grep(rows, "[a-z]", "regex"), 1, 2).collect()
+    assert [(r.place, r.total, r.has_more, r.next_cursor) for r in page] == [(2, 4, True, 3), (3, 4, True, 3)]
+
+
+def test_callers_of_a_page(spark):
+    calls = frame(spark, [(1, 1, "int f() {"), (1, 3, "use()"), (1, 9, "use()"), (1, 12, "use()")], "unit_id int, line_no int, line string")
+    functions = frame(spark, [(1, "f", 1, 5), (1, "g", 11, 15)], "unit_id int, name string, start_line int, end_line int")
+    assert values(lookup.enclosing_callers(calls, functions), "line_no", "caller", "place") == [(12, "g", 3), (3, "f", 1), (9, "unknown", 2)]
+    assert values(lookup.enclosing_callers(calls, functions, 1), "line_no", "caller") == [(3, "f")]
+
+
+OLD = "#define CAP(x) (x)\nstruct ring {\n  int n;\n};\nint size(struct ring *r)\n{\n  return r->n;\n}\n"
+NEW = OLD + "static int grow(struct ring *r)\n{\n  if (size(r) > CAP(3)) return size(r);\n  total = size(r);\n  return 0;\n}\n"
+
+
+def test_versions(spark):
+    blobs = frame(spark, [("v1", "a.c", OLD), ("v2", "a.c", NEW), ("v2", "b.c", "int x;\n"), ("v1", "c.c", "gone"), ("v2", "n.txt", "size(")], "version string, path string, text string")
+    commits = frame(spark, [("v2", "v1", " grow it \n"), ("v1", None, "first")], "version string, parent string, message string")
+    changed = {r.path: (r.old_text, r.new_text) for r in versions.changed_files(blobs, commits).collect()}
+    assert changed == {"a.c": (OLD, NEW), "b.c": (None, "int x;\n"), "c.c": ("gone", None)}
+    wanted = frame(spark, [("v2", "a.c"), ("v2", "none.c")], "version string, path string")
+    assert values(versions.content_at(blobs, wanted), "path", "text") == [("a.c", NEW), ("none.c", "")]
+    assert [r.message for r in versions.messages(commits, wanted.limit(1)).collect()] == ["grow it"]
+    symbols = versions.symbols_at(blobs)
+    assert values(versions.functions_in(symbols, wanted), "name", "place", "start_line") == [("grow", 2, 9), ("size", 1, 5)]
+    names = frame(spark, [("v2", n) for n in ("size", "ring", "CAP", "grow", "n")], "version string, name string")
+    assert values(versions.symbol_code(symbols, names), "name", "kind") == [("CAP", "macro"), ("grow", "function"), ("ring", "struct"), ("size", "function")]
+    assert values(versions.definitions_at(blobs, names), "name", "kind", "path", "line_no") == [("CAP", "macro", "a.c", 1), ("grow", "function", "a.c", 9), ("ring", "struct", "a.c", 2), ("size", "function", "a.c", 5)]
+    assert values(versions.callers_at(blobs, symbols, names), "name", "path", "caller", "line_no") == [("CAP", "a.c", "global/unknown", 1), ("CAP", "a.c", "grow", 11), ("size", "a.c", "grow", 11), ("size", "a.c", "grow", 12), ("size", "n.txt", "global/unknown", 1)]
+    old, new = (symbols.where(f"version = '{v}' and kind = 'function'").withColumn("version", F.lit("c")) for v in ("v1", "v2"))
+    assert values(versions.changed_functions(old, new), "name", "change_type", "start_line_new") == [("grow", "ADDED", 9)]
+
+
+def test_is_definition(spark):
+    rows = [("function", "int f(int a)", True), ("function", "f(int a)", False), ("function", "x = f(a)", False), ("function", "g(f(a))", False), ("macro", "#define f(a)", True), ("macro", "#define g f", False), ("struct", "enum f {", True), ("struct", "struct g f", False)]
+    got = frame(spark, rows, "kind string, line string, want boolean").withColumn("got", versions.is_definition(F.col("kind"), F.col("line"), F.lit("f")))
+    assert got.where("got <> want").collect() == []
+
+
+def test_unified_diffs(spark):
+    pairs = frame(spark, [(1, "a.c:f", "one\ntwo\nthree\n", "one\n2\nthree\n", 100, 200), (2, "b", "same", "same", 1, 1), (3, "c", None, "new\n", 1, 7)], "pair_id int, name string, old string, new string, old_start int, new_start int")
+    got = {r.pair_id: r.diff for r in diffs.unified(pairs).collect()}
+    assert got == {1: "--- a/a.c:f\n+++ b/a.c:f\n@@ -100,3 +200,3 @@\n one\n-two\n+2\n three\n", 2: None, 3: "--- a/c\n+++ b/c\n@@ -0,0 +7,1 @@\n+new\n"}
+    back = diffs.hunk_lines(frame(spark, [(1, got[1])], "id int, d string"), "id", "d")
+    assert values(diffs.changed_lines(back), "sign", "line_no", "code") == [("+", 201, "2"), ("-", 101, "two")]
+
+
+def item(i, func="f", file="a.c", deleted=(), added=()):
+    return {"id": i, "func": func, "file": file, "deleted": set(deleted), "added": set(added)}
+
+
+def test_refinement():
+    assert grouping.refined([item("1"), item("2", "g")], set()) == [["1", "2"]]
+    assert grouping.refined([item("1"), item("2", file="b.c"), item("3", "g")], set()) == [["1", "3"], ["2"]]
+    same = [item("1", "f", added=["x"]), item("2", "g", added=["x"]), item("3", "h"), item("4", "k")]
+    assert grouping.refined(same, {frozenset("13")}) == [["1", "3"], ["2"], ["4"]]
+    assert grouping.refined(same, {frozenset("12")}) == [["1", "2", "3", "4"]]
+    moved = [item("1", "f", added=["x"], deleted=["y"]), item("2", "g", added=["x", "y"])]
+    assert grouping.refined(moved, set()) == [["1", "2"]]
+
+
+def test_groups_of_a_commit(spark):
+    rows = [
+        ("c", "1", "a.c", "open", "@@ -1 +1 @@\n+  read(p);\n@@ -9 +9 @@\n-  q->len = 1;"), ("c", "2", "a.c", "read", "@@ -1 +1 @@\n+  if (n) return;"), ("c", "3", "b.c", "lone", "+  x = 1;"),
+        ("c", "4", "a.c", "peek", "+  y = q->len;"), ("d", "1", "a.c", "open", "+  read(p);"),
+    ]
+    patches = frame(spark, rows, "commit string, id string, file string, func string, diff string")
+    edges = values(grouping.patch_edges(grouping.with_features(patches)), "commit", "a", "b", "type")
+    assert edges == [("c", "1", "2", "call"), ("c", "1", "4", "data")]
+    groups = grouping.function_groups(patches)
+    assert values(groups, "commit", "part", "id") == [("c", "1", "1"), ("c", "1", "2"), ("c", "1", "4"), ("c", "3", "3"), ("d", "1", "1")]
+    cut = grouping.hunks(patches)
+    assert values(cut, "commit", "id", "at") == [("c", "1#0", 0), ("c", "1#2", 2), ("c", "2#0", 0), ("c", "3#0", 0), ("c", "4#0", 0), ("d", "1#0", 0)]
+    assert values(grouping.hunk_edges(grouping.with_features(cut)), "a", "b", "type") == [("1#2", "4#0", "data_inter")]
+    merged = grouping.hunk_groups(patches, groups)
+    assert {(r.commit, r.id): r.diff for r in merged.collect()}[("c", "1")] == rows[0][4]
+
+
+CODE = "int f(int a,\n      int b)\n{\n  int x = a;\n  if (x >\n      b)\n    x = g(b,\n          a);\n  return x;\n}"
+
+
+def test_slices_as_text(spark):
+    functions = frame(spark, [("f", CODE, 40)], "func_id string, code string, start_line int")
+    nodes, flow, _ = cfg.program_graphs(functions)
+    span = {r.code: (r.node, r.line, r.end_line) for r in nodes.collect()}
+    assert span["x > b"][1:] == (5, 6) and span["x = g(b, a)"][1:] == (7, 8)
+    chosen = frame(spark, [("f", "ENTRY"), ("f", span["x > b"][0]), ("f", "EXIT")], "func_id string, node string")
+    assert values(slices.slice_text(slices.slice_lines(chosen, nodes), functions), "text") == [("[  40] int f(int a,\n[  44]   if (x >\n[  45]       b)",)]
+    anchors = frame(spark, [("f", "cond", 6), ("f", "call", 8), ("f", "none", 10)], "func_id string, anchor string, line int")
+    assert values(slices.expanded_anchors(anchors, nodes), "anchor", "line") == [("call", 7), ("call", 8), ("cond", 5), ("cond", 6), ("none", 10)]
+    places = frame(spark, [("p", 44), ("p", 90)], "path string, line int")
+    spans = frame(spark, [("p", "f", 40, 49)], "path string, func_id string, start_line int, end_line int")
+    assert values(slices.function_at(spans, places), "line", "func_id", "line_in_function") == [(44, "f", 5)]
+    shown = slices.evidence(frame(spark, [("f", "pre", "[  40] int f\n// note\n [ 41]   x")], "func string, version string, text string"))
+    assert values(shown, "evidence_id", "code") == [("f:pre:40", "int f"), ("f:pre:41", "x")]
+    kept = frame(spark, [("f", 1), ("f", 2)], "func_id string, line int")
+    mapped = frame(spark, [("f", 1, 1, "EXACT"), ("f", 3, 2, "MOVED"), ("f", 2, 4, "MODIFIED"), ("f", None, 5, "UNIQUE_POST"), ("g", None, 1, "UNIQUE_POST")], "func_id string, old_line int, new_line int, kind string")
+    assert values(slices.shadow_lines(kept, mapped, frame(spark, [("f", 9)], "func_id string, line int")), "line") == [(1,), (4,), (5,), (9,)]
+    assert values(slices.mapping_histogram(mapped), "kind", "n") == [("EXACT", 1), ("MODIFIED", 1), ("MOVED", 1), ("UNIQUE_POST", 2)]
+    by_name = {c: n for c, (n, _, _) in span.items()}
+    pairs = [(1, "data", "int x = a", "return x"), (2, "data", "x > b", "return x"), (3, "control", "x > b", "x = g(b, a)"), (4, "temporal", "return x", "x > b"), (5, "temporal", "x > b", "return x"), (6, "data", "x > b", "x = g(b, a)")]
+    asked = frame(spark, [("f", i, k, [by_name[a]], [by_name[b]]) for i, k, a, b in pairs], "func_id string, pair int, dependency string, sources array<string>, targets array<string>")
+    got = {r.pair: r.path_type for r in slices.link_checks(cfg.dependence(functions), flow, asked).collect()}
+    assert got == {1: "data_flow", 2: "data_flow_mixed", 3: "control_flow", 4: "none", 5: "temporal", 6: "data_flow_mixed"}
+
+
+def test_chains_and_decisions(spark):
+    links = knowledge.chain_links(spark)
+    candidates = frame(spark, [("uaf", "Use After Free"), ("race", "Race Condition"), ("few", "Use After Free"), ("bad", "Use After Free"), ("part", "Out-of-bounds Read")], "candidate string, category string")
+    mapped = frame(spark, [(c, t) for c in ("uaf", "bad") for t in ("alloc", "dealloc", "use")] + [("few", "alloc"), ("part", "object"), ("part", "access")], "candidate string, type string")
+    checked = frame(spark, [("uaf", 0, True, "data_flow"), ("uaf", 1, True, "temporal"), ("bad", 0, True, "data_flow"), ("bad", 1, False, "none"), ("part", 0, True, "data_flow")], "candidate string, pos int, reachable boolean, path_type string")
+    assert values(slices.chain_results(candidates, links, mapped, checked), "candidate", "reachable", "path_type", "reason") == [
+        ("bad", False, "data_flow", None), ("few", False, "none", "too few anchors"), ("part", True, "data_flow", None), ("race", True, "none", "empty chain"), ("uaf", True, "mixed", None),
+    ]
+    anchors = frame(spark, [("a", False, True, True), ("a", True, False, True), ("b", False, False, True), ("c", False, True, False)], "candidate string, is_optional boolean, is_mapped boolean, causality boolean")
+    assert values(slices.consistency(anchors), "candidate", "decision") == [("a", "PROCEED"), ("b", "SAFE"), ("c", "SAFE")]
+    levels = frame(spark, [("CONCRETE",), ("assumed",), ("conceptual",)], "v string").select("v", slices.is_locatable(F.col("v")).alias("l"), slices.requires_assumption(F.col("v")).alias("r"))
+    assert values(levels, "v", "l", "r") == [("CONCRETE", True, False), ("assumed", True, True), ("conceptual", False, True)]
+
+
+def test_taxonomy_records(spark):
+    got = {r.category: r for r in knowledge.taxonomy(knowledge.categories(spark).select("category"), spark).collect()}
+    assert got["Use After Free"].anchor_types == ["alloc", "dealloc", "use"] and got["Use After Free"].chain == "alloc →d dealloc →t use"
+    assert got["Buffer Overflow"].chain == "object →d access ←d? source" and got["Race Condition"].chain == ""
+    assert got["Missing Authorization"].legacy_type == "Authorization Bypass" and got["Logic Error"].legacy_type == "Logic Error"
+    names = frame(spark, [("authorization bypass",), ("Deadlock",)], "name string")
+    assert values(knowledge.resolve(names, spark, "name"), "name", "category", "rule") == [("Deadlock", "Unknown", None), ("authorization bypass", "Missing Authorization", 4)]
+
+
+def test_results_of_runs(spark, tmp_path):
+    runs = frame(spark, [("v1", "repo", False), ("v2", "other", True), ("v9", None, False)], "vul_id string, repo string, success boolean")
+    findings = frame(spark, [("v1",), ("v3",), ("v9",)], "vul_id string")
+    assert values(storage.with_metadata(findings, runs, "vul_id", "repo"), "vul_id", "repo") == [("v1", "repo"), ("v3", "UNKNOWN"), ("v9", "UNKNOWN")]
+    again, missing = storage.failed_tasks(runs, frame(spark, [("v1",), ("v2",)], "vul_id string"), "vul_id", "success")
+    assert values(again, "vul_id") == [("v1",)] and values(missing, "vul_id") == [("v9",)]
+    storage.phase(spark, str(tmp_path), "one", lambda: spark.range(1))
+    assert storage.pending_phases(spark, str(tmp_path), ["one", "two", "three"]) == ["two", "three"]
+
+
+def test_anchor_operators(spark):
+    anchors = frame(spark, [("x", "u", "alloc", 2, "p = get()"), ("y", "u", "odd", 9, "free(p)")], "anchor string, unit_id string, type string, line_no int, snippet string").withColumn("category", F.lit("Use After Free"))
+    links = knowledge.chain_links(spark)
+    allowed = links.select("category", F.col("source").alias("type")).union(links.select("category", "target"))
+    assert values(validate.allowed_anchors(anchors, allowed), "anchor") == [("x",)]
+    held = frame(spark, [([1, 2], [2]), ([], [2]), ([3], [2])], "line_nos array<int>, anchor_lines array<int>").select(validate.slice_holds_anchor(None).alias("h"))
+    assert [r.h for r in held.collect()] == [True, False, False]
+    nodes = frame(spark, [("u", "n1", 1, 3, "p  = get( )"), ("u", "n2", 4, 4, "free(p)")], "func_id string, node string, start_line int, end_line int, code string")
+    assert values(validate.nodes_at(anchors, nodes), "anchor", "node") == [("x", "n1"), ("y", "n2")]
+    trace = frame(spark, [(1, 0, 2, 20, "p = get();"), (1, 1, 5, 21, "free(p);")], "pair_id int, pos int, orig_line int, target_no int, slice_line string")
+    assert values(validate.mapped_anchors(anchors.withColumn("pair_id", F.lit(1)), trace), "anchor", "target_no") == [("x", 20), ("y", 21)]
+    found = frame(spark, [("g", "VULNERABLE", 0.5), ("g", "VULNERABLE", 0.3), ("g", "PATCHED", 0.9), ("h", "VULNERABLE", 0.9)], "group_id string, verdict string, confidence double")
+    assert validate.with_features(found, frame(spark, [("g", 1)], "group_id string, f int")).count() == 1
+    assert one(spark, "x", lambda c: validate.involved_functions(F.array(c, F.lit("b"), F.lit(None)), F.array(F.lit(""), c))) == ["b", "x"]
+    rows = frame(spark, [("f", 1), ("f", 5), ("g", 2)], "name string, at int")
+    assert values(validate.latest_of(rows, ["name"], "at"), "name", "at") == [("f", 5), ("g", 2)]
+    paths = frame(spark, [("a.c",), ("x/a.c",), ("x/ba.c",)], "path string")
+    assert values(tables.by_basename(paths, "a.c"), "path") == [("a.c",), ("x/a.c",)]
+
+
+def test_competition_of_changed_lines(spark):
+    trace = frame(spark, [(1, "pre", 0, 4, 2, 0.5, False), (1, "post", 0, 4, 4, 0.75, False), (1, "pre", 1, 6, 2, 0.5, False), (1, "post", 1, 6, 4, 0.5, False), (1, "post", 2, 7, 9, 1.0, True)], "pair_id int, side string, pos int, target_no int, tokens int, similarity double, is_header boolean")
+    changed = frame(spark, [(1, 0, 0), (1, 1, 1)], "pair_id int, pre int, post int")
+    assert values(scoring.competitive(trace, changed), "side", "loss") == [("post", 4 * 0.5 / 8), ("pre", 2 * 0.5 / 4)]
+
+
+def plain_match(patch, code, anchors):
+    """Verdict and confidence of one unit, by loops over the definitions."""
+    strip = lambda t: re.sub(r"//.*", "", t)
+    tokens = lambda line: [t for t in re.findall(r"[A-Z]?[a-z]+|[A-Z]+|\d+|->|[^\w\s]", re.sub(r"^\[\s*\d+\]", "", strip(line)).replace("_", " ")) if t not in set(";(){}[],.")]
+    low = lambda line: [t.lower() for t in tokens(line)]
+    cut = lambda t: [(n, x) for n, x in enumerate(t.split("\n"), 1) if strip(x).strip()]
+    target = [low(x) for _, x in cut(code)]
+    sides = {s: cut(patch[s]) for s in ("pre", "post")}
+    lists = {s: [low(x) for _, x in rows] for s, rows in sides.items()}
+    tags = align.line_tags(lists["pre"], lists["post"])
+    out = {}
+    for k, s in enumerate(("pre", "post")):
+        nos = [n for n, _ in sides[s]]
+        sim = align.similarities(lists[s], target)
+        found, penalty = align.align(sim, nos)
+        at, body = dict(found), [not is_header(x) for _, x in sides[s]]
+        sims = [float(sim[i, at[i]]) if i in at else 0.0 for i in range(len(nos))]
+        size = [len(x) for x in lists[s]]
+        matched = sum(size[i] * sims[i] for i in range(len(nos)) if body[i])
+        full = [n for n in size if n]
+        keep = max(0.0, matched - penalty * sum(size) / len(full)) / matched if matched > 0 else 0.0
+        mean = lambda rows: sum(size[i] * sims[i] for i in rows) / sum(size[i] for i in rows) if sum(size[i] for i in rows) else 0.0  # noqa: E731, B023
+        here = [i for i in range(len(nos)) if body[i]]
+        own = [i for i in here if tags[k][i] != "COMMON"]
+        held = [max([sims[i] for i, n in enumerate(nos) if n == line], default=0.0) for side, line in anchors if side == s and line > 0]
+        out[s] = {
+            "at": at, "sims": sims, "size": size, "has": any(t != "COMMON" for t in tags[k]), "raw": mean(here), "raw_feat": mean(own), "score": mean(here) * keep, "feat": mean(own) * keep,
+            "ctx": mean([i for i in here if tags[k][i] == "COMMON"]) * keep, "anchor": (sum(held) / len(held) if held else 1.0) if nos else 0.0, "tokens": sum(size[i] for i in here),
+        }
+    a, b = out["pre"], out["post"]
+    if a["has"] and b["has"] and tags[2]:
+        lost = {"pre": 0.0, "post": 0.0}
+        for i, j in tags[2]:
+            if i in a["at"] and j in b["at"] and a["at"][i] == b["at"][j]:
+                lost["post" if a["sims"][i] >= b["sims"][j] else "pre"] += b["size"][j] * b["sims"][j] if a["sims"][i] >= b["sims"][j] else a["size"][i] * a["sims"][i]
+        for s, x in out.items():
+            x["score"], x["feat"] = max(0.0, x["raw"] - (lost[s] / x["tokens"] if x["tokens"] else 0.0)), x["raw_feat"]
+    vuln, fix = (0.5 * x["score"] + 0.5 * x["anchor"] for x in (a, b))
+    if vuln < 0.4:
+        return "MISMATCH", 1 - vuln
+    if b["has"] and not a["has"]:
+        return ("PATCHED", fix) if b["feat"] >= 0.9 else ("VULNERABLE", vuln)
+    if a["has"] and not b["has"]:
+        return ("PATCHED", fix) if a["feat"] < 0.4 else ("VULNERABLE", vuln)
+    if a["has"]:
+        return ("PATCHED", fix) if fix > vuln else ("VULNERABLE", vuln)
+    return "UNKNOWN", max(a["ctx"], b["ctx"])
+
+
+def test_match_against_plain_loops(spark):
+    rng = np.random.default_rng(17)
+    words = ["alpha", "beta", "gammaRay", "delta_x", "omega", "ring9", "load", "store"]
+    line = lambda: f"{rng.choice(words)}({rng.choice(words)}) + {rng.choice(words)};"
+    patches, units = [], []
+    for g in range(6):
+        pre = ["static int run(struct ring *r, int n)", *[line() for _ in range(6)]]
+        post = list(pre)
+        if g % 3 != 1:
+            post.insert(3, line())
+        if g % 3 != 0:
+            post[4 if g % 3 == 2 else 2 :][:1] = []
+            del post[5]
+        if g == 5:
+            post[2] = line()
+        patches.append((f"g{g}", "\n".join(pre), "\n".join(post)))
+        for base in (pre, post):
+            changed = [x if rng.random() < 0.7 else line() for x in base]
+            changed.insert(int(rng.integers(1, len(changed))), line())
+            units.append((len(units), "\n".join(changed)))
+    patches.append(("same", patches[0][1], patches[0][1]))
+    units.append((len(units), "nothing like it;"))
+    anchors = [("g0", "pre", "x", 3, "alpha"), ("g0", "post", "x", 4, "alpha"), ("g2", "pre", "x", 2, "beta"), ("g2", "pre", "y", 90, "beta"), ("g2", "pre", "z", 3, " ;"), ("g3", "pre", "w", -1, "omega")]
+    got = matching.match(frame(spark, patches, "group_id string, pre string, post string"), frame(spark, units, "unit_id int, code string"), frame(spark, anchors, "group_id string, side string, anchor string, line_no int, snippet string"))
+    rows = {(r.group_id, r.unit_id): (r.verdict, r.confidence) for r in got.collect()}
+    code, sides = dict(units), {g: {"pre": a, "post": b} for g, a, b in patches}
+    assert len(rows) > 60 and len({v for v, _ in rows.values()}) == 4
+    for (g, u), (verdict, confidence) in rows.items():
+        want = plain_match(sides[g], code[u], [(s, n) for h, s, _, n, t in anchors if h == g and t.strip(" ;")])
+        assert verdict == want[0] and abs(confidence - want[1]) < 1e-9, (g, u)
