@@ -14,9 +14,12 @@ from pyspark.sql import functions as F
 from lodestrand.llm.anchors import anchors
 from lodestrand.llm.words import U, mix, text_slices
 
-#: Raw bytes of text in one parcel run, and anchors in one run.
+#: Raw bytes of text in one parcel run, anchors in one run, and bytes of text that one part holds, about.
 PARCEL = 16 << 20
 ANCHORS = 1 << 19
+PART_BYTES = 32 << 20
+#: A gram that as many anchors have is hot.
+HOT = 256
 #: Symbols of a text slice and the bounds of each text in them.
 Symbols = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
 
@@ -52,6 +55,13 @@ def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("_id"), F.xxhash64(F.col(id_col), text).alias("_key"), text.alias("text"))
 
 
+def part_count(rows: DataFrame) -> int:
+    """How many parts all texts are dealt into: as many as their bytes ask for, and no fewer than a shuffle has tasks. A
+    part is held in memory by one task, so it must not grow with the input."""
+    total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // PART_BYTES))
+
+
 def part_of(keys: np.ndarray, parts: int) -> np.ndarray:
     return (mix(keys.astype(U)) % U(parts)).astype(np.int64)
 
@@ -59,17 +69,24 @@ def part_of(keys: np.ndarray, parts: int) -> np.ndarray:
 @dataclass(frozen=True)
 class Windows:
     """Windows of `length` symbols, found by grams of `gram` symbols; parts is the number of tasks of a shuffle, and
-    buckets that of the ranges of gram hashes, each of which is held in memory by itself."""
+    buckets that of the ranges of gram hashes, each of which is held in memory by itself. A gram that `hot` anchors have
+    is hot."""
 
     symbols: Symbols
     length: int
     gram: int
     parts: int
+    hot: int = HOT
 
     @property
     def buckets(self) -> int:
         return 4 * self.parts
 
+    @property
+    def span_type(self) -> type:
+        """Fits the number of windows that can share an anchor."""
+        return np.uint8 if self.length - self.gram < 256 else np.uint32
+
 
 def anchor_runs(rows: DataFrame, windows: Windows) -> DataFrame:
     """(bucket, blob): the anchors of all texts, dealt by ranges of their gram's hash."""
@@ -91,7 +108,7 @@ def anchor_runs(rows: DataFrame, windows: Windows) -> DataFrame:
                 blobs.append(
                     pack(
                         id=ids[docs], key=keys[docs], count=count.astype(np.uint32), hash=lead(hashes[at]),
-                        first=np.diff(first[at], prepend=0).astype(np.int32), span=(last[at] - first[at]).astype(np.uint8),
+                        first=np.diff(first[at], prepend=0).astype(np.int32), span=(last[at] - first[at]).astype(windows.span_type),
                     )
                 )
             return pa.RecordBatch.from_arrays([pa.array([b for b, _ in made], pa.int32()), pa.array(blobs, pa.binary())], names=["bucket", "blob"])
@@ -121,9 +138,11 @@ def lead(hashes: np.ndarray) -> np.ndarray:
 
 
 def candidates(runs: DataFrame, windows: Windows, samples: int = 0) -> DataFrame:
-    """(part, blob): anchors whose gram some other document has too, dealt by document, with the smallest id
-    that has the gram. If samples are asked for, anchors keep the gram's code, and part -1 holds, for every bucket, so
-    many places of its sorted anchors with the symbols that lie between them."""
+    """(part, blob): anchors whose gram some other document has too, dealt by document, with a route: equal grams have
+    one. It is the hash of the smallest id that has the gram, the anchor's reference, so neighbouring anchors mostly
+    share it; an anchor whose gram is hot has the gram's own hash. If samples are asked for, anchors keep the gram's
+    code instead, and part -1 holds, for every bucket, so many places of its sorted anchors with the symbols that lie
+    between them."""
     parts, length = windows.parts, windows.length
 
     def run(key, table):
@@ -146,7 +165,7 @@ def candidates(runs: DataFrame, windows: Windows, samples: int = 0) -> DataFrame
         group = np.cumsum(new) - 1
         end = np.append(start[1:], len(h)) - 1
         keep = (d[start] != d[end])[group]
-        order, least = order[keep], d[start][group][keep]
+        order, least, many = order[keep], d[start][group][keep], (end - start + 1 >= windows.hot)[group][keep]
         out = []
         if len(order):
             ids, keys, first, span = ids[order], keys[order], first[order], span[order]
@@ -157,14 +176,21 @@ def candidates(runs: DataFrame, windows: Windows, samples: int = 0) -> DataFrame
                 out.append((-1, pack(code=code[at], id=ids[at], weight=np.diff(weight[at], prepend=0))))
             part = part_of(keys, parts)
             place = np.lexsort((first, keys, part))
+            route = mix(np.where(many, code + U(17), least.astype(U)) ^ many.astype(U))
             cuts = np.searchsorted(part[place], np.arange(parts + 1))
             for p, (x, y) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
                 if x < y:
                     w = place[x:y]
-                    out.append((p, pack(key=keys[w], id=ids[w], first=first[w], span=span[w], least=least[w], **({"code": code[w]} if samples else {}))))
+                    own = {"code": code[w]} if samples else {"route": route[w], "hot": many[w].astype(np.uint8)}
+                    out.append((p, pack(key=keys[w], id=ids[w], first=first[w], span=span[w], **own)))
         return pa.table({"part": pa.array([p for p, _ in out], pa.int32()), "blob": pa.array([b for _, b in out], pa.binary())})
 
-    return runs.groupBy("bucket").applyInArrow(run, "part int, blob binary")
+    return dealt(runs, parts, "bucket").applyInArrow(run, "part int, blob binary")
+
+
+def dealt(df: DataFrame, parts: int, key: str = "part"):
+    """df by key, with as many tasks as there are parts: tasks, like the groups they hold, do not grow with the input."""
+    return df.repartition(parts, key).groupBy(key)
 
 
 def parcels(rows: DataFrame, parts: int) -> DataFrame:

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from lodestrand.llm.automata import SuffixAutomaton
-from lodestrand.llm.repeats import Windows, anchor_runs, candidates, covered, gathered, keyed, pack, parcels, part_of, removed_ranges, texts_of
+from lodestrand.llm.repeats import HOT, Windows, anchor_runs, candidates, covered, dealt, gathered, keyed, pack, parcels, part_count, part_of, removed_ranges, texts_of, unpack
 from lodestrand.llm.tables import materialize, small_batches
 from lodestrand.llm.words import BYTE_VALUES
 
@@ -69,7 +69,7 @@ def stream_group(ids: np.ndarray, texts: list[bytes], window: int, shard_bytes:
     return out
 
 
-def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50, gram: int = 20, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50, gram: int = 20, shard_bytes: int = SHARD_BYTES, hot: int = HOT) -> DataFrame:
     """Remove every byte covered by a string of `window` bytes that also starts in a document with a smaller id.
 
     1. Every window holds an anchor, chosen by content alone; anchors whose gram only one document has are dropped:
@@ -78,82 +78,115 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
        reference are a run of text; equal windows share a gram, hence a reference, so runs are routed to the shard of
        their reference. All documents are reference here, so routing takes the place of a broadcast, which would grow
        with the input.
-    3. A shard takes a reference's runs by rising id: it streams each through the suffix automata of smaller ids, whose
-       matching statistics of at least `window` bytes are the repeats, then adds what they lacked. An automaton holds
-       shard_bytes of text at most, give or take a run; a full one is followed by another, so memory is bounded.
-    4. Marks go to their documents, which are cut and hashed whole.
+    3. An anchor whose gram is hot, one of a passage that very many documents share, is a run by itself and routed by its
+       gram, so such a passage is spread over many shards. Of equal runs of that kind in one part only the one of the
+       smallest id travels; the others are marked at once, as that id has all of their windows.
+    4. A shard takes the runs of one route by rising id: it streams each through the suffix automata of smaller ids,
+       whose matching statistics of at least `window` bytes are the repeats, then adds what they lacked. An automaton
+       holds shard_bytes of text at most, give or take a run; a full one is followed by another.
+    5. Marks go to their documents, which are cut and hashed whole.
 
     Texts are UTF-8 bytes; strings are judged on the input and never cross documents. Null, empty and short texts lose
     nothing. A row with a null id loses nothing and takes nothing. Rows that repeat an id do not take from each other.
-    An empty table gives an empty result. Other columns are not read. A reference's runs are streamed by one task; all
-    occurrences of a gram meet in one task as about ten bytes each.
+    An empty table gives an empty result. Other columns are not read. Parts, of texts, grams and routes alike, are as many
+    as the texts' bytes ask for. All occurrences of a gram meet in one task as about ten bytes each.
 
     Returns doc_id, n_bytes, n_removed, n_spans, kept_sha256.
     """
     spark = docs.sparkSession
     small_batches(spark)
-    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     rows = keyed(docs, id_col, text_col)
-    windows = Windows(byte_symbols, window, gram, parts)
+    parts = part_count(rows)
+    windows = Windows(byte_symbols, window, gram, parts, hot)
     found = candidates(anchor_runs(rows, windows), windows)
     texts = materialize(parcels(rows, parts))
     shards = parts * 4
 
     def runs(key, left, right):
-        """Runs of candidate text of a part's documents, by shard."""
+        """Runs of candidate text of a part's documents, by shard, and marks that are certain already."""
         c = gathered(right.column("blob").to_pylist())
         out: list[tuple[int, bytes]] = []
-        if c and left.num_rows:
-            order = np.lexsort((c["first"], c["key"]))
-            keys, first, span, least = (c[k][order] for k in ("key", "first", "span", "least"))
-            end = first + span
-            new = np.ones(len(keys), bool)
-            new[1:] = (keys[1:] != keys[:-1]) | (least[1:] != least[:-1]) | (first[1:] != end[:-1] + 1)
-            at = np.flatnonzero(new)
-            to = np.append(at[1:], len(keys)) - 1
-            keys, first, least, end = keys[at], first[at], least[at], end[to] + window
-            shard = part_of(least, shards)
-            names, low = np.unique(keys, return_index=True)
-            where = {int(k): (x, y) for k, x, y in zip(names, low, np.append(low[1:], len(keys)), strict=True)}
-            for p, bounds in texts_of(left.column("blob").to_pylist()):
-                picked, base, owner, seen = [], [], [], set()
-                for i, k in enumerate(p["key"].tolist()):
-                    if k in where and p["known"][i] and k not in seen:
-                        seen.add(k)
-                        x, y = where[k]
-                        picked.append(np.arange(x, y))
-                        base.append(np.full(y - x, bounds[i]))
-                        owner.append(np.full(y - x, p["id"][i]))
-                if not picked:
-                    continue
-                w, base, owner = np.concatenate(picked), np.concatenate(base), np.concatenate(owner)
-                by = np.argsort(shard[w], kind="stable")
-                edge = np.flatnonzero(np.append(True, np.diff(shard[w][by]) != 0))
-                for x, y in zip(edge, np.append(edge[1:], len(by)), strict=True):
-                    s = by[x:y]
-                    r = w[s]
-                    size = end[r] - first[r]
-                    text = p["text"][np.repeat(base[s] + first[r] - np.cumsum(size) + size, size) + np.arange(size.sum())]
-                    out.append((int(shard[r[0]]), pack(key=keys[r], id=owner[s], least=least[r], first=first[r], size=size, text=text)))
+        if not c or not left.num_rows:
+            return _table(out)
+        order = np.lexsort((c["first"], c["key"]))
+        keys, first, span, route, hot = (c[k][order] for k in ("key", "first", "span", "route", "hot"))
+        end = first + span
+        new = np.ones(len(keys), bool)
+        new[1:] = (keys[1:] != keys[:-1]) | (route[1:] != route[:-1]) | (first[1:] != end[:-1] + 1) | (hot[1:] > 0)
+        at = np.flatnonzero(new)
+        to = np.append(at[1:], len(keys)) - 1
+        keys, first, route, hot, end = keys[at], first[at], route[at], hot[at] > 0, end[to] + window
+        shard = part_of(route, shards)
+        names, low = np.unique(keys, return_index=True)
+        where = {int(k): (x, y) for k, x, y in zip(names, low, np.append(low[1:], len(keys)), strict=True)}
+        equal: dict[tuple[int, bytes], list[tuple[int, int]]] = {}
+        for p, bounds in texts_of(left.column("blob").to_pylist()):
+            picked, base, owner, seen = [], [], [], set()
+            whole = p["text"].tobytes()
+            for i, k in enumerate(p["key"].tolist()):
+                if k in where and p["known"][i] and k not in seen:
+                    seen.add(k)
+                    x, y = where[k]
+                    picked.append(np.arange(x, y))
+                    base.append(np.full(y - x, bounds[i]))
+                    owner.append(np.full(y - x, p["id"][i]))
+            if not picked:
+                continue
+            w, base, owner = np.concatenate(picked), np.concatenate(base), np.concatenate(owner)
+            often = np.flatnonzero(hot[w])
+            spots = zip(route[w[often]].tolist(), (base[often] + first[w[often]]).tolist(), (base[often] + end[w[often]]).tolist(), owner[often].tolist(), w[often].tolist(), strict=True)
+            for r, x, y, who, j in spots:
+                equal.setdefault((r, whole[x:y]), []).append((who, j))
+            w, base, owner = w[~hot[w]], base[~hot[w]], owner[~hot[w]]
+            if not len(w):
+                continue
+            by = np.argsort(shard[w], kind="stable")
+            edge = np.flatnonzero(np.diff(shard[w][by], prepend=-1) != 0)
+            for x, y in zip(edge, np.append(edge[1:], len(by)), strict=True):
+                s = by[x:y]
+                r = w[s]
+                size = end[r] - first[r]
+                text = p["text"][np.repeat(base[s] + first[r] - np.cumsum(size) + size, size) + np.arange(size.sum())]
+                out.append((int(shard[r[0]]), pack(key=keys[r], id=owner[s], route=route[r], first=first[r], size=size, text=text)))
+        sent: dict[int, list] = {}
+        gone: list[int] = []
+        for (r, text), rows_ in equal.items():
+            least = min(rows_)[0]
+            gone += [j for who, j in rows_ if who != least]
+            for who, j in rows_:
+                if who == least:
+                    sent.setdefault(int(shard[j]), []).append((who, j, text))
+        for q, rows_ in sent.items():
+            j, text = np.array([x[1] for x in rows_]), np.frombuffer(b"".join(x[2] for x in rows_), np.uint8)
+            out.append((q, pack(key=keys[j], id=np.array([x[0] for x in rows_], np.int64), route=route[j], first=first[j], size=end[j] - first[j], text=text)))
+        if gone:
+            g = np.array(gone)
+            out.append((int(key[0].as_py()) % shards, pack(mark=keys[g], start=first[g].astype(np.int64), end=end[g].astype(np.int64))))
         return _table(out)
 
     def stream(key, table):
-        b = gathered(table.column("blob").to_pylist())
-        bounds = np.concatenate([[0], np.cumsum(b["size"])])
-        order = np.lexsort((b["first"], b["key"], b["id"], b["least"]))
-        least = b["least"][order]
-        edge = np.flatnonzero(np.append(True, least[1:] != least[:-1]))
-        whole = b["text"].tobytes()
-        marks: list[tuple[int, int, int]] = []
-        for x, y in zip(edge, np.append(edge[1:], len(order)), strict=True):
-            g = order[x:y]
-            got = stream_group(b["id"][g], [whole[bounds[i] : bounds[i + 1]] for i in g], window, shard_bytes)
-            for i, ranges in zip(g, got, strict=True):
-                k, start = int(b["key"][i]), int(b["first"][i])
-                marks += [(k, start + a, start + z + window - 1) for a, z in ranges]
+        blobs = [unpack(x) for x in table.column("blob").to_pylist()]
+        made = [b for b in blobs if "mark" in b]
+        marks = [tuple(np.concatenate([b[c] for b in made]) for c in ("mark", "start", "end"))] if made else []
+        blobs = [b for b in blobs if "mark" not in b]
+        if blobs:
+            b = {k: np.concatenate([x[k] for x in blobs]) for k in blobs[0]}
+            bounds = np.concatenate([[0], np.cumsum(b["size"])])
+            order = np.lexsort((b["first"], b["key"], b["id"], b["route"]))
+            route = b["route"][order]
+            edge = np.flatnonzero(np.append(True, route[1:] != route[:-1]))
+            whole = b["text"].tobytes()
+            found: list[tuple[int, int, int]] = []
+            for x, y in zip(edge, np.append(edge[1:], len(order)), strict=True):
+                g = order[x:y]
+                got = stream_group(b["id"][g], [whole[bounds[i] : bounds[i + 1]] for i in g], window, shard_bytes)
+                for i, ranges in zip(g, got, strict=True):
+                    k, start = int(b["key"][i]), int(b["first"][i])
+                    found += [(k, start + a, start + z + window - 1) for a, z in ranges]
+            marks += [tuple(np.array(m, np.int64) for m in zip(*found, strict=True))] if found else []
         if not marks:
             return _table([])
-        k, start, end = (np.array(m, np.int64) for m in zip(*marks, strict=True))
+        k, start, end = (np.concatenate(m) for m in zip(*marks, strict=True))
         part = part_of(k, parts)
         order = np.lexsort((start, k, part))
         cuts = np.searchsorted(part[order], np.arange(parts + 1))
@@ -181,9 +214,9 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         return pa.table([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     shape = "part int, blob binary"
-    routed = texts.groupBy("part").cogroup(found.groupBy("part")).applyInArrow(runs, shape)
-    marks = routed.groupBy("part").applyInArrow(stream, shape)
-    return texts.groupBy("part").cogroup(marks.groupBy("part")).applyInArrow(finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    routed = dealt(texts, parts).cogroup(dealt(found, parts)).applyInArrow(runs, shape)
+    marks = dealt(routed, shards).applyInArrow(stream, shape)
+    return dealt(texts, parts).cogroup(dealt(marks, parts)).applyInArrow(finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,12 +9,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestrand.llm.repeats import Windows, anchor_runs, candidates, covered, gathered, keyed, pack, parcels, part_of, removed_ranges, texts_of
+from lodestrand.llm.repeats import Windows, anchor_runs, candidates, covered, dealt, gathered, keyed, pack, parcels, part_count, part_of, removed_ranges, texts_of
 from lodestrand.llm.tables import materialize, small_batches
 from lodestrand.llm.words import U, mix, prefix_sums, span_hashes, word_hashes, words
 
-#: Words of suffixes in one sort bucket.
-BUCKET_WORDS = 1 << 20
+#: Words of suffixes in one sort bucket, and places sampled for splitters, which go to the driver, in all.
+BUCKET_WORDS, MOST_SAMPLES = 1 << 20, 1 << 20
 
 
 def word_symbols(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -124,10 +124,10 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     spark = docs.sparkSession
     small_batches(spark)
-    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     rows = keyed(docs, id_col, text_col)
+    parts = part_count(rows)
     windows = Windows(word_symbols, window, gram, parts)
-    found = materialize(candidates(anchor_runs(rows, windows), windows, samples=32))
+    found = materialize(candidates(anchor_runs(rows, windows), windows, samples=max(1, min(32, MOST_SAMPLES // windows.buckets))))
     cut_code, cut_id = splitters([r["blob"] for r in found.where("part < 0").select("blob").collect()], bucket_words)
     straddling = np.unique(cut_code)
     texts = materialize(parcels(rows, parts))
@@ -232,10 +232,10 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         return pa.table({"doc_id": pa.array([i if k else None for i, k in zip(ids, known, strict=True)], pa.int64()), "n_words": pa.array(n, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "kept_sha256": pa.array(digest, pa.string())})
 
     shape = "part int, blob binary"
-    suffixes = texts.groupBy("part").cogroup(found.where("part >= 0").groupBy("part")).applyInArrow(suffix_rows, shape)
-    sorted_ = materialize(suffixes.groupBy("part").applyInArrow(sort_bucket, shape))
-    marks = sorted_.where("part >= 0").unionAll(sorted_.where("part < 0").groupBy("part").applyInArrow(across, shape))
-    return texts.groupBy("part").cogroup(marks.groupBy("part")).applyInArrow(finish, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    suffixes = dealt(texts, parts).cogroup(dealt(found.where("part >= 0"), parts)).applyInArrow(suffix_rows, shape)
+    sorted_ = materialize(dealt(suffixes, max(parts, len(cut_code) + 1)).applyInArrow(sort_bucket, shape))
+    marks = sorted_.where("part >= 0").unionAll(dealt(sorted_.where("part < 0"), parts).applyInArrow(across, shape))
+    return dealt(texts, parts).cogroup(dealt(marks, parts)).applyInArrow(finish, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -171,8 +171,8 @@ def test_suffixes(docs, plain, none, bucket):
     assert suffixes.suffix_dedup(none).isEmpty()
 
 
-@pytest.mark.parametrize("shard", [160_000, 100])
-def test_substrings(docs, plain, none, shard):
+@pytest.mark.parametrize(("shard", "hot"), [(160_000, 256), (100, 256), (160_000, 2), (100, 5)])
+def test_substrings(docs, plain, none, shard, hot):
     first = {}
     for i, t, _ in plain:
         b = t.encode()
@@ -185,7 +185,7 @@ def test_substrings(docs, plain, none, shard):
         gone = removed(b, [p for p in range(len(b) - 49) if i is not None and first[b[p : p + 50]] < i], 50)
         spans = int((np.diff(np.concatenate([[0], gone.astype(int)])) == 1).sum())
         expected.append((i, len(b), int(gone.sum()), spans, hashlib.sha256(np.frombuffer(b, np.uint8)[~gone].tobytes()).hexdigest()))
-    assert table(substrings.substring_dedup(docs, shard_bytes=shard), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == sorted(expected, key=repr)
+    assert table(substrings.substring_dedup(docs, shard_bytes=shard, hot=hot), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == sorted(expected, key=repr)
     assert substrings.substring_dedup(none).isEmpty()
 
 
