@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestrand.functions.text import ASCII_WORD, DROPPED_MARKS, SPACE_CHARS, STOPWORDS, WORD_CHARS, line_tokens, squeezed
 from lodestrand.operators import lookup, ranges, search
+from lodestrand.plans import storage
 from lodestrand.sources.tables import table
 
 _STOP = ", ".join(f"'{w}'" for w in STOPWORDS)
@@ -27,11 +28,21 @@ def _tokens(source: str, name: str) -> str:
     return f"src_{name} AS ({source}),{text}"
 
 
+def document_postings(spark: SparkSession, d: str) -> DataFrame:
+    """Postings of all documents, from the session's index."""
+
+    def make() -> tuple[DataFrame, DataFrame]:
+        units = table(spark, d, "documents")
+        return units.select(F.col("doc_id").alias("unit_id"), F.col("source").alias("path")), search.postings(units, "doc_id", "text", ASCII_WORD)
+
+    return storage.session_index(spark, f"{d}/documents", make)[1]
+
+
 def token_topk(spark: SparkSession, d: str) -> DataFrame:
     """The 20 documents that share most tokens with the first benchmark passage."""
-    units, passages = table(spark, d, "documents"), table(spark, d, "benchmark")
+    passages = table(spark, d, "benchmark")
     first = passages.join(passages.agg(F.min("item_id").alias("item_id")), "item_id")
-    found = search.hits(search.postings(units, "doc_id", "text", ASCII_WORD), search.query_tokens(first, "item_id", "text", ASCII_WORD, cap=10_000))
+    found = search.hits(document_postings(spark, d), search.query_tokens(first, "item_id", "text", ASCII_WORD, cap=10_000))
     return found.orderBy(F.col("hit_count").desc(), "unit_id").limit(20).select("unit_id", "hit_count")
 
 
@@ -43,8 +54,7 @@ SELECT d.id AS unit_id, count(*) AS hit_count FROM tok_d d JOIN tok_q q USING (t
 
 def token_search_batch(spark: SparkSession, d: str) -> DataFrame:
     """For every benchmark passage the 10 documents that share most of its 30 longest tokens."""
-    units, passages = table(spark, d, "documents"), table(spark, d, "benchmark")
-    found = search.hits(search.postings(units, "doc_id", "text", ASCII_WORD), search.query_tokens(passages, "item_id", "text", ASCII_WORD))
+    found = search.hits(document_postings(spark, d), search.query_tokens(table(spark, d, "benchmark"), "item_id", "text", ASCII_WORD))
     return search.top_hits(found, 10).select("query_id", "unit_id", "hit_count", "place")
 
 
@@ -58,7 +68,8 @@ FROM hit QUALIFY place <= 10
 
 
 def token_document_frequency(spark: SparkSession, d: str) -> DataFrame:
-    return search.document_frequency(search.postings(table(spark, d, "documents"), "doc_id", "text", ASCII_WORD))
+    """How many documents have each token."""
+    return search.document_frequency(document_postings(spark, d))
 
 
 TOKEN_DF = f"WITH {_tokens('SELECT doc_id AS id, text FROM documents', 'd')} SELECT t AS token, count(*) AS df FROM tok_d GROUP BY 1"

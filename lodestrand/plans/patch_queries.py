@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodestrand.functions.text import line_tokens
+from lodestrand.functions.text import ASCII_WORD, line_tokens
 from lodestrand.operators import align, diffs, graphs, knowledge, rank, scoring, search, statements
 from lodestrand.plans import storage
+from lodestrand.plans.index_queries import document_postings
 from lodestrand.plans.literals import frame, turn_pairs, values_sql
 from lodestrand.sources.tables import table
 
@@ -154,7 +155,7 @@ SELECT unit_id, CAST(statement AS BIGINT) AS statement, CAST(min(n) AS INTEGER)
 def _pairs(spark: SparkSession, d: str) -> DataFrame:
     """Each benchmark passage with the document that shares most of its tokens, cut into sentences of line tokens."""
     units, passages = table(spark, d, "documents"), table(spark, d, "benchmark")
-    found = search.top_hits(search.hits(search.postings(units, "doc_id", "text"), search.query_tokens(passages, "item_id", "text")), 1)
+    found = search.top_hits(search.hits(document_postings(spark, d), search.query_tokens(passages, "item_id", "text", ASCII_WORD)), 1)
     both = found.join(passages.select(F.col("item_id").alias("query_id"), F.col("text").alias("a")), "query_id").join(units.select(F.col("doc_id").alias("unit_id"), F.col("text").alias("b")), "unit_id")
     cut = lambda c: F.transform(F.split(c, r"[.\n]\s*"), line_tokens)
     return both.select(F.col("query_id").alias("pair_id"), cut("a").alias("slice"), cut("b").alias("target"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import hashlib
 import shutil
 import tempfile
 import uuid
@@ -39,9 +40,11 @@ class MissingIndex(RuntimeError):
 
 
 def write_index(symbols: DataFrame, postings: DataFrame, folder: str) -> None:
-    """Symbols, and postings sorted by token so that a token's rows lie in few row groups."""
+    """Symbols, and distinct postings dealt by token and sorted, so that a token's rows lie in one file and few of its row
+    groups, and an aggregate by token reads sorted rows. One shuffle drops duplicates and deals."""
     symbols.write.mode("overwrite").parquet(f"{folder}/symbols")
-    postings.dropDuplicates(["token", "unit_id"]).repartitionByRange("token").sortWithinPartitions("token", "unit_id").write.mode("overwrite").parquet(f"{folder}/postings")
+    dealt = postings.repartition("token").dropDuplicates(["token", "unit_id"])
+    dealt.sortWithinPartitions("token", "unit_id").write.mode("overwrite").parquet(f"{folder}/postings")
 
 
 def read_index(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
@@ -52,6 +55,18 @@ def read_index(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     return spark.read.parquet(f"{folder}/symbols"), spark.read.parquet(f"{folder}/postings")
 
 
+def session_index(spark: SparkSession, source: str, make) -> tuple[DataFrame, DataFrame]:
+    """The index of a source: make() gives its symbols and postings, which are written the first time that this
+    application asks and read from then on."""
+    name = hashlib.sha256(f"{spark.sparkContext.applicationId}\x00{source}".encode()).hexdigest()[:24]
+    folder = f"{shared_folder(spark)}/index-{name}"
+    try:
+        return read_index(spark, folder)
+    except MissingIndex:
+        write_index(*make(), folder)
+        return read_index(spark, folder)
+
+
 def append_findings(old: DataFrame, new: DataFrame) -> DataFrame:
     """Both batches without exact duplicates."""
     return old.unionByName(new).dropDuplicates()
