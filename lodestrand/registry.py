@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from lodestrand.plans import evidence_queries, index_queries, patch_queries
+from lodestrand.plans import evidence_queries, index_queries, patch_queries, version_queries
 
 FLAGSHIP = "token_topk"
-_PARTS = (index_queries, patch_queries, evidence_queries)
+_PARTS = (index_queries, patch_queries, evidence_queries, version_queries)
 
 
 def queries() -> dict:
