@@ -116,6 +116,11 @@ def squeezed(text: Column) -> Column:
     return F.regexp_replace(text, r"\s+", "")
 
 
+def normalised(code: Column) -> Column:
+    """Code without comments and white space: equal for two functions that differ in nothing else."""
+    return squeezed(strip_comments(code))
+
+
 def quoted(word: str) -> str:
     """A regular expression for the word as it is written."""
     return "".join(c if c.isalnum() or c == "_" or c.isspace() else f"\\{c}" for c in word)

@@ -18,6 +18,13 @@ def definitions(symbols: DataFrame, names: DataFrame, name_col: str, order: list
     return found.withColumn("place", place).where(F.col("place") <= most)
 
 
+def body(symbols: DataFrame, names: DataFrame, name_col: str, order: list[str], path_col: str | None = None) -> DataFrame:
+    """The first definition of each wanted name, of its path if names have one under path_col."""
+    keys = [name_col, *([path_col] if path_col else [])]
+    found = symbols.join(names.select(*keys).distinct(), keys, "left_semi")
+    return found.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_n = 1").drop("_n")
+
+
 def in_path(symbols: DataFrame, paths: DataFrame, path_col: str, kind: str | None = None) -> DataFrame:
     """Symbols of each wanted path, of one kind if it is given; where no path is equal, those whose path the wanted one
     ends with."""
@@ -106,6 +113,20 @@ def enclosing_callers(callers: DataFrame, functions: DataFrame, most: int = 20)
 def context_windows(rows: DataFrame, at: DataFrame, before: int, after: int) -> DataFrame:
     """Numbered lines around each place (unit_id, at): the place's own line is marked."""
     wanted = at.select("unit_id", "at", F.explode(F.sequence(F.greatest(F.lit(1), F.col("at") - before), F.col("at") + after)).alias("line_no"))
+    return _marked(rows, wanted)
+
+
+def symbol_context(rows: DataFrame, at: DataFrame, symbols: DataFrame, reach: int = 10, most: int = 50) -> DataFrame:
+    """Numbered lines around each place (unit_id, at): the whole symbol (unit_id, start_line, end_line) that starts on the
+    line and ends within `most` lines, else `reach` lines on both sides."""
+    own = symbols.select("unit_id", F.col("start_line").alias("at"), "end_line").where(F.col("end_line") - F.col("at") < most).groupBy("unit_id", "at").agg(F.max("end_line").alias("end_line"))
+    near = at.select("unit_id", "at").join(own, ["unit_id", "at"], "left")
+    first = F.when(F.col("end_line").isNull(), F.greatest(F.lit(1), F.col("at") - reach)).otherwise(F.col("at"))
+    wanted = near.select("unit_id", "at", F.explode(F.sequence(first, F.coalesce("end_line", F.col("at") + reach))).alias("line_no"))
+    return _marked(rows, wanted)
+
+
+def _marked(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     mark = F.when(F.col("line_no") == F.col("at"), ">> ").otherwise("   ")
     return rows.join(wanted, ["unit_id", "line_no"]).select("unit_id", "at", "line_no", F.concat(mark, F.format_string("[%4d] %s", "line_no", "line")).alias("text"))
 

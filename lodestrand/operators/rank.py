@@ -55,9 +55,11 @@ def adaptive_threshold(rows: DataFrame, group: str, order: list[str], safe: Colu
     return folded.select(group, F.col("_f.t").alias("threshold"), F.col("_f.taken").alias("taken"), F.col("_f.skipped").alias("skipped"))
 
 
-def peers(candidates: DataFrame, file: str, func: str, most: int = 200) -> DataFrame:
-    """For every candidate the others of its file with another function, at most `most`."""
-    a, b = candidates.alias("a"), candidates.select(F.col(file).alias("_f"), F.col(func).alias("peer")).alias("b")
-    both = a.join(b, (F.col(f"a.{file}") == F.col("b._f")) & (F.col(f"a.{func}") != F.col("b.peer"))).select(f"a.{file}", f"a.{func}", "peer").distinct()
-    order = Window.partitionBy(file, func).orderBy("peer")
+def peers(candidates: DataFrame, file: str, func: str, most: int = 200, same: tuple[str, ...] = ()) -> DataFrame:
+    """For every candidate the others of its file with another function, and with the same values of `same`, such as tag
+    and version; at most `most`, the first by name."""
+    keys = [file, *same]
+    rows = candidates.select(*keys, func).distinct()
+    both = rows.join(rows.withColumnRenamed(func, "peer"), keys).where(F.col(func) != F.col("peer"))
+    order = Window.partitionBy(*keys, func).orderBy("peer")
     return both.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= most).drop("_n")

@@ -57,12 +57,16 @@ def verdict(rows: DataFrame) -> DataFrame:
 
 
 def final_verdict(rows: DataFrame) -> DataFrame:
-    """The last judgement from what was found: consistent, reachable, in_scope, blocked, vulnerable."""
+    """The last judgement from what was found: consistent, reachable, in_scope, blocked, vulnerable; if the table has them
+    also type_matches, whether the path is of the kind the type asks for, and contested, which goes to another round."""
+    has = lambda name: F.col(name) if name in rows.columns else F.lit(None).cast("boolean")
     name = (
         F.when(~F.col("consistent"), "SAFE-Mismatch")
         .when(~F.col("reachable"), "SAFE-Unreachable")
+        .when(~has("type_matches"), "SAFE-TypeMismatch")
         .when(~F.col("in_scope"), "SAFE-OutOfScope")
         .when(F.col("blocked"), "SAFE-Blocked")
+        .when(has("contested"), "PROCEED")
         .when(F.col("vulnerable"), "VULNERABLE")
         .otherwise("SAFE-Unknown")
     )

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from lodestrand.functions.text import line_number
 from lodestrand.operators.graphs import by_function
 from lodestrand.operators.lookup import lines
+from lodestrand.operators.mapping import typed_paths
 
 #: Kinds of nodes that stand for no line.
 SILENT = ("EXIT", "MERGE", "NO_OP")
@@ -37,6 +38,25 @@ def slice_text(kept: DataFrame, functions: DataFrame) -> DataFrame:
     return rows.groupBy("func_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(shown)), lambda s: s["t"]), "\n").alias("text"))
 
 
+def anchored_nodes(dependence: DataFrame, anchors: DataFrame, links: DataFrame, nodes: DataFrame, changed: DataFrame) -> DataFrame:
+    """(func_id, node) of the slice that a patch's anchors span: the anchors (func_id, type, node), what lies between any
+    two that a link of the chain joins, the nodes on changed lines (func_id, line), and ENTRY."""
+    between = typed_paths(dependence, anchors, links).select("func_id", F.explode("path").alias("node"))
+    on_line = (nodes["func_id"] == changed["func_id"]) & changed["line"].between(nodes["line"], nodes["end_line"])
+    touched = nodes.where(~F.col("type").isin("ENTRY", *SILENT)).join(changed, on_line, "left_semi").select("func_id", "node")
+    entry = anchors.select("func_id", F.lit("ENTRY").alias("node"))
+    return anchors.select("func_id", "node").unionAll(between).unionAll(touched).unionAll(entry).distinct()
+
+
+def sliced_or_whole(functions: DataFrame, sliced: DataFrame, least: float = 0.2) -> DataFrame:
+    """(func_id, text): a function's slice (func_id, text), or all its lines, numbered, if the slice is shorter than that
+    share of them."""
+    every = lines(functions, "func_id", "code").select(F.col("unit_id").alias("func_id"), F.col("line_no").alias("line"))
+    whole = slice_text(every, functions).withColumnRenamed("text", "_whole")
+    both = whole.join(sliced, "func_id", "left")
+    return both.select("func_id", F.when(F.length(F.coalesce("text", F.lit(""))) < least * F.length("_whole"), F.col("_whole")).otherwise(F.col("text")).alias("text"))
+
+
 def function_at(functions: DataFrame, places: DataFrame) -> DataFrame:
     """places (path, line) with the function around each: functions (path, func_id, start_line, end_line) do not overlap;
     a place outside all of them is left out."""

@@ -9,8 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestrand.functions.text import squeezed
+from lodestrand.functions.text import normalised
 from lodestrand.operators.lookup import lines
+from lodestrand.operators.validate import latest_of
 from lodestrand.sources.csource import functions
 
 SOURCE = r"\.(c|h|cpp|hpp)$"
@@ -132,11 +133,13 @@ def callers_at(blobs: DataFrame, symbols: DataFrame, names: DataFrame, most: int
 
 def changed_functions(old: DataFrame, new: DataFrame) -> DataFrame:
     """(version, path, name, change_type, old_code, new_code, start_line_old, start_line_new) of functions that were added
-    or modified between two symbol tables (version, path, name, code, start_line); white space does not count."""
+    or modified between two symbol tables (version, path, name, code, start_line); of a name that a file defines twice
+    the last counts. Comments and white space do not."""
     keys = ["version", "path", "name"]
+    old, new = (latest_of(rows, keys, "start_line") for rows in (old, new))
     a = old.select(*keys, F.col("code").alias("old_code"), F.col("start_line").alias("start_line_old"))
     b = new.select(*keys, F.col("code").alias("new_code"), F.col("start_line").alias("start_line_new"))
-    both = b.join(a, keys, "left").where(F.col("old_code").isNull() | (squeezed(F.col("old_code")) != squeezed(F.col("new_code"))))
+    both = b.join(a, keys, "left").where(F.col("old_code").isNull() | (normalised(F.col("old_code")) != normalised(F.col("new_code"))))
     kind = F.when(F.col("old_code").isNull(), "ADDED").otherwise("MODIFIED")
     return both.select(*keys, kind.alias("change_type"), F.coalesce("old_code", F.lit("")).alias("old_code"), "new_code", F.coalesce("start_line_old", F.lit(1)).alias("start_line_old"), "start_line_new")
 

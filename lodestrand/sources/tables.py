@@ -61,3 +61,9 @@ def versioned_functions(spark: SparkSession, path: str) -> DataFrame:
 
 def by_basename(files: DataFrame, name: str) -> DataFrame:
     return files.where((F.col("path") == name) | F.col("path").endswith(f"/{name}"))
+
+
+def benchmark_corpus(functions: DataFrame, listed: DataFrame) -> DataFrame:
+    """versioned_functions() of the vulnerabilities that are listed, tags pre, vul and fix, each with its compound name."""
+    known = functions.where(F.col("tag").isin("pre", "vul", "fix")).join(listed.select("vul_id").distinct(), "vul_id", "left_semi")
+    return known.withColumn("name", F.concat_ws(":", "tag", "version", "func_name"))

@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 from lodestrand.functions import answers
 from lodestrand.functions.headers import is_header, last_group
 from lodestrand.functions.text import base_identifier, called_name, code_tokens, diff_features, diff_side, line_number, line_tokens, strip_comments, variable_paths
-from lodestrand.operators import align, cfg, diffs, graphs, grouping, knowledge, lookup, mapping, ranges, scoring, slices, validate, versions
+from lodestrand.operators import align, cfg, diffs, graphs, grouping, knowledge, lookup, mapping, rank, ranges, scoring, slices, validate, versions
 from lodestrand.plans import matching, storage
-from lodestrand.sources import tables
+from lodestrand.sources import git, tables
 from lodestrand.streaming import index
 from lodestrand.sources.csource import functions as c_functions
 
@@ -519,3 +519,71 @@ def test_match_against_plain_loops(spark):
     for (g, u), (verdict, confidence) in rows.items():
         want = plain_match(sides[g], code[u], [(s, n) for h, s, _, n, t in anchors if h == g and t.strip(" ;")])
         assert verdict == want[0] and abs(confidence - want[1]) < 1e-9, (g, u)
+
+
+def test_git_repository(spark, tmp_path):
+    repo = tmp_path / "repo"
+    (repo / "tools").mkdir(parents=True)
+    run = lambda *args: git.git(str(repo), "-c", "user.name=t", "-c", "user.email=t@example.org", *args)
+    run("init", "-q")
+    (repo / "a.c").write_text(OLD)
+    (repo / "tools/b.c").write_text("int b;")
+    (repo / "note.md").write_text("no")
+    run("add", "-A")
+    run("commit", "-qm", "first")
+    run("tag", "one")
+    (repo / "a.c").write_text(NEW)
+    (repo / "new.h").write_text("")
+    run("add", "-A")
+    run("commit", "-qm", "grow it")
+    run("tag", "two")
+    assert values(git.tracked_files(spark, str(repo)), "path") == [("a.c",), ("new.h",)]
+    root = git.git(str(repo), "rev-parse", "one").decode().strip()
+    log = git.commits(spark, str(repo), ["one", "two"])
+    assert [(r.version, r.parent) for r in log.orderBy("version").collect()] == [("one", None), ("two", root)]
+    files = git.blobs(spark, str(repo), [root, "two"])
+    assert [r.message for r in versions.messages(log, log.where("version = 'two'").select("version")).collect()] == ["grow it"]
+    assert values(versions.changed_files(files, log), "version", "path", "old_text") == [("two", "a.c", OLD), ("two", "new.h", None)]
+    copy = git.clone(str(repo), str(tmp_path / "copy"), "one")
+    assert open(f"{copy}/a.c").read() == OLD
+
+
+def test_bodies_contexts_and_peers(spark):
+    symbols = frame(spark, [("f", "b.c", 3), ("f", "a.c", 9), ("g", "a.c", 1)], "name string, path string, at int")
+    assert values(lookup.body(symbols, frame(spark, [("f",)], "name string"), "name", ["path", "at"]), "path") == [("a.c",)]
+    assert values(lookup.body(symbols, frame(spark, [("f", "b.c")], "name string, path string"), "name", ["at"], "path"), "at") == [(3,)]
+    rows = frame(spark, [(1, n, f"l{n}") for n in range(1, 100)], "unit_id int, line_no int, line string")
+    spans = frame(spark, [(1, 5, 20), (1, 30, 90)], "unit_id int, start_line int, end_line int")
+    got = sorted(values(lookup.symbol_context(rows, frame(spark, [(1, 5), (1, 30)], "unit_id int, at int"), spans, 2), "at", "line_no", "text"))
+    assert [r[:2] for r in got] == [(5, n) for n in range(5, 21)] + [(30, n) for n in range(28, 33)] and got[0][2] == ">> [   5] l5"
+    found = frame(spark, [("a.c", "f", "v1"), ("a.c", "g", "v1"), ("a.c", "h", "v2"), ("a.c", "f", "v1")], "file string, func string, version string")
+    assert values(rank.peers(found, "file", "func", same=("version",)), "func", "peer") == [("f", "g"), ("g", "f")]
+    assert values(rank.peers(found, "file", "func", most=1), "func", "peer") == [("f", "g"), ("g", "f"), ("h", "f")]
+    facts = frame(spark, [(True, True, False, True, False, False, True), (True, True, True, True, False, True, True)], "consistent boolean, reachable boolean, type_matches boolean, in_scope boolean, blocked boolean, contested boolean, vulnerable boolean")
+    assert sorted(r.verdict for r in scoring.final_verdict(facts).collect()) == ["PROCEED", "SAFE-TypeMismatch"]
+    corpus = frame(spark, [("v", "pre", "1", "a.c", "f", "x"), ("v", "old", "1", "a.c", "f", "x"), ("w", "fix", "1", "a.c", "f", "x")], "vul_id string, tag string, version string, file_path string, func_name string, code_content string")
+    assert values(tables.benchmark_corpus(corpus, frame(spark, [("v",)], "vul_id string")), "name") == [("pre:1:f",)]
+
+
+def test_walks_through_a_function(spark):
+    code = "int f(int n)\n{\n  int a = n;\n  int b = a;\n  if (b > 2)\n    b = g(a);\n  use(b);\n  return 0;\n}"
+    functions = frame(spark, [("f", code, 1)], "func_id string, code string, start_line int")
+    nodes, _, _ = cfg.program_graphs(functions)
+    name = {r.code: r.node for r in nodes.collect()}
+    edges = cfg.dependence(functions)
+    asked = frame(spark, [("f", name["use(b)"], "b")], "func_id string, node string, var string")
+    trace = graphs.variable_trace(edges, nodes, asked).orderBy("place").collect()
+    assert [r.line for r in trace if r.node != "ENTRY"] == [4, 6, 3] and len(graphs.variable_trace(edges, nodes, asked, most=2).collect()) == 2
+    assert values(graphs.variable_trace(edges, nodes, frame(spark, [("f", name["int a = n"], "a")], "func_id string, node string, var string"), backward=False), "line") == [(4,), (5,), (6,), (7,)]
+    place = frame(spark, [("f", name["b = g(a)"])], "func_id string, node string")
+    assert values(graphs.guards(edges, nodes, place), "code", "line") == [("b > 2", 5)]
+    assert values(graphs.control_ancestors(edges, place), "node") == sorted([(name["b = g(a)"],), (name["b > 2"],)])
+    wide = graphs.both_ways(edges, place.withColumn("vars", F.array(F.lit("a"), F.lit("b"))))
+    assert {name["int a = n"], name["b > 2"], name["use(b)"]} <= {r.node for r in wide.collect()} and name["return 0"] not in {r.node for r in wide.collect()}
+    anchors = frame(spark, [("f", "source", name["int a = n"]), ("f", "sink", name["use(b)"])], "func_id string, type string, node string")
+    links = frame(spark, [(0, "source", "sink", "data")], "pos int, source string, target string, dependency string")
+    chosen = slices.anchored_nodes(edges, anchors, links, nodes, frame(spark, [("f", 8)], "func_id string, line int"))
+    text = slices.slice_text(slices.slice_lines(chosen, nodes), functions)
+    assert [int(x[1:5]) for x in text.first().text.split("\n")] in ([1, 3, 4, 7, 8], [1, 3, 6, 7, 8])
+    assert slices.sliced_or_whole(functions, text).first().text == text.first().text
+    assert slices.sliced_or_whole(functions, text, 0.99).first().text.count("\n") == 8
