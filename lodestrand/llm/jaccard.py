@@ -303,8 +303,11 @@ def jaccard_components(docs: DataFrame, settings: Settings = Settings(), id_col:
     u, v = (tails.select("n", "pk", "token", *(F.col(c).alias(f"{k}{c}") for c in ("_id", "comp"))) for k in "uv")
     inner = u.join(v, ["n", "pk", "token"]).where("u_id < v_id and ucomp <> vcomp").select(F.col("u_id").alias("a"), F.col("v_id").alias("b")).distinct()
     more = verified(texts, rest.unionAll(inner).distinct(), signs, settings)
-    final = components(links.unionAll(more)).select(F.col("node").alias("least"), "component")
-    answers = whole.join(final, "least", "left").select(*keys, F.coalesce("component", "least").alias("_comp"))
+    ends = [found.select(F.col("node").alias(c), F.col("component").alias(f"_{c}")) for c in ("a", "b")]
+    bridges = more.join(ends[0], "a", "left").join(ends[1], "b", "left").select(F.coalesce("_a", "a").alias("a"), F.coalesce("_b", "b").alias("b"))
+    over = components(bridges).select(F.col("node").alias("_part"), F.col("component").alias("_over"))
+    parts = whole.join(found.select(F.col("node").alias("least"), "component"), "least", "left").withColumn("_part", F.coalesce("component", "least"))
+    answers = parts.join(over, "_part", "left").select(*keys, F.coalesce("_over", "_part").alias("_comp"))
     own = F.when((F.col("n") == 0) | F.col("_id").isNull(), F.col("_id")).otherwise(F.col("_comp"))
     return equal.hand_down(answers).select(F.col("_id").alias("doc_id"), F.col("n").alias("n_shingles"), own.alias("component_id"))
 
