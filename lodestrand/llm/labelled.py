@@ -24,11 +24,18 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, may_train: Col
     return rows.join(F.broadcast(chosen), "_id")
 
 
-def gathered_rows(made: DataFrame) -> list:
-    """Rows of features on the driver, one for each _id and in the order of its hash, whichever tasks made them.
+def gathered_rows(made: DataFrame, blob: str) -> tuple[list, bytearray, list[tuple[int, int]]]:
+    """(rows, bytes, spans): rows of features on the driver, one for each _id and in the order of its hash, whichever tasks
+    made them. Their `blob` columns lie in one run of bytes, at spans.
 
     Of rows that repeat an id the least counts, decided on the executors, so there are no more rows than ids.
     """
     rest = [c for c in made.columns if c != "_id"]
     once = made.groupBy("_id").agg(F.min(F.struct(*rest)).alias("_r")).select(F.xxhash64("_id").alias("_at"), "_id", "_r.*")
-    return sorted(once.toLocalIterator(), key=lambda r: (r["_at"], r["_id"]))
+    kept, data = [], bytearray()
+    for r in once.toLocalIterator():
+        kept.append(((r["_at"], r["_id"]), tuple(r[c] for c in rest if c != blob), (len(data), len(data) + len(r[blob]))))
+        data += r[blob]
+    kept.sort(key=lambda k: k[0])
+    names = [c for c in rest if c != blob]
+    return [dict(zip(names, values, strict=True), _id=at[1]) for at, values, _ in kept], data, [span for _, _, span in kept]

@@ -174,17 +174,19 @@ def train(sample: DataFrame, settings: Settings) -> Model:
                     [
                         batch.column(0)[part],
                         batch.column(3)[part],
-                        pa.array([bucket[a:b].astype("<u4").tobytes() for a, b in spans], pa.binary()),
-                        pa.array([share[a:b].astype("<f4").tobytes() for a, b in spans], pa.binary()),
+                        pa.array([bucket[a:b].astype("<u4").tobytes() + share[a:b].astype("<f4").tobytes() for a, b in spans], pa.binary()),
                         pa.array([t.tobytes() for t in table], pa.binary()),
                     ],
-                    names=["_id", "label", "bucket", "share", "stats"],
+                    names=["_id", "label", "found", "stats"],
                 )
 
-    shape = "_id string, label int, bucket binary, share binary, stats binary"
+    shape = "_id string, label int, found binary, stats binary"
     made = sample.select(F.col("_id").cast("string"), "text", "n_chars", "label").mapInArrow(extract, shape)
-    rows = gathered_rows(made)
-    texts = [(np.frombuffer(r["bucket"], "<u4").astype(np.int32), np.frombuffer(r["share"], "<f4")) for r in rows]
+    rows, data, spans = gathered_rows(made, "found")
+    texts = []
+    for a, b in spans:
+        n = (b - a) // 8
+        texts.append((np.frombuffer(data, "<u4", n, a).astype(np.int32), np.frombuffer(data, "<f4", n, a + 4 * n)))
     tables, labels = [np.frombuffer(r["stats"]) for r in rows], [r["label"] for r in rows]
     return fit(texts, np.array(tables).reshape(-1, len(STATISTICS)), np.array(labels, float), settings)
 

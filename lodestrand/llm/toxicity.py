@@ -27,7 +27,7 @@ class Settings:
     bits: int = 20
     alpha: float = 0.3
     beta: float = 1.0
-    l1: float = 8.0
+    l1: float = 16.0
     l2: float = 1.0
     weight_of_1: float = 2.0
     epochs: int = 4
@@ -86,16 +86,17 @@ def packed(found: np.ndarray, bits: int) -> bytes:
 class Packed(Sequence):
     """Texts' feature numbers, unpacked one text at a time."""
 
-    def __init__(self, blobs: list[bytes], bits: int):
-        self.blobs, self.blocks = blobs, 1 << max(0, bits - 16)
+    def __init__(self, data: bytes | bytearray, spans: list[tuple[int, int]], bits: int):
+        self.data, self.spans, self.blocks = data, spans, 1 << max(0, bits - 16)
 
     def __len__(self) -> int:
-        return len(self.blobs)
+        return len(self.spans)
 
     def __getitem__(self, i: int) -> np.ndarray:
-        blob = self.blobs[i]
-        counts = np.frombuffer(blob, "<u4", self.blocks)
-        return np.repeat(np.arange(self.blocks) << 16, counts) + np.frombuffer(blob, "<u2", offset=4 * self.blocks)
+        a, b = self.spans[i]
+        counts = np.frombuffer(self.data, "<u4", self.blocks, a)
+        low = a + 4 * self.blocks
+        return np.repeat(np.arange(self.blocks) << 16, counts) + np.frombuffer(self.data, "<u2", (b - low) // 2, low)
 
 
 def fit(texts: Sequence[np.ndarray], labels: np.ndarray, settings: Settings) -> Model:
@@ -128,10 +129,9 @@ def fit(texts: Sequence[np.ndarray], labels: np.ndarray, settings: Settings) ->
             n[at] += g * g
             bias_n += g * g
             bias -= settings.alpha / (settings.beta + bias_n**0.5) * g
-    everything = np.arange(1 << settings.bits)
-    w = weights(everything)
-    used = np.flatnonzero(w)
-    return Model(used, w[used].astype(np.float32), bias, settings.bits)
+    used = np.flatnonzero(np.abs(z) > settings.l1)
+    w = weights(used)
+    return Model(used[w != 0], w[w != 0].astype(np.float32), bias, settings.bits)
 
 
 def train(sample: DataFrame, settings: Settings) -> Model:
@@ -148,8 +148,8 @@ def train(sample: DataFrame, settings: Settings) -> Model:
                 yield pa.RecordBatch.from_arrays([batch.column(0)[part], batch.column(2)[part], pa.array(blobs, pa.binary())], names=["_id", "label", "found"])
 
     made = sample.select(F.col("_id").cast("string"), "text", "label").mapInArrow(extract, "_id string, label int, found binary")
-    rows = gathered_rows(made)
-    return fit(Packed([bytes(r["found"]) for r in rows], settings.bits), np.array([r["label"] for r in rows], float), settings)
+    rows, data, spans = gathered_rows(made, "found")
+    return fit(Packed(data, spans, settings.bits), np.array([r["label"] for r in rows], float), settings)
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, score_col: str = "score") -> DataFrame:

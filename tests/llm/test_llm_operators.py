@@ -461,8 +461,11 @@ def test_toxicity_keeps_columns(labelled):
 
 def test_a_sample_is_bounded_and_takes_an_id_once(labelled):
     docs, labels = labelled
-    sample = lambda most: labelled_rows.gathered_rows(labelled_rows.training_rows(docs.unionByName(docs), labels, "toxic", F.lit(True), most))
-    rows, few = sample(10_000), sample(50)
+    sample = lambda most: labelled_rows.gathered_rows(labelled_rows.training_rows(docs.unionByName(docs), labels, "toxic", F.lit(True), most).withColumn("text", F.encode("text", "utf-8")), "text")
+    rows, data, spans = sample(10_000)
+    few = sample(50)[0]
+    text = dict(docs.where("text is not null").select("doc_id", "text").collect())
+    assert all(data[a:b].decode() == text[r["_id"]] for r, (a, b) in zip(rows, spans, strict=True))
     assert len(rows) == 900 and len({r["_id"] for r in rows}) == 900
     assert [r["_id"] for r in few] == [r["_id"] for r in rows[:50]]
 
@@ -471,7 +474,9 @@ def test_packed_features():
     rng = np.random.default_rng(4)
     for bits in (12, 16, 20):
         found = [np.unique(rng.integers(0, 1 << bits, n)) for n in (0, 1, 50, 3000)]
-        again = toxicity.Packed([toxicity.packed(f, bits) for f in found], bits)
+        blobs = [toxicity.packed(f, bits) for f in found]
+        ends = np.cumsum([len(b) for b in blobs]).tolist()
+        again = toxicity.Packed(b"".join(blobs), list(zip([0, *ends[:-1]], ends, strict=True)), bits)
         assert all((a == b).all() for a, b in zip(found, again, strict=True)) and len(again) == 4
 
 
