@@ -18,10 +18,11 @@ PARAMETER_WORDS = frozenset(
     "int char void const struct unsigned long short float double bool size_t uint8_t uint16_t uint32_t uint64_t "
     "ut8 ut16 ut32 ut64 st8 st16 st32 st64 enum union signed volatile restrict".split()
 )
-#: Qualifiers, a type (a name in capitals counts), perhaps a macro around the name, the name, its parenthesis.
+# How a definition begins: qualifiers, a type (a name in capitals counts), perhaps a macro around the name,
+# the name, its parenthesis.
 _TYPED = re.compile(
-    r"(?:(?:static|inline|extern|const|volatile|unsigned|signed)\s+)*"
-    r"(?:void|int|char|short|long|float|double|bool|s?size_t|u?int\d+_t|[us]t\d+|R_I?API|(?:struct|enum)\s+\w+|[A-Z][A-Z0-9_]*)\s*\*?\s*"
+    r"^(?:(?:static|inline|extern|const|volatile|unsigned|signed)\s+)*"
+    r"(?:void|int|char|short|long|float|double|bool|size_t|ssize_t|u?int\d+_t|ut\d+|st\d+|R_API|R_IPI|struct\s+\w+|enum\s+\w+|[A-Z][A-Z0-9_]*)\s*\*?\s*"
     r"(?:[A-Z_][A-Z0-9_]*\s*\()?\s*[a-zA-Z_]\w*\s*\)?\s*\("
 )
 

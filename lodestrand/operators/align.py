@@ -24,6 +24,8 @@ def similarities(slice_tokens: list[list[str]], target_tokens: list[list[str]])
             if not s or not t:
                 out[i, j] = float(not s and not t)
                 continue
+            if 4 * min(len(s), len(t)) < len(s) + len(t):  # no ratio of one half at these lengths
+                continue
             key = (tuple(s), tuple(t))
             if key not in known:
                 match.set_seq1(t)

@@ -187,3 +187,97 @@ def requires_assumption(level: Column) -> Column:
 def is_complete(anchors: Column) -> Column:
     """Whether there is an anchor at all."""
     return F.coalesce(F.size(anchors) > 0, F.lit(False))
+
+
+def candidate_nodes(nodes: DataFrame, flow: DataFrame, accesses: DataFrame, changed: DataFrame, other: DataFrame | None = None, depth: int = 10) -> DataFrame:
+    """(func_id, node, reasons): where anchors may be, seen from a patch's changed lines (func_id, line).
+
+    changed: the nodes that start on those lines. reach: nodes whose code the other version's changes newly reach, given
+    as other (func_id, code); see newly_reached(). body: what follows a changed condition, until the flow parts again,
+    `depth` steps at most. variable: all other nodes that define or use a variable of the nodes found so far; where those
+    have none, of any variable that the function defines. One function is one group.
+    """
+
+    def run(key, left, right):
+        part = {k: g for k, g in left.groupby("what")}
+        none = left.iloc[:0]
+        after: dict[str, list] = {}
+        for src, dst in zip(part.get("flow", none)["a"], part.get("flow", none)["b"], strict=True):
+            after.setdefault(src, []).append(dst)
+        own = part.get("node", none)
+        kind, code = dict(zip(own["a"], own["b"], strict=True)), dict(zip(own["a"], own["code"], strict=True))
+        lines_, codes = set(right["line"].dropna()), set(right["code"].dropna())
+        why: dict[str, set] = {n: {"changed"} for n, line in zip(own["a"], own["line"], strict=True) if line in lines_}
+        for n in [n for n in why if kind[n] == "CONDITION"]:
+            work, seen = deque((m, 0) for m in after.get(n, ())), set()
+            while work:
+                m, d = work.popleft()
+                if m in seen or d > depth or m not in kind:
+                    continue
+                seen.add(m)
+                why.setdefault(m, set()).add("body")
+                if len(after.get(m, ())) == 1:
+                    work.extend((x, d + 1) for x in after[m])
+        for n, text in code.items():
+            if text in codes:
+                why.setdefault(n, set()).add("reach")
+        touched = part.get("access", none)
+        names = {v for n, v in zip(touched["a"], touched["b"], strict=True) if n in why} or {v for v, how in zip(touched["b"], touched["code"], strict=True) if how == "def"}
+        for n, v in zip(touched["a"], touched["b"], strict=True):
+            if v in names and n not in why:
+                why[n] = {"variable"}
+        return pd.DataFrame([(key[0], n, sorted(w)) for n, w in sorted(why.items())], columns=["func_id", "node", "reasons"])
+
+    shown = nodes.where(~F.col("type").isin("ENTRY", *SILENT))
+    rows = shown.select("func_id", F.lit("node").alias("what"), F.col("node").alias("a"), F.col("type").alias("b"), "line", "code")
+    rows = rows.unionAll(flow.select("func_id", F.lit("flow"), "src", "dst", F.lit(0), F.lit("")))
+    rows = rows.unionAll(accesses.select("func_id", F.lit("access"), "node", "var", F.lit(0), "access"))
+    given = changed.select("func_id", "line", F.lit(None).cast("string").alias("code"))
+    if other is not None:
+        given = given.unionAll(other.select("func_id", F.lit(None).cast("int"), "code"))
+    return by_function(rows, given).applyInPandas(run, "func_id string, node string, reasons array<string>")
+
+
+def newly_reached(old: tuple[DataFrame, DataFrame, DataFrame], new: tuple[DataFrame, DataFrame, DataFrame]) -> DataFrame:
+    """(func_id, code): code that the flow reaches from the changed lines of the new version and not from those of the old.
+
+    A version is (nodes, flow, changed): changed has func_id and line.
+    """
+
+    def reached(nodes: DataFrame, flow: DataFrame, changed: DataFrame) -> DataFrame:
+        starts = nodes.join(changed.select("func_id", "line").distinct(), ["func_id", "line"], "left_semi").select("func_id", "node")
+
+        def run(key, left, right):
+            after: dict[str, list] = {}
+            for src, dst in zip(left["src"], left["dst"], strict=True):
+                after.setdefault(src, []).append(dst)
+            seen: set[str] = set()
+            work = [m for n in right["node"] for m in after.get(n, ())]
+            while work:
+                n = work.pop()
+                if n not in seen:
+                    seen.add(n)
+                    work.extend(after.get(n, ()))
+            return pd.DataFrame([(key[0], n) for n in sorted(seen)], columns=["func_id", "node"])
+
+        found = by_function(flow, starts).applyInPandas(run, "func_id string, node string")
+        return nodes.where("code <> ''").join(found, ["func_id", "node"], "left_semi").select("func_id", "code").distinct()
+
+    return reached(*new).join(reached(*old), ["func_id", "code"], "left_anti")
+
+
+def quality(slices: DataFrame) -> DataFrame:
+    """slices (anchors array, anchor_lines array, line_nos array) with valid, and why not: a slice needs an anchor, a line,
+    and a line of an anchor."""
+    reason = (
+        F.when(~is_complete(F.col("anchors")), "no anchor")
+        .when(F.coalesce(F.size("line_nos"), F.lit(0)) <= 0, "empty slice")
+        .when(~F.coalesce(F.arrays_overlap("line_nos", "anchor_lines"), F.lit(False)), "no anchor in slice")
+    )
+    return slices.withColumn("reason", reason).withColumn("valid", F.col("reason").isNull())
+
+
+def listed(items: Column, most: int) -> Column:
+    """The first items of an array of texts on lines, and how many more there are."""
+    left = F.size(items) - most
+    return F.concat_ws("\n", F.slice(items, 1, most), F.when(left > 0, F.concat(F.lit("... "), left.cast("string"), F.lit(" more"))))

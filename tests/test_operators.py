@@ -587,3 +587,24 @@ def test_walks_through_a_function(spark):
     assert [int(x[1:5]) for x in text.first().text.split("\n")] in ([1, 3, 4, 7, 8], [1, 3, 6, 7, 8])
     assert slices.sliced_or_whole(functions, text).first().text == text.first().text
     assert slices.sliced_or_whole(functions, text, 0.99).first().text.count("\n") == 8
+
+
+def test_candidate_nodes(spark):
+    old = "int f(int n)\n{\n  int a = n;\n  if (a > 2)\n    drop(a);\n  int z = 0;\n  q(n);\n  return z;\n}"
+    new = old.replace("drop(a);", "return 1;\n  extra(n);")
+    graphs_of = lambda code: cfg.program_graphs(frame(spark, [("f", code)], "func_id string, code string"))
+    (nodes, flow, access), (nodes2, flow2, _) = graphs_of(old), graphs_of(new)
+    lines_ = lambda *ns: frame(spark, [("f", n) for n in ns], "func_id string, line int")
+    code = {r.node: r.code for r in nodes.collect()}
+    got = {code[r.node]: r.reasons for r in slices.candidate_nodes(nodes, flow, access, lines_(4)).collect()}
+    assert got["a > 2"] == ["changed"] and got["drop(a)"] == ["body"] and got["int a = n"] == ["variable"]
+    more = slices.candidate_nodes(nodes, flow, access, lines_(5), frame(spark, [("f", "q(n)")], "func_id string, code string"))
+    assert {code[r.node]: r.reasons for r in more.collect()} == {"drop(a)": ["changed"], "q(n)": ["reach"], "int a = n": ["variable"], "a > 2": ["variable"]}
+    fresh = slices.newly_reached((nodes, flow, lines_(8)), (nodes2, flow2, lines_(4)))
+    assert values(fresh, "code") == sorted([("extra(n)",), ("int z = 0",), ("q(n)",), ("return 1",), ("return z",)])
+
+
+def test_slice_quality_and_lists(spark):
+    rows = frame(spark, [(["a"], [3], [1, 3]), ([], [3], [3]), (["a"], [3], []), (["a"], [3], [4])], "anchors array<string>, anchor_lines array<int>, line_nos array<int>")
+    assert [r.reason for r in slices.quality(rows).collect()] == [None, "no anchor", "empty slice", "no anchor in slice"]
+    assert one(spark, "x", lambda c: slices.listed(F.array(c, c, c), 2)) == "x\nx\n... 1 more" and one(spark, "x", lambda c: slices.listed(F.array(c), 2)) == "x"
