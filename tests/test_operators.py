@@ -608,3 +608,21 @@ def test_slice_quality_and_lists(spark):
     rows = frame(spark, [(["a"], [3], [1, 3]), ([], [3], [3]), (["a"], [3], []), (["a"], [3], [4])], "anchors array<string>, anchor_lines array<int>, line_nos array<int>")
     assert [r.reason for r in slices.quality(rows).collect()] == [None, "no anchor", "empty slice", "no anchor in slice"]
     assert one(spark, "x", lambda c: slices.listed(F.array(c, c, c), 2)) == "x\nx\n... 1 more" and one(spark, "x", lambda c: slices.listed(F.array(c), 2)) == "x"
+
+
+def test_roles_of_accesses(spark):
+    assert cfg.parameters("static int f(struct ring *r, const char *s, int n, lock_t lk)") == {"r": "struct ring*", "s": "const char*", "n": "int", "lk": "lock_t"}
+    assert cfg.declared("char *p = q, c, **d") == {"p": "char*", "c": "char", "d": "char*"} and cfg.declared("return x") == {} and cfg.declared("x = 1") == {}
+    types = {"p": "char*", "n": "int", "s": "struct item"}
+    assert cfg.roles("free(p)", types) == {("p", "use", "VALUE"), ("p", "def", "VALUE"), ("p", "use", "STATE"), ("p", "def", "STATE")}
+    assert cfg.roles("n = count(n, &n)", types) == {("n", "def", "VALUE"), ("n", "use", "VALUE")}
+    assert ("p", "use", "STATE") in cfg.roles("n = *p", types) and ("p", "use", "STATE") in cfg.roles("p[n] = 0", types) and ("p", "use", "STATE") not in cfg.roles("q = p", types)
+    code = "void f(char *p, int n)\n{\n  free(p);\n  n = n + 1;\n  use(p);\n  out(n);\n}"
+    functions = frame(spark, [("f", code)], "func_id string, code string")
+    nodes, flow, _ = cfg.program_graphs(functions)
+    name = {r.node: r.code or r.node for r in nodes.collect()}
+    got = {(name[r.src], name[r.dst], r["var"], r.role, r.implicit) for r in cfg.role_edges(flow, cfg.role_accesses(functions)).collect()}
+    assert got == {
+        ("ENTRY", "free(p)", "p", "VALUE", True), ("ENTRY", "free(p)", "p", "STATE", True), ("free(p)", "use(p)", "p", "VALUE", False), ("free(p)", "use(p)", "p", "STATE", False),
+        ("ENTRY", "n = n + 1", "n", "VALUE", True), ("n = n + 1", "out(n)", "n", "VALUE", False),
+    }
