@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestrand.llm.tables import materialize, salt
@@ -26,11 +26,12 @@ def digest_runs(docs: DataFrame, id_col: str, text_col: str, leaves: int) -> Dat
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = 3, fan_in_bits: int = 2) -> DataFrame:
     """Mark all but the smallest id among equal texts.
 
-    Documents are dealt into 2 ** (rounds * fan_in_bits) runs of digests. In each round the runs whose numbers differ
-    only in the lowest remaining bits meet (a binomial tree, 2 ** fan_in_bits of them at a time), and of every digest
-    the smallest id and the number of rows go on. A run travels as rows spread by digest, so no level, the last
-    included, is one task, and a text held by a third of all rows brings at most fan-in rows to any merge. The answer
-    goes back down the same tree, so the join on a hot digest is spread over the runs too.
+    Documents are dealt into 2 ** (rounds * fan_in_bits) runs; a run holds each of its digests once, with the smallest
+    id and the number of rows. In each round the runs whose numbers differ only in the lowest remaining bits are
+    exchanged (a binomial tree, 2 ** fan_in_bits of them at a time) and merged in order of digest and id: of equal
+    digests, neighbours in that order, the first goes on and the counts add up. A run travels as rows spread by digest,
+    so no level, the last included, is one task, and a text held by a third of all rows brings at most fan-in rows to
+    any merge. The answer goes back down the same tree, so the join on a hot digest is spread over the runs too.
 
     Verified: a key is the SHA-256 with the text's length and an independent 64-bit hash, so texts that share a digest
     but not those are kept apart at every level.
@@ -44,9 +45,12 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     base = materialize(digest_runs(docs, id_col, text_col, 1 << rounds * fan_in_bits))
     leaf = base.groupBy(*KEY, "_run").agg(F.min("_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
     level = leaf
-    for r in range(1, rounds + 1):
-        up = F.shiftright(leaf["_run"] if level is leaf else F.col("_run"), fan_in_bits)
-        level = level.groupBy(*KEY, up.alias("_run")).agg(F.min("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size"))
+    in_order = Window.partitionBy(*KEY, "_run").orderBy(F.col("keep_id").asc_nulls_last())
+    for _ in range(rounds):
+        met = level.withColumn("_run", F.shiftright("_run", fan_in_bits))
+        whole = in_order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        merged = met.withColumns({"_place": F.row_number().over(in_order), "group_size": F.sum("group_size").over(whole)})
+        level = merged.where("_place = 1").drop("_place")
     answers = leaf.select(*KEY, "_run").join(level.drop("_run"), KEY)
     return base.join(answers, [*KEY, "_run"]).select(
         F.col("_id").alias("doc_id"), "keep_id", "group_size", F.col("_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256"
