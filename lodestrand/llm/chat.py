@@ -20,7 +20,8 @@ def rotate_perspectives(turns: DataFrame, part_turns: int = PART_TURNS) -> DataF
     Turns are ordered by turn (null first), then role, then text; a null role is the participant "unknown", a null
     text is empty, and turns with a null conv_id are one dialogue. Repeated rows are turns of their own. A dialogue of
     system turns alone, like an empty table, gives no rows. Dialogues are cut into parts of part_turns turns, so that
-    a row stays bounded however long a dialogue is; no turn is left out. Columns other than conv_id, turn, role and
+    a row stays bounded however long a dialogue is; no turn is left out or repeated, so a system turn is in the part it
+    falls in alone, and a part without a turn of the participant has an empty mask. Columns other than conv_id, turn, role and
     text are not read.
 
     Returns conv_id, perspective, part, n_turns, n_masked, n_chars, text, mask_spans.

@@ -80,8 +80,8 @@ def mix_sources(
 
     1. A source's target: weights in turn by code point, null last; the sources share `share` of all words, none more
        than `most` times its size, the excess reshared by weight.
-    2. A source is dealt by a hash of the id into shards of about shard_words words, so that a source with a third of
-       all rows is many shards. A shard's documents lie in a seeded order and are cut into blocks of block_words words.
+    2. A source is dealt by a hash of the id and the size into shards of about shard_words words, so that a source with a
+       third of all rows is many shards, and so are rows without an id. A shard's documents lie in a seeded order and are cut into blocks of block_words words.
     3. Sainte-Laguë gives the shards blocks, by the highest quotients of their share of the target.
     4. A shard takes all its blocks as often as the quota allows, and once more the blocks that come first in a seeded
        order until the quota is used. A document takes the words that it has in the blocks taken.
@@ -104,7 +104,7 @@ def mix_sources(
     shards_of = F.greatest(F.lit(1), F.ceil(F.col("source_size") / shard_words)).cast("long")
     on = sizes["source"].eqNullSafe(targets["source"])
     placed = sizes.join(targets, on).select(
-        "doc_id", "size", "source_no", "source_size", "target", F.pmod(F.xxhash64(F.lit(seed), "doc_id"), shards_of).alias("shard")
+        "doc_id", "size", "source_no", "source_size", "target", F.pmod(F.xxhash64(F.lit(seed), "doc_id", "size"), shards_of).alias("shard")
     )
     key = ["source_no", "shard"]
     laid = Window.partitionBy(*key).orderBy(F.xxhash64(F.lit(seed + 1), "doc_id"), "doc_id", "size")
