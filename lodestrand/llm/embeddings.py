@@ -103,10 +103,11 @@ def _absorb(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             label = label[label]
 
 
-def _join(ids: np.ndarray, homes: np.ndarray, guest_ids: np.ndarray, guests: np.ndarray, cosine: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(links of each home row, edges a, edges b): the edges span the same components as all links found."""
+def _join(ids: np.ndarray, homes: np.ndarray, guest_ids: np.ndarray, guests: np.ndarray, own: np.ndarray, cosine: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(links of each home row, links of each guest row, edges a, edges b): the edges span the same components as all
+    links found. own: guests of the same cell, which meet each pair a second time and are not counted themselves."""
     nodes, place = np.unique(np.concatenate([ids, guest_ids]), return_inverse=True)
-    label, links = np.arange(len(nodes)), np.zeros(len(ids), np.int64)
+    label, links, back = np.arange(len(nodes)), np.zeros(len(ids), np.int64), np.zeros(len(guest_ids), np.int64)
     homes32, guests32 = homes.astype(np.float32), guests.astype(np.float32)
     for i in range(0, len(homes), 1024):
         for j in range(0, len(guests), 4096):
@@ -116,20 +117,21 @@ def _join(ids: np.ndarray, homes: np.ndarray, guest_ids: np.ndarray, guests: np.
                 keep = (np.einsum("ij,ij->i", homes[x], guests[y]) >= cosine) & (ids[x] != guest_ids[y])
                 x, y = x[keep], y[keep]
                 links += np.bincount(x, minlength=len(ids))
+                back += np.bincount(y[~own[y]], minlength=len(guest_ids))
                 label = _absorb(label, place[x], place[len(ids) + y])
     moved = np.flatnonzero(label != np.arange(len(nodes)))
-    return links, nodes[moved], nodes[label[moved]]
+    return links, back, nodes[moved], nodes[label[moved]]
 
 
 def range_join(vectors: DataFrame, settings: Settings = Settings(), id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """Links and components of all vectors whose cosine is at least settings.cosine.
 
     On unit vectors that is a distance of at most sqrt(2 - 2 cosine). A bounded number of vectors, the first by a hash
-    of the id, are pivots. A vector is at home in the cell of its nearest pivot and a guest in all cells that could
-    hold a vector within that distance. A cell compares its homes with its guests on its own, so every linked pair is
-    found at both ends. A cell is cut into blocks of homes and blocks of guests, by hashes of the id and only as many
-    as its counts ask for, so a cell that holds a third of all vectors is many bounded tasks. A block returns each
-    home's number of links and edges that span its links' components, never the pairs.
+    of the id, are pivots. A vector is at home in the cell of its nearest pivot and a guest in its own cell and in all
+    later ones that could hold a vector within that distance: a pair of two cells is compared in the later one. A cell
+    compares its homes with its guests on its own. It is cut into blocks of homes and blocks of guests, by hashes of
+    the id and only as many as its counts ask for, so a cell that holds a third of all vectors is many bounded tasks. A
+    block returns the number of links of homes and guests and edges that span its links' components, never the pairs.
 
     Where vectors have no structure, as with random directions in many dimensions, the bound excludes few cells and
     the join compares nearly all pairs of blocks; that is the price of exactness. Products are made in single
@@ -157,6 +159,7 @@ def range_join(vectors: DataFrame, settings: Settings = Settings(), id_col: str
                 own = pivots.get(m.shape[1], m[:1] * 0)
                 if m.shape[1] in pivots:
                     home, near = _guests(m, own, reach)
+                    near &= np.arange(near.shape[1]) >= home[:, None]
                 else:  # a length that no pivot has: one cell
                     home, near = np.zeros(len(m), np.int64), np.ones((len(m), 1), bool)
                 yield batch.column(0).take(pa.array(at)), m, home, near
@@ -183,16 +186,17 @@ def range_join(vectors: DataFrame, settings: Settings = Settings(), id_col: str
                 h, g = blocks[m.shape[1], c]
                 for mask, parts, copies, guest in ((home == c, h, g, False), (near[:, c], g, h, True)):
                     at = np.flatnonzero(mask)
+                    here = (home[at] == c).astype(np.uint8)
                     part = (ids[at].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64) % max(parts, 1)
                     for p in np.unique(part):
                         rows_ = at[part == p]
                         for q in range(copies):
                             a, b = (q, p) if guest else (p, q)
-                            out.append((m.shape[1], c, int(a), int(b), guest, ids[rows_].tobytes(), m[rows_].tobytes()))
+                            out.append((m.shape[1], c, int(a), int(b), guest, ids[rows_].tobytes(), m[rows_].tobytes(), here[part == p].tobytes()))
             for k in range(0, len(out), 256):
                 cols = list(zip(*out[k : k + 256], strict=True))
-                kinds = (*[pa.int64()] * 4, pa.bool_(), pa.binary(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["size", "cell", "h", "g", "guest", "ids", "rows"])
+                kinds = (*[pa.int64()] * 4, pa.bool_(), pa.binary(), pa.binary(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["size", "cell", "h", "g", "guest", "ids", "rows", "here"])
 
     cosine = settings.cosine
 
@@ -203,17 +207,20 @@ def range_join(vectors: DataFrame, settings: Settings = Settings(), id_col: str
             part = table.filter(pc.equal(table.column("guest"), guest))
             ids = np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(b, np.int64) for b in part.column("ids").to_pylist())])
             sides += [ids, np.concatenate([np.zeros(0), *(np.frombuffer(b) for b in part.column("rows").to_pylist())]).reshape(-1, size)]
-        links, a, b = _join(*sides, cosine)
+        own = np.concatenate([np.zeros(0, np.uint8), *(np.frombuffer(b, np.uint8) for b in part.column("here").to_pylist())]) > 0
+        links, back, a, b = _join(*sides, own, cosine)
+        ids = np.concatenate([sides[0], sides[2]])
+        links = np.concatenate([links, back])
         some = links > 0
         return pa.table(
             {
-                "a": pa.array(np.concatenate([sides[0][some], a])),
-                "b": pa.array(np.concatenate([sides[0][some], b])),
+                "a": pa.array(np.concatenate([ids[some], a])),
+                "b": pa.array(np.concatenate([ids[some], b])),
                 "n": pa.array(np.concatenate([links[some], np.zeros(len(a), np.int64)])),
             }
         )
 
-    dealt = rows.mapInArrow(deal, "size long, cell long, h long, g long, guest boolean, ids binary, rows binary")
+    dealt = rows.mapInArrow(deal, "size long, cell long, h long, g long, guest boolean, ids binary, rows binary, here binary")
     found = materialize(dealt.groupBy("size", "cell", "h", "g").applyInArrow(join, "a long, b long, n long"))
     links = found.where("n > 0").groupBy(F.col("a").alias("_id")).agg(F.sum("n").alias("n_links"))
     parts = components(found.where("a <> b")).select(F.col("node").alias("_id"), "component")
