@@ -79,10 +79,10 @@ def test_definition_of_a_qualified_name(spark):
 
 
 def test_nested_spans(spark):
-    spans = spark.createDataFrame([("u", 1, 9, "outer"), ("u", 2, 3, "inner")], "k string, s int, e int, n string")
-    points = spark.createDataFrame([("u", 3), ("u", 5), ("u", 1), ("v", 1)], "k string, at int")
+    spans = spark.createDataFrame([("u", 1, 9, "outer"), ("u", 2, 3, "inner"), ("w", 0, None, "open"), ("w", 5, 4, "never")], "k string, s int, e int, n string")
+    points = spark.createDataFrame([("u", 3), ("u", 5), ("u", 1), ("v", 1), ("w", 900)], "k string, at int")
     got = {(r.k, r["at"]): r.enclosing for r in ranges.enclosing(points, spans, "k", "at", "s", "e", "n").collect()}
-    assert got == {("u", 3): "inner", ("u", 5): "outer", ("v", 1): "unknown"}
+    assert got == {("u", 3): "inner", ("u", 5): "outer", ("v", 1): "unknown", ("w", 900): "open"}
 
 
 def test_every_link_has_a_category(spark):
