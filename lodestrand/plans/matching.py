@@ -31,6 +31,23 @@ def candidates(patches: DataFrame, units: DataFrame, most: int) -> DataFrame:
     return search.top_hits(found, most).select(F.col("query_id").alias("group_id"), "unit_id", "hit_count")
 
 
+def benchmark_candidates(patches: DataFrame, corpus: DataFrame, most: int = 2000) -> DataFrame:
+    """(group_id, unit_id, hit_count): for patches (group_id, vul_id, func, pre) the units of a benchmark corpus (unit_id,
+    vul_id, func_name, code) that are versions of the same function.
+
+    All patches of a vulnerability ask together, with all their tokens and of its own units only; of the `most` units
+    with most hits those named like a patch's function are its candidates.
+    """
+    code = strip_comments(F.col("pre"))
+    asked = patches.groupBy("vul_id").agg(F.array_join(F.sort_array(F.collect_list(code)), "\n").alias("code"))
+    tokens = search.query_tokens(asked, "vul_id", "code", cap=1 << 30).withColumnRenamed("query_id", "vul_id")
+    index = search.postings(corpus, "unit_id", "code").join(corpus.select("unit_id", "vul_id"), "unit_id")
+    found = index.join(tokens, ["vul_id", "token"]).groupBy(F.col("vul_id").alias("query_id"), "unit_id").agg(F.count(F.lit(1)).alias("hit_count"))
+    top = search.top_hits(found, most).join(corpus.select("unit_id", "func_name"), "unit_id")
+    named = patches.select("group_id", F.col("vul_id").alias("query_id"), F.col("func").alias("func_name"))
+    return top.join(named, ["query_id", "func_name"]).select("group_id", "unit_id", "hit_count")
+
+
 def sides(patches: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(slices, modified): (group_id, side, slice, line_nos, all_nos, headers, tags) of both sides of every patch that has
     tokens on its old side, and (group_id, pre, post), the places of lines changed into each other."""
@@ -64,12 +81,13 @@ def traces(chosen: DataFrame, slices: DataFrame, units: DataFrame) -> DataFrame:
     return found.withColumns({"pair_id": F.xxhash64("group_id", "unit_id"), "orig_lines": F.get("all_nos", F.col("pos"))}).drop("all_nos")
 
 
-def match(patches: DataFrame, units: DataFrame, anchors: DataFrame | None = None, most: int = 2000) -> DataFrame:
+def match(patches: DataFrame, units: DataFrame, anchors: DataFrame | None = None, most: int = 2000, chosen: DataFrame | None = None) -> DataFrame:
     """(group_id, unit_id, verdict, confidence, score_vuln, score_fix, feat_vuln, feat_fix, rank) of each patch's
     candidates: patches have group_id, pre and post, units unit_id and code, anchors group_id, side, anchor, line_no and
     snippet.
 
-    1. The units that share most tokens with the old side are candidates; a patch without tokens there has none.
+    1. The units that share most tokens with the old side are candidates, unless they are chosen (group_id, unit_id); a
+       patch without tokens there has none.
     2. Both sides of a patch are tagged against each other once, and a candidate is aligned with both. Headers count in
        no score.
     3. A side's score is its mean similarity after the decay for gaps. Where both sides have lines of their own and some
@@ -79,7 +97,7 @@ def match(patches: DataFrame, units: DataFrame, anchors: DataFrame | None = None
        count). Totals give verdict and confidence; among a patch's VULNERABLE candidates rank counts from 0.
     """
     slices, changed = sides(patches)
-    slices, chosen = materialize(slices), materialize(candidates(patches, units, most))
+    slices, chosen = materialize(slices), materialize(candidates(patches, units, most) if chosen is None else chosen.select("group_id", "unit_id").distinct())
     trace = materialize(traces(chosen, slices, units))
     own = slices.select("group_id", "side", F.exists("tags", lambda t: t != "COMMON").alias("has"))
     mixed = own.where("has").groupBy("group_id").count().where("count = 2").join(changed.select("group_id").distinct(), "group_id", "left_semi").select("group_id", F.lit(True).alias("_mixed"))

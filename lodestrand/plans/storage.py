@@ -11,6 +11,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestrand.operators import search
+
 _temporary: list[str] = []
 
 
@@ -55,6 +57,13 @@ def read_index(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     return spark.read.parquet(f"{folder}/symbols"), spark.read.parquet(f"{folder}/postings")
 
 
+def write_benchmark(corpus: DataFrame, folder: str) -> None:
+    """The index of a benchmark corpus (vul_id, name, file_path, func_name, code_content): units numbered by a hash of
+    vulnerability, path and compound name, with distinct postings."""
+    units = corpus.withColumn("unit_id", F.xxhash64("vul_id", "file_path", "name")).dropDuplicates(["unit_id"])
+    write_index(units, search.postings(units, "unit_id", "code_content"), folder)
+
+
 def session_index(spark: SparkSession, source: str, make) -> tuple[DataFrame, DataFrame]:
     """The index of a source: make() gives its symbols and postings, which are written the first time that this
     application asks and read from then on."""
@@ -107,3 +116,17 @@ def pending_phases(spark: SparkSession, folder: str, names: list[str]) -> list[s
         if not done.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done):
             return names[i:]
     return []
+
+
+def completion(expected: DataFrame, done: DataFrame, key: str) -> DataFrame:
+    """(key, expected, done, complete): how many of the tasks that each key expects have been done."""
+    asked = expected.groupBy(key).agg(F.count(F.lit(1)).alias("expected"))
+    made = done.groupBy(key).agg(F.count(F.lit(1)).alias("done"))
+    both = asked.join(made, key, "left").withColumn("done", F.coalesce("done", F.lit(0).cast("long")))
+    return both.withColumn("complete", F.col("done") >= F.col("expected"))
+
+
+def output_folders(base: str, repository: str, vulnerability: str, variant: str = "") -> dict[str, str]:
+    """Where phases and results of a run go; a variant has folders of its own."""
+    suffix = f"-{variant}" if variant else ""
+    return {"phases": f"{base}/checkpoints{suffix}/{repository}/{vulnerability}", "results": f"{base}/results{suffix}/{repository}"}

@@ -626,3 +626,19 @@ def test_roles_of_accesses(spark):
         ("ENTRY", "free(p)", "p", "VALUE", True), ("ENTRY", "free(p)", "p", "STATE", True), ("free(p)", "use(p)", "p", "VALUE", False), ("free(p)", "use(p)", "p", "STATE", False),
         ("ENTRY", "n = n + 1", "n", "VALUE", True), ("n = n + 1", "out(n)", "n", "VALUE", False),
     }
+
+
+def test_benchmark_mode(spark, tmp_path):
+    rows = [("v", "pre", "1", "a.c", "put", RING[0]), ("v", "fix", "2", "a.c", "put", RING[1]), ("v", "pre", "1", "a.c", "other", RING[0]), ("w", "pre", "1", "a.c", "put", RING[0])]
+    corpus = tables.benchmark_corpus(frame(spark, rows, "vul_id string, tag string, version string, file_path string, func_name string, code_content string"), frame(spark, [("v",), ("w",)], "vul_id string"))
+    storage.write_benchmark(corpus.unionByName(corpus), str(tmp_path / "index"))
+    units, postings = storage.read_index(spark, str(tmp_path / "index"))
+    assert units.count() == 4 and postings.count() == postings.distinct().count() > 8
+    named = units.withColumnRenamed("code_content", "code")
+    patches = frame(spark, [("g", "v", "put", RING[0], RING[1])], "group_id string, vul_id string, func string, pre string, post string")
+    chosen = matching.benchmark_candidates(patches, named)
+    got = matching.match(patches, named, chosen=chosen).join(named.select("unit_id", "name"), "unit_id")
+    assert values(got, "name", "verdict") == [("fix:2:put", "PATCHED"), ("pre:1:put", "VULNERABLE")]
+    counted = storage.completion(frame(spark, [("a",), ("a",), ("b",)], "k string"), frame(spark, [("a",), ("b",)], "k string"), "k")
+    assert values(counted, "k", "expected", "done", "complete") == [("a", 2, 1, False), ("b", 1, 1, True)]
+    assert storage.output_folders("x", "r", "v", "no-slices")["results"] == "x/results-no-slices/r"
