@@ -43,9 +43,9 @@ class Settings:
         return np.minimum(n - self.prefix(n), n + (-2 * self.percent * n // (100 + self.percent)) + 1)
 
 
-def shingle_sets(data: np.ndarray, bounds: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """(text, shingle) pairs, each once, sorted: 64-bit hashes of the texts' n-word shingles; a text with fewer words
-    has one, all of it."""
+def shingle_hashes(data: np.ndarray, bounds: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(text, shingle) of every place: 64-bit hashes of the texts' n-word shingles; a text with fewer words has one, all
+    of it."""
     data = LOWER[data]
     starts, ends, word_bounds = words(data, bounds)
     hashes = span_hashes(prefix_sums(BYTE_VALUES[data]), starts, ends)
@@ -53,26 +53,35 @@ def shingle_sets(data: np.ndarray, bounds: np.ndarray, n: int) -> tuple[np.ndarr
     each = np.where(count >= n, count - n + 1, np.minimum(count, 1))
     row = np.repeat(np.arange(len(count)), each)
     at = word_bounds[row] + np.arange(len(row)) - np.repeat(np.cumsum(each) - each, each)
-    made = span_hashes(prefix_sums(hashes), at, at + np.minimum(n, count[row]))
-    order = np.lexsort((made, row))
+    return row, span_hashes(prefix_sums(hashes), at, at + np.minimum(n, count[row]))
+
+
+def _once(row: np.ndarray, made: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """row and made in an order that brings equal pairs together, each pair once."""
     row, made = row[order], made[order]
     first = np.ones(len(row), bool)
     first[1:] = (row[1:] != row[:-1]) | (made[1:] != made[:-1])
     return row[first], made[first]
 
 
-def ranked_sets(data: np.ndarray, bounds: np.ndarray, classes: np.ndarray, settings: Settings) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """shingle_sets() with the size of every set and the same shingles as signed numbers, each set's rarest first."""
-    row, made = shingle_sets(data, bounds, settings.words)
-    order = np.lexsort((made, classes[(made >> U(64 - settings.sketch_bits)).astype(np.int64)], row))
-    return row, made, np.bincount(row, minlength=len(bounds) - 1), made[order].astype(np.int64)
+def shingle_sets(data: np.ndarray, bounds: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(text, shingle) pairs, each once, sorted."""
+    row, made = shingle_hashes(data, bounds, n)
+    return _once(row, made, np.lexsort((made, row)))
+
+
+def ranked_sets(data: np.ndarray, bounds: np.ndarray, classes: np.ndarray, settings: Settings) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, shingle) pairs, each once, every text's rarest shingles first, and the size of every set."""
+    row, made = shingle_hashes(data, bounds, settings.words)
+    rank = row << 8 | classes[(made >> U(64 - settings.sketch_bits)).astype(np.int64)]
+    row, made = _once(row, made, np.lexsort((made, rank)))
+    return row, made, np.bincount(row, minlength=len(bounds) - 1)
 
 
 def frequency_classes(texts: DataFrame, settings: Settings) -> np.ndarray:
-    """For every slot of a sketch, the class of the number of (text, shingle) pairs that fall into it, CLASSES to a
-    doubling.
+    """For every slot of a sketch, the class of the number of shingles that fall into it, CLASSES to a doubling.
 
-    All texts are counted. The sketch has 2 ** sketch_bits slots whatever the number of texts; it only decides the
+    All shingles of all texts are counted. The sketch has 2 ** sketch_bits slots whatever the number of texts; it only decides the
     order of shingles, which any table would keep right.
     """
     bits, block = settings.sketch_bits, 1 << min(16, settings.sketch_bits)
@@ -81,7 +90,7 @@ def frequency_classes(texts: DataFrame, settings: Settings) -> np.ndarray:
         slots = np.zeros(1 << bits, np.uint32)
         for batch in batches:
             for _, data, bounds in text_slices(batch.column(0)):
-                np.add.at(slots, (shingle_sets(data, bounds, settings.words)[1] >> U(64 - bits)).astype(np.int64), 1)
+                np.add.at(slots, (shingle_hashes(data, bounds, settings.words)[1] >> U(64 - bits)).astype(np.int64), 1)
         if slots.any():
             small = np.minimum(slots, 65535).astype("<u2").reshape(-1, block)
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(small)), pa.int32()), pa.array([s.tobytes() for s in small], pa.binary())], names=["block", "counts"])
@@ -115,14 +124,13 @@ def prefix_rows(docs: DataFrame, classes: np.ndarray, settings: Settings) -> Dat
         for batch in batches:
             for first, data, bounds in text_slices(batch.column(1)):
                 rows = len(bounds) - 1
-                row, made, n, ordered = ranked_sets(data, bounds, table, settings)
-                ends = np.cumsum(n)
-                take = settings.prefix(n)
-                spread = mix(made + U(29))
-                k1 = np.zeros(rows, U)
-                k2 = np.zeros(rows, U)
-                np.add.at(k1, row, spread)
-                np.bitwise_xor.at(k2, row, mix(spread + U(31)))
+                row, made, n = ranked_sets(data, bounds, table, settings)
+                ordered, ends, take = made.astype(np.int64), np.cumsum(n), settings.prefix(n)
+                spread, full = mix(made + U(29)), n > 0
+                k1, k2 = np.zeros(rows, U), np.zeros(rows, U)
+                if full.any():
+                    k1[full] = np.add.reduceat(spread, (ends - n)[full])
+                    k2[full] = np.bitwise_xor.reduceat(mix(spread + U(31)), (ends - n)[full])
                 parity = (np.bincount(row * size + (mix(made + U(37)) >> U(64 - 9)).astype(np.int64) % size, minlength=rows * size) & 1).astype(np.uint8)
                 maps = np.packbits(parity.reshape(rows, size), axis=1, bitorder="little").view("<i8")
                 starts = ends - n
@@ -205,7 +213,8 @@ def second_prefixes(docs: DataFrame, ids: DataFrame, classes: np.ndarray, settin
         def run(batches):
             for batch in pick(batches):
                 for first, data, bounds in text_slices(batch.column(1)):
-                    _, _, n, ordered = ranked_sets(data, bounds, held.value, settings)
+                    _, made, n = ranked_sets(data, bounds, held.value, settings)
+                    ordered = made.astype(np.int64)
                     starts = np.cumsum(n) - n
                     front, more = settings.prefix(n), settings.second_prefix(n)
                     cuts = np.concatenate([[0], np.cumsum(front)])
