@@ -248,13 +248,13 @@ SELECT conv_id, turn, CAST(count(t) AS INTEGER) AS n_tokens, arg_min(t, (i, j, k
 def grep_regex_page(spark: SparkSession, d: str) -> DataFrame:
     """The first page of thirty lines that a regular expression matches."""
     rows = lookup.lines(table(spark, d, "documents"), "doc_id", "text")
-    return lookup.grep_page(rows, r"[a-z]+tion[,.]", 0, 30, "regex").select("unit_id", "line_no", "method", "place", "total", "next_cursor")
+    return lookup.grep_page(rows, r"[a-z]+tion[,.]", 0, 30, "regex").select("unit_id", "line_no", "method", "place", "total", F.coalesce("next_cursor", F.lit(-1)).alias("next_cursor"))
 
 
 GREP_REGEX_PAGE = r"""
 WITH l AS (SELECT doc_id AS unit_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents),
 hit AS (SELECT unit_id, CAST(n AS INTEGER) AS line_no, row_number() OVER (ORDER BY unit_id, n) AS place, count(*) OVER () AS total FROM l WHERE regexp_matches(line, '[a-z]+tion[,.]'))
-SELECT unit_id, line_no, 'regex_match' AS method, CAST(place AS INTEGER) AS place, total, CASE WHEN total > 30 THEN 30 END AS next_cursor FROM hit WHERE place <= 30
+SELECT unit_id, line_no, 'regex_match' AS method, CAST(place AS INTEGER) AS place, total, CASE WHEN total > 30 THEN 30 ELSE -1 END AS next_cursor FROM hit WHERE place <= 30
 """
 
 

@@ -21,13 +21,14 @@ def changed_files(spark: SparkSession, d: str) -> DataFrame:
     blobs = turns.select(name(F.col("turn")).alias("version"), F.concat("role", F.lit(".c")).alias("path"), "text")
     commits = turn_pairs(turns).select(name(F.col("turn") + 1).alias("version"), name(F.col("turn")).alias("parent"))
     found = versions.changed_files(blobs, commits)
-    return found.select("version", "path", F.length("old_text").alias("n_old"), F.length("new_text").alias("n_new"))
+    size = lambda c: F.coalesce(F.length(c), F.lit(-1))
+    return found.select("version", "path", size("old_text").alias("n_old"), size("new_text").alias("n_new"))
 
 
 CHANGED_FILES = """
 WITH p AS (SELECT b.conv_id || ':' || b.turn AS version, a.role || '.c' AS p1, a.text AS t1, b.role || '.c' AS p2, b.text AS t2 FROM conversations a JOIN conversations b ON b.conv_id = a.conv_id AND b.turn = a.turn + 1)
-SELECT version, p1 AS path, CAST(length(t1) AS INTEGER) AS n_old, CAST(CASE WHEN p1 = p2 THEN length(t2) END AS INTEGER) AS n_new FROM p WHERE p1 <> p2 OR t1 <> t2
-UNION ALL SELECT version, p2, NULL, CAST(length(t2) AS INTEGER) FROM p WHERE p1 <> p2
+SELECT version, p1 AS path, CAST(length(t1) AS INTEGER) AS n_old, CAST(CASE WHEN p1 = p2 THEN length(t2) ELSE -1 END AS INTEGER) AS n_new FROM p WHERE p1 <> p2 OR t1 <> t2
+UNION ALL SELECT version, p2, CAST(-1 AS INTEGER), CAST(length(t2) AS INTEGER) FROM p WHERE p1 <> p2
 """
 
 
