@@ -153,3 +153,37 @@ def closest(scored: DataFrame, context: str, item: str, most: int = 10) -> DataF
     """The first `most` items of every context by score, then by distance, with their place."""
     order = Window.partitionBy(context).orderBy(F.col("score").desc(), "distance", item)
     return scored.withColumn("place", F.row_number().over(order)).where(F.col("place") <= most)
+
+
+def _keys(path: Column, other: Column) -> Column:
+    """What a path can share with another, each under the score that it gives; `other` stands for nothing shared."""
+    shared = {100: path, 50: _directory(path), 40: _stem(path), 0: other}
+    return F.inline(F.array(*(F.struct(F.lit(score).alias("_score"), key.alias("_key")) for score, key in shared.items())))
+
+
+def closest_paths(items: DataFrame, contexts: DataFrame, context: str, item: str, most: int = 10, salts: int = 64) -> DataFrame:
+    """closest() of the items (item, path) to each of the contexts (context, context_path), without the pairs of all with
+    all: context, item, score, distance, place. Items with the context's own id do not count.
+
+    Among the items that share a path, a directory or a stem, and among all items, only the first `most` can be placed
+    once the context's own id is left out: whatever scores higher comes before the others in any case. So each key keeps
+    the rows of its `most` + 1 smallest ids, `most` rows of an id that repeats. Contexts meet those by key, and a pair
+    counts under the key that gives its score. Lists are cut before they are shuffled; contexts meet that of all items
+    by salt.
+    """
+    rows = items.where(F.col(item).isNotNull()).select(item, "path")
+    within = Window.partitionBy("_score", "_key", item).orderBy("path")
+    across = Window.partitionBy("_score", "_key").orderBy(item)
+    keyed = rows.select(item, "path", _keys(F.col("path"), F.lit(None).cast("string"))).where("_key is not null")
+    keyed = keyed.withColumn("_n", F.row_number().over(within)).where(F.col("_n") <= most)
+    keyed = keyed.withColumn("_n", F.dense_rank().over(across)).where(F.col("_n") <= most + 1)
+    least = rows.select(item).distinct().orderBy(item).limit(most + 1)
+    first = rows.join(least, item).withColumn("_n", F.row_number().over(Window.partitionBy(item).orderBy("path"))).where(F.col("_n") <= most)
+    first = first.withColumn("_score", F.lit(0)).withColumn("_key", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)).cast("array<string>")))
+    salt = F.pmod(F.xxhash64(context), F.lit(salts)).cast("string")
+    wanted = contexts.select(context, "context_path", _keys(F.col("context_path"), salt))
+    columns = [item, "path", "_score", "_key"]
+    met = wanted.join(keyed.select(columns).unionByName(first.select(columns)), ["_score", "_key"]).where(F.col(context) != F.col(item))
+    path, other = F.col("path"), F.col("context_path")
+    scored = met.where(closeness(path, other) == F.col("_score")).select(context, item, F.col("_score").alias("score"), caller_distance(path, other).alias("distance"))
+    return closest(scored, context, item, most)

@@ -149,10 +149,8 @@ FROM l JOIN hit ON l.unit_id = hit.unit_id AND n BETWEEN at_ - 2 AND at_ + 2
 def definition_ranking(spark: SparkSession, d: str) -> DataFrame:
     """For every fiftieth page the ten pages whose addresses are closest."""
     pages = table(spark, d, "pages").select("page_id", F.regexp_replace("url", r"[?#].*$", "").alias("path"))
-    context = pages.where("page_id % 50 = 0").select(F.col("page_id").alias("context_id"), F.col("path").alias("context"))
-    both = pages.join(context, F.lit(True)).where("page_id <> context_id")
-    scored = both.select("context_id", "page_id", lookup.closeness(F.col("path"), F.col("context")).alias("score"), lookup.caller_distance(F.col("path"), F.col("context")).alias("distance"))
-    return lookup.closest(scored, "context_id", "page_id", 10)
+    context = pages.where("page_id % 50 = 0").select(F.col("page_id").alias("context_id"), F.col("path").alias("context_path"))
+    return lookup.closest_paths(pages, context, "context_id", "page_id", 10)
 
 
 DEFINITION_RANKING = r"""

@@ -8,7 +8,7 @@ from lodestrand.functions import answers
 from lodestrand.functions.headers import is_header, last_group
 from lodestrand.functions.text import base_identifier, called_name, code_tokens, diff_features, diff_side, line_number, line_tokens, strip_comments, variable_paths
 from lodestrand.operators import align, cfg, diffs, graphs, grouping, knowledge, lookup, mapping, rank, ranges, scoring, slices, validate, versions
-from lodestrand.plans import matching, storage
+from lodestrand.plans import index_queries, matching, storage
 from lodestrand.sources import git, tables
 from lodestrand.streaming import index
 from lodestrand.sources.csource import functions as c_functions
@@ -642,3 +642,28 @@ def test_benchmark_mode(spark, tmp_path):
     counted = storage.completion(frame(spark, [("a",), ("a",), ("b",)], "k string"), frame(spark, [("a",), ("b",)], "k string"), "k")
     assert values(counted, "k", "expected", "done", "complete") == [("a", 2, 1, False), ("b", 1, 1, True)]
     assert storage.output_folders("x", "r", "v", "no-slices")["results"] == "x/results-no-slices/r"
+
+
+def test_closest_paths(spark):
+    """The same places as scoring all pairs gives: ids that are null or repeat, paths that are null, empty or without a
+    directory, keys of many rows; and no pairs of all with all in the plan."""
+    rng = np.random.default_rng(5)
+    paths = [None, "", "a", "/", "h/x.c", "h/x.h", "h/y.c", "g/x.c", "g/.x", "g/z/x.c", "g/z/"]
+    made = [(int(i) if i < 70 else None, paths[p]) for i, p in zip(rng.integers(0, 72, 150), rng.integers(0, len(paths), 150), strict=True)]
+    made += [(3, "h/x.c")] * 15 + [(4, f"h/{k}.c") for k in range(15)] + [(10, "h/x.c"), (10, None)]
+    items = frame(spark, made, "id long, path string")
+    contexts = items.where("id % 10 = 0").select(F.col("id").alias("c"), F.col("path").alias("context_path"))
+    pairs = contexts.join(items, F.col("c") != F.col("id"))
+    path, other = F.col("path"), F.col("context_path")
+    plain = lookup.closest(pairs.select("c", "id", lookup.closeness(path, other).alias("score"), lookup.caller_distance(path, other).alias("distance")), "c", "id")
+    found = lookup.closest_paths(items, contexts, "c", "id")
+    columns = ("c", "id", "score", "distance", "place")
+    assert sorted(values(found, *columns)) == sorted(values(plain, *columns))
+    assert found.dtypes == plain.dtypes
+    assert lookup.closest_paths(items.limit(0), contexts, "c", "id").isEmpty() and lookup.closest_paths(items, contexts.limit(0), "c", "id").isEmpty()
+
+
+def test_definition_ranking_meets_by_key(spark, tmp_path):
+    spark.range(100).selectExpr("id as page_id", "concat('http://h', id % 7, '/', id % 3, '.html') as url").write.parquet(f"{tmp_path}/pages.parquet")
+    plan = index_queries.definition_ranking(spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
