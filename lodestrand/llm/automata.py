@@ -36,11 +36,9 @@ class SuffixAutomaton:
             link.append(0)
             length.append(length[last] + 1)
             p = last
-            while p >= 0 and c not in nxt[p]:
-                nxt[p][c] = new
+            while p >= 0 and (q := nxt[p].setdefault(c, new)) == new:
                 p = link[p]
             if p >= 0:
-                q = nxt[p][c]
                 if length[q] == length[p] + 1:
                     link[new] = q
                 else:

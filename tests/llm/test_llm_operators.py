@@ -189,6 +189,46 @@ def test_substrings(docs, plain, none, shard, hot):
     assert substrings.substring_dedup(none).isEmpty()
 
 
+def test_repeated_windows_and_meeting(monkeypatch):
+    """The pieces of runs whose windows another id's run of the route has, and texts that meet others: as found plainly,
+    in one pass and in many."""
+    rng = np.random.default_rng(11)
+    for slice_bytes in (1 << 20, 40):
+        monkeypatch.setattr(substrings, "SLICE", slice_bytes)
+        monkeypatch.setattr(substrings, "HELD", slice_bytes)
+        runs = [bytes(rng.integers(97, 99, rng.integers(6, 14)).astype(np.uint8)) for _ in range(60)]
+        route, ids = np.sort(rng.integers(0, 5, 60)).astype(np.uint64), rng.integers(0, 30, 60)
+        sizes = np.array([len(r) for r in runs])
+        which, a, z = substrings.repeated_windows(np.frombuffer(b"".join(runs), np.uint8), sizes, route, ids, 6)
+        got = sorted((int(i), int(w)) for i, x, y in zip(which, a, z, strict=True) for w in range(x, y - 5))
+        windows = [(i, w) for i, r in enumerate(runs) for w in range(len(r) - 5)]
+        has = lambda i, w, other: any(route[j] == route[i] and other(j) and runs[i][w : w + 6] in runs[j] for j in range(60))
+        assert got == [(i, w) for i, w in windows if has(i, w, lambda j, i=i: ids[j] != ids[i])] and 0 < len(got) < len(windows)
+        met = [any(has(i, w, lambda j, i=i: runs[j] != runs[i]) for w in range(len(runs[i]) - 5)) for i in range(60)]
+        assert substrings.meeting(runs, route, 6) == met
+
+
+def test_copies_need_no_automaton(monkeypatch):
+    """Automata are built when a text that is no copy has to be streamed, and only of texts that meet others."""
+    added = []
+    monkeypatch.setattr(substrings.SuffixAutomaton, "add", lambda self, text, f=substrings.SuffixAutomaton.add: (added.append(text), f(self, text))[1])
+    ids, a, b = np.arange(4), b"abcdefgh", b"xcdefgz"
+    assert substrings.stream_group(ids[:3], [a] * 3, 4, 100) == [[], [(0, 5)], [(0, 5)]] and not added
+    texts = [b"0123456789", a, a, b]
+    assert substrings.stream_group(ids, texts, 4, 100, substrings.meeting(texts, np.zeros(4, np.uint64), 4)) == [[], [], [(0, 5)], [(1, 3)]]
+    assert added == [a]
+
+
+def test_runs_travel_once_for_each_shard(spark, monkeypatch):
+    """A part sends a shard one row, however many parcels its texts came in: parcels, parts and shards all grow."""
+    routed = []
+    monkeypatch.setattr(substrings, "dealt", lambda df, parts, key="part", f=substrings.dealt: (routed.append((df, parts)), f(df, parts, key))[1])
+    text = F.concat(F.repeat(F.sha2(F.floor(F.col("id") / 2).cast("string"), 512), 1), F.col("id").cast("string"))
+    substrings.substring_dedup(spark.range(0, 2000, 1, 10).select(F.col("id").alias("doc_id"), text.alias("text")))
+    df, shards = next((d, n) for d, n in routed if n == 4 * routed[0][1])
+    assert shards < df.count() <= routed[0][1] * shards
+
+
 def test_automaton_matches_find():
     rng = np.random.default_rng(1)
     for _ in range(200):
