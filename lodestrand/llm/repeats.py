@@ -43,6 +43,11 @@ def unpack(blob: bytes) -> dict[str, np.ndarray]:
     return out
 
 
+def cut(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The spans of data, end to end."""
+    return np.concatenate([data[x : x + n] for x, n in zip(starts.tolist(), sizes.tolist(), strict=True)])
+
+
 def gathered(blobs: list[bytes]) -> dict[str, np.ndarray]:
     """Blobs with the same arrays, put end to end."""
     parts = [unpack(b) for b in blobs]
@@ -68,9 +73,9 @@ def part_of(keys: np.ndarray, parts: int) -> np.ndarray:
 
 @dataclass(frozen=True)
 class Windows:
-    """Windows of `length` symbols, found by grams of `gram` symbols; parts is the number of tasks of a shuffle, and
-    buckets that of the ranges of gram hashes, each of which is held in memory by itself. A gram that `hot` anchors have
-    is hot."""
+    """Windows of `length` symbols, found by grams of `gram` symbols; parts is the number of tasks of a shuffle, and of
+    the ranges of gram hashes, or buckets, each of which is held in memory by itself. A gram that `hot` anchors have is
+    hot."""
 
     symbols: Symbols
     length: int
@@ -80,7 +85,7 @@ class Windows:
 
     @property
     def buckets(self) -> int:
-        return 4 * self.parts
+        return self.parts
 
     @property
     def span_type(self) -> type:
@@ -95,6 +100,8 @@ def anchor_runs(rows: DataFrame, windows: Windows) -> DataFrame:
     def run(batches):
         def flush(held):
             ids, keys, row, hashes, first, last = (np.concatenate(c) for c in zip(*held, strict=True))
+            # an anchor has the smallest hash of its window, so most lie in the lowest ranges; mixed once more they are even
+            hashes = mix(hashes)
             high = (hashes >> U(32)).astype(np.int64)
             bucket = high * buckets >> 32
             order = np.argsort(bucket, kind="stable")
@@ -148,41 +155,54 @@ def candidates(runs: DataFrame, windows: Windows, samples: int = 0) -> DataFrame
     def run(key, table):
         bucket = key[0].as_py()
         held = [unpack(b) for b in table.column("blob").to_pylist()]
-        ids, keys, hashes, first, span = [], [], [], [], []
-        for h in held:
-            count = h["count"].astype(np.int64)
-            ids.append(np.repeat(h["id"], count))
-            keys.append(np.repeat(h["key"], count))
-            hashes.append(h["hash"].astype(np.uint64))
-            first.append(np.cumsum(h["first"].astype(np.int64)))
-            span.append(h["span"])
-        ids, keys, hashes, first, span = (np.concatenate(x) for x in (ids, keys, hashes, first, span))
-        order = np.lexsort((ids, hashes))
-        h, d = hashes[order], ids[order]
-        new = np.ones(len(h), bool)
-        new[1:] = h[1:] != h[:-1]
-        start = np.flatnonzero(new)
-        group = np.cumsum(new) - 1
-        end = np.append(start[1:], len(h)) - 1
-        keep = (d[start] != d[end])[group]
-        order, least, many = order[keep], d[start][group][keep], (end - start + 1 >= windows.hot)[group][keep]
+        ids, keys, count, span = (np.concatenate([h[c] for h in held]) for c in ("id", "key", "count", "span"))
+        first = np.concatenate([np.cumsum(h["first"], dtype=np.int32) for h in held])
+        # while anchors are sorted, a document is a number of four bytes, rising with its id
+        by = np.argsort(ids, kind="stable")
+        number = np.empty(len(by), np.uint32)
+        number[by] = np.arange(len(by))
+        ids, keys = ids[by], keys[by]
+        codes = np.concatenate([h["hash"] for h in held]).astype(U)
+        held.clear()
+        codes <<= U(32)
+        codes |= np.repeat(number, count)
+        order = np.argsort(codes)
+        codes = codes[order]
+        h, doc = (codes >> U(32)).astype(np.uint32), codes.astype(np.uint32)
+        del codes
+        start = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
+        size = np.diff(np.append(start, len(h)))
+        least, shared = ids[doc[start]], ids[doc[start]] != ids[doc[start + size - 1]]
+        keep = np.repeat(shared, size)
+        order, doc, size, least = order[keep], doc[keep], size[shared], least[shared]
+        code = (U(bucket) << U(32)) | h[start[shared]].astype(U)
         out = []
         if len(order):
-            ids, keys, first, span = ids[order], keys[order], first[order], span[order]
-            code = (np.uint64(bucket) << U(32)) | h[keep]
+            first, span = first[order], span[order]
+            del order, keep, h
             if samples:
                 weight = np.cumsum(span.astype(np.int64) + length)
                 at = np.unique(np.searchsorted(weight, np.linspace(0, weight[-1], samples + 1)[1:]))
-                out.append((-1, pack(code=code[at], id=ids[at], weight=np.diff(weight[at], prepend=0))))
+                out.append((-1, pack(code=np.repeat(code, size)[at], id=ids[doc[at]], weight=np.diff(weight[at], prepend=0))))
+                own = {"code": np.repeat(code, size)}
+            else:
+                many = size >= windows.hot
+                route = mix(np.where(many, code + U(17), least.astype(U)) ^ many.astype(U))
+                own = {"route": np.repeat(route, size), "hot": np.repeat(many.astype(np.uint8), size)}
             part = part_of(keys, parts)
-            place = np.lexsort((first, keys, part))
-            route = mix(np.where(many, code + U(17), least.astype(U)) ^ many.astype(U))
-            cuts = np.searchsorted(part[place], np.arange(parts + 1))
+            by = np.lexsort((keys, part))
+            number[by] = np.arange(len(by))
+            places = number[doc].astype(U)
+            places <<= U(32)
+            places |= first.astype(np.uint32)
+            place = np.argsort(places)
+            del places
+            # the documents of each part are numbered in a row
+            cuts = np.append(0, np.cumsum(np.bincount(part[doc], minlength=parts)))
             for p, (x, y) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
                 if x < y:
                     w = place[x:y]
-                    own = {"code": code[w]} if samples else {"route": route[w], "hot": many[w].astype(np.uint8)}
-                    out.append((p, pack(key=keys[w], id=ids[w], first=first[w], span=span[w], **own)))
+                    out.append((p, pack(key=keys[doc[w]], id=ids[doc[w]], first=first[w], span=span[w], **{k: v[w] for k, v in own.items()})))
         return pa.table({"part": pa.array([p for p, _ in out], pa.int32()), "blob": pa.array([b for _, b in out], pa.binary())})
 
     return dealt(runs, parts, "bucket").applyInArrow(run, "part int, blob binary")

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from lodestrand.llm.automata import SuffixAutomaton
-from lodestrand.llm.repeats import HOT, Windows, anchor_runs, candidates, covered, dealt, gathered, keyed, pack, parcels, part_count, part_of, removed_ranges, texts_of, unpack
+from lodestrand.llm.repeats import HOT, Windows, anchor_runs, candidates, covered, cut, dealt, gathered, keyed, pack, parcels, part_count, part_of, removed_ranges, texts_of, unpack
 from lodestrand.llm.tables import materialize, small_batches
 from lodestrand.llm.words import BYTE_VALUES, U, mix, prefix_sums, span_hashes
 
@@ -29,11 +29,6 @@ def _table(rows: list[tuple[int, bytes]]) -> pa.Table:
     return pa.table({"part": pa.array([p for p, _ in rows], pa.int32()), "blob": pa.array([b for _, b in rows], pa.binary())})
 
 
-def cut(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """The spans of data, end to end."""
-    return np.concatenate([data[x : x + n] for x, n in zip(starts.tolist(), sizes.tolist(), strict=True)])
-
-
 def slices(sizes: np.ndarray, starts: np.ndarray, end: int) -> Iterator[tuple[int, int]]:
     """Whole groups, each of sizes[i] bytes and starting at starts[i], in slices of about SLICE bytes."""
     total, at = np.cumsum(sizes), 0
@@ -271,6 +266,8 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 g = order[x:y]
                 text = cut(b["text"], bounds[g], size[x:y])
                 which, a, z = repeated_windows(text, size[x:y], route[x:y], b["id"][g], window)
+                if not len(which):  # only grams are shared here
+                    continue
                 at = np.append(0, np.cumsum(size[x:y]))[which]
                 whole = text.tobytes()
                 to = route[x:y][which]

@@ -9,12 +9,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestrand.llm.repeats import Windows, anchor_runs, candidates, covered, dealt, gathered, keyed, pack, parcels, part_count, part_of, removed_ranges, texts_of
+from lodestrand.llm.repeats import Windows, anchor_runs, candidates, covered, cut, dealt, gathered, keyed, pack, parcels, part_count, part_of, removed_ranges, texts_of
 from lodestrand.llm.tables import materialize, small_batches
 from lodestrand.llm.words import U, mix, prefix_sums, span_hashes, word_hashes, words
 
 #: Words of suffixes in one sort bucket, and places sampled for splitters, which go to the driver, in all.
-BUCKET_WORDS, MOST_SAMPLES = 1 << 20, 1 << 20
+BUCKET_WORDS, MOST_SAMPLES = 1 << 19, 1 << 20
 
 
 def word_symbols(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -127,7 +127,7 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows = keyed(docs, id_col, text_col)
     parts = part_count(rows)
     windows = Windows(word_symbols, window, gram, parts)
-    found = materialize(candidates(anchor_runs(rows, windows), windows, samples=max(1, min(32, MOST_SAMPLES // windows.buckets))))
+    found = materialize(candidates(anchor_runs(rows, windows), windows, samples=max(1, min(128, MOST_SAMPLES // windows.buckets))))
     cut_code, cut_id = splitters([r["blob"] for r in found.where("part < 0").select("blob").collect()], bucket_words)
     straddling = np.unique(cut_code)
     texts = materialize(parcels(rows, parts))
@@ -142,6 +142,7 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             names, at = np.unique(c["key"], return_index=True)
             upto = np.append(at[1:], len(order))
             where = {int(k): (x, y) for k, x, y in zip(names, at, upto, strict=True)}
+            held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
             for p, bounds in texts_of(left.column("blob").to_pylist()):
                 starts, ends, word_bounds = words(p["text"], bounds)
                 picked, base = [], []
@@ -155,22 +156,25 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 if not picked:
                     continue
                 w, base = np.concatenate(picked), np.concatenate(base)
+                a = base + c["first"][w]
+                lo, hi = starts[a], ends[a + c["span"][w].astype(np.int64) + window - 1]
+                held.append((w, hi - lo, cut(p["text"], lo, hi - lo)))
+            if held:
+                # one blob for each bucket, not for each parcel too: parcels, parts and buckets all grow with the input
+                w, size, text = (np.concatenate(x) for x in zip(*held, strict=True))
+                held.clear()
+                start = np.cumsum(size) - size
                 code, ids = c["code"][w], c["id"][w]
                 bucket = np.searchsorted(cut_code, code, side="left")
                 # among splitters with this anchor, the first whose id is not smaller
                 high = np.searchsorted(cut_code, code, side="right")
                 for i in np.flatnonzero(high > bucket):
                     bucket[i] += np.searchsorted(cut_id[bucket[i] : high[i]], ids[i])
-                a = base + c["first"][w]
-                n = c["span"][w].astype(np.int64) + window
-                lo, hi = starts[a], ends[a + n - 1]
                 by = np.argsort(bucket, kind="stable")
                 edge = np.flatnonzero(np.append(True, bucket[by][1:] != bucket[by][:-1]))
                 for x, y in zip(edge, np.append(edge[1:], len(by)), strict=True):
                     s = by[x:y]
-                    size = hi[s] - lo[s]
-                    text = p["text"][np.repeat(lo[s] - np.cumsum(size) + size, size) + np.arange(size.sum())]
-                    out.append((int(bucket[s[0]]), pack(key=c["key"][w[s]], id=ids[s], code=code[s], first=c["first"][w[s]], span=c["span"][w[s]], size=size, text=text)))
+                    out.append((int(bucket[s[0]]), pack(key=c["key"][w[s]], id=ids[s], code=code[s], first=c["first"][w[s]], span=c["span"][w[s]], size=size[s], text=cut(text, start[s], size[s]))))
         return _table(out)
 
     def sort_bucket(key, table):

@@ -15,7 +15,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from lodestrand.llm import automata, chat, embeddings, exact_dedup, graph, jaccard, mixing, packing, quality, substrings, suffixes, toxicity
+from lodestrand.llm import automata, chat, embeddings, exact_dedup, graph, jaccard, mixing, packing, quality, repeats, substrings, suffixes, toxicity
 from lodestrand.llm.anchors import anchors, sliding_minimum
 from lodestrand.llm import labelled as labelled_rows
 from lodestrand.llm.labelled import fold
@@ -189,6 +189,16 @@ def test_substrings(docs, plain, none, shard, hot):
     assert substrings.substring_dedup(none).isEmpty()
 
 
+def test_grams_in_common_without_a_window(spark):
+    """Texts that share bytes, but no whole window: shards get candidates of which none repeats."""
+    rng = np.random.default_rng(3)
+    text = lambda n: "".join(map(chr, rng.integers(97, 123, n)))
+    shared = text(49)
+    rows = [(i, text(200) + shared + text(200)) for i in range(3)]
+    got = substrings.substring_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(got) == [(i, len(t), 0, 0, hashlib.sha256(t.encode()).hexdigest()) for i, t in rows]
+
+
 def test_repeated_windows_and_meeting(monkeypatch):
     """The pieces of runs whose windows another id's run of the route has, and texts that meet others: as found plainly,
     in one pass and in many."""
@@ -229,6 +239,27 @@ def test_runs_travel_once_for_each_shard(spark, monkeypatch):
     assert shards < df.count() <= routed[0][1] * shards
 
 
+def test_anchors_are_dealt_evenly(spark):
+    """Anchors are minima of hashes; their buckets hold equal shares all the same, as a task holds one in memory."""
+    rng = np.random.default_rng(5)
+    rows = [(i, i, "".join(map(chr, rng.integers(97, 123, 4000)))) for i in range(60)]
+    windows = repeats.Windows(substrings.byte_symbols, 50, 20, 8)
+    made = repeats.anchor_runs(spark.createDataFrame(rows, "_id long, _key long, text string").coalesce(1), windows).collect()
+    sizes = collections.Counter()
+    for r in made:
+        sizes[r["bucket"]] += len(repeats.unpack(r["blob"])["hash"])
+    assert len(sizes) == windows.buckets and max(sizes.values()) < 1.5 * sizes.total() / windows.buckets
+
+
+def test_suffixes_travel_once_for_each_bucket(spark, monkeypatch):
+    """A part sends a sort bucket one row, however many parcels its texts came in."""
+    routed = []
+    monkeypatch.setattr(suffixes, "dealt", lambda df, parts, key="part", f=suffixes.dealt: (routed.append((df, parts)), f(df, parts, key))[1])
+    text = F.concat_ws(" ", F.transform(F.sequence(F.lit(0), F.lit(69)), lambda i: F.hash(F.floor(F.col("id") / 2), i).cast("string")))
+    suffixes.suffix_dedup(spark.range(0, 2000, 1, 10).select(F.col("id").alias("doc_id"), text.alias("text")))
+    assert 0 < routed[2][0].count() <= routed[0][1]
+
+
 def test_automaton_matches_find():
     rng = np.random.default_rng(1)
     for _ in range(200):
