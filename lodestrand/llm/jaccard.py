@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from lodestrand.llm.graph import components
 from lodestrand.llm.tables import Groups, materialize, small_batches
 from lodestrand.llm.words import BYTE_VALUES, U, mix, prefix_sums, span_hashes, text_slices, words
+from lodestrand.llm.workers import settled
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -19,6 +20,8 @@ LOWER[65:91] += 32
 MAP_WORDS = 8
 #: Frequency classes for a doubling.
 CLASSES = 8
+#: The sketch is added up in blocks of 2 ** BLOCK_BITS slots: of each, one worker gets as many copies as there are tasks.
+BLOCK_BITS = 13
 
 
 @dataclass(frozen=True)
@@ -84,7 +87,7 @@ def frequency_classes(texts: DataFrame, settings: Settings) -> np.ndarray:
     All shingles of all texts are counted. The sketch has 2 ** sketch_bits slots whatever the number of texts; it only decides the
     order of shingles, which any table would keep right.
     """
-    bits, block = settings.sketch_bits, 1 << min(16, settings.sketch_bits)
+    bits, block = settings.sketch_bits, 1 << min(BLOCK_BITS, settings.sketch_bits)
 
     def count(batches):
         slots = np.zeros(1 << bits, np.uint32)
@@ -97,12 +100,12 @@ def frequency_classes(texts: DataFrame, settings: Settings) -> np.ndarray:
 
     def total(key, group):
         out = np.zeros(block, np.uint64)
-        for blob in group.column("counts").to_pylist():
-            out += np.frombuffer(blob, "<u2")
+        for blob in group.column("counts"):
+            out += np.frombuffer(blob.as_buffer(), "<u2")
         classes = np.minimum(np.round(CLASSES * np.log2(out + 1.0)), 255).astype(np.uint8)
         return pa.table({"block": pa.array([key[0].as_py()], pa.int32()), "classes": [classes.tobytes()]})
 
-    merged = texts.mapInArrow(count, "block int, counts binary").groupBy("block").applyInArrow(total, "block int, classes binary")
+    merged = texts.mapInArrow(settled(count), "block int, counts binary").groupBy("block").applyInArrow(total, "block int, classes binary")
     out = np.zeros(1 << bits, np.uint8)
     for row in merged.collect():
         out[row["block"] * block : (row["block"] + 1) * block] = np.frombuffer(row["classes"], np.uint8)
@@ -148,7 +151,7 @@ def prefix_rows(docs: DataFrame, classes: np.ndarray, settings: Settings) -> Dat
                 )
 
     shape = f"_id {docs.schema['_id'].dataType.simpleString()}, n long, k1 long, k2 long, pk long, tokens array<long>, " + ", ".join(f"{m} long" for m in MAPS)
-    return docs.mapInArrow(run, shape)
+    return docs.mapInArrow(settled(run), shape)
 
 
 MAPS = [f"b{i}" for i in range(MAP_WORDS)]
@@ -196,7 +199,7 @@ def sets_of(docs: DataFrame, ids: DataFrame, settings: Settings) -> DataFrame:
                     [batch.column(0)[part], pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(made.astype(np.int64)))], names=["_id", "shingles"]
                 )
 
-    return rows.mapInArrow(run, shape).join(ids, "_id", "left_semi")
+    return rows.mapInArrow(settled(run), shape).join(ids, "_id", "left_semi")
 
 
 def second_prefixes(docs: DataFrame, ids: DataFrame, classes: np.ndarray, settings: Settings) -> DataFrame:
@@ -228,7 +231,7 @@ def second_prefixes(docs: DataFrame, ids: DataFrame, classes: np.ndarray, settin
                         names=["_id", "n", "pk", "tokens"],
                     )
 
-        made = rows.mapInArrow(run, shape).join(ids, "_id", "left_semi")
+        made = rows.mapInArrow(settled(run), shape).join(ids, "_id", "left_semi")
     return made.select("_id", "n", "pk", F.explode("tokens").alias("token")).distinct()
 
 

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestrand.llm.tables import materialize, salt, small_batches
+from lodestrand.llm.workers import settled
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 #: Chunks of text, and words, in a generation of what a Python worker remembers, and bytes of text encoded at once.
@@ -132,22 +133,11 @@ def _cuts_at_white_space(told: dict) -> bool:
     )
 
 
-_encoders: dict[str, ChunkEncoder] = {}
-
-
-def encoder(path: str) -> ChunkEncoder:
-    """The worker's own encoder: its memo, of bounded size, outlives a task."""
-    if path not in _encoders:
-        _encoders.clear()
-        _encoders[path] = ChunkEncoder(path)
-    return _encoders[path]
-
-
 def token_pieces(docs: DataFrame, id_col: str, text_col: str, tokenizer: str, capacity: int, end_id: int) -> DataFrame:
     """Documents as ids with an end id, cut where they are longer than capacity: a row per piece."""
 
     def cut(batches):
-        own = encoder(tokenizer)
+        own = ChunkEncoder(tokenizer)
         end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
             rows: list[tuple] = []
@@ -163,7 +153,7 @@ def token_pieces(docs: DataFrame, id_col: str, text_col: str, tokenizer: str, ca
                     [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32"]
                 )
 
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(cut, PIECES)
+    return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(settled(cut), PIECES)
 
 
 class SumIndex:
@@ -319,7 +309,7 @@ def pack(
     ranked = pieces.join(starts, ["length", "_salt"]).select(
         "doc_id", "piece", "start", "length", "ids_crc32", (F.row_number().over(inside) - 1 + F.col("_before")).cast("long").alias("_rank")
     )
-    return ranked.mapInArrow(place, f"{PIECES}, sequence_id long, offset long")
+    return ranked.mapInArrow(settled(place), f"{PIECES}, sequence_id long, offset long")
 
 
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from lodestrand.llm.labelled import fold, gathered_rows, training_rows
 from lodestrand.llm.tables import small_batches
 from lodestrand.llm.words import BYTE_VALUES, MARKS, U, mix, prefix_sums, row_numbers, span_hashes, text_slices, words
+from lodestrand.llm.workers import settled
 
 #: Labelled documents that a model is fitted on at most.
 MOST_ROWS = 16_000
@@ -147,7 +148,7 @@ def train(sample: DataFrame, settings: Settings) -> Model:
                 part = slice(first, first + len(blobs))
                 yield pa.RecordBatch.from_arrays([batch.column(0)[part], batch.column(2)[part], pa.array(blobs, pa.binary())], names=["_id", "label", "found"])
 
-    made = sample.select(F.col("_id").cast("string"), "text", "label").mapInArrow(extract, "_id string, label int, found binary")
+    made = sample.select(F.col("_id").cast("string"), "text", "label").mapInArrow(settled(extract), "_id string, label int, found binary")
     rows, data, spans = gathered_rows(made, "found")
     return fit(Packed(data, spans, settings.bits), np.array([r["label"] for r in rows], float), settings)
 
@@ -175,7 +176,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     rows = docs.select(F.col(text_col).cast("string").alias("text"), *(F.col(f"`{c}`").alias(i) for c, i in zip(kept, inside, strict=True)))
     fields = rows.schema.fields[1:] + rows.schema.fields[:1] * has_text
     names = [*(f.name for f in fields), "score"]
-    scored = rows.mapInArrow(run, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in fields) + ", score double")
+    scored = rows.mapInArrow(settled(run), ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in fields) + ", score double")
     return scored.toDF(*kept, *[text_col] * has_text, score_col)
 
 

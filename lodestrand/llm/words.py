@@ -44,6 +44,11 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _cache["up"][:n], _cache["down"][:n]
 
 
+def forget() -> None:
+    """Drop the powers that were computed."""
+    _cache.clear()
+
+
 def text_slices(column: pa.Array, lower: bool = False) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first row, bytes, bounds) of runs of whole texts of about SLICE bytes; row i has bytes[bounds[i]:bounds[i + 1]]."""
     column = pc.fill_null(column.cast(pa.large_string()), "")

@@ -4,12 +4,14 @@ import re
 from collections import Counter
 
 import numpy as np
+import public_tokenizers
+import pyarrow as pa
 import pytest
 
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from lodestrand.llm import mixing
+from lodestrand.llm import jaccard, mixing, packing
 
 SPACE = re.compile("[\x20\x09-\x0d]+")
 
@@ -149,3 +151,36 @@ def test_an_id_in_several_sources_counts_once(spark):
     assert set(times) == {r[0] for r in rows} and max(times.values()) <= 2
     words = sum(300 * times[r[0]] for r in rows)
     assert abs(words - 1.5 * 300 * len(rows)) <= 3 * 150 + 64 * 3
+
+
+def test_workers_forget_the_tokenizer(spark, folder):
+    """A worker that has cut texts into tokens keeps neither the tokenizer nor what it remembered."""
+
+    def held(batches):
+        import gc
+
+        n = sum(type(o).__name__ in ("Memo", "ChunkEncoder") for o in gc.get_objects())
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"n": [n] * batch.num_rows})
+
+    docs = spark.read.parquet(f"{folder}/documents.parquet").repartition(16)
+    path = public_tokenizers.path("word_bpe_49k.json")
+    packing.token_pieces(docs, "doc_id", "text", path, 4096, 1).write.format("noop").mode("overwrite").save()
+    now = spark.range(64).repartition(16).mapInArrow(held, "n long").collect()
+    assert len(now) == 64 and not any(r["n"] for r in now)
+
+
+@pytest.mark.parametrize("rows", [0, 40])
+def test_sketch_counts_every_shingle(spark, rows):
+    """The sketch's classes are those of a plain count, and no block of it is over 16 KB a task."""
+    texts = [" ".join(f"w{(i * j) % 23}" for j in range(i % 9)) for i in range(rows)]
+    settings = jaccard.Settings()
+    got = jaccard.frequency_classes(spark.createDataFrame([(t,) for t in texts], "text string").repartition(5), settings)
+    slots = np.zeros(1 << settings.sketch_bits, int)
+    for t in texts:
+        data = np.frombuffer(t.encode(), np.uint8)
+        for s in jaccard.shingle_hashes(data, np.array([0, len(data)]), settings.words)[1]:
+            slots[int(s) >> (64 - settings.sketch_bits)] += 1
+    want = np.round(jaccard.CLASSES * np.log2(slots + 1.0))
+    assert np.array_equal(got, want if rows else 0 * want)
+    assert 2 << jaccard.BLOCK_BITS <= 16 << 10
