@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from lodestrand.llm import jaccard, mixing, packing
+from lodestrand.llm import jaccard, mixing, packing, words
 
 SPACE = re.compile("[\x20\x09-\x0d]+")
 
@@ -170,6 +170,15 @@ def test_workers_forget_the_tokenizer(spark, folder):
     assert len(now) == 64 and not any(r["n"] for r in now)
 
 
+def test_a_task_drops_its_powers(spark, monkeypatch):
+    """Powers of the base are kept for a task's batches, not after it."""
+    docs = spark.createDataFrame([(1, "a b c d e")], "_id long, text string")
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, run, shape: run)
+    run = jaccard.prefix_rows(docs, np.zeros(1 << 22, np.uint8), jaccard.Settings())
+    made = list(run(iter([pa.RecordBatch.from_pydict({"_id": [1], "text": ["a b c d e"]})])))
+    assert [b.num_rows for b in made] == [1] and not words._cache
+
+
 @pytest.mark.parametrize("rows", [0, 40])
 def test_sketch_counts_every_shingle(spark, rows):
     """The sketch's classes are those of a plain count, and no block of it is over 16 KB a task."""
